@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quernstone.llm import quality_classifier, toxicity
+from quernstone.llm import language_id, quality_classifier, quality_rules, toxicity
 from quernstone.session import table
 
 QUERIES = {
     "op1_quality_classifier": lambda s, d: quality_classifier.op1(table(s, d, "documents"), table(s, d, "labels")),
     "op3_toxicity": lambda s, d: toxicity.op3(table(s, d, "documents"), table(s, d, "labels")),
+    "op7_quality_rules": lambda s, d: quality_rules.op7(table(s, d, "documents"), table(s, d, "labels")),
+    "op8_language_id": lambda s, d: language_id.op8(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
