@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quernstone.llm import language_id, near_dedup, quality_classifier, quality_rules, toxicity
+from quernstone.llm import language_id, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
 from quernstone.session import table
 
 QUERIES = {
     "op1_quality_classifier": lambda s, d: quality_classifier.op1(table(s, d, "documents"), table(s, d, "labels")),
+    "op2_substring_dedup": lambda s, d: substring_dedup.op2(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op4_near_dedup": lambda s, d: near_dedup.op4(table(s, d, "documents")),
     "op7_quality_rules": lambda s, d: quality_rules.op7(table(s, d, "documents"), table(s, d, "labels")),
