@@ -34,8 +34,7 @@ def features(docs: DataFrame, chosen: DataFrame, fn: Callable, fields: list, id_
     ``chosen`` has at most as many rows as the sample's limit, so it is broadcast; rows come ordered by id.
     """
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = appended(few, fn, fields, "text").drop("text").dropDuplicates(["id"])
-    return rows.toArrow().sort_by("id")
+    return appended(few.dropDuplicates(["id"]), fn, fields, "text").drop("text").toArrow().sort_by("id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

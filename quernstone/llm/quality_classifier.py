@@ -20,9 +20,9 @@ from quernstone.llm.textarrays import Words, appended, characters, gram_ids, sum
 
 BITS = 16
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 DIM = 10
-EPOCHS = 6
+EPOCHS = 8
 RATE = 0.4
 SEED = 5
 
@@ -51,12 +51,12 @@ def bag(buf: np.ndarray, offs: np.ndarray) -> list:
     for r in range(len(offs) - 1):
         all_ids = np.concatenate([i[f[r] : f[r + 1]] for i, f in kinds])
         u, c = np.unique(all_ids[all_ids < 1 << BITS], return_counts=True)
-        ids.append(u.astype(np.int32))
-        counts.append(c.astype(np.int32))
+        ids.append(u.astype(np.int32).tobytes())
+        counts.append(c.astype(np.int32).tobytes())
     return [ids, counts]
 
 
-BAG = [("ids", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.IntegerType()))]
+BAG = [("ids", T.BinaryType()), ("counts", T.BinaryType())]  # both int32
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
@@ -68,8 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     y = rows["label"].to_numpy().astype(np.int64)
     if len(y) == 0:
         return Model(np.zeros((1 << BITS) + 1, np.float32), 0.0, 1.0, 0.0)
-    ids = [np.asarray(v.values) for v in rows["ids"]]
-    weights = [np.asarray(v.values, np.float32) for v in rows["counts"]]
+    ids = [np.frombuffer(v.as_buffer(), np.int32) for v in rows["ids"]]
+    weights = [np.frombuffer(v.as_buffer(), np.int32).astype(np.float32) for v in rows["counts"]]
     weights = [w / max(w.sum(), 1) for w in weights]
     rng = np.random.default_rng(SEED)
     vectors = (rng.random(((1 << BITS), DIM), np.float32) - 0.5) / DIM
