@@ -111,14 +111,14 @@ def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
 
     def rows_of(buf, offs):
         points, first = characters(buf, offs)
-        return [[r for _, _, tf in counts(letters_only(points)[0], first) for r in tf]]
+        return [[r.astype(np.float32).tobytes() for _, _, tf in counts(letters_only(points)[0], first) for r in np.ascontiguousarray(tf)]]
 
-    rows = features(docs, chosen, rows_of, [("x", T.ArrayType(T.FloatType()))])
+    rows = features(docs, chosen, rows_of, [("x", T.BinaryType())])
     names = np.array(rows["label"].to_pylist(), object)
     langs = sorted(set(names))
     x = np.empty((len(names), 1 << BITS), np.float32)
     for i, v in enumerate(rows["x"]):
-        x[i] = v.values
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
     del rows
     x = vectors(x, idf)
     centroids, owner, reach = [], [], []

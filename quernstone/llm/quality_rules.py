@@ -58,15 +58,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     """Train on at most ``limit`` labelled documents; every fifth of them only calibrates. Unlabelled: all 0.5."""
 
     def rows_of(buf, offs):
-        return [list(dense(buf, offs))]
+        return [[x.tobytes() for x in dense(buf, offs)]]
 
-    rows = features(docs, sample(labels, label_col, held_out, limit), rows_of, [("x", T.ArrayType(T.FloatType()))])
+    rows = features(docs, sample(labels, label_col, held_out, limit), rows_of, [("x", T.BinaryType())])
     y = (rows["label"].to_numpy() > 0).astype(np.float32)
     if len(y) == 0:
         return Model(np.zeros(1 << BITS, np.float32), 1.0, 0.0)
     x = np.empty((len(y), 1 << BITS), np.float32)
     for i, v in enumerate(rows["x"]):
-        x[i] = v.values
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
     del rows
     apart = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.ones(len(y), bool)
     train = ~apart if len(y) >= 50 else apart

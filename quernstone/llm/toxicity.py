@@ -18,7 +18,7 @@ from quernstone.llm.textarrays import appended, characters, gram_ids
 
 BITS = 18
 GRAMS = (4, 5)
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 KEPT = 4096  # n-grams with the largest log-count ratios for their support; the others weigh nothing
 
 
@@ -48,12 +48,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=N
 
     With no labelled row at all each document scores 0.5.
     """
-    rows = features(docs, sample(labels, label_col, held_out, limit), lambda b, o: [present(b, o)], [("ids", T.ArrayType(T.IntegerType()))])
+    rows = features(docs, sample(labels, label_col, held_out, limit), lambda b, o: [[i.tobytes() for i in present(b, o)]], [("ids", T.BinaryType())])
     y = (rows["label"].to_numpy() > 0).astype(np.float32)
     weights = np.zeros((1 << BITS) + 1, np.float32)
     if len(y) == 0:
         return Model(weights, 1.0, 0.0)
-    ids = [np.asarray(v.values) for v in rows["ids"]]
+    ids = [np.frombuffer(v.as_buffer(), np.int32) for v in rows["ids"]]
     del rows
     apart = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     df = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
