@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from quernstone.llm.labelled import features, fold, logistic, platt, sample, sigmoid
 from quernstone.llm.textarrays import appended, characters, gram_ids
 
-BITS = 18
-GRAMS = (4, 5)
-SAMPLE_ROWS = 4000
-KEPT = 4096  # n-grams with the largest log-count ratios for their support; the others weigh nothing
+BITS = 20
+GRAMS = (4, 5, 6)
+SAMPLE_ROWS = 4000  # a third of them toxic at most
+KEPT = 4096  # n-grams whose counts differ most between the classes (chi-squared); the others weigh nothing
 
 
 @dataclass
@@ -46,9 +46,12 @@ def present(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``limit`` labelled documents outside ``held_out``; every fifth of them only calibrates.
 
+    Toxic documents are rare, so they are sampled apart, a third of the limit; probabilities hold for that mix.
     With no labelled row at all each document scores 0.5.
     """
-    rows = features(docs, sample(labels, label_col, held_out, limit), lambda b, o: [[i.tobytes() for i in present(b, o)]], [("ids", T.BinaryType())])
+    toxic = F.col(label_col) > 0
+    chosen = sample(labels.where(toxic), label_col, held_out, limit // 3).union(sample(labels.where(~toxic), label_col, held_out, limit - limit // 3))
+    rows = features(docs, chosen.groupBy("id").agg(F.max("label").alias("label")), lambda b, o: [[i.tobytes() for i in present(b, o)]], [("ids", T.BinaryType())])
     y = (rows["label"].to_numpy() > 0).astype(np.float32)
     weights = np.zeros((1 << BITS) + 1, np.float32)
     if len(y) == 0:
@@ -61,8 +64,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=N
         df[int(y[i])][ids[i]] += 1
     n = [float((~apart & (y == k)).sum()) for k in (0, 1)]
     ratio = np.log((df[1] + 1) / (n[1] + 2)) - np.log((df[0] + 1) / (n[0] + 2))
-    ratio[df[0] + df[1] < 2] = 0
-    kept = np.sort(np.argsort(-np.abs(ratio) * np.sqrt(df[0] + df[1]), kind="stable")[:KEPT])
+    share = (df[0] + df[1]) / max(sum(n), 1)
+    expected = share * n[1]
+    apartness = (df[1] - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
+    kept = np.sort(np.argsort(-apartness, kind="stable")[:KEPT])
     column = np.full((1 << BITS) + 1, -1, np.int32)
     column[kept] = np.arange(len(kept))
     x = np.zeros((len(y), len(kept)), np.float32)
@@ -71,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=N
         at = at[at >= 0]
         x[i, at] = ratio[kept[at]]
     train = ~apart
-    w, _ = logistic(x[train], y[train], 1e-3, 150)
+    w, _ = logistic(x[train], y[train], 1e-4, 300)
     rest = apart if apart.any() else train
     slope, shift = platt((x[rest] @ w).astype(np.float64), y[rest])
     weights[kept] = w * ratio[kept]
