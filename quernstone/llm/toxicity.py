@@ -19,7 +19,7 @@ from quernstone.llm.textarrays import appended, characters, gram_ids
 BITS = 20
 GRAMS = (4, 5, 6)
 SAMPLE_ROWS = 4000  # a third of them toxic at most
-KEPT = 4096  # n-grams whose counts differ most between the classes (chi-squared); the others weigh nothing
+KEPT = 2048  # n-grams whose counts differ most between the classes (chi-squared); the others weigh nothing
 
 
 @dataclass
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=N
         at = at[at >= 0]
         x[i, at] = ratio[kept[at]]
     train = ~apart
-    w, _ = logistic(x[train], y[train], 1e-4, 300)
+    w, _ = logistic(x[train], y[train], 1e-4, 200)
     rest = apart if apart.any() else train
     slope, shift = platt((x[rest] @ w).astype(np.float64), y[rest])
     weights[kept] = w * ratio[kept]
