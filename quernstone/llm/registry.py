@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import language_id, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from quernstone.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity, warc
 from quernstone.session import table
 
 QUERIES = {
@@ -10,9 +10,12 @@ QUERIES = {
     "op2_substring_dedup": lambda s, d: substring_dedup.op2(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op4_near_dedup": lambda s, d: near_dedup.op4(table(s, d, "documents")),
+    "op5_token_counts": lambda s, d: token_counts.op5(table(s, d, "documents")),
     "op6_packing": lambda s, d: packing.op6(table(s, d, "documents")),
     "op7_quality_rules": lambda s, d: quality_rules.op7(table(s, d, "documents"), table(s, d, "labels")),
     "op8_language_id": lambda s, d: language_id.op8(table(s, d, "documents")),
+    "op9_warc": lambda s, d: warc.op9(table(s, d, "pages")),
+    "op10_decontamination": lambda s, d: decontamination.op10(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
