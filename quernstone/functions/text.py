@@ -84,11 +84,14 @@ def canonical_name(name: Column, rank: Column) -> Column:
     places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0)))
     for kind, marks in {"variety": ["var."], "subspecies": ["subsp.", "ssp."], "form": ["f.", "fo.", "forma"]}.items():
         # the last marker that an epithet follows: authors before it can hold the same word
-        def fits(i, marks=marks):
-            last = F.regexp_replace(at(i + 1), "^×+", "")
-            return (i > e) & at(i).isin(*marks) & last.rlike(epithet) & ~last.isin(*NOT_EPITHETS)
+        def follows(words):
+            def fits(i):
+                last = F.regexp_replace(at(i + 1), "^×+", "")
+                return (i > e) & at(i).isin(*words) & last.rlike(epithet) & ~last.isin(*NOT_EPITHETS)
 
-        hit = F.array_max(F.filter(places, fits))
+            return fits
+
+        hit = F.array_max(F.filter(places, follows(marks)))
         out = out.when(rank == kind, F.concat(species, F.lit(f" {marks[0]} "), dotless(F.regexp_replace(at(hit + 1), "^×+", ""))))
     return out
 

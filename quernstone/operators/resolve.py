@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import canonical_name, is_taxon_id, normalize_ext_id, normalize_name
+from quernstone.session import written
 
 MAX_DEPTH = 64
 
@@ -60,41 +61,41 @@ def resolve_chain(ids: DataFrame, edges: DataFrame, current: DataFrame, max_dept
     find out which, and where they repeat.
     """
     ids = ids.select(F.col("id")).dropna().distinct()
-    hop = edges.select(F.col("old_id").alias("f"), F.col("new_id").alias("t"), F.lit(1).cast("long").alias("d"))
-    at = ids.select("id", F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"))
-    jumps, length = [hop], 1
+    jumps, length = [written(edges.select(F.col("old_id").alias("f"), F.col("new_id").alias("t"), F.lit(1).cast("long").alias("d")), "jump")], 1
     while length < max_depth + 1:
         h = jumps[-1]
         b = h.select(F.col("f").alias("m"), F.col("t").alias("t2"), F.col("d").alias("d2"))
         # a jump that ends early keeps its shorter length
-        jumps.append(h.join(b, h.t == b.m, "left").select("f", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
+        longer = h.join(b, h.t == b.m, "left").select("f", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        jumps.append(written(longer, "jump"))
         length *= 2
     far = jumps[-1]
-    end = at.join(far, at.node == far.f, "left").select("id", F.coalesce("t", "node").alias("end"), F.coalesce("d", F.lit(0)).alias("d"))
+    end = ids.join(far, ids.id == far.f, "left").select("id", F.coalesce("t", "id").alias("end"), F.coalesce("d", F.lit(0)).alias("d"))
     more = edges.select(F.col("old_id").alias("__o"))
-    end = end.join(more, end.end == more["__o"], "left").withColumn("open", F.col("__o").isNotNull()).drop("__o")
+    end = end.join(more, end.end == more["__o"], "left").withColumn("long", F.col("__o").isNotNull() | (F.col("d") > max_depth)).drop("__o")
+    end = written(end, "ends")
     found = current.select(F.col(current.columns[0]).alias("__c")).distinct()
-    long = F.col("open") | (F.col("d") > max_depth)
-    plain = end.where(~long).join(found, F.col("end") == F.col("__c"), "left").select("id", F.col("end").alias("resolved"), F.when(F.col("__c").isNotNull(), "Resolved").otherwise("NotFound").alias("status"))
-    walk = end.where(long).select("id", F.array("id").alias("path"), F.lit(None).cast("string").alias("status"), F.lit(None).cast(dict(ids.dtypes)["id"]).alias("resolved"))
-    return plain.unionByName(_walked(walk, edges, max_depth)).select("id", "resolved", "status", (F.col("id") != F.col("resolved")).alias("was_redirected"))
-
-
-def _walked(walk: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    spark = walk.sparkSession
-    name = f"walk_{abs(hash((id(walk), id(edges))))}"
-    walk.select("id", "path").createOrReplaceTempView(name)
-    edges.select("old_id", "new_id").createOrReplaceTempView(f"{name}_edges")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    steps = spark.sql(f"""
-        WITH RECURSIVE w(id, path, node, again) AS (
-            SELECT id, path, id, false FROM {name}
-            UNION ALL
-            SELECT w.id, concat(w.path, array(e.new_id)), e.new_id, array_contains(w.path, e.new_id)
-            FROM w JOIN {name}_edges e ON e.old_id = w.node
-            WHERE NOT w.again AND size(w.path) <= {max_depth})
-        SELECT id, max_by(struct(node, again, size(path) AS n), size(path)) AS last FROM w GROUP BY id""")
-    return steps.select("id", F.col("last.node").alias("resolved"), F.when(F.col("last.again"), "Cycle").otherwise("DepthLimit").alias("status"))
+    plain = end.where("not long").join(found, F.col("end") == F.col("__c"), "left").select("id", F.col("end").alias("resolved"), F.when(F.col("__c").isNotNull(), "Resolved").otherwise("NotFound").alias("status"))
+    walked = _walked(end.where("long").select("id"), jumps, max_depth)
+    return plain.unionByName(walked).select("id", "resolved", "status", (F.col("id") != F.col("resolved")).alias("was_redirected"))
+
+
+def _walked(ids: DataFrame, jumps: list[DataFrame], max_depth: int) -> DataFrame:
+    """(id, resolved, status) of ids on cycles or on chains that are too long.
+
+    Jumps of one, two, four, ... edges give the node at every step up to the limit; the first node that comes a second
+    time closes a cycle.
+    """
+    steps = ids.select("id", F.col("id").alias("node"), F.lit(0).cast("long").alias("step"))
+    for k, jump in enumerate(jumps):
+        whole = jump.where(F.col("d") == 1 << k).select("f", "t")
+        on = steps.join(whole, steps.node == whole.f).select("id", F.col("t").alias("node"), (F.col("step") + (1 << k)).alias("step"))
+        steps = written(steps.unionByName(on.where(F.col("step") <= max_depth + 1)), "steps")
+    nth = F.row_number().over(Window.partitionBy("id", "node").orderBy("step"))
+    again = steps.withColumn("nth", nth).where("nth = 2").groupBy("id").agg(F.min_by("node", "step").alias("again"))
+    last = steps.where(F.col("step") == max_depth).select("id", "node")
+    rows = ids.join(again, "id", "left").join(last, "id", "left")
+    return rows.select("id", F.coalesce("again", "node").alias("resolved"), F.when(F.col("again").isNotNull(), "Cycle").otherwise("DepthLimit").alias("status"))
 
 
 def validate_chain_graph(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quernstone.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "search_names"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
