@@ -6,10 +6,12 @@
    probability that its similarity reaches the threshold falls below the chosen miss probability.
 4. Survivors are verified exactly on their full shingle sets; verified pairs are links, components follow.
 
-Pairs of a bucket are made in rounds. First each member meets one centre. A bucket whose members are then all in one
-component needs no more pairs, as its other links cannot change a component; only buckets that still hold several
-components get more centres, four times as many each round, until every member has been one. So a large group of
-near copies costs about one pair a member, and no pair that could join two components stays uncompared.
+Pairs of a bucket are made in rounds. In each of the first ROUNDS a member meets one centre of each of its buckets,
+drawn at random. A bucket whose members are then all in one component needs no more pairs, as its other links cannot
+change a component. The documents of the remaining buckets get an exact prefix join: a pair that reaches the threshold
+must share a shingle early in the order of rising frequency, so only pairs of different components that do are made.
+Large groups of near copies thus cost about one pair a member and bucket, large groups of documents that merely share
+some text make no pairs, and no pair that could join two components stays uncompared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import components
-from quernstone.llm.textarrays import Runs, Words, blocks, mix
+from quernstone.llm.textarrays import Runs, Words, blocks, free_name, mix
 from quernstone.session import written
 
 BANDS = 40
@@ -28,6 +30,7 @@ BAND_ROWS = 6  # a pair at similarity 0.8 shares no band with probability 5e-6,
 HASHES = BANDS * BAND_ROWS
 BATCH = 40  # hashes compared before each look at the posterior
 MISS = 1e-6
+ROUNDS = 2
 
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -185,21 +188,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     classes = written(known.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
-    at = F.xxhash64(F.lit(19), "doc_id")
     bands = banded(reps)
-    hot = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(at.alias("h"), F.col("doc_id").alias("doc"), "n")).alias("centre"))
-    hot = hot.where("m > 1").select("bucket", "m", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn"))
-    members = written(bands.join(hot, "bucket").where("m > 1"), "members")
+    sizes = written(bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    members = written(bands.join(sizes, "bucket"), "members")
     involved = members.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(involved, "doc_id", "left_semi")
     texts = written(texts, "texts")
 
-    alike = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    pairs = members.where((F.col("doc_id") != F.col("centre")) & alike)
-    labels = done = None
-    share = 1
-    while True:
-        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    left, labels, done = members.withColumn("label", F.col("doc_id")), None, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pairs = drawn(left, percent, turn)
+        else:
+            pairs = prefix_pairs(left.groupBy("doc_id").agg(F.max("label").alias("label")), texts, size, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -209,23 +210,72 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
             labels = components(links)
         elif not links.isEmpty():
             labels = relabelled(labels, links)
-        share *= 4
+        if turn == ROUNDS:
+            break
         own = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         own = own.select("bucket", "doc_id", "n", "m", F.coalesce("label", "doc_id").alias("label"))
-        open_ = own.where("m > 2").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("m").alias("size"))
-        open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("size") > share / 4))
-        left = written(own.join(open_.select("bucket"), "bucket", "left_semi"), "open")
+        open_ = own.where("m > 2").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        left = written(own.join(written(open_.select("bucket"), "open"), "bucket", "left_semi"), "left")
         if left.isEmpty():
             break
-        lot = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-        centres = left.where(lot * F.col("m") < share).select("bucket", F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("centre_label"))
-        pairs = left.join(centres, "bucket").where((F.col("label") != F.col("centre_label")) & alike)
 
     rep = sketches.join(classes, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(labels, rep.rep == labels.node, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))
 
 
+def drawn(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member with a random member of its bucket, if their sizes allow the similarity."""
+    lot = F.xxhash64(F.lit(19 + turn), "bucket", "doc_id")
+    centre = members.groupBy("bucket").agg(F.min(F.struct(lot.alias("lot"), "doc_id", "n", "label")).alias("c"))
+    centre = written(centre.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl")), "centres")
+    # at first all labels differ but of the centre itself
+    near = members.join(centre, "bucket").where(f"label <> cl and 100 * least(n, cn) >= {percent} * greatest(n, cn)")
+    return near.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+
+
+def exploded(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, label, n, s): a row for each distinct shingle of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in blocks(batch.column("text")):
+                s, first = shingles(buf, offs, size)
+                row = pa.array(np.repeat(np.arange(lo, hi), np.diff(first)))
+                n = np.repeat(np.diff(first), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("label").take(row), pa.array(n), pa.array(s.view(np.int64))], names=["doc_id", "label", "n", "s"])
+
+    return texts.mapInArrow(run, "doc_id long, label long, n long, s long")
+
+
+def prefix_pairs(labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of documents with different labels that may reach the similarity, by the prefix filter.
+
+    With the shingles of each set in order of rising frequency, the first common one of a pair with intersection o
+    leaves at least o - 1 after it in both sets, and o >= p / (100 + p) * (n + m). So the larger set is looked up with
+    its first n - p n / 100 + 1 shingles among the first n - 2 p n / (100 + p) + 1 of smaller ones. Shingles of a
+    single document match nothing and only take places. Each pair has a member outside the label that is most frequent
+    at the shingle; pairs within that label are not made.
+    """
+    rows = exploded(texts.join(labels, "doc_id").dropDuplicates(["doc_id"]), size)
+    common = written(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    ordered = rows.join(common, "s").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("list"))
+    probe = F.expr(f"n - ceil({percent} * n / 100)").cast("int")  # the last place, from zero, that a common shingle may have
+    skipped = F.col("n") - F.size("list")
+    ordered = ordered.select("doc_id", "label", "n", skipped.alias("skipped"), F.posexplode(F.slice("list", F.lit(1), F.greatest(probe + 1 - skipped, F.lit(0)).cast("int"))).alias("pos", "e"))
+    prefix = written(ordered.select("doc_id", "label", "n", F.col("e.s").alias("s"), (F.col("skipped") + F.col("pos")).alias("i")), "prefix")
+    per = prefix.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+    per = written(per.where("labels > 1").select("s", F.col("top.label").alias("top")), "top")
+    prefix = written(prefix.join(per, "s").withColumn("minor", F.col("label") != F.col("top")).drop("top"), "prefix")
+    y = prefix.where(F.expr(f"i <= n - ceil({2 * percent} * n / {100 + percent})"))
+    y = y.select("s", F.col("doc_id").alias("yd"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("minor").alias("ym"))
+    fits = F.expr(f"label <> yl and (yn < n or yn = n and yd < doc_id) and 100 * yn >= {percent} * n and least(n - i, yn - yi) * {100 + percent} >= {percent} * (n + yn)")
+    one = prefix.where("minor").join(y, "s").where(fits)
+    two = prefix.where("not minor").join(y.where("ym"), "s").where(fits)
+    both = one.union(two)
+    return both.select(F.least("doc_id", "yd").alias("a"), F.greatest("doc_id", "yd").alias("b")).distinct()
+
+
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the graph whose nodes are the labels so far."""
     def to(col):
@@ -242,8 +292,9 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Rows with a null id stay."""
     gone = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col).where("doc_id <> component_id")
-    gone = written(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    name = free_name("__gone", docs.columns)
+    gone = written(gone.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op4(docs: DataFrame) -> DataFrame:
