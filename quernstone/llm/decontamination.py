@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.textarrays import Words, blocks, mix
+from quernstone.llm.textarrays import Words, blocks, free_name, mix
 from quernstone.session import written
 
 BITS = 15
@@ -284,8 +284,9 @@ def _held(items: Items, rows: np.ndarray, doc: np.ndarray, first_half: np.ndarra
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item. Rows with a null id stay."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).dropna().distinct(), "contaminated")
-    return docs.join(bad, docs.doc_id == bad["__bad"], "left_anti")
+    name = free_name("__bad", docs.columns)
+    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).dropna().distinct(), "contaminated")
+    return docs.join(bad, docs.doc_id == bad[name], "left_anti")
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.textarrays import Runs, Words, blocks
+from quernstone.llm.textarrays import Runs, Words, blocks, free_name
 from quernstone.session import written
 
 WINDOW = 50
@@ -149,15 +149,16 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool =
     new = ["n_words", "n_removed", "kept_sha256"]
     kept = [c for c in docs.columns if c.lower() not in new and (with_text or c.lower() != "text")]
     spans = duplicate_spans(docs.select("doc_id", "text"), window)
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    at_id, at_spans = free_name("__id", docs.columns), free_name("__spans", docs.columns)
+    spans = spans.groupBy(F.col("doc_id").alias(at_id)).agg(F.collect_list(F.struct("start", "end")).alias(at_spans))
     source = docs.select(*[docs[f"`{c}`"] for c in kept], *([] if with_text else ["text"]))
-    source = source.join(spans, source.doc_id == spans["__id"], "left").drop("__id")
+    source = source.join(spans, source.doc_id == spans[at_id], "left").drop(at_id)
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("__spans")
+            texts, spans = batch.column("text"), batch.column(at_spans)
             at, flat = spans.offsets.to_numpy(), spans.values
             starts, ends = flat.field("start").to_numpy(), flat.field("end").to_numpy()
             has = spans.is_valid().to_numpy(zero_copy_only=False)

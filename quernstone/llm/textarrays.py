@@ -193,6 +193,13 @@ def word_ids(words: Words, bits: int, pairs: bool) -> tuple[np.ndarray, np.ndarr
     return single, two
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column bears it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def appended(df: DataFrame, fn: Callable, fields: list[tuple[str, T.DataType]], text_col: str = "text") -> DataFrame:
     """``df`` with the columns that ``fn(buf, offs)`` returns for each block of ``text_col``.
 
@@ -202,13 +209,14 @@ def appended(df: DataFrame, fn: Callable, fields: list[tuple[str, T.DataType]],
     kept = [f for f in df.schema.fields if f.name.lower() not in new]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in fields]])
     names = [f.name for f in kept]
-    source = df.select(*[df[f"`{n}`"] for n in names], df[f"`{text_col}`"].alias("__text"))
+    text = free_name("__text", df.columns)
+    source = df.select(*[df[f"`{n}`"] for n in names], df[f"`{text_col}`"].alias(text))
     types = [_arrow(t) for _, t in fields]
 
     def run(batches):
         for batch in batches:
             parts = [[] for _ in fields]
-            for _, _, buf, offs in blocks(batch.column("__text")):
+            for _, _, buf, offs in blocks(batch.column(text)):
                 for part, got, kind in zip(parts, fn(buf, offs), types, strict=True):
                     part.append(pa.array(got, kind))
             if batch.num_rows:
