@@ -220,6 +220,6 @@ def coverage(taxa: DataFrame, links: DataFrame) -> DataFrame:
 def present_and_native(distribution: DataFrame, places: DataFrame, country: str, admin: str, native_in: str) -> DataFrame:
     """(present, present_and_native): distinct taxa present in a division, and those of them native in a place."""
     here = places.where((F.col("country_code") == country) & (F.col("admin_code") == admin)).select("place_id")
-    present = distribution.where("kind = 'Present'").join(F.broadcast(here.limit(1000)), "place_id", "left_semi").select("symbol").distinct()
+    present = distribution.where("kind = 'Present'").join(here, "place_id", "left_semi").select("symbol").distinct()
     native = distribution.where((F.col("kind") == "Native") & (F.col("place_id") == native_in)).select("symbol", F.lit(1).alias("n")).distinct()
     return present.join(native, "symbol", "left").agg(F.count("*").alias("present"), F.count("n").alias("present_and_native"))

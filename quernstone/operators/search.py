@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import compact_name, is_english, match_tier, normalize_name, rank_depth, trigrams
+from quernstone.functions.text import compact_name, is_english, match_tier, normalize_name, rank_depth
 from quernstone.operators.dedup import first_per_key, top_per_group
 from quernstone.operators.resolve import best_name
 
@@ -20,20 +20,34 @@ def queries_of(queries: DataFrame) -> DataFrame:
     return q.withColumn("cq", compact_name(F.col("nq")))
 
 
+def grams(c, size: int):
+    """The distinct pieces of ``size`` characters of a text."""
+    n = F.length(c)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(size)))
+    return F.when(n >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
 def containing(texts: DataFrame, text: str, queries: DataFrame, query: str, few: bool) -> DataFrame:
     """Rows of ``texts`` with each query that ``text`` contains, both lower-cased.
 
-    A small batch of queries, counted beforehand, is broadcast and tried on each row. A large one is dealt by each
-    query's rarest first trigram; queries of two characters have none and take the small way.
+    A small batch of queries, counted beforehand, is broadcast and tried on each row. In a large one each query is
+    looked up under its trigram that the fewest texts hold (one that no text holds finds nothing); a query of one or
+    two characters is its own gram.
     """
     hit = F.contains(F.lower(text), F.lower(query))
     if few:
         return texts.join(F.broadcast(queries), hit)
-    long, short = queries.where(F.length(query) >= 3), queries.where(F.length(query) < 3).limit(BROADCAST_QUERIES)
-    keyed = long.withColumn("__g", F.substring(F.lower(query), 1, 3))
-    grams = texts.withColumn("__g", F.explode(trigrams(F.lower(text))))
-    both = grams.join(keyed, "__g").where(hit).drop("__g")
-    return both.unionByName(texts.join(F.broadcast(short), hit))
+    out = None
+    for size in (1, 2, 3):
+        own = queries.where(F.least(F.length(query), F.lit(3)) == size)
+        held = texts.withColumn("__g", F.explode(grams(F.lower(text), size)))
+        df = held.groupBy("__g").agg(F.count("*").alias("__df"))
+        rest = F.struct(*queries.columns).alias("__q")
+        rare = own.select(rest, F.explode(grams(F.lower(query), size)).alias("__g")).join(df, "__g", "left")
+        rare = rare.groupBy("__q").agg(F.min_by("__g", F.struct(F.coalesce("__df", F.lit(0)), "__g")).alias("__g"))
+        found = held.join(rare.select("__q.*", "__g"), "__g").where(hit).drop("__g")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def search_names(taxa: DataFrame, names: DataFrame, item_links: DataFrame, queries: DataFrame, page_size: int = PAGE) -> DataFrame:
