@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.labelled import features, fold, platt, sample, sigmoid
+from quernstone.llm.labelled import features, fold, platt, released, sample, sigmoid
 from quernstone.llm.textarrays import Words, appended, characters, gram_ids, sums, word_ids
 
 BITS = 16
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1500
 DIM = 10
-EPOCHS = 8
+EPOCHS = 10
 RATE = 0.4
 SEED = 5
 
@@ -46,17 +46,17 @@ def families(buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.nda
 
 
 def bag(buf: np.ndarray, offs: np.ndarray) -> list:
-    """The distinct buckets of each row and how often each occurs."""
-    kinds, ids, counts = families(buf, offs), [], []
+    """The distinct buckets of each row and the share of its features in each."""
+    kinds, ids, shares = families(buf, offs), [], []
     for r in range(len(offs) - 1):
         all_ids = np.concatenate([i[f[r] : f[r + 1]] for i, f in kinds])
         u, c = np.unique(all_ids[all_ids < 1 << BITS], return_counts=True)
-        ids.append(u.astype(np.int32).tobytes())
-        counts.append(c.astype(np.int32).tobytes())
-    return [ids, counts]
+        ids.append(u.astype(np.uint16).tobytes())
+        shares.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
+    return [ids, shares]
 
 
-BAG = [("ids", T.BinaryType()), ("counts", T.BinaryType())]  # both int32
+BAG = [("ids", T.BinaryType()), ("shares", T.BinaryType())]  # uint16, as BITS is 16, and float32
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
@@ -68,9 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     y = rows["label"].to_numpy().astype(np.int64)
     if len(y) == 0:
         return Model(np.zeros((1 << BITS) + 1, np.float32), 0.0, 1.0, 0.0)
-    ids = [np.frombuffer(v.as_buffer(), np.int32) for v in rows["ids"]]
-    weights = [np.frombuffer(v.as_buffer(), np.int32).astype(np.float32) for v in rows["counts"]]
-    weights = [w / max(w.sum(), 1) for w in weights]
+    ids = [np.frombuffer(v.as_buffer(), np.uint16) for v in rows["ids"]]
+    weights = [np.frombuffer(v.as_buffer(), np.float32) for v in rows["shares"]]
+    del rows
     rng = np.random.default_rng(SEED)
     vectors = (rng.random(((1 << BITS), DIM), np.float32) - 0.5) / DIM
     out = (rng.random((DIM, 2), np.float32) - 0.5) / DIM
@@ -94,6 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     rest = np.setdiff1d(np.arange(len(y)), train) if len(y) >= 50 else train
     z = np.array([number[ids[i]] @ weights[i] if len(ids[i]) else 0.0 for i in rest])
     slope, shift = platt(z, y[rest])
+    del ids, weights
+    released()
     return Model(number, float(bias[1] - bias[0]), slope, shift)
 
 
