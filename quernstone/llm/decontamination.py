@@ -93,8 +93,8 @@ def passage_vectors(rows: np.ndarray, doc: np.ndarray, table: np.ndarray) -> np.
 def gram_times(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A' A X for the normalised TF-IDF matrix A of the passages: each task adds up its passages, chunks meet by key."""
     rank = x.shape[1]
-    table = np.zeros((FEATURES + 1, rank + 1), np.float32)
-    table[:-1, :rank] = idf[:, None] * x
+    table = np.zeros((FEATURES + 1, rank), np.float32)
+    table[:-1] = x
     shared = passages.sparkSession.sparkContext.broadcast((table, idf))
 
     def run(batches):
@@ -118,10 +118,9 @@ def gram_times(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarra
                     norm = np.sqrt(np.bincount(at, value**2, len(both)))
                     value /= np.maximum(norm, 1e-12)[at]
                     y = np.zeros((len(both), rank))
-                    base = t[:, :rank] / np.maximum(w, 1e-12)[:, None]
-                    np.add.at(y, at, value[:, None] * base[f])
+                    np.add.at(y, at, value[:, None] * t[f])
                     np.add.at(total, f, value[:, None] * y[at])
-        for c in range(FEATURES // CHUNK):
+        for c in np.unique(np.flatnonzero(total[:-1].any(1)) // CHUNK).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total[c * CHUNK : (c + 1) * CHUNK].astype(np.float32).tobytes()])], names=["chunk", "part"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -129,26 +128,44 @@ def gram_times(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarra
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     parts = passages.select("text").mapInArrow(run, "chunk long, part binary").groupBy("chunk").applyInArrow(add, "chunk long, part binary")
-    out = np.zeros((FEATURES, rank))
+    out = np.zeros((FEATURES, rank), np.float32)
     for r in parts.collect():  # always FEATURES x rank numbers
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.part, np.float32).reshape(CHUNK, rank)
+    shared.destroy()
     return out
 
 
+def orthonormal(x: np.ndarray) -> np.ndarray:
+    """``x`` with orthonormal columns, in place, by Cholesky factors of its small Gram matrix.
+
+    The second pass mends what rounding leaves of the first; the small ridge serves ranks below the column count.
+    """
+    for _ in range(2):
+        g = np.zeros((x.shape[1], x.shape[1]))
+        for lo in range(0, len(x), CHUNK):
+            part = x[lo : lo + CHUNK].astype(np.float64)
+            g += part.T @ part
+        g += np.eye(len(g)) * (1e-7 * np.trace(g) / len(g) + 1e-30)
+        inverse = np.linalg.inv(np.linalg.cholesky(g)).T
+        for lo in range(0, len(x), CHUNK):
+            x[lo : lo + CHUNK] = x[lo : lo + CHUNK] @ inverse
+    return x
+
+
 def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """A row a feature: its idf-weighted latent vector and its squared weight; the last row, for padding, is zero.
 
     The randomised SVD of the items' passages takes two power iterations.
     """
     rng = np.random.default_rng(SEED)
-    q, _ = np.linalg.qr(rng.standard_normal((FEATURES, rank + OVERSAMPLE)))
+    q = orthonormal(rng.standard_normal((FEATURES, rank + OVERSAMPLE), np.float32))
     for _ in range(2):
-        q, _ = np.linalg.qr(gram_times(items, idf, q))
+        q = orthonormal(gram_times(items, idf, q))
     small = q.T @ gram_times(items, idf, q)
-    _, vectors = np.linalg.eigh((small + small.T) / 2)
-    v = q @ vectors[:, ::-1][:, :rank]
+    _, vectors = np.linalg.eigh((small + small.T).astype(np.float64) / 2)
     table = np.zeros((FEATURES + 1, rank + 1), np.float32)
-    table[:-1, :-1] = idf[:, None] * v
+    table[:-1, :-1] = q @ vectors[:, ::-1][:, :rank].astype(np.float32)
+    table[:-1, :-1] *= idf.astype(np.float32)[:, None]
     table[:-1, -1] = idf**2
     return table
 
@@ -230,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for lo in range(0, share, SPACES):
         spaces = []
         for part in range(lo, min(lo + SPACES, share)):
-            block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(share)) == part)
+            block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(share)) == part).coalesce(4)  # a few hundred rows
             rows = block.orderBy("item_id").collect()
             spaces.append(Items([r.item_id for r in rows], [r.text for r in rows], latent_space(block, idf)))
         shared = docs.sparkSession.sparkContext.broadcast(spaces)
