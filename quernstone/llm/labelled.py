@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,19 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def smallest(rows: DataFrame, limit: int, seed: int, key: str = "id") -> DataFrame:
+    """The ``limit`` rows with the smallest hashes of ``key``.
+
+    A count first gives the hash below which about twice as many rows lie, so that no more than those reach the last
+    step, however many tasks there are.
+    """
+    n = rows.count()
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    if n > 2 * limit + 200:
+        rows = rows.where(h <= F.lit(int(-(2**63) + 2**64 * (2 * limit + 200) / n)))
+    return rows.orderBy(h, key).limit(limit)
+
+
 def sample(labels: DataFrame, label_col: str, held_out: Column, limit: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` (id, label) rows outside the held-out fold, chosen by a hash of the id.
 
@@ -24,8 +38,7 @@ def sample(labels: DataFrame, label_col: str, held_out: Column, limit: int, id_c
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     rows = rows.where(~F.coalesce(held_out, F.lit(False))) if held_out is not None else rows
-    rows = rows.groupBy("id").agg(F.min("label").alias("label"))
-    return rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(limit)
+    return smallest(rows.groupBy("id").agg(F.min("label").alias("label")), limit, 7)
 
 
 def features(docs: DataFrame, chosen: DataFrame, fn: Callable, fields: list, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
@@ -37,6 +50,12 @@ def features(docs: DataFrame, chosen: DataFrame, fn: Callable, fields: list, id_
     return appended(few.dropDuplicates(["id"]), fn, fields, "text").drop("text").toArrow().sort_by("id")
 
 
+def released() -> None:
+    """Give memory of dropped samples back: the driver has other work to do."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 

@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.labelled import smallest
 from quernstone.session import scratch_dir, written
 
 REVISIT_FROM = 1000  # bytes
@@ -72,8 +73,10 @@ def planned(pages: DataFrame) -> DataFrame:
 
 def trained(pages: DataFrame) -> bytes:
     """A dictionary from the heads of at most SAMPLE_RECORDS payloads, chosen by a hash; empty if they are too few."""
-    some = pages.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("part")).dropna().orderBy(F.xxhash64(F.lit(9), "page_id"), "page_id")
-    parts = [head("response", 1, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1) + r.part.encode() for r in some.limit(SAMPLE_RECORDS).collect()]
+    few = smallest(pages.where("page_id is not null and html is not null").select(F.col("page_id").alias("id")), SAMPLE_RECORDS, 9)
+    some = pages.join(F.broadcast(few), pages.page_id == few.id, "left_semi").dropDuplicates(["page_id"]).orderBy("page_id")
+    rows = some.select(F.substring("html", 1, SAMPLE_BYTES).alias("part")).collect()
+    parts = [head("response", 1, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1) + r.part.encode() for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 16 else b""
     except zstandard.ZstdError:
