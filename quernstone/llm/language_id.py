@@ -105,8 +105,13 @@ def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
         allowed = allowed.where(~held_out)
     df, n = document_frequencies(allowed)
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
-    chosen = allowed.select("doc_id", "lang").withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit)
+    # a hash below a bound that each language's count gives leaves about twice the limit to rank
+    h = F.xxhash64(F.lit(3), "doc_id")
+    per = allowed.groupBy("lang").agg(F.count("*").alias("__c"))
+    below = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * limit + 200) / F.col("__c")
+    chosen = allowed.select("doc_id", "lang").join(per, "lang").where(h.cast("double") <= below)
+    by = Window.partitionBy("lang").orderBy(h, "doc_id")
+    chosen = chosen.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit)
     chosen = chosen.groupBy(F.col("doc_id").alias("id")).agg(F.min("lang").alias("label"))
 
     def rows_of(buf, offs):
