@@ -107,7 +107,8 @@ def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
     # a hash below a bound that each language's count gives leaves about twice the limit to rank
     h = F.xxhash64(F.lit(3), "doc_id")
-    per = allowed.groupBy("lang").agg(F.count("*").alias("__c"))
+    # a row a language is less than the model, which has centroids for each; unless broadcast, lang would be shuffled
+    per = F.broadcast(allowed.groupBy("lang").agg(F.count("*").alias("__c")))
     below = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * limit + 200) / F.col("__c")
     chosen = allowed.select("doc_id", "lang").join(per, "lang").where(h.cast("double") <= below)
     by = Window.partitionBy("lang").orderBy(h, "doc_id")
