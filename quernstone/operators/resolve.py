@@ -170,7 +170,8 @@ def taxon_detail(ids: DataFrame, edges: DataFrame, taxa: DataFrame, relations: l
     """The record that each id resolves to, with (id, name) of each related current record."""
     current = taxa.where("is_current")
     chain = resolve_chain(ids, edges, current.select("taxon_id"))
-    out = chain.join(current, chain.resolved == current.taxon_id, "left").drop("taxon_id")
+    # the node at which a walk was given up is not the record asked for
+    out = chain.join(current, (chain.resolved == current.taxon_id) & (chain.status != "DepthLimit"), "left").drop("taxon_id")
     for r in relations:
         other = current.select(F.col("taxon_id").alias("__i"), F.struct(F.col("taxon_id").alias("id"), F.col("name").alias("name")).alias(f"{r}_record"))
         out = out.join(other, out[r] == other["__i"], "left").drop("__i")

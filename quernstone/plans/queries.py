@@ -198,9 +198,23 @@ def _(s, d):
 CASE WHEN ok AND c.status = 'Resolved' THEN CASE r.status WHEN 'Accepted' THEN r.taxon_id WHEN 'Synonym' THEN a.taxon_id END END AS accepted, CASE WHEN ok THEN c.status ELSE 'NotFound' END AS status
 FROM (SELECT taxon_id, taxon_id % 13 <> 0 AS ok FROM taxa WHERE taxon_id < 1000) t JOIN chain c ON c.id = t.taxon_id LEFT JOIN taxa r ON r.taxon_id = c.resolved AND r.is_current LEFT JOIN taxa a ON a.taxon_id = r.accepted_id AND a.is_current""", "taxa", "edges", recursive=True))
 def _(s, d):
-    links = B.taxa(s, d).where("taxon_id < 1000").selectExpr("taxon_id AS qid", "taxon_id AS taxon_id_raw")
-    out = resolve.resolve_item_links(links, B.edges(s, d), B.taxa(s, d), F.col("taxon_id_raw") % 13 != 0)
-    return out.select("qid", "resolved", "taxon", "accepted", "status")
+    return _item_links(s, d, B.taxa(s, d).where("taxon_id < 1000"), B.edges(s, d))
+
+
+def _item_links(s, d, chosen, edges):
+    links = chosen.selectExpr("taxon_id AS qid", "taxon_id AS taxon_id_raw")
+    out = resolve.resolve_item_links(links, edges, B.taxa(s, d), F.col("taxon_id_raw") % 13 != 0)
+    return out.select("qid", F.when(F.col("status") != "DepthLimit", F.col("resolved")).alias("resolved"), "taxon", "accepted", "status")
+
+
+def whole_sql(name: str) -> str:
+    """The comparison SQL of a registered query without its id subset."""
+    return ORACLES[name].replace(" WHERE taxon_id < 1000", "").replace(" WHERE c.id < 1000", "")
+
+
+@query("resolve_item_links_all", whole_sql("resolve_item_links"))
+def _(s, d):
+    return _item_links(s, d, B.taxa(s, d), B.edges(s, d))
 
 
 @query("resolution_report", B.sql("""SELECT CASE WHEN a.taxon_id IS NULL THEN 'NotFound' ELSE 'Resolved' END AS status, count(*) AS n, count(a.taxon_id) AS resolved, count(CASE WHEN a.status = 'Accepted' THEN 1 END) AS accepted, CAST(0 AS BIGINT) AS redirected
@@ -250,9 +264,18 @@ def _(s, d):
 @query("taxon_detail", B.sql(CHAIN + """ SELECT c.id, c.resolved, t.name, a.taxon_id AS accepted, a.name AS accepted_name, p.name AS parent_name FROM chain c LEFT JOIN taxa t ON t.taxon_id = c.resolved AND t.is_current
 LEFT JOIN taxa a ON a.taxon_id = t.accepted_id AND a.is_current LEFT JOIN taxa p ON p.taxon_id = t.parent_id AND p.is_current WHERE c.id < 1000""", "taxa", "edges", recursive=True))
 def _(s, d):
-    t = B.taxa(s, d)
-    out = resolve.taxon_detail(t.where("taxon_id < 1000").select(F.col("taxon_id").alias("id")), B.edges(s, d), t.withColumnRenamed("status", "taxonomic_status"), ["accepted_id", "parent_id"])
-    return out.select("id", "resolved", "name", F.col("accepted_id_record.id").alias("accepted"), F.col("accepted_id_record.name").alias("accepted_name"), F.col("parent_id_record.name").alias("parent_name"))
+    return _detail(s, d, B.taxa(s, d).where("taxon_id < 1000"), B.edges(s, d))
+
+
+def _detail(s, d, chosen, edges):
+    t = B.taxa(s, d).withColumnRenamed("status", "taxonomic_status")
+    out = resolve.taxon_detail(chosen.select(F.col("taxon_id").alias("id")), edges, t, ["accepted_id", "parent_id"])
+    return out.select("id", F.when(F.col("status") != "DepthLimit", F.col("resolved")).alias("resolved"), "name", F.col("accepted_id_record.id").alias("accepted"), F.col("accepted_id_record.name").alias("accepted_name"), F.col("parent_id_record.name").alias("parent_name"))
+
+
+@query("taxon_detail_all", whole_sql("taxon_detail"))
+def _(s, d):
+    return _detail(s, d, B.taxa(s, d), B.edges(s, d))
 
 
 @query("coverage", B.sql("""SELECT count(*) AS accepted_species, count(h) AS linked, round_even(count(h) * 100.0 / count(*), 2) AS percent FROM (SELECT taxon_id, (SELECT 1 FROM item_links l WHERE l.accepted = t.taxon_id AND l.qid % 4 = 0 LIMIT 1) AS h FROM taxa t WHERE is_current AND status = 'Accepted' AND rank = 'species')""", "taxa", "item_links"))
