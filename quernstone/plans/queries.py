@@ -183,17 +183,36 @@ FROM ends e LEFT JOIN taxa t ON t.taxon_id = e.node AND t.is_current)"""
 
 @query("resolve_chain", B.sql(CHAIN + " SELECT id, resolved, status, id <> resolved AS was_redirected FROM chain WHERE status <> 'DepthLimit' UNION ALL SELECT id, NULL, status, true FROM chain WHERE status = 'DepthLimit'", "taxa", "edges", recursive=True))
 def _(s, d):
+    return _chain(s, d, B.edges(s, d))
+
+
+def _chain(s, d, edges):
     t = B.taxa(s, d)
-    out = resolve.resolve_chain(t.select(F.col("taxon_id").alias("id")), B.edges(s, d), t.where("is_current").select("taxon_id"))
+    out = resolve.resolve_chain(t.select(F.col("taxon_id").alias("id")), edges, t.where("is_current").select("taxon_id"))
     far = F.col("status") == "DepthLimit"
     return out.select("id", F.when(~far, F.col("resolved")).alias("resolved"), "status", "was_redirected")
 
 
+def whole_sql(name: str) -> str:
+    """The comparison SQL of a registered query without its id subset, on the edges of all keys."""
+    return ORACLES[name].replace(" WHERE taxon_id < 1000", "").replace(" WHERE c.id < 1000", "").replace(B.CTES["edges"], B.CTES["edges_all"])
+
+
+@query("resolve_chain_all", whole_sql("resolve_chain"))
+def _(s, d):
+    return _chain(s, d, B.edges_all(s, d))
+
+
 @query("validate_chain_graph", B.sql(CHAIN.replace("FROM taxa\nUNION", "FROM taxa WHERE taxon_id IN (SELECT old_id FROM edges)\nUNION") + " SELECT count(*) FILTER (WHERE status = 'Cycle') AS cycles, count(*) FILTER (WHERE status = 'DepthLimit') AS too_long FROM chain", "taxa", "edges", recursive=True))
 def _(s, d):
     return resolve.validate_chain_graph(B.edges(s, d))
 
 
+@query("validate_chain_graph_all", whole_sql("validate_chain_graph"))
+def _(s, d):
+    return resolve.validate_chain_graph(B.edges_all(s, d))
+
+
 @query("resolve_item_links", B.sql(CHAIN + """ SELECT t.taxon_id AS qid, CASE WHEN ok THEN c.resolved END AS resolved, CASE WHEN ok AND c.status = 'Resolved' THEN c.resolved END AS taxon,
 CASE WHEN ok AND c.status = 'Resolved' THEN CASE r.status WHEN 'Accepted' THEN r.taxon_id WHEN 'Synonym' THEN a.taxon_id END END AS accepted, CASE WHEN ok THEN c.status ELSE 'NotFound' END AS status
 FROM (SELECT taxon_id, taxon_id % 13 <> 0 AS ok FROM taxa WHERE taxon_id < 1000) t JOIN chain c ON c.id = t.taxon_id LEFT JOIN taxa r ON r.taxon_id = c.resolved AND r.is_current LEFT JOIN taxa a ON a.taxon_id = r.accepted_id AND a.is_current""", "taxa", "edges", recursive=True))
@@ -207,14 +226,9 @@ def _item_links(s, d, chosen, edges):
     return out.select("qid", F.when(F.col("status") != "DepthLimit", F.col("resolved")).alias("resolved"), "taxon", "accepted", "status")
 
 
-def whole_sql(name: str) -> str:
-    """The comparison SQL of a registered query without its id subset."""
-    return ORACLES[name].replace(" WHERE taxon_id < 1000", "").replace(" WHERE c.id < 1000", "")
-
-
 @query("resolve_item_links_all", whole_sql("resolve_item_links"))
 def _(s, d):
-    return _item_links(s, d, B.taxa(s, d), B.edges(s, d))
+    return _item_links(s, d, B.taxa(s, d), B.edges_all(s, d))
 
 
 @query("resolution_report", B.sql("""SELECT CASE WHEN a.taxon_id IS NULL THEN 'NotFound' ELSE 'Resolved' END AS status, count(*) AS n, count(a.taxon_id) AS resolved, count(CASE WHEN a.status = 'Accepted' THEN 1 END) AS accepted, CAST(0 AS BIGINT) AS redirected
@@ -255,10 +269,19 @@ e AS (SELECT q.query, count(*) FILTER (WHERE c.status IN ('Cycle', 'DepthLimit')
 s AS (SELECT q.query, CASE WHEN trim(q.query) = '' THEN 'Invalid' WHEN broken > 0 OR n > 1 THEN 'Conflict' WHEN coalesce(n, 0) = 0 THEN 'NotFound' ELSE 'Found' END AS status, taxon FROM (SELECT DISTINCT query FROM q) q LEFT JOIN e ON e.query = q.query)
 SELECT query, status, CASE WHEN status = 'Found' THEN taxon END AS taxon FROM s""", "taxa", "edges", recursive=True))
 def _(s, d):
+    return _lookup(s, d, B.edges(s, d))
+
+
+def _lookup(s, d, edges):
     q = table(s, d, "customer").selectExpr("CASE WHEN c_custkey % 50 = 0 THEN '  ' WHEN c_custkey % 2 = 0 THEN ' URN:LSID:ipni.org:names:' || c_custkey || '-1 ' ELSE c_custkey || '-1' END AS query")
     p = table(s, d, "part")
     m = p.where("p_partkey % 3 <> 0").selectExpr("p_partkey || '-1' AS normalized_id", "p_partkey AS taxon_id").union(p.where("p_partkey % 5 = 0").selectExpr("p_partkey || '-1'", "p_partkey + 7"))
-    return resolve.lookup_ext_id(q, m, B.edges(s, d), B.taxa(s, d))
+    return resolve.lookup_ext_id(q, m, edges, B.taxa(s, d))
+
+
+@query("lookup_ext_id_all", whole_sql("lookup_ext_id"))
+def _(s, d):
+    return _lookup(s, d, B.edges_all(s, d))
 
 
 @query("taxon_detail", B.sql(CHAIN + """ SELECT c.id, c.resolved, t.name, a.taxon_id AS accepted, a.name AS accepted_name, p.name AS parent_name FROM chain c LEFT JOIN taxa t ON t.taxon_id = c.resolved AND t.is_current
@@ -275,7 +298,7 @@ def _detail(s, d, chosen, edges):
 
 @query("taxon_detail_all", whole_sql("taxon_detail"))
 def _(s, d):
-    return _detail(s, d, B.taxa(s, d), B.edges(s, d))
+    return _detail(s, d, B.taxa(s, d), B.edges_all(s, d))
 
 
 @query("coverage", B.sql("""SELECT count(*) AS accepted_species, count(h) AS linked, round_even(count(h) * 100.0 / count(*), 2) AS percent FROM (SELECT taxon_id, (SELECT 1 FROM item_links l WHERE l.accepted = t.taxon_id AND l.qid % 4 = 0 LIMIT 1) AS h FROM taxa t WHERE is_current AND status = 'Accepted' AND rank = 'species')""", "taxa", "item_links"))

@@ -45,7 +45,7 @@ def taxa(spark, part):
 
 def test_item_links_of_all_taxa(spark, part, taxa):
     current = {k for k, r in taxa.items() if r.is_current}
-    chain = chains(B.edges(spark, part), taxa, current)
+    chain = chains(B.edges_all(spark, part), taxa, current)
     want = set()
     for i in taxa:
         resolved, status = chain[i]
@@ -63,7 +63,7 @@ def test_item_links_of_all_taxa(spark, part, taxa):
 def test_detail_of_all_taxa(spark, part, taxa):
     current = {k for k, r in taxa.items() if r.is_current}
     want = set()
-    for i, (resolved, _) in chains(B.edges(spark, part), taxa, current).items():
+    for i, (resolved, _) in chains(B.edges_all(spark, part), taxa, current).items():
         t = taxa[resolved] if resolved in current else None
         a = t.accepted_id if t is not None and t.accepted_id in current else None
         p = t.parent_id if t is not None and t.parent_id in current else None
@@ -77,3 +77,14 @@ def test_detail_of_a_chain_that_is_too_long(spark, part):
     ids = spark.range(2).selectExpr("id")
     t = B.taxa(spark, part).withColumn("is_current", F.lit(True)).withColumnRenamed("status", "taxonomic_status")
     assert {(r.id, r.status, r.name) for r in resolve.taxon_detail(ids, edges, t, []).collect()} == {(0, "DepthLimit", None), (1, "Resolved", "n65")}
+
+
+def test_edges_and_broken_chains_grow_with_the_table(spark, part, taxa):
+    current = {k for k, r in taxa.items() if r.is_current}
+    chain = chains(B.edges_all(spark, part), taxa, current)
+    got = Q.QUERIES["resolve_chain_all"](spark, part).collect()
+    assert {(r.id, r.resolved, r.status, r.was_redirected) for r in got} == {(i, node, status, node != i) for i, (node, status) in chain.items()}
+    cycles = sorted(i for i, (_, status) in chain.items() if status == "Cycle")
+    long = sorted(i for i, (_, status) in chain.items() if status == "DepthLimit")
+    assert cycles == [b + i for b in (0, 2000, 4000) for i in (4, 5, 6)] and long == [b + i for b in (0, 2000) for i in range(1000, 1007)]
+    assert Q.QUERIES["validate_chain_graph_all"](spark, part).collect() == [(len(cycles), len(long))]
