@@ -9,6 +9,7 @@ from quernstone.functions.text import comparable_label, distribution_kind, parse
 
 TOLERANCE = 1e-6
 TAXA_REQUIRED = 3
+TOLERANCE_KEYS = ("fire_tolerance", "drought_tolerance", "caco3_tolerance", "anaerobic_tolerance", "salinity_tolerance", "hedge_tolerance")
 
 
 def attribute_facts(facts: DataFrame, occ: DataFrame, taxa: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,22 +48,28 @@ def label_facts(facts: DataFrame, types: DataFrame, labels: DataFrame) -> DataFr
     return rows.select("code", "type_uri", *kept, "key", "value_kind", label.alias("label"), confidence.alias("confidence"), F.when(F.col("o"), F.col("type_uri")).alias("label_type"), display.alias("display"))
 
 
-def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame) -> DataFrame:
+def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, translate: DataFrame | None = None) -> DataFrame:
     """(symbol, key, field, mode, outcome): Agree, Disagree, Missing, Unmapped or Unresolved.
 
     ``ours`` (symbol, key, label, confidence, numeric, statistic); ``theirs`` (symbol, field, value) with one row a
     member for sets; ``mapping`` (field, key, mode, statistic) with mode Label, Flag, Set, Min, Max, Only, Statistic or
-    Shade. Fields match whatever their case.
+    Shade. Fields match whatever their case. ``translate`` (field, value, expected) gives the label that a value of a
+    Label field stands for, whatever the case.
     """
     want = theirs.select("symbol", F.lower("field").alias("f"), "value").join(mapping.select(F.lower("field").alias("f"), "field", "key", "mode", F.col("statistic").alias("want_stat")), "f")
     want = want.groupBy("symbol", "field", "key", "mode", "want_stat").agg(F.array_sort(F.collect_set(F.lower("value"))).alias("they"), F.min("value").alias("value"))
+    want = want.withColumn("expected", F.lower("value"))
+    if translate is not None:
+        words = translate.select(F.lower("field").alias("__f"), F.lower("value").alias("__v"), F.lower("expected").alias("__e"))
+        on = (F.lower("field") == F.col("__f")) & (F.lower("value") == F.col("__v")) & (F.col("mode") == "Label")
+        want = want.join(words, on, "left").withColumn("expected", F.coalesce("__e", "expected")).drop("__f", "__v", "__e")
     label = F.lower(comparable_label(F.col("label")))
     rows = want.join(ours, ["symbol", "key"], "left")
     has = F.col("found")
     counted = F.col("numeric").isNotNull() & (F.col("want_stat").isNull() | (F.col("statistic") == F.col("want_stat")))
     flag = F.startswith(F.lower("label"), F.concat(F.lower("field"), F.lit(":")))
     rows = rows.withColumn("found", F.col("label").isNotNull() | F.col("confidence").isNotNull() | F.col("numeric").isNotNull() | F.coalesce("present", F.lit(False)))
-    per = rows.groupBy("symbol", "field", "key", "mode", "value", "they").agg(
+    per = rows.groupBy("symbol", "field", "key", "mode", "value", "expected", "they").agg(
         F.count_if(has).alias("n"),
         F.count_if(has & F.col("label").isNull() & F.col("confidence").isNull()).alias("unmapped"),
         F.count_if(has & F.col("label").isNull()).alias("unlabelled"),
@@ -80,7 +87,7 @@ def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame) -> Dat
         F.when(numeric, F.coalesce(F.abs(mine - number) <= TOLERANCE, F.lit(False)))
         .when(F.col("mode") == "Flag", (F.col("flags") == 1) & (F.col("flag") == F.concat(F.lower("field"), F.lit(": "), F.lower("value"))))
         .when(F.col("mode") == "Set", F.col("we") == F.col("they"))
-        .otherwise((F.size("we") == 1) & (F.col("we")[0] == F.lower("value")))
+        .otherwise((F.size("we") == 1) & (F.col("we")[0] == F.col("expected")))
     )
     outcome = (
         F.when(F.col("n") == 0, "Missing")
@@ -95,18 +102,43 @@ def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame) -> Dat
     return per.select("symbol", "key", "field", "mode", outcome.alias("outcome"))
 
 
+def shade_observations(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, tolerance: DataFrame) -> DataFrame:
+    """(symbol, key, field, code, value, direct, inverted) of Shade rows with exactly one fact, of a tolerance code.
+
+    Direct: the code means what it means in the other tolerance traits; inverted: Low and High swap. ``tolerance``
+    (code, label); ``ours`` (symbol, key, code).
+    """
+    shade = mapping.where("mode = 'Shade'").select(F.lower("field").alias("f"), "field", "key")
+    want = theirs.select("symbol", F.lower("field").alias("f"), "value").join(shade, "f")
+    want = want.groupBy("symbol", "field", "key").agg(F.min("value").alias("value"))
+    one = ours.groupBy("symbol", "key").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n = 1").drop("n")
+    direct = comparable_label(F.col("label"))
+    rows = want.join(one, ["symbol", "key"]).join(tolerance.where("label is not null").select("code", direct.alias("direct")), "code")
+    inverted = F.when(F.lower("direct") == "low", "High").when(F.lower("direct") == "high", "Low").otherwise(F.col("direct"))
+    return rows.select("symbol", "key", "field", "code", "value", "direct", inverted.alias("inverted"))
+
+
+def shade_score(observations: DataFrame) -> DataFrame:
+    """(key, field, compared, direct_agreements, inverted_agreements) of Shade observations."""
+    same = {c: F.lower(c) == F.lower("value") for c in ("direct", "inverted")}
+    return observations.groupBy("key", "field").agg(F.count("*").alias("compared"), *[F.count_if(ok).alias(f"{c}_agreements") for c, ok in same.items()])
+
+
 def tally_codes(outcomes: DataFrame, ours: DataFrame) -> DataFrame:
-    """(code, label_type, agree, disagree, agreeing_taxa, verdict) over the facts behind Agree and Disagree.
+    """(code, label_type, confidence, agree, disagree, agreeing_taxa, keys, verdict) over the facts behind Agree and Disagree.
+
+    ``keys`` are those of the facts that agree.
 
     Verdict: confirmed for an inferred code that only agrees, contradicted for a verified one that ever disagrees.
     """
     rows = outcomes.where("outcome in ('Agree', 'Disagree')").join(ours, ["symbol", "key"])
     ok = F.col("outcome") == "Agree"
-    per = rows.groupBy("code", "label_type", "confidence").agg(F.count_if(ok).alias("agree"), F.count_if(~ok).alias("disagree"), F.countDistinct(F.when(ok, F.col("symbol"))).alias("agreeing_taxa"))
+    per = rows.groupBy("code", "label_type", "confidence").agg(F.count_if(ok).alias("agree"), F.count_if(~ok).alias("disagree"), F.countDistinct(F.when(ok, F.col("symbol"))).alias("agreeing_taxa"), F.array_sort(F.collect_set(F.when(ok, F.col("key")))).alias("keys"))
     verdict = F.when((F.col("confidence") == "inferred") & (F.col("agree") > 0) & (F.col("disagree") == 0), "confirmed").when((F.col("confidence") == "verified") & (F.col("disagree") > 0), "contradicted")
     return per.withColumn("verdict", verdict)
 
 
-def promoted(tally: DataFrame, required: int = TAXA_REQUIRED) -> DataFrame:
-    """Codes that enough taxa agree on and nothing contradicts."""
-    return tally.where((F.col("disagree") == 0) & (F.col("agreeing_taxa") >= required))
+def promoted(tally: DataFrame, required: int = TAXA_REQUIRED, keys: tuple[str, ...] = TOLERANCE_KEYS) -> DataFrame:
+    """Codes that enough taxa agree on and nothing contradicts, if they agree in traits of ``keys`` only."""
+    inside = F.size(F.array_except("keys", F.array(*[F.lit(k) for k in keys]))) == 0
+    return tally.where((F.col("disagree") == 0) & (F.col("agreeing_taxa") >= required) & inside)

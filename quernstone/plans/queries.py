@@ -452,6 +452,17 @@ def _(s, d):
     return facts.tally_codes(*_compared(s, d)).select("code", "confidence", "agree", "disagree", "agreeing_taxa")
 
 
+# a user's distinct click is the observed shade; every tenth user has an error as well, so two facts and no observation
+@query("shade_score", """WITH one AS (SELECT symbol FROM (SELECT DISTINCT user_id AS symbol, event_type FROM events WHERE event_type = 'click' OR event_type = 'error' AND user_id % 10 = 0) GROUP BY 1 HAVING count(*) = 1 AND max(event_type) = 'click')
+SELECT 'shade' AS key, 'Shade' AS field, count(*) AS compared, count(*) FILTER (WHERE symbol % 3 = 0) AS direct_agreements, count(*) FILTER (WHERE symbol % 3 = 1) AS inverted_agreements FROM one HAVING count(*) > 0""")
+def _(s, d):
+    ours = table(s, d, "events").where("event_type = 'click' OR event_type = 'error' AND user_id % 10 = 0").selectExpr("user_id AS symbol", "'shade' AS key", "event_type AS code").distinct()
+    theirs = ours.select("symbol").distinct().selectExpr("symbol", "'sHADE' AS field", "CASE symbol % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'HIGH' ELSE 'Medium' END AS value")
+    mapping = s.createDataFrame([("Shade", "shade", "Shade", None)], "field string, key string, mode string, statistic string")
+    tolerance = s.createDataFrame([("click", "Low (tolerance)")], "code string, label string")
+    return facts.shade_score(facts.shade_observations(ours, theirs, mapping, tolerance))
+
+
 @query("attribute_facts", """SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS symbol, CAST(l_quantity AS DOUBLE) AS number FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 WHERE l_returnflag <> 'R'""")
 def _(s, d):
     f = table(s, d, "lineitem").selectExpr("l_orderkey AS occurrence_id", "l_orderkey", "l_linenumber", "l_partkey", f"CASE WHEN l_returnflag = 'R' THEN '{next(iter(T.DISTRIBUTION_KINDS))}' ELSE 'q' END AS type_uri", "CAST(l_quantity AS STRING) AS value_raw", "CAST(NULL AS STRING) AS remark_sha")
