@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import INFRASPECIFIC, rank_bucket, stub_flags
+from quernstone.functions.text import INFRASPECIFIC, is_taxon_id, rank_bucket, stub_flags
+from quernstone.operators.resolve import reference_counts, resolve_references
 from quernstone.operators.validate import count_with_examples
 
 
@@ -124,4 +125,72 @@ def link_report(links: DataFrame, limit: int = 20) -> DataFrame:
     return count_with_examples(links, ["status", "method"], F.col("symbol"), limit)
 
 
+def multi_value_count(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """(keys): how many keys have several values; ``multi_value_keys`` shows the first of them."""
+    many = pairs.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v")).distinct().groupBy("k").agg(F.count("*").alias("n"))
+    return many.agg(F.count_if(F.col("n") > 1).alias("keys"))
+
+
+def malformed_ids(links: DataFrame, well_formed: Column | None = None, raw: str = "taxon_id_raw", limit: int = 20) -> DataFrame:
+    """(malformed, examples): links with a malformed id, and the first distinct ones."""
+    ok = is_taxon_id(F.col(raw)) if well_formed is None else well_formed
+    bad = links.where(~ok).select(F.col(raw).cast("string").alias("e"))
+    first = bad.distinct().orderBy("e").limit(limit).agg(F.array_join(F.array_sort(F.collect_list("e")), "|").alias("examples"))
+    return bad.agg(F.count("*").alias("malformed")).crossJoin(first)
+
+
+def counts_of_current(items: DataFrame, rows: DataFrame, col: str, key: str = "qid") -> DataFrame:
+    """(col, n) over the rows of current items: names by language, external ids by property."""
+    current = items.where("is_current").select(key).distinct()
+    return rows.join(current, key, "left_semi").groupBy(col).agg(F.count("*").alias("n"))
+
+
+def language_counts(items: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
+    """(language, n): the languages with most names of current items."""
+    return counts_of_current(items, names, "language").orderBy(F.desc("n"), "language").limit(limit)
+
+
+def unknown_types(facts: DataFrame, types: DataFrame) -> DataFrame:
+    """(type_uri, n) of facts whose type no trait type has."""
+    return facts.join(types.select("type_uri"), "type_uri", "left_anti").groupBy("type_uri").agg(F.count("*").alias("n"))
+
+
+def unlabelled_places(distribution: DataFrame, places: DataFrame) -> DataFrame:
+    """(scheme, place_id, n) of places without a label; literals need none."""
+    rows = distribution.where("scheme <> 'literal'").join(places.select("scheme", "place_id"), ["scheme", "place_id"], "left_anti")
+    return rows.groupBy("scheme", "place_id").agg(F.count("*").alias("n"))
+
+
+def fact_summary(taxa: DataFrame, facts: DataFrame, types: DataFrame, distribution: DataFrame) -> DataFrame:
+    """(metric, value, n): taxa by rank, status and whether current; facts by trait; distribution by kind and scheme."""
+
+    def by(df, metric, value):
+        return df.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "value", "n")
+
+    current = taxa.where("is_current")
+    out = by(current, "rank", F.coalesce("rank", F.lit("(none)")))
+    out = out.unionByName(by(current, "status", F.coalesce("status", F.lit("(none)"))))
+    out = out.unionByName(by(taxa, "taxa", F.when(F.col("is_current"), "current").otherwise("retired")))
+    known = types.select("type_uri", F.col("key").alias("__key"))
+    out = out.unionByName(by(facts.join(known, "type_uri", "left"), "trait", F.coalesce("__key", "type_uri")))
+    return out.unionByName(by(distribution, "kind", F.col("kind"))).unionByName(by(distribution, "scheme", F.col("scheme")))
+
+
+def link_totals(links: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(status, method, n, to_synonym, with_accepted) of symbol links."""
+    t = taxa.select(F.col("taxon_id").alias("__t"), F.col("status").alias("__status"))
+    rows = links.join(t, F.col("taxon") == F.col("__t"), "left")
+    return rows.groupBy("status", "method").agg(F.count("*").alias("n"), F.count_if(F.col("__status") == "Synonym").alias("to_synonym"), F.count("accepted").alias("with_accepted"))
+
+
+def snapshot_relations(taxa: DataFrame, refs: list[str], key: str = "taxon_id") -> DataFrame:
+    """(reference, resolved, unresolved) of each relation of current taxa."""
+    return reference_counts(resolve_references(taxa, refs, key).where("is_current"), refs)
+
+
+def snapshot_groups(taxa: DataFrame, cols: list[str]) -> DataFrame:
+    """(field, value, n) of current taxa."""
+    return group_counts(taxa.where("is_current"), cols)
+
+
 __all__ = ["INFRASPECIFIC"]

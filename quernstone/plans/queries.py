@@ -363,6 +363,22 @@ def _(s, d):
     return profile.multi_value_keys(table(s, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
+@query("multi_value_count", "SELECT count(*) AS keys FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1)")
+def _(s, d):
+    return profile.multi_value_count(table(s, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("snapshot_relations", B.sql("""SELECT 'accepted_id' AS reference, count(a.taxon_id) AS resolved, count(t.accepted_id) - count(a.taxon_id) AS unresolved FROM taxa t LEFT JOIN taxa a ON a.is_current AND a.taxon_id = t.accepted_id WHERE t.is_current
+UNION ALL SELECT 'parent_id', count(a.taxon_id), count(t.parent_id) - count(a.taxon_id) FROM taxa t LEFT JOIN taxa a ON a.is_current AND a.taxon_id = t.parent_id WHERE t.is_current""", "taxa"))
+def _(s, d):
+    return profile.snapshot_relations(B.taxa(s, d), ["accepted_id", "parent_id"])
+
+
+@query("language_counts", B.sql("SELECT language, count(*) AS n FROM names JOIN taxa ON taxon_id = qid WHERE is_current GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "names", "taxa"))
+def _(s, d):
+    return profile.language_counts(B.taxa(s, d).selectExpr("taxon_id AS qid", "is_current"), B.names(s, d))
+
+
 @query("item_summary", B.sql("""SELECT count(*) AS current, count(CASE WHEN taxon_id % 2 = 0 THEN 1 END) AS fetched, count(name) AS titled, count(CASE WHEN taxon_id % 5 = 0 THEN 1 END) AS pictured, count(CASE WHEN taxon_id % 3 < 2 THEN 1 END) AS english FROM taxa WHERE is_current""", "taxa"))
 def _(s, d):
     items = B.taxa(s, d).selectExpr("taxon_id AS qid", "is_current", "CASE WHEN taxon_id % 2 = 0 THEN 1 END AS last_rev_id", "name AS title", "CASE WHEN taxon_id % 5 = 0 THEN 1 END AS image")
