@@ -29,7 +29,7 @@ OVERSAMPLE = 16
 CHUNK = 512  # features whose partial sums travel together
 ITEMS = 256  # benchmark items of one latent space
 SPACES = 4  # latent spaces that one pass over the documents searches
-COSINE = 0.15
+COSINE = 0.1
 LCS = 0.8  # share of the item's words found in order: a copy
 PARAPHRASE = 0.6  # with this share, the answer decides
 ANSWER = 0.8
