@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,17 +27,29 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """This application's own folder in the shared one named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a notebook) a local folder is made and set.
+    A cluster must name one. Only where driver and tasks are one process (tests, a notebook) and the setting is
+    missing, a local folder is made.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not path:
-        app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
         path = _LOCAL[app]
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/quernstone-{app}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application.
+
+    To be called once every result that is needed has been written: DataFrames returned before still read them.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage at a table all executors can read, so a lost executor never loses it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quernstone-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
