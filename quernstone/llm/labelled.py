@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -41,19 +40,18 @@ def sample(labels: DataFrame, label_col: str, held_out: Column, limit: int, id_c
     return smallest(rows.groupBy("id").agg(F.min("label").alias("label")), limit, 7)
 
 
-def features(docs: DataFrame, chosen: DataFrame, fn: Callable, fields: list, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """Features of the sampled rows' whole texts, made in the tasks, and their labels.
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text) of the sampled rows; of the texts of a repeated id the first in binary order stands.
 
-    ``chosen`` has at most as many rows as the sample's limit, so it is broadcast; rows come ordered by id.
+    ``chosen`` has at most as many rows as the sample's limit, so it is broadcast.
     """
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return appended(few.dropDuplicates(["id"]), fn, fields, "text").drop("text").toArrow().sort_by("id")
+    return few.groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
-def released() -> None:
-    """Give memory of dropped samples back: the driver has other work to do."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+def features(docs: DataFrame, chosen: DataFrame, fn: Callable, fields: list, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
+    """Features of the sampled rows' whole texts, made in the tasks, and their labels; ordered by id."""
+    return appended(texts_of(docs, chosen, id_col, text_col), fn, fields, "text").drop("text").toArrow().sort_by("id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import components
-from quernstone.llm.textarrays import Runs, Words, blocks, free_name, mix
+from quernstone.llm.textarrays import Words, blocks, digest, free_name, mix, runs
 from quernstone.session import written
 
 BANDS = 40
@@ -45,13 +45,15 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     words = Words(buf, offs)
     h = words.hashes(fold_case=True)
     n = words.counts()
-    per_row = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
-    row = np.repeat(np.arange(len(n)), per_row)
-    begin = np.cumsum(per_row) - per_row
-    at = np.arange(len(row)) - begin[row] + words.first[:-1][row]
-    s = Runs(h)(at, np.minimum(at + size, words.first[1:][row]))
+    row = words.rows()
+    at = np.flatnonzero(row[: len(h) - size + 1] == row[size - 1 :]) if len(h) >= size else np.zeros(0, np.int64)
+    s, row = runs(h, size)[at], row[at]
+    few = np.flatnonzero((n > 0) & (n < size))
+    if len(few):
+        whole = [runs(h[words.first[r] : words.first[r + 1]], int(n[r]))[0] for r in few]
+        s, row = np.append(s, np.array(whole, np.uint64)), np.append(row, few)
     order = np.lexsort((s, row))
-    s = s[order]
+    s, row = s[order], row[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
     return s[new], np.searchsorted(row[new], np.arange(len(n) + 1))
@@ -74,7 +76,10 @@ def signatures(s: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, set1, set2, signature); rows without shingles have n = 0 and no signature."""
+    """(doc_id, n, set1, set2, signature); rows without shingles have n = 0 and no signature.
+
+    (set1, set2) is the digest of all shingles in order, so equal ones are equal sets.
+    """
 
     def run(batches):
         for batch in batches:
@@ -82,14 +87,12 @@ def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             for lo, hi, buf, offs in blocks(batch.column(1)):
                 s, first = shingles(buf, offs, size)
                 n = np.diff(first)
-                one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 has = n > 0
-                if has.any():
-                    one[has] = np.add.reduceat(mix(s + np.uint64(1)), first[:-1][has])
-                    two[has] = np.add.reduceat(mix(s + np.uint64(2)), first[:-1][has])
+                raw = memoryview(s).cast("B")
+                sets = np.frombuffer(b"".join([digest(raw[8 * a : 8 * b]) for a, b in zip(first[:-1], first[1:], strict=True)]), "<i8").reshape(-1, 2)
                 sig = np.full(hi - lo, None, object)
                 sig[has] = [x.tobytes() for x in signatures(s, first)]
-                parts.append(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n", "set1", "set2", "signature"]))
+                parts.append(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "set1", "set2", "signature"]))
             yield from parts
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, set1 long, set2 long, signature binary")
@@ -255,7 +258,7 @@ def prefix_pairs(labels: DataFrame, texts: DataFrame, size: int, percent: int) -
     leaves at least o - 1 after it in both sets, and o >= p / (100 + p) * (n + m). So the larger set is looked up with
     its first n - p n / 100 + 1 shingles among the first n - 2 p n / (100 + p) + 1 of smaller ones. Shingles of a
     single document match nothing and only take places. Each pair has a member outside the label that is most frequent
-    at the shingle; pairs within that label are not made.
+    at the shingle; pairs within that label are not made. A shingle that many documents hold is split by their sizes.
     """
     rows = exploded(texts.join(labels, "doc_id").dropDuplicates(["doc_id"]), size)
     common = written(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
@@ -267,11 +270,15 @@ def prefix_pairs(labels: DataFrame, texts: DataFrame, size: int, percent: int) -
     per = prefix.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
     per = written(per.where("labels > 1").select("s", F.col("top.label").alias("top")), "top")
     prefix = written(prefix.join(per, "s").withColumn("minor", F.col("label") != F.col("top")).drop("top"), "prefix")
+    # sizes of a pair differ by a factor of 100 / percent at most, so pairs meet within a class of sizes and the next
+    step = float(np.log(100 / percent)) if percent < 100 else 1.0
+    size_class = F.floor(F.log(F.col("n")) / step + 1e-9).cast("int")
     y = prefix.where(F.expr(f"i <= n - ceil({2 * percent} * n / {100 + percent})"))
-    y = y.select("s", F.col("doc_id").alias("yd"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("minor").alias("ym"))
+    y = y.select("s", size_class.alias("sizes"), F.col("doc_id").alias("yd"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("minor").alias("ym"))
+    larger = prefix.withColumn("sizes", F.explode(F.array(size_class, size_class - 1)))
     fits = F.expr(f"label <> yl and (yn < n or yn = n and yd < doc_id) and 100 * yn >= {percent} * n and least(n - i, yn - yi) * {100 + percent} >= {percent} * (n + yn)")
-    one = prefix.where("minor").join(y, "s").where(fits)
-    two = prefix.where("not minor").join(y.where("ym"), "s").where(fits)
+    one = larger.where("minor").join(y, ["s", "sizes"]).where(fits)
+    two = larger.where("not minor").join(y.where("ym"), ["s", "sizes"]).where(fits)
     both = one.union(two)
     return both.select(F.least("doc_id", "yd").alias("a"), F.greatest("doc_id", "yd").alias("b")).distinct()
 

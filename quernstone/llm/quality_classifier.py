@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.labelled import features, fold, platt, released, sample, sigmoid
-from quernstone.llm.textarrays import Words, appended, characters, gram_ids, sums, word_ids
+from quernstone.llm.labelled import features, fold, platt, sample, sigmoid
+from quernstone.llm.textarrays import Words, appended, characters, gram_ids, released, sums, word_ids
 
 BITS = 16
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 4000
 DIM = 10
 EPOCHS = 10
 RATE = 0.4
@@ -52,29 +52,29 @@ def bag(buf: np.ndarray, offs: np.ndarray) -> list:
         all_ids = np.concatenate([i[f[r] : f[r + 1]] for i, f in kinds])
         u, c = np.unique(all_ids[all_ids < 1 << BITS], return_counts=True)
         ids.append(u.astype(np.uint16).tobytes())
-        shares.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
+        shares.append((c / max(c.sum(), 1)).astype(np.float16).tobytes())
     return [ids, shares]
 
 
-BAG = [("ids", T.BinaryType()), ("shares", T.BinaryType())]  # uint16, as BITS is 16, and float32
+BAG = [("ids", T.BinaryType()), ("shares", T.BinaryType())]  # uint16, as BITS is 16, and float16
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``limit`` labelled documents outside ``held_out``; every fifth of them only calibrates.
 
-    With no labelled row at all each document scores 0.5.
+    Labels above 0 count as 1. With no labelled row at all each document scores 0.5.
     """
     rows = features(docs, sample(labels, label_col, held_out, limit), bag, BAG)
-    y = rows["label"].to_numpy().astype(np.int64)
+    y = (rows["label"].to_numpy() > 0).astype(np.int64)
     if len(y) == 0:
         return Model(np.zeros((1 << BITS) + 1, np.float32), 0.0, 1.0, 0.0)
     ids = [np.frombuffer(v.as_buffer(), np.uint16) for v in rows["ids"]]
-    weights = [np.frombuffer(v.as_buffer(), np.float32) for v in rows["shares"]]
+    weights = [np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for v in rows["shares"]]
     del rows
     rng = np.random.default_rng(SEED)
     vectors = (rng.random(((1 << BITS), DIM), np.float32) - 0.5) / DIM
     out = (rng.random((DIM, 2), np.float32) - 0.5) / DIM
-    bias = np.log(np.bincount(np.minimum(y, 1), minlength=2) + 1.0).astype(np.float32)
+    bias = np.log(np.bincount(y, minlength=2) + 1.0).astype(np.float32)
     train = np.flatnonzero(np.arange(len(y)) % 5 != 0) if len(y) >= 50 else np.arange(len(y))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     rest = np.setdiff1d(np.arange(len(y)), train) if len(y) >= 50 else train
     z = np.array([number[ids[i]] @ weights[i] if len(ids[i]) else 0.0 for i in rest])
     slope, shift = platt(z, y[rest])
-    del ids, weights
+    del ids, weights, vectors
     released()
     return Model(number, float(bias[1] - bias[0]), slope, shift)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm.labelled import features, logistic, platt, sample, sigmoid
-from quernstone.llm.textarrays import Runs, Words, appended, characters, gram_ids, mix, sums, word_ids
+from quernstone.llm.textarrays import Words, appended, byte_hashes, characters, gram_ids, mix, runs, sums, word_ids
 
 BITS = 12
 GRAMS = (2, 3, 4)
@@ -96,7 +96,7 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         line, owner = line[new], row[new]
         begins = np.maximum(np.where(line > 0, breaks[line - 1] + 1, 0) if len(breaks) else 0, offs[owner])
         ends = np.minimum(np.append(breaks, len(buf))[line], offs[owner + 1])
-        key = mix(Runs(buf.astype(np.uint64))(begins, ends) + mix(owner.astype(np.uint64)))
+        key = mix(byte_hashes(buf, begins, ends) + mix(owner.astype(np.uint64)))
         order = np.argsort(key, kind="stable")
         again = order[1:][key[order[1:]] == key[order[:-1]]]
         dup = np.bincount(owner[again], minlength=n)
@@ -107,8 +107,7 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         h = words.hashes()
         at = np.flatnonzero(row[:-2] == row[2:])
         if len(at):
-            w = Runs(h)(at, at + 3)
-            key = mix(w + mix(row[at].astype(np.uint64)))
+            key = mix(runs(h, 3)[at] + mix(row[at].astype(np.uint64)))
             order = np.argsort(key, kind="stable")
             k = key[order]
             twice = np.zeros(len(k), bool)

@@ -5,22 +5,27 @@ belongs to the position of the smallest hash among its ``GRAM``-word runs (its a
 one anchor form a block. Equal windows have equal anchors wherever they stand, so the index needs to compare only
 blocks with the same anchor.
 
-Parsing a document means covering it greedily with the longest factors that an earlier document holds:
+Parsing a document covers it greedily with factors (reference document, offset there, length):
 
-* a block whose whole word sequence occurs in a document with a smaller id is matched at once, and runs of matched
-  blocks grow into one factor;
-* where a factor ends, at blocks that differ from every earlier one although their anchor is shared, the windows
-  that reach over the boundary are looked up one by one.
+* the index gives, for each stride (a run of blocks that the content delimits), else for each block, the earliest
+  document that holds all its words, and where;
+* from left to right a factor starts at the first such match and is extended match by match while the same reference
+  goes on at the same distance;
+* at factor boundaries, that is in blocks that differ from every earlier one although their anchor is shared, each
+  window that reaches over the boundary is looked up by itself and may lengthen a factor or form one.
 
-So a window is a duplicate exactly if its words also start in a document with a smaller id. The work is linear:
-a block is one row, a window becomes a row only in the first document with a block whose anchor has several
-different blocks, and no pairs of documents are made. Hot passages meet in partial aggregates, and the joins that
-bring verdicts back have one side with one row a key, which adaptive execution can split.
+So a window is a duplicate exactly if its words also start in a document with a smaller id. Blocks and windows are
+compared by BLAKE2b digests of their words, which stand for the words themselves; hashes only find anchors.
+
+The work is linear: a block is one row, a window becomes a row only in the first document with a block whose anchor
+has several different blocks, and no pairs of documents are made. Hot passages meet in partial aggregates, and the
+joins that bring verdicts back have one side with one row a key, which adaptive execution can split.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.textarrays import Runs, Words, blocks, free_name
+from quernstone.llm.textarrays import IS_SEP, Words, blocks, digest, free_name, runs
 from quernstone.session import written
 
 WINDOW = 50
 GRAM = 8
-_PLACE = np.uint64((1 << 26) - 1)  # words of one text: 67 million at most
+STRIDE = 3  # blocks of a stride, on average
+SEGMENT = 1 << 22  # words of one text that are cut into blocks at once
+_PLACE = np.uint64((1 << 24) - 1)  # places in a segment and the words after it
 
 
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window start, the position of its anchor; and the gram hash of each position."""
-    gram = Runs(h)(np.arange(len(h) - GRAM + 1), np.arange(GRAM, len(h) + 1))
-    if len(gram) > int(_PLACE):
-        raise ValueError("a text of more than 67 million words")
+    gram = runs(h, GRAM)
     low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     width, span = window - GRAM + 1, 1
     while span * 2 <= width:
@@ -51,42 +56,122 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return (low & _PLACE).astype(np.int64), gram
 
 
-def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, b1, b2, doc_id, start, n): the blocks of all texts of at least ``window`` words.
+class Digests:
+    """Digests of runs of words, joined by one space each."""
+
+    def __init__(self, words: Words):
+        buf = words.buf
+        keep = ~IS_SEP[buf]
+        spaced = np.where(keep, buf, 32).astype(np.uint8)
+        keep[words.ends[words.ends < len(buf)]] = True
+        before = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(keep, out=before[1:])
+        self.raw = spaced[keep].tobytes()
+        self.starts, self.ends = before[words.starts], before[words.ends]
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The two halves of the digest of words lo:hi of each run."""
+        raw = self.raw
+        each = [digest(raw[a:b]) for a, b in zip(self.starts[lo].tolist(), self.ends[hi - 1].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
+        return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
+def cut(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, first word, number of windows, row) of the blocks of all rows, a segment at a time.
 
-    ``start`` is the word at which the block's first window starts, ``n`` its number of windows, (b1, b2) a 128-bit
-    hash of all its words.
+    A block that a segment's end cuts in two differs from its copies elsewhere, as at any factor boundary.
     """
+    h, row = words.hashes(), words.rows()
+    for at in range(0, len(h) - window + 1, SEGMENT):
+        part, own = h[at : at + SEGMENT + window - 1], row[at : at + SEGMENT + window - 1]
+        place, gram = anchors(part, window)
+        valid = own[: len(place)] == own[window - 1 :]
+        new = valid.copy()
+        new[1:] &= (place[1:] != place[:-1]) | ~valid[:-1]
+        begin = np.flatnonzero(new)
+        if len(begin):
+            yield gram[place[begin]].view(np.int64), begin + at, np.add.reduceat(valid.astype(np.int64), begin), own[begin]
+
+
+def strides(anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The place of the first block of each block's stride; a stride begins where the content says so."""
+    new = anchor % STRIDE == 0
+    new[:1] = True
+    new[1:] |= owner[1:] != owner[:-1]
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): ``key`` tells rows apart that repeat an id with different texts."""
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+BLOCK = "d1 long, d2 long, doc_id long, key long, start int, n int"
+
+
+def reference_strides(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(d1, d2, doc_id, key, start, n): the strides of all texts, runs of blocks that are compared as a whole first."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(1)):
+            for lo, _, buf, offs in blocks(batch.column(2)):
                 words = Words(buf, offs)
                 if len(words) < window:
                     continue
-                h, row = words.hashes(), words.rows()
-                at, gram = anchors(h, window)
-                valid = row[: len(at)] == row[window - 1 :][: len(at)]
-                new = valid.copy()
-                new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
-                begin = np.flatnonzero(new)
-                if not len(begin):
+                digests = Digests(words)
+                for anchor, begin, n, owner in cut(words, window):
+                    first = np.unique(strides(anchor, owner))
+                    windows = np.add.reduceat(n, first)
+                    d1, d2 = digests(begin[first], begin[first] + windows - 1 + window)
+                    at = pa.array(owner[first] + lo)
+                    start = pa.array((begin[first] - words.first[owner[first]]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([d1, d2, batch.column(0).take(at), batch.column(1).take(at), start, pa.array(windows.astype(np.int32))], names=["d1", "d2", "doc_id", "key", "start", "n"])
+
+    return keyed(docs).mapInArrow(run, BLOCK)
+
+
+def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, doc_id) of the blocks of all texts of at least ``window`` words."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, buf, offs in blocks(batch.column(1)):
+                for anchor, _, _, owner in cut(Words(buf, offs), window):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(owner + lo))], names=["anchor", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+
+
+def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, d1, d2, doc_id, key, start, n, stride): the blocks of all texts of at least ``window`` words.
+
+    ``start`` is the word at which the block's first window starts, ``n`` its number of windows, (d1, d2) the digest
+    of all its words, ``stride`` the start of its stride.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, buf, offs in blocks(batch.column(2)):
+                words = Words(buf, offs)
+                if len(words) < window:
                     continue
-                n = np.add.reduceat(valid.astype(np.int64), begin)
-                end = begin + n - 1 + window
-                b1, b2 = Runs(h, 0)(begin, end), Runs(h, 1)(begin, end)
-                owner = row[begin]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[at[begin]].view(np.int64)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), batch.column(0).take(pa.array(owner + lo)), pa.array((begin - words.first[owner]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "b1", "b2", "doc_id", "start", "n"],
-                )
+                digests = Digests(words)
+                for anchor, begin, n, owner in cut(words, window):
+                    d1, d2 = digests(begin, begin + n - 1 + window)
+                    at = pa.array(owner + lo)
+                    start = (begin - words.first[owner]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), d1, d2, batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(n.astype(np.int32)), pa.array(start[strides(anchor, owner)])],
+                        names=["anchor", "d1", "d2", "doc_id", "key", "start", "n", "stride"],
+                    )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, b1 long, b2 long, doc_id long, start int, n int")
+    return keyed(docs).mapInArrow(run, f"anchor long, {BLOCK}, stride int")
 
 
 def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc_id, start): the windows of the ``wanted`` blocks (doc_id, start, n), with 128-bit hashes."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+    """(d1, d2, doc_id, key, start): the windows of the ``wanted`` blocks (doc_id, key, start, n), with their digests."""
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -97,46 +182,94 @@ def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFra
                 flat = part.flatten()
                 start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
                 begin = np.repeat(words.first[:-1][owner] + start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                h = words.hashes()
                 owner = np.repeat(owner, n)
+                at = pa.array(owner + lo)
+                d1, d2 = Digests(words)(begin, begin + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(Runs(h, 0)(begin, begin + window).view(np.int64)), pa.array(Runs(h, 1)(begin, begin + window).view(np.int64)), batch.column("doc_id").take(pa.array(owner + lo)), pa.array((begin - words.first[owner]).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "start"],
+                    [d1, d2, batch.column("doc_id").take(at), batch.column("key").take(at), pa.array((begin - words.first[owner]).astype(np.int32))],
+                    names=["d1", "d2", "doc_id", "key", "start"],
                 )
 
-    return docs.select("doc_id", "text").join(lists, "doc_id").mapInArrow(run, "w1 long, w2 long, doc_id long, start int")
+    return keyed(docs).join(lists, ["doc_id", "key"]).mapInArrow(run, "d1 long, d2 long, doc_id long, key long, start int")
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end): word spans of which every window also starts in a document with a smaller id.
+def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, key, start, end, ref, ref_start): word spans that the document with the smaller id ``ref`` also holds.
 
-    ``docs`` has doc_id and text; rows with a null of either, and texts shorter than the window, have no spans.
-    Rows that repeat an id are taken as one document.
+    They are the blocks and windows of which factors are made. ``docs`` has doc_id and text; rows with a null of
+    either, and texts shorter than the window, have none. Rows that repeat an id with the same text are one document;
+    with different texts each is a document of its own, and none of them is earlier than another.
     """
     docs = docs.where("doc_id is not null and text is not null")
-    rows = reference_blocks(docs, window)
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    shared = written(shared, "shared")
-    index = written(rows.join(shared, "anchor"), "index")
-    key = ["anchor", "b1", "b2"]
-    first = written(index.groupBy(*key).agg(F.min("doc_id").alias("lo")), "first")
+    found = [F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi"), F.min_by("start", "doc_id").alias("ref_start")]
+    span = ["doc_id", "key", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"), "ref", "ref_start"]
+
+    long = reference_strides(docs, window)
+    long = long.join(written(long.groupBy("d1", "d2").agg(*found).where("ref < hi").drop("hi"), "strides"), ["d1", "d2"])
+    long = written(long.where("doc_id > ref").select(*span), "long")
+
+    shared = anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    index = written(reference_blocks(docs, window).join(written(shared, "shared"), "anchor"), "index")
+    # the earliest document of a stride keeps its blocks, so those of its copies are not needed
+    index = written(index.join(long.select("doc_id", "key", F.col("start").alias("stride")), ["doc_id", "key", "stride"], "left_anti"), "rest")
+    key = ["anchor", "d1", "d2"]
+    first = written(index.groupBy(*key).agg(*found).drop("hi"), "first")
     several = written(first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
-    own = index.join(written(first.join(several, "anchor"), "differing"), key).where("doc_id = lo").select("doc_id", "start", "n")
+    own = index.join(written(first.join(several, "anchor"), "differing"), key).where("doc_id = ref").select("doc_id", "key", "start", "n")
     windows = written(boundary_windows(docs, own, window), "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    earliest = written(earliest.select("w1", "w2", "lo"), "earliest")
-    whole = index.join(first, key).where("doc_id > lo").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
-    single = windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "start", (F.col("start") + window).alias("end"))
-    return whole.union(single)
+    earliest = written(windows.groupBy("d1", "d2").agg(*found).where("ref < hi").drop("hi"), "earliest")
+    whole = index.join(first, key).where("doc_id > ref").select(*span)
+    single = windows.withColumn("n", F.lit(1)).join(earliest, ["d1", "d2"]).where("doc_id > ref").select(*span)
+    return long.union(whole).union(single)
+
+
+def factors(starts: np.ndarray, ends: np.ndarray, refs: np.ndarray, ref_starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The greedy parse of one document: (start, end, reference document, start there) of each factor, in order.
+
+    A factor is extended while the next match overlaps or touches it and goes on in the same reference at the same
+    distance.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    for i in np.lexsort((ref_starts, refs, starts)).tolist():
+        start, end, ref, there = int(starts[i]), int(ends[i]), int(refs[i]), int(ref_starts[i])
+        if out and start <= out[-1][1] and ref == out[-1][2] and there - start == out[-1][3] - out[-1][0]:
+            out[-1] = (out[-1][0], max(out[-1][1], end), ref, out[-1][3])
+        else:
+            out.append((start, end, ref, there))
+    return out
+
+
+def united(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The word spans that factors cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for start, end, *_ in found:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, end, ref, ref_start): the factors of every document, of ``window`` words at least."""
+    lists = matches(docs, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end", "ref", "ref_start")).alias("matches"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, *f) for i, own in zip(batch.column("doc_id").to_pylist(), _parses(batch.column("matches")), strict=True) for f in own]
+            names = ["doc_id", "start", "end", "ref", "ref_start"]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return lists.mapInArrow(run, "doc_id long, start long, end long, ref long, ref_start long")
 
 
-def factors(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors: overlapping or touching spans as maximal ones, in order."""
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    new = np.r_[True, starts[1:] > ends[:-1]]
-    last = np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]
-    return starts[new], ends[last]
+def _parses(lists: pa.Array) -> Iterator[list[tuple[int, int, int, int]]]:
+    """The factors of each row of a column of matches."""
+    at, flat = lists.offsets.to_numpy(), lists.values
+    columns = [flat.field(n).to_numpy() for n in ("start", "end", "ref", "ref_start")]
+    for r, has in enumerate(lists.is_valid().to_numpy(zero_copy_only=False)):
+        yield factors(*[c[at[r] : at[r + 1]] for c in columns]) if has else []
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -144,32 +277,29 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool =
 
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one space). With ``with_text`` the column
     text loses the removed words and the white space after each; a text that loses nothing stays as it was. Other
-    columns are kept, except those that bear a new column's name. A null text has no words and stays null.
+    columns are kept, except those that bear a new column's name. A null text has no words and stays null. All words
+    of a text, whatever their number, come to the one task that holds the text.
     """
     new = ["n_words", "n_removed", "kept_sha256"]
     kept = [c for c in docs.columns if c.lower() not in new and (with_text or c.lower() != "text")]
-    spans = duplicate_spans(docs.select("doc_id", "text"), window)
-    at_id, at_spans = free_name("__id", docs.columns), free_name("__spans", docs.columns)
-    spans = spans.groupBy(F.col("doc_id").alias(at_id)).agg(F.collect_list(F.struct("start", "end")).alias(at_spans))
+    found = matches(docs.select("doc_id", "text"), window)
+    at_id, at_key, at_found = (free_name(n, docs.columns) for n in ("__id", "__key", "__found"))
+    found = found.groupBy(F.col("doc_id").alias(at_id), F.col("key").alias(at_key)).agg(F.collect_set(F.struct("start", "end", "ref", "ref_start")).alias(at_found))
     source = docs.select(*[docs[f"`{c}`"] for c in kept], *([] if with_text else ["text"]))
-    source = source.join(spans, source.doc_id == spans[at_id], "left").drop(at_id)
+    source = source.join(found, (source.doc_id == found[at_id]) & (F.xxhash64(source.text) == found[at_key]), "left").drop(at_id, at_key)
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column(at_spans)
-            at, flat = spans.offsets.to_numpy(), spans.values
-            starts, ends = flat.field("start").to_numpy(), flat.field("end").to_numpy()
-            has = spans.is_valid().to_numpy(zero_copy_only=False)
+            texts = batch.column("text")
             columns = ([], [], [], [])
-            for r, text in enumerate(texts.cast(pa.binary())):
+            for text, own in zip(texts.cast(pa.binary()), _parses(batch.column(at_found)), strict=True):
                 raw = text.as_py()
                 words = (raw or b"").split()  # on the six separators
                 n = len(words)
-                if has[r] and at[r] < at[r + 1]:
-                    lo, hi = factors(starts[at[r] : at[r + 1]], ends[at[r] : at[r + 1]])
-                    edge = np.r_[0, np.stack([lo, hi], 1).ravel(), n].reshape(-1, 2)
+                if own:
+                    edge = np.array([0, *[e for span in united(own) for e in span], n]).reshape(-1, 2)
                     words = [w for i, j in edge for w in words[i:j]]
                     if with_text:
                         offs = np.array([0, len(raw)])

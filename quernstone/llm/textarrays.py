@@ -6,6 +6,8 @@ whole rows, and a row longer than the block limit is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,15 +20,19 @@ BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 2048
 
 # Word separators of the contracts: space and U+0009 to U+000D.
-_IS_SEP = np.zeros(256, bool)
-_IS_SEP[[0x20, 9, 10, 11, 12, 13]] = True
+IS_SEP = np.zeros(256, bool)
+IS_SEP[[0x20, 9, 10, 11, 12, 13]] = True
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_IS_SEP] = 0
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 512  # bytes from which a run of bytes is hashed by BLAKE2b
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # where the C library has it
+except (OSError, AttributeError):
+    _TRIM = None
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,7 +49,9 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if len(column) == 0:
         return
     _, raw, data = column.buffers()
@@ -57,13 +65,20 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lo = hi
 
 
+def released() -> None:
+    """Gives freed memory back to the machine: Python workers serve one stage after another beside a JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a block: byte ``starts`` and ``ends``; row r has words first[r]:first[r+1]."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         self.buf, self.offs = buf, offs
         n = len(buf)
-        sep = _IS_SEP[buf]
+        sep = IS_SEP[buf]
         edge = np.empty(n + 1, bool)
         edge[0] = True
         edge[1:] = sep
@@ -86,40 +101,65 @@ class Words:
 
     def hashes(self, fold_case: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes; ``fold_case`` makes A-Z equal to a-z."""
-        of = _BYTE_FOLDED if fold_case else _BYTE
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):  # in bounded pieces: the byte-wise arrays are eight times the text
-            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + (1 << 20))))
-            lo, hi = self.starts[i], self.ends[j - 1]
-            at = self.starts[i:j] - lo
-            place = np.arange(hi - lo) - np.repeat(at, np.diff(at, append=hi - lo))
-            terms = of[self.buf[lo:hi]] * _POWERS[place & 4095]
-            out[i:j] = np.add.reduceat(terms, at)
-            i = j
-        return mix(out)
-
-
-_Q = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
-_Q_INV = tuple(np.uint64(pow(int(q), -1, 1 << 64)) for q in _Q)
-
-
-class Runs:
-    """Hashes of runs of consecutive items (words): one prefix sum, then any run in constant time."""
-
-    def __init__(self, items: np.ndarray, which: int = 0):
-        n = len(items)
-        self.up = np.empty(n + 1, np.uint64)
-        self.up[0] = 1
-        self.up[1:] = np.cumprod(np.full(n, _Q[which], np.uint64))
-        self.down = np.empty(n + 1, np.uint64)
-        self.down[0] = 1
-        self.down[1:] = np.cumprod(np.full(n, _Q_INV[which], np.uint64))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(items + np.uint64(which)) * self.up[:-1], out=self.sums[1:])
-
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
+        return byte_hashes(folded(self.buf) if fold_case else self.buf, self.starts, self.ends)
+
+
+def folded(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _FOLD[buf]
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; those past the end are zero."""
+    return np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))
+
+
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes buf[starts:ends].
+
+    Eight bytes a step go through a finaliser together with the hash so far, so two runs of one length that differ in a
+    single step never meet, and nothing cancels however a run repeats. Runs of LONG bytes take BLAKE2b instead.
+    """
+    view, n = eights(buf), ends - starts
+    out = mix(n.astype(np.uint64) + np.uint64(1))
+    at = np.arange(len(n))
+    long = n >= LONG
+    if long.any():
+        for i in np.flatnonzero(long):
+            out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        at = np.flatnonzero(~long)
+    done = 0
+    while len(at):
+        left = n[at] - done
+        out[at] = mix(out[at] ^ (view[starts[at] + done] & LOW_BYTES[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    return out
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` consecutive items of ``h``: of pairs, of pairs of pairs and so on."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    out, have, whole, power = None, 0, h, 1
+    while True:
+        if size & power:
+            if out is None:
+                out, have = whole, power
+            else:
+                n = len(h) - have - power + 1
+                out, have = mix(out[:n] * _STEP + whole[have : have + n]), have + power
+        if have == size:
+            return mix(out + np.uint64(size))
+        whole = mix(whole[:-power] * _STEP + whole[power:])
+        power *= 2
+
+
+def digest(raw: bytes) -> bytes:
+    """16 bytes that stand for ``raw``; no two different ones are known to share them."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
