@@ -50,7 +50,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
                 row = np.repeat(np.arange(hi - lo), parts)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
                 length = np.minimum(n[row] - start, capacity)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids).cast("B")
                 at = (ends[:-1][row] + start) * 4
                 crc = [zlib.crc32(raw[a : a + k]) for a, k in zip(at.tolist(), (length * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -122,7 +122,8 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         lot = table.column("lot").to_numpy() << 32
         return table.drop_columns(["lot"]).append_column("sequence_id", pa.array(lot + window)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("long"))
+    # the row number parts rows that repeat; it is the same whenever a task reads its share of the written table again
+    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     return dealt.groupBy("lot").applyInArrow(pack, f"{fields}, sequence_id long, offset long")
 

@@ -63,6 +63,8 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         hi = min(max(hi, lo + 1), lo + BLOCK_ROWS, len(column))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    if offsets[-1] - offsets[0] > 2 * BLOCK_BYTES:
+        released()
 
 
 def released() -> None:
