@@ -28,7 +28,7 @@ RANK = 112
 OVERSAMPLE = 16
 CHUNK = 512  # features whose partial sums travel together
 ITEMS = 256  # benchmark items of one latent space
-SPACES = 4  # latent spaces that one pass over the documents searches
+SPACES = 16  # latent spaces that one pass over the documents searches
 COSINE = 0.1
 LCS = 0.8  # share of the item's words found in order: a copy
 PARAPHRASE = 0.6  # with this share, the answer decides
@@ -90,30 +90,33 @@ def passage_vectors(rows: np.ndarray, doc: np.ndarray, table: np.ndarray) -> np.
     return half
 
 
-def gram_times(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A' A X for the normalised TF-IDF matrix A of the passages: each task adds up its passages, chunks meet by key."""
-    rank = x.shape[1]
-    table = np.zeros((FEATURES + 1, rank), np.float32)
-    table[:-1] = x
-    shared = passages.sparkSession.sparkContext.broadcast((table, idf))
+def gram_times(passages: DataFrame, idf: np.ndarray, inside: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A' A X for the normalised TF-IDF matrix A of the passages: each task adds up its passages, chunks meet by key.
+
+    ``inside`` are the features that the passages have, in order; ``x`` has a row for each.
+    """
+    m, rank = x.shape
+    place = np.full(FEATURES + 1, m, np.int32)  # padding has the last row, which stays zero
+    place[inside] = np.arange(m)
+    shared = passages.sparkSession.sparkContext.broadcast((np.append(x, np.zeros((1, rank), np.float32), 0), np.append(idf[inside], 0), place))
 
     def run(batches):
-        t, weight = shared.value
-        total = np.zeros((FEATURES + 1, rank), np.float64)
+        t, w, to = shared.value
+        total = np.zeros((m + 1, rank), np.float64)
         for batch in batches:
             for _, _, buf, offs in blocks(batch.column(0)):
                 words = Words(buf, offs)
                 rows, doc = halves(words, features(words))
-                w = np.append(weight, 0)
+                rows = to[rows]
                 for lo in range(0, len(rows), 2048):
                     ids = rows[lo : lo + 2048]
-                    nxt = np.full_like(ids, FEATURES)
+                    nxt = np.full_like(ids, m)
                     part = rows[lo + 1 : lo + 1 + len(ids)]
-                    nxt[: len(part)] = np.where((doc[lo + 1 : lo + 1 + len(ids)] == doc[lo : lo + len(part)])[:, None], part, FEATURES)
+                    nxt[: len(part)] = np.where((doc[lo + 1 : lo + 1 + len(ids)] == doc[lo : lo + len(part)])[:, None], part, m)
                     both = np.sort(np.concatenate([ids, nxt], 1), 1)
-                    flat = (both + np.arange(len(both))[:, None] * (FEATURES + 1)).ravel()
+                    flat = (both + np.arange(len(both))[:, None] * (m + 1)).ravel()
                     cell, count = np.unique(flat, return_counts=True)
-                    at, f = cell // (FEATURES + 1), cell % (FEATURES + 1)
+                    at, f = cell // (m + 1), cell % (m + 1)
                     value = np.sqrt(count) * w[f]
                     norm = np.sqrt(np.bincount(at, value**2, len(both)))
                     value /= np.maximum(norm, 1e-12)[at]
@@ -121,16 +124,17 @@ def gram_times(passages: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarra
                     np.add.at(y, at, value[:, None] * t[f])
                     np.add.at(total, f, value[:, None] * y[at])
         for c in np.unique(np.flatnonzero(total[:-1].any(1)) // CHUNK).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total[c * CHUNK : (c + 1) * CHUNK].astype(np.float32).tobytes()])], names=["chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total[c * CHUNK : min((c + 1) * CHUNK, m)].astype(np.float32).tobytes()])], names=["chunk", "part"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(p.as_py(), np.float32).astype(np.float64) for p in table.column("part"))
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     parts = passages.select("text").mapInArrow(run, "chunk long, part binary").groupBy("chunk").applyInArrow(add, "chunk long, part binary")
-    out = np.zeros((FEATURES, rank), np.float32)
-    for r in parts.collect():  # always FEATURES x rank numbers
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.part, np.float32).reshape(CHUNK, rank)
+    out = np.zeros((m, rank), np.float32)
+    for r in parts.collect():  # a row a feature of the block's items
+        part = np.frombuffer(r.part, np.float32).reshape(-1, rank)
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
     shared.destroy()
     return out
 
@@ -152,22 +156,24 @@ def orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """A row a feature: its idf-weighted latent vector and its squared weight; the last row, for padding, is zero.
+def latent_space(items: DataFrame, idf: np.ndarray, inside: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The idf-weighted latent vector of each feature in ``inside``, those that the items have.
 
-    The randomised SVD of the items' passages takes two power iterations.
+    The randomised SVD of the items' passages takes two power iterations. A feature of no item has no part in them.
     """
     rng = np.random.default_rng(SEED)
-    q = orthonormal(rng.standard_normal((FEATURES, rank + OVERSAMPLE), np.float32))
+    q = orthonormal(rng.standard_normal((len(inside), rank + OVERSAMPLE), np.float32))
     for _ in range(2):
-        q = orthonormal(gram_times(items, idf, q))
-    small = q.T @ gram_times(items, idf, q)
+        q = orthonormal(gram_times(items, idf, inside, q))
+    small = q.T @ gram_times(items, idf, inside, q)
     _, vectors = np.linalg.eigh((small + small.T).astype(np.float64) / 2)
-    table = np.zeros((FEATURES + 1, rank + 1), np.float32)
-    table[:-1, :-1] = q @ vectors[:, ::-1][:, :rank].astype(np.float32)
-    table[:-1, :-1] *= idf.astype(np.float32)[:, None]
-    table[:-1, -1] = idf**2
-    return table
+    return q @ vectors[:, ::-1][:, :rank].astype(np.float32) * idf[inside].astype(np.float32)[:, None]
+
+
+def features_of(texts: list[str]) -> np.ndarray:
+    """The distinct features of all words of the texts."""
+    found = [features(Words(buf, offs)) for _, _, buf, offs in blocks(pa.array(texts, pa.string()))]
+    return np.unique(np.concatenate([np.zeros(0, np.int32), *found]))
 
 
 def words_of(text: str) -> list[str]:
@@ -200,30 +206,39 @@ def bits_of(words: list[str]) -> dict[str, int]:
 
 
 class Items:
-    """A block of benchmark items: their passages in the latent space and their words for the checks."""
+    """A block of benchmark items: their passages in the latent space and their words for the checks.
+
+    Features that no item has lie outside the space, so only those of the items keep a vector.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str], table: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[str], inside: np.ndarray, table: np.ndarray):
         self.ids = ids
         self.words = [words_of(t) for t in texts]
         self.bits = [bits_of(w) for w in self.words]
+        self.spare = [len(w) - len(b) for w, b in zip(self.words, self.bits, strict=True)]
         self.answers = [answer_of(w) for w in self.words]
         self.answer_bits = [bits_of(w) for w in self.answers]
+        self.place = np.zeros(FEATURES + 1, np.int32)
+        self.place[inside] = np.arange(1, len(inside) + 1)
+        self.table = np.concatenate([np.zeros((1, table.shape[1]), np.float32), table])
         vectors, owner = [], []
         for lo, _, buf, offs in blocks(pa.array(texts, pa.string())):
             words = Words(buf, offs)
             rows, doc = halves(words, features(words))
-            v = passage_vectors(rows, doc, table)
+            v = passage_vectors(self.place[rows], doc, self.table)
             last = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)
             alone = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else last
             keep = ~last | alone  # the last half is within the passage before it
             vectors.append(v[keep])
             owner.append(doc[keep] + lo)
         v = np.concatenate(vectors) if vectors else np.zeros((0, table.shape[1]), np.float32)
-        v = v[:, :-1]
-        self.table = table
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, int)
 
+    def may_hold(self, k: int, present: set[str]) -> bool:
+        """Whether a text with these words can have enough of the item's words, in whatever order."""
+        return self.spare[k] + len(self.bits[k].keys() & present) >= PARAPHRASE * len(self.words[k])
+
     def check(self, k: int, text: list[str]) -> tuple[float, float, bool]:
         """(share of the item's words in order, share of its answer's words in order, whether that is contamination)."""
         n = len(self.words[k])
@@ -243,14 +258,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     share = max(1, -(-items.count() // ITEMS))
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
+    squares = np.append(idf**2, 0).astype(np.float32)
     found = None
     for lo in range(0, share, SPACES):
         spaces = []
         for part in range(lo, min(lo + SPACES, share)):
             block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(share)) == part).coalesce(4)  # a few hundred rows
             rows = block.orderBy("item_id").collect()
-            spaces.append(Items([r.item_id for r in rows], [r.text for r in rows], latent_space(block, idf)))
-        shared = docs.sparkSession.sparkContext.broadcast(spaces)
+            texts = [r.text for r in rows]
+            inside = features_of(texts)
+            spaces.append(Items([r.item_id for r in rows], texts, inside, latent_space(block, idf, inside)))
+        shared = docs.sparkSession.sparkContext.broadcast((spaces, squares))
         hits = docs.select("doc_id", "text").mapInArrow(_search(shared), "doc_id long, item_id long, lcs double, answer double")
         found = hits if found is None else found.union(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
@@ -259,14 +277,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _search(shared):
     def run(batches):
         for batch in batches:
+            spaces, squares = shared.value
             out = []
             for lo, hi, buf, offs in blocks(batch.column(1)):
                 words = Words(buf, offs)
                 rows, doc = halves(words, features(words))
                 if len(rows):
                     first_half = np.searchsorted(doc, np.arange(hi - lo))
-                    for items in shared.value:
-                        out += [(lo + r, *found) for r, *found in _held(items, rows, doc, first_half, buf, offs)]
+                    own = squares[rows].sum(1)
+                    own[:-1] += np.where(doc[1:] == doc[:-1], own[1:], 0)
+                    for items in spaces:
+                        out += [(lo + r, *found) for r, *found in _held(items, rows, own, doc, first_half, buf, offs)]
             if out:
                 rows_, ids, lcs, answer = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), pa.array(ids, pa.int64()), pa.array(lcs, pa.float64()), pa.array(answer, pa.float64())], names=["doc_id", "item_id", "lcs", "answer"])
@@ -274,26 +295,43 @@ def _search(shared):
     return run
 
 
-def _held(items: Items, rows: np.ndarray, doc: np.ndarray, first_half: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> list[tuple]:
-    """(row, item id, share of words, share of the answer) of the items that the rows of a block hold."""
+def _held(items: Items, rows: np.ndarray, own: np.ndarray, doc: np.ndarray, first_half: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> list[tuple]:
+    """(row, item id, share of words, share of the answer) of the items that the rows of a block hold.
+
+    Candidates of one row and item that lie within a quarter of the item's length are checked together, in the window
+    that covers those of each, so the work for a long item grows with the text and not with its square.
+    """
     if not len(items.owner):
         return []
-    v = passage_vectors(rows, doc, items.table)
+    v = passage_vectors(items.place[rows], doc, items.table)
     near = []
     for a in range(0, len(v), 4096):
         part = v[a : a + 4096]
-        p, q = np.nonzero(part[:, :-1] @ items.vectors.T >= COSINE * np.sqrt(np.maximum(part[:, -1:], 1e-9)))
+        p, q = np.nonzero(part @ items.vectors.T >= COSINE * np.sqrt(np.maximum(own[a : a + 4096, None], 1e-9)))
         near.append(np.stack([p + a, items.owner[q]], 1))
-    texts: dict[int, list[str]] = {}
+    near = np.unique(np.concatenate(near), axis=0)
+    step = np.maximum(1, np.array([len(w) for w in items.words]) // (4 * HALF))[near[:, 1]]
+    group = np.stack([doc[near[:, 0]], (near[:, 0] - first_half[doc[near[:, 0]]]) // step, near[:, 1]], 1)
+    order = np.lexsort(group.T[::-1])
+    near, group = near[order], group[order]
+    new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)]) if len(group) else np.zeros(0, int)
+    low = near[new, 0]
+    high = near[np.append(new[1:] - 1, len(near) - 1), 0] if len(new) else low
+    text, text_row, seen, present = [], -1, None, set()
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    for p, k in np.unique(np.concatenate(near), axis=0).tolist():
-        r = int(doc[p])
+    for r, p, q, k in zip(group[new, 0].tolist(), low.tolist(), high.tolist(), group[new, 2].tolist(), strict=True):
         if best.get((r, k), (0.0, 0.0))[0] == 1.0:
             continue
-        if r not in texts:
-            texts = {r: words_of(buf[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace"))}
-        at, reach = (p - int(first_half[r])) * HALF, len(items.words[k])
-        share, answer, bad = items.check(k, texts[r][max(0, at - reach) : at + 2 * HALF + reach])
+        if r != text_row:
+            text, text_row, seen = words_of(buf[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace")), r, None
+        reach, begin = len(items.words[k]), first_half[r]
+        lo, hi = max(0, (p - begin) * HALF - reach), (q - begin) * HALF + 2 * HALF + reach
+        if seen is None or lo < seen[0] or hi > seen[1]:  # the words of a window serve its neighbours as well
+            seen = max(0, lo - 4 * HALF), hi + 4 * HALF
+            present = set(text[seen[0] : seen[1]])
+        if not items.may_hold(k, present):
+            continue
+        share, answer, bad = items.check(k, text[lo:hi])
         if bad and (share, answer) > best.get((r, k), (0.0, 0.0)):
             best[r, k] = share, answer
     return [(r, items.ids[k], s, a) for (r, k), (s, a) in best.items()]
