@@ -9,17 +9,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.labelled import features, fold, logistic, platt, sample, sigmoid
-from quernstone.llm.textarrays import appended, characters, gram_ids
+from quernstone.llm.labelled import fold, logistic, platt, sample, sigmoid, texts_of
+from quernstone.llm.textarrays import appended, blocks, characters, gram_ids, released
+from quernstone.session import written
 
 BITS = 20
 GRAMS = (4, 5, 6)
 SAMPLE_ROWS = 4000  # a third of them toxic at most
-KEPT = 2048  # n-grams whose counts differ most between the classes (chi-squared); the others weigh nothing
+KEPT = 4096  # n-grams that get a weight: those whose counts differ most between the classes (chi-squared)
+STEPS = 300
 
 
 @dataclass
@@ -43,48 +46,82 @@ def present(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def class_counts(rows: DataFrame) -> list[np.ndarray]:
+    """In how many texts of ``rows`` (label, text) each bucket occurs, for labels 0 and 1; counted in the tasks."""
+
+    def run(batches):
+        df = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            for lo, _, buf, offs in blocks(batch.column(1)):
+                for r, ids in enumerate(present(buf, offs)):
+                    df[int(label[lo + r] > 0)][ids] += 1
+        at = np.flatnonzero(df.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[0][at]), pa.array(df[1][at])], names=["bucket", "n0", "n1"])
+
+    both = rows.select("label", "text").mapInArrow(run, "bucket int, n0 int, n1 int").groupBy("bucket")
+    got = both.agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()  # at most 2**BITS rows
+    out = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+    for k in (0, 1):
+        out[k][got["bucket"].to_numpy()] = got[f"n{k}"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``limit`` labelled documents outside ``held_out``; every fifth of them only calibrates.
 
-    Toxic documents are rare, so they are sampled apart, a third of the limit; probabilities hold for that mix.
-    With no labelled row at all each document scores 0.5.
+    Toxic documents are rare, so they are sampled apart, a third of the limit; scores are probabilities at that mix,
+    not at the table's. Labels above 0 count as 1; of the labels of a repeated id the smallest stands. With no
+    labelled row at all each document scores 0.5.
     """
-    toxic = F.col(label_col) > 0
-    chosen = sample(labels.where(toxic), label_col, held_out, limit // 3).union(sample(labels.where(~toxic), label_col, held_out, limit - limit // 3))
-    rows = features(docs, chosen.groupBy("id").agg(F.max("label").alias("label")), lambda b, o: [[i.tobytes() for i in present(b, o)]], [("ids", T.BinaryType())])
-    y = (rows["label"].to_numpy() > 0).astype(np.float32)
+    labels = labels.select("doc_id", F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    toxic = F.col("label") > 0
+    chosen = sample(labels.where(toxic), "label", held_out, limit // 3).union(sample(labels.where(~toxic), "label", held_out, limit - limit // 3))
+    rows = written(texts_of(docs, chosen).withColumn("apart", F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(5)) == 0), "sample")
+    n = {(bool(r.apart), int(r.y)): r.n for r in rows.groupBy("apart", (F.col("label") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
     weights = np.zeros((1 << BITS) + 1, np.float32)
-    if len(y) == 0:
+    if not total:
         return Model(weights, 1.0, 0.0)
-    ids = [np.frombuffer(v.as_buffer(), np.int32) for v in rows["ids"]]
-    del rows
-    apart = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
-    df = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for i in np.flatnonzero(~apart):
-        df[int(y[i])][ids[i]] += 1
-    n = [float((~apart & (y == k)).sum()) for k in (0, 1)]
-    ratio = np.log((df[1] + 1) / (n[1] + 2)) - np.log((df[0] + 1) / (n[0] + 2))
-    share = (df[0] + df[1]) / max(sum(n), 1)
-    expected = share * n[1]
+    if total < 50:  # too few to set some apart
+        rows = rows.withColumn("apart", F.lit(False))
+        n = {(False, k): n.get((False, k), 0) + n.get((True, k), 0) for k in (0, 1)}
+    df = class_counts(rows.where("not apart"))
+    of = [float(n.get((False, k), 0)) for k in (0, 1)]
+    ratio = np.log((df[1] + 1) / (of[1] + 2)) - np.log((df[0] + 1) / (of[0] + 2))
+    share = (df[0] + df[1]) / max(sum(of), 1)
+    expected = share * of[1]
     apartness = (df[1] - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
     kept = np.sort(np.argsort(-apartness, kind="stable")[:KEPT])
+    del df, share, expected, apartness
     column = np.full((1 << BITS) + 1, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    x = np.zeros((len(y), len(kept)), np.float32)
-    for i, at in enumerate(ids):
-        at = column[at]
-        at = at[at >= 0]
-        x[i, at] = ratio[kept[at]]
-    train = ~apart
-    w, _ = logistic(x[train], y[train], 1e-4, 200)
-    rest = apart if apart.any() else train
+    shared = docs.sparkSession.sparkContext.broadcast(column)
+
+    def bits(buf, offs):
+        out = np.zeros((len(offs) - 1, KEPT), bool)
+        for r, ids in enumerate(present(buf, offs)):
+            at = shared.value[ids]
+            out[r, at[at >= 0]] = True
+        return [[row.tobytes() for row in np.packbits(out, axis=1)]]
+
+    got = appended(rows, bits, [("bits", T.BinaryType())], "text").drop("text").toArrow().sort_by("id")
+    shared.destroy()
+    y = (got["label"].to_numpy() > 0).astype(np.float32)
+    apart = got["apart"].to_numpy()
+    x = np.unpackbits(np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(len(y), -1), axis=1)[:, :KEPT].astype(np.float32)
+    x *= ratio[kept].astype(np.float32)
+    w, _ = logistic(x[~apart], y[~apart], 1e-4, STEPS)
+    rest = apart if apart.any() else ~apart
     slope, shift = platt((x[rest] @ w).astype(np.float64), y[rest])
     weights[kept] = w * ratio[kept]
+    del x
+    released()
     return Model(weights, slope, shift)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the calibrated probability of label 1, from each whole text.
+    """``docs`` with ``score``, the probability of label 1 at the sample's mix, from each whole text.
 
     A null or empty text has no n-grams and gets the score of the intercept alone.
     """
