@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.labelled import features, fold
+from quernstone.llm.labelled import fold, texts_of
 from quernstone.llm.textarrays import appended, blocks, characters, gram_ids
 
 BITS = 12
@@ -119,29 +119,32 @@ def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
         points, first = characters(buf, offs)
         return [[r.astype(np.float32).tobytes() for _, _, tf in counts(letters_only(points)[0], first) for r in np.ascontiguousarray(tf)]]
 
-    rows = features(docs, chosen, rows_of, [("x", T.BinaryType())])
-    names = np.array(rows["label"].to_pylist(), object)
-    langs = sorted(set(names))
-    x = np.empty((len(names), 1 << BITS), np.float32)
-    for i, v in enumerate(rows["x"]):
-        x[i] = np.frombuffer(v.as_buffer(), np.float32)
-    del rows
-    x = vectors(x, idf)
-    centroids, owner, reach = [], [], []
-    for k, lang in enumerate(langs):
-        own = x[names == lang]
-        c = own[np.linspace(0, len(own) - 1, min(CENTROIDS, len(own))).astype(int)].copy()
-        for _ in range(ROUNDS):
-            near = np.argmax(own @ c.T, axis=1)
-            for j in range(len(c)):
-                if (near == j).any():
-                    c[j] = own[near == j].mean(0)
-                    c[j] /= max(np.linalg.norm(c[j]), 1e-12)
-        best = (own @ c.T).max(1)
-        centroids.append(c)
-        owner += [k] * len(c)
-        reach.append(REJECT_SLACK * float(np.quantile(1 - best, REJECT_QUANTILE)))
-    return Model(langs, idf, np.concatenate(centroids) if centroids else np.zeros((0, 1 << BITS), np.float32), np.array(owner, int), np.array(reach))
+    def centred(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(len(table), -1)
+        c, reach = centroids_of(vectors(x, idf))
+        return pa.table({"label": table["label"].slice(0, 1), "centroids": pa.array([c.tobytes()], pa.binary()), "reach": pa.array([reach])})
+
+    made = appended(texts_of(docs, chosen), rows_of, [("x", T.BinaryType())], "text").drop("text")
+    # a language's sample is at most ``limit`` rows; only its centroids come to the driver
+    rows = made.groupBy("label").applyInArrow(centred, "label string, centroids binary, reach double").collect()
+    rows.sort(key=lambda r: r.label)
+    found = [np.frombuffer(r.centroids, np.float32).reshape(-1, 1 << BITS) for r in rows]
+    owner = [k for k, c in enumerate(found) for _ in range(len(c))]
+    return Model([r.label for r in rows], idf, np.concatenate([np.zeros((0, 1 << BITS), np.float32), *found]), np.array(owner, int), np.array([r.reach for r in rows]))
+
+
+def centroids_of(own: np.ndarray) -> tuple[np.ndarray, float]:
+    """Spherical k-means of one language's vectors, and the distance beyond which a text is rejected."""
+    c = own[np.linspace(0, len(own) - 1, min(CENTROIDS, len(own))).astype(int)].copy()
+    for _ in range(ROUNDS):
+        near = np.argmax(own @ c.T, axis=1)
+        for j in range(len(c)):
+            if (near == j).any():
+                c[j] = own[near == j].mean(0)
+                c[j] /= max(np.linalg.norm(c[j]), 1e-12)
+    best = (own @ c.T).max(1)
+    return c.astype(np.float32), REJECT_SLACK * float(np.quantile(1 - best, REJECT_QUANTILE))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
