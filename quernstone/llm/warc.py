@@ -21,8 +21,9 @@ from quernstone.llm.labelled import smallest
 from quernstone.session import scratch_dir, written
 
 REVISIT_FROM = 1000  # bytes
-SAMPLE_RECORDS = 1500  # whose heads train the dictionary
-SAMPLE_BYTES = 4096
+SAMPLE_PARTS = 1500  # parts of records that train the dictionary
+SAMPLE_CHARS = 4096
+BATCH_BYTES = 16 << 20  # payloads that one batch of records read back holds
 DICTIONARY = 64 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -35,11 +36,17 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _TAIL = struct.pack("<II", SKIPPABLE_FRAME, 1)
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: int | None) -> str:
+    """The id of a page's record; a page without an id has a name of its own."""
+    return "<urn:page:>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def head(kind: str, page_id: int, url: str | None, size: int, digest: str, refers: int | None, block: int) -> bytes:
+def page_of(record: str) -> int | None:
+    number = record[len("<urn:page:") : -1]
+    return int(number) if number else None
+
+
+def head(kind: str, page_id: int | None, url: str | None, size: int, digest: str, refers: int | None, block: int) -> bytes:
     """The header of a record."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url:
@@ -63,22 +70,30 @@ def planned(pages: DataFrame) -> DataFrame:
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    # SHA-1 alone is known to collide: payloads are equal if their lengths and SHA-256 are as well
+    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
+    key = ["same", "payload_digest", "payload_bytes"]
     large = rows.where(F.col("payload_bytes") >= REVISIT_FROM)
-    last = written(large.groupBy("payload_digest").agg(F.max("page_id").alias("last")), "last")
-    rows = rows.join(last, "payload_digest", "left")
+    last = written(large.groupBy(*key).agg(F.max("page_id").alias("last")), "last")
+    rows = rows.join(last, key, "left").drop("same")
     revisit = (F.col("payload_bytes") >= REVISIT_FROM) & (F.col("page_id") < F.col("last"))
     return rows.withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary from the heads of at most SAMPLE_RECORDS payloads, chosen by a hash; empty if they are too few."""
-    few = smallest(pages.where("page_id is not null and html is not null").select(F.col("page_id").alias("id")), SAMPLE_RECORDS, 9)
-    some = pages.join(F.broadcast(few), pages.page_id == few.id, "left_semi").dropDuplicates(["page_id"]).orderBy("page_id")
-    rows = some.select(F.substring("html", 1, SAMPLE_BYTES).alias("part")).collect()
-    parts = [head("response", 1, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1) + r.part.encode() for r in rows]
+    """A dictionary from at most SAMPLE_PARTS parts of records, chosen by a hash; empty if they are too few.
+
+    Whole payloads are cut into parts of SAMPLE_CHARS characters, and every part of every payload may be chosen.
+    """
+    parts = F.sequence(F.lit(0), F.floor((F.length("html") - 1) / SAMPLE_CHARS))
+    rows = pages.where("page_id is not null and length(html) > 0").select("page_id", F.explode(parts).alias("part"))
+    few = smallest(rows.select(F.struct("page_id", "part").alias("id")), SAMPLE_PARTS, 9)
+    few = few.select(F.col("id.page_id").alias("of"), F.col("id.part").alias("part")).distinct()
+    some = pages.join(F.broadcast(few), pages.page_id == few.of).select("of", "part", F.substr("html", F.col("part") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("piece"))
+    rows = some.groupBy("of", "part").agg(F.min("piece").alias("piece")).orderBy("of", "part").collect()
+    pieces = [(head("response", r.of, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1) if r.part == 0 else b"") + r.piece.encode() for r in rows]
     try:
-        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 16 else b""
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes() if len(pieces) >= 16 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -99,7 +114,7 @@ def archives(rows: DataFrame, dictionary: bytes, path: str) -> None:
             for page_id, url, payload, size, digest, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")], strict=True):
                 block = http_head(size) + (payload if refers is None else b"")
                 kind = "response" if refers is None else "revisit"
-                record = head(kind, -1 if page_id is None else page_id, url, size, digest, refers, len(block)) + block + b"\r\n\r\n"
+                record = head(kind, page_id, url, size, digest, refers, len(block)) + block + b"\r\n\r\n"
                 out.append(packer.compress(record) + _TAIL)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
@@ -118,17 +133,25 @@ def read_archives(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                records = list(_records(content.as_buffer()))
+                records, size = [], 0
+                for record in _records(content.as_buffer()):
+                    records.append(record)
+                    size += len(record[-1] or b"")
+                    if size >= BATCH_BYTES or len(records) >= 10_000:
+                        yield _batch(records)
+                        records, size = [], 0
                 if records:
-                    columns = list(zip(*records, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                    table = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(table, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                    yield _batch(records)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def _batch(records: list[tuple]) -> pa.RecordBatch:
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*records, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
 def _records(raw):
     view = memoryview(raw)
     magic, size = struct.unpack_from("<II", view)
@@ -142,21 +165,20 @@ def _records(raw):
             at += 8 + struct.unpack_from("<I", view, at + 4)[0]
             continue
         frame = unpacker.decompressobj()
-        record = b""
-        step = 1 << 16
+        pieces, step = [], 1 << 16
         while not frame.eof:
             part = view[at : at + step]
-            record += frame.decompress(part)
+            pieces.append(frame.decompress(part))
             at += len(part)
         at -= len(frame.unused_data)
+        record = b"".join(pieces)
         top, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
         http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-        page_id = int(fields["WARC-Record-ID"][len("<urn:page:") : -1])
-        page_id = None if page_id < 0 else page_id
+        page_id = page_of(fields["WARC-Record-ID"])
         if fields["WARC-Type"] == "revisit":
             size = int(http.rpartition(b"Content-Length: ")[2])
-            yield page_id, size, fields["WARC-Payload-Digest"][5:], "revisit", int(fields["WARC-Refers-To"][len("<urn:page:") : -1]), None
+            yield page_id, size, fields["WARC-Payload-Digest"][5:], "revisit", page_of(fields["WARC-Refers-To"]), None
         else:
             yield page_id, len(payload), hashlib.sha1(payload).hexdigest(), "response", None, payload
 
@@ -164,7 +186,7 @@ def _records(raw):
 def op9(pages: DataFrame) -> DataFrame:
     """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/quernstone-warc-{np.random.default_rng().integers(1 << 62):x}"
+    path = f"{scratch_dir(spark)}/warc-{np.random.default_rng().integers(1 << 62):x}"
     archives(planned(pages), trained(pages), path)
     return read_archives(spark, path).drop("payload")
 
