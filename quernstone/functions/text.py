@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,12 @@ RANKS = [
     "family", "subfamily", "supertribe", "tribe", "subtribe", "genus", "subgenus", "section", "subsection", "series", "subseries",
     "species", "subspecies", "prole", "convar", "variety", "subvariety", "form", "subform", "lusus",
 ]
+# Infraspecific ranks, words that are no epithets, and what article addresses leave as it is.
 INFRASPECIFIC = ["subspecies", "variety", "subvariety", "form", "subform", "prole", "lusus", "convar"]
 NOT_EPITHETS = ["ex", "in", "et", "and"]
-UNRESERVED = [";", "@", "$", "!", "*", "(", ")", ",", "/", ":", "~"]  # left as they are in article addresses
+UNRESERVED = [";", "@", "$", "!", "*", "(", ")", ",", "/", ":", "~"]
+
+ONTOLOGY = "http://wikiba.se/ontology#"  # fixed value
 
 _SPACES = {"\t", "\n", "\x0b", "\x0c", "\r", "\x85"}
 
@@ -41,12 +44,32 @@ def normalize_ascii(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " ")))
 
 
+def is_ascii(c: Column) -> Column:
+    return c.rlike(r"\A[\x00-\x7F]*\z")
+
+
+def is_blank(c: Column) -> Column:
+    """Null, empty, or white space of any kind."""
+    return F.coalesce(c.rlike(r"(?U)\A\s*\z"), F.lit(True))
+
+
+def with_normalized(df: DataFrame, source: str, target: str) -> DataFrame:
+    """``df`` with the normalised ``source`` as ``target``; only rows that are not ASCII are handed to Python.
+
+    Null names stay null. The input is read twice, each time for its share of the rows.
+    """
+    plain = F.coalesce(is_ascii(F.col(source)), F.lit(True))
+    rest = df.where(~plain).withColumn(target, _normalize_any(F.col(source)))
+    return df.where(plain).withColumn(target, normalize_ascii(F.col(source))).unionByName(rest)
+
+
 def normalize_name(c: Column) -> Column:
     """NFKD without marks, single spaces, straight apostrophes, lower case.
 
-    Spark has no Unicode normalisation, so only names that are not ASCII are handed to Arrow.
+    Spark has no Unicode normalisation, so names that are not ASCII are normalised in Python; all rows pass through
+    Arrow, the ASCII ones as nulls. ``with_normalized`` keeps those out of it.
     """
-    ascii_ = c.rlike(r"\A[\x00-\x7F]*\z")
+    ascii_ = is_ascii(c)
     return F.when(ascii_, normalize_ascii(c)).otherwise(_normalize_any(F.when(~ascii_, c)))
 
 
@@ -156,7 +179,7 @@ def normalize_ext_id(c: Column) -> Column:
 
 
 def is_requestable_title(c: Column) -> Column:
-    return c.isNotNull() & (F.btrim(c) != "") & ~c.rlike(r"[|\p{Cc}]")
+    return ~is_blank(c) & ~c.rlike(r"[|\p{Cc}]")
 
 
 def article_url(title: Column, base: str = "https://en.wikipedia.org/wiki/") -> Column:
@@ -171,7 +194,7 @@ def lead_status(missing: Column, disambiguation: Column, item: Column, requestin
         F.when(missing, "Missing")
         .when(disambiguation, "Disambiguation")
         .when(item.isNull() | ~F.coalesce(F.array_contains(requesting, item), F.lit(False)), "ItemMismatch")
-        .when(lead.isNull() | (F.btrim(lead) == ""), "EmptyLead")
+        .when(is_blank(lead), "EmptyLead")
         .otherwise("Ok")
     )
 
@@ -212,8 +235,10 @@ def empty_to_null(c: Column) -> Column:
 
 
 def statement_rank(uri: Column) -> Column:
-    tail = F.regexp_replace(uri, r"(?s)^.*[/#]", "")
-    return F.when(tail == "PreferredRank", "preferred").when(tail == "NormalRank", "normal").when(tail == "DeprecatedRank", "deprecated")
+    out = F.lit(None).cast("string")
+    for name in ("preferred", "normal", "deprecated"):
+        out = F.when(uri == f"{ONTOLOGY}{name.capitalize()}Rank", name).otherwise(out)
+    return out
 
 
 def is_english(lang: Column) -> Column:

@@ -20,6 +20,14 @@ def select_titles(items: DataFrame, articles: DataFrame, import_id: int) -> tupl
     return change_only_upsert(articles, stage, ["title"], ["status"], import_id), pairs
 
 
+def title_link_counts(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(inserted, removed): (qid, title) pairs that are new, and links that no pair stands for any more."""
+    key = ["qid", "title"]
+    new = pairs.select(*key).distinct().withColumn("__n", F.lit(1))
+    rows = new.join(links.select(*key).distinct().withColumn("__o", F.lit(1)), key, "full")
+    return rows.agg(F.count_if(F.col("__o").isNull()).alias("inserted"), F.count_if(F.col("__n").isNull()).alias("removed"))
+
+
 def apply_article_updates(articles: DataFrame, info: DataFrame, leads: DataFrame, requesting: DataFrame) -> DataFrame:
     """Articles with status, lead, rev and fetched_at after a round of page information and leads, and ``changed``.
 

@@ -34,8 +34,9 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
 
 
 def deterministic_sample(df: DataFrame, key: str, n: int, seed: int, always: DataFrame | None = None) -> DataFrame:
-    """The distinct keys of a seeded sample of ``n``, and those of ``always``."""
-    some = df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """The distinct keys of a seeded sample of ``n``, those with the smallest MD5 of seed and key, and those of ``always``."""
+    lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    some = df.select(key).distinct().orderBy(lot, key).limit(n)
     return some if always is None else some.union(always.select(key)).distinct()
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import comparable_label, distribution_kind, parse_decimal, value_code
 
 TOLERANCE = 1e-6
 TAXA_REQUIRED = 3
+# The tolerance traits.
 TOLERANCE_KEYS = ("fire_tolerance", "drought_tolerance", "caco3_tolerance", "anaerobic_tolerance", "salinity_tolerance", "hedge_tolerance")
 
 
@@ -49,26 +50,29 @@ def label_facts(facts: DataFrame, types: DataFrame, labels: DataFrame) -> DataFr
 
 
 def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, translate: DataFrame | None = None) -> DataFrame:
-    """(symbol, key, field, mode, outcome): Agree, Disagree, Missing, Unmapped or Unresolved.
+    """(symbol, key, field, mode, value, they, outcome): Agree, Disagree, Missing, Unmapped or Unresolved.
 
-    ``ours`` (symbol, key, label, confidence, numeric, statistic); ``theirs`` (symbol, field, value) with one row a
-    member for sets; ``mapping`` (field, key, mode, statistic) with mode Label, Flag, Set, Min, Max, Only, Statistic or
-    Shade. Fields match whatever their case. ``translate`` (field, value, expected) gives the label that a value of a
-    Label field stands for, whatever the case.
+    ``ours`` (symbol, key, label, confidence, numeric, statistic); ``theirs`` (symbol, field, value); ``mapping`` (field,
+    key, mode, statistic) with mode Label, Flag, Set, Min, Max, Only, Statistic or Shade. Fields match whatever their
+    case. The values of a Set field are compared together, as ``they``; of any other field each value by itself, as
+    ``value``. ``translate`` (field, value, expected) gives the label that a value of a Label field stands for,
+    whatever the case.
     """
-    want = theirs.select("symbol", F.lower("field").alias("f"), "value").join(mapping.select(F.lower("field").alias("f"), "field", "key", "mode", F.col("statistic").alias("want_stat")), "f")
-    want = want.groupBy("symbol", "field", "key", "mode", "want_stat").agg(F.array_sort(F.collect_set(F.lower("value"))).alias("they"), F.min("value").alias("value"))
+    chosen = mapping.select(F.lower("field").alias("f"), "field", "key", "mode", F.col("statistic").alias("want_stat"))
+    want = theirs.select("symbol", F.lower("field").alias("f"), "value").join(chosen, "f")
+    each = F.when(F.col("mode") != "Set", F.col("value")).alias("value")
+    want = want.groupBy("symbol", "field", "key", "mode", "want_stat", each).agg(F.array_sort(F.collect_set(F.lower("value"))).alias("they"))
     want = want.withColumn("expected", F.lower("value"))
     if translate is not None:
         words = translate.select(F.lower("field").alias("__f"), F.lower("value").alias("__v"), F.lower("expected").alias("__e"))
         on = (F.lower("field") == F.col("__f")) & (F.lower("value") == F.col("__v")) & (F.col("mode") == "Label")
         want = want.join(words, on, "left").withColumn("expected", F.coalesce("__e", "expected")).drop("__f", "__v", "__e")
     label = F.lower(comparable_label(F.col("label")))
-    rows = want.join(ours, ["symbol", "key"], "left")
-    has = F.col("found")
+    mine = ours.select("symbol", "key", "label", "confidence", "numeric", "statistic", F.lit(True).alias("found"))
+    rows = want.join(mine, ["symbol", "key"], "left")
+    has = F.col("found").isNotNull()
     counted = F.col("numeric").isNotNull() & (F.col("want_stat").isNull() | (F.col("statistic") == F.col("want_stat")))
-    flag = F.startswith(F.lower("label"), F.concat(F.lower("field"), F.lit(":")))
-    rows = rows.withColumn("found", F.col("label").isNotNull() | F.col("confidence").isNotNull() | F.col("numeric").isNotNull() | F.coalesce("present", F.lit(False)))
+    flag = is_flag(F.col("label"), F.col("field"))
     per = rows.groupBy("symbol", "field", "key", "mode", "value", "expected", "they").agg(
         F.count_if(has).alias("n"),
         F.count_if(has & F.col("label").isNull() & F.col("confidence").isNull()).alias("unmapped"),
@@ -82,9 +86,9 @@ def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, transl
     )
     number = parse_decimal(F.col("value"))
     numeric = F.col("mode").isin("Min", "Max", "Only", "Statistic")
-    mine = F.when(F.col("mode") == "Min", F.col("lo")).when(F.col("mode") == "Max", F.col("hi")).when(F.col("lo") == F.col("hi"), F.col("lo"))
+    one = F.when(F.col("mode") == "Min", F.col("lo")).when(F.col("mode") == "Max", F.col("hi")).when(F.col("lo") == F.col("hi"), F.col("lo"))
     agree = (
-        F.when(numeric, F.coalesce(F.abs(mine - number) <= TOLERANCE, F.lit(False)))
+        F.when(numeric, F.coalesce(F.abs(one - number) <= TOLERANCE, F.lit(False)))
         .when(F.col("mode") == "Flag", (F.col("flags") == 1) & (F.col("flag") == F.concat(F.lower("field"), F.lit(": "), F.lower("value"))))
         .when(F.col("mode") == "Set", F.col("we") == F.col("they"))
         .otherwise((F.size("we") == 1) & (F.col("we")[0] == F.col("expected")))
@@ -96,10 +100,38 @@ def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, transl
         .when(~numeric & (F.col("mode") != "Flag") & (F.col("unmapped") > 0), "Unmapped")
         .when(~numeric & (F.col("mode") != "Flag") & (F.col("unlabelled") > 0), "Unresolved")
         .when((F.col("mode") == "Flag") & (F.col("flags") == 0), "Missing")
-        .when(agree, "Agree")
+        .when(F.coalesce(agree, F.lit(False)), "Agree")
         .otherwise("Disagree")
     )
-    return per.select("symbol", "key", "field", "mode", outcome.alias("outcome"))
+    return per.select("symbol", "key", "field", "mode", "value", "they", outcome.alias("outcome"))
+
+
+def is_flag(label: Column, field: Column) -> Column:
+    """Whether a label is one of a Flag field: it starts with the field's name and a colon."""
+    return F.startswith(F.lower(label), F.concat(F.lower(field), F.lit(":")))
+
+
+def trait_tally(outcomes: DataFrame) -> DataFrame:
+    """(key, field, agree, disagree, missing, unmapped, unresolved) of each compared field."""
+    names = ["Agree", "Disagree", "Missing", "Unmapped", "Unresolved"]
+    return outcomes.groupBy("key", "field").agg(*[F.count_if(F.col("outcome") == n).alias(n.lower()) for n in names])
+
+
+def unmapped_observations(outcomes: DataFrame, ours: DataFrame) -> DataFrame:
+    """(key, code, value, n): what the other source says where a code of ours has no label row at all.
+
+    For a Set the value is the whole set. ``ours`` has the code.
+    """
+    codes = ours.where("label is null and confidence is null").groupBy("symbol", "key").agg(F.min("code").alias("code"))
+    rows = outcomes.where("outcome = 'Unmapped'").join(codes, ["symbol", "key"])
+    value = F.coalesce("value", F.array_join("they", " | "))
+    return rows.groupBy("key", "code", value.alias("value")).agg(F.count("*").alias("n"))
+
+
+def passed(tally: DataFrame) -> DataFrame:
+    """(passed, contradicted): the verdict over all codes; verified ones must never disagree."""
+    bad = F.count_if(F.coalesce(F.col("verdict") == "contradicted", F.lit(False)))
+    return tally.agg((bad == 0).alias("passed"), bad.alias("contradicted"))
 
 
 def shade_observations(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, tolerance: DataFrame) -> DataFrame:
@@ -127,12 +159,19 @@ def shade_score(observations: DataFrame) -> DataFrame:
 def tally_codes(outcomes: DataFrame, ours: DataFrame) -> DataFrame:
     """(code, label_type, confidence, agree, disagree, agreeing_taxa, keys, verdict) over the facts behind Agree and Disagree.
 
-    ``keys`` are those of the facts that agree.
+    Only facts that were compared count: in a Flag field those whose label is one of the field, in a Set field each
+    by whether the other source's set has it, in a Label field all of the trait; numbers and shade count no code.
+    ``outcomes`` come from :func:`compare_facts`; ``keys`` are those of the facts that agree.
 
     Verdict: confirmed for an inferred code that only agrees, contradicted for a verified one that ever disagrees.
     """
-    rows = outcomes.where("outcome in ('Agree', 'Disagree')").join(ours, ["symbol", "key"])
-    ok = F.col("outcome") == "Agree"
+    if "mode" not in outcomes.columns:  # outcomes of Label fields alone
+        ours = ours if "label" in ours.columns else ours.withColumn("label", F.lit(None).cast("string"))
+        outcomes = outcomes.withColumns({"mode": F.lit("Label"), "field": F.lit(""), "they": F.array().cast("array<string>")})
+    rows = outcomes.where("outcome in ('Agree', 'Disagree') and mode in ('Label', 'Flag', 'Set')").join(ours, ["symbol", "key"])
+    rows = rows.where((F.col("mode") != "Flag") | is_flag(F.col("label"), F.col("field")))
+    member = F.array_contains("they", F.lower(comparable_label(F.col("label"))))
+    ok = F.when(F.col("mode") == "Set", F.coalesce(member, F.lit(False))).otherwise(F.col("outcome") == "Agree")
     per = rows.groupBy("code", "label_type", "confidence").agg(F.count_if(ok).alias("agree"), F.count_if(~ok).alias("disagree"), F.countDistinct(F.when(ok, F.col("symbol"))).alias("agreeing_taxa"), F.array_sort(F.collect_set(F.when(ok, F.col("key")))).alias("keys"))
     verdict = F.when((F.col("confidence") == "inferred") & (F.col("agree") > 0) & (F.col("disagree") == 0), "confirmed").when((F.col("confidence") == "verified") & (F.col("disagree") > 0), "contradicted")
     return per.withColumn("verdict", verdict)

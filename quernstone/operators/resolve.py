@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import canonical_name, is_taxon_id, normalize_ext_id, normalize_name
+from quernstone.functions.text import canonical_name, is_blank, is_taxon_id, normalize_ext_id, with_normalized
+from quernstone.operators.validate import GateClosed
 from quernstone.session import written
 
 MAX_DEPTH = 64
@@ -54,43 +55,55 @@ def resolve_chain(ids: DataFrame, edges: DataFrame, current: DataFrame, max_dept
     """(id, resolved, status, was_redirected) of each distinct id, following old -> new.
 
     Resolved or NotFound at a node without an edge, Cycle at the first repeated node, DepthLimit if node ``max_depth``
-    still has an edge. ``edges`` (old_id, new_id) has at most one edge a source.
+    still has an edge. ``edges`` (old_id, new_id) has at most one edge a source; several refuse the call.
 
-    Pointer doubling: each step doubles the length of the jumps, so a chain of 64 takes seven joins. A cycle never
-    ends, so what has not ended after the last jump is on a cycle or too long; only those few walk node by node, to
-    find out which, and where they repeat.
+    Pointer doubling: each step doubles the length of the jumps, so a chain of 64 takes seven joins, and shorter ones
+    stop as soon as no jump can grow. A cycle never ends, so what has not ended after the last jump is on a cycle or
+    too long; only those few are walked node by node, to find out which, and where they repeat.
     """
     ids = ids.select(F.col("id")).dropna().distinct()
-    jumps, length = [written(edges.select(F.col("old_id").alias("f"), F.col("new_id").alias("t"), F.lit(1).cast("long").alias("d")), "jump")], 1
-    while length < max_depth + 1:
+    first = written(edges.select(F.col("old_id").alias("f"), F.col("new_id").alias("t"), F.lit(1).cast("long").alias("d")), "jump")
+    if not first.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise GateClosed("several edges leave one id")
+    jumps, length, growing = [first], 1, True
+    while growing and length < max_depth + 1:
         h = jumps[-1]
         b = h.select(F.col("f").alias("m"), F.col("t").alias("t2"), F.col("d").alias("d2"))
         # a jump that ends early keeps its shorter length
         longer = h.join(b, h.t == b.m, "left").select("f", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
         jumps.append(written(longer, "jump"))
         length *= 2
+        growing = not jumps[-1].where(F.col("d") == length).isEmpty()
     far = jumps[-1]
     end = ids.join(far, ids.id == far.f, "left").select("id", F.coalesce("t", "id").alias("end"), F.coalesce("d", F.lit(0)).alias("d"))
-    more = edges.select(F.col("old_id").alias("__o"))
-    end = end.join(more, end.end == more["__o"], "left").withColumn("long", F.col("__o").isNotNull() | (F.col("d") > max_depth)).drop("__o")
-    end = written(end, "ends")
     found = current.select(F.col(current.columns[0]).alias("__c")).distinct()
-    plain = end.where("not long").join(found, F.col("end") == F.col("__c"), "left").select("id", F.col("end").alias("resolved"), F.when(F.col("__c").isNotNull(), "Resolved").otherwise("NotFound").alias("status"))
+    if not growing and length <= max_depth:
+        return _ended(end, found)
+    more = first.select(F.col("f").alias("__o"))
+    end = written(end.join(more, end.end == more["__o"], "left").withColumn("long", F.col("__o").isNotNull() | (F.col("d") > max_depth)).drop("__o"), "ends")
     walked = _walked(end.where("long").select("id"), jumps, max_depth)
-    return plain.unionByName(walked).select("id", "resolved", "status", (F.col("id") != F.col("resolved")).alias("was_redirected"))
+    return _ended(end.where("not long"), found).unionByName(walked.withColumn("was_redirected", F.col("id") != F.col("resolved")))
+
+
+def _ended(end: DataFrame, found: DataFrame) -> DataFrame:
+    """The result for ids whose chains end: (id, end) against the current ids."""
+    rows = end.join(found, F.col("end") == F.col("__c"), "left")
+    status = F.when(F.col("__c").isNotNull(), "Resolved").otherwise("NotFound")
+    return rows.select("id", F.col("end").alias("resolved"), status.alias("status"), (F.col("id") != F.col("end")).alias("was_redirected"))
 
 
 def _walked(ids: DataFrame, jumps: list[DataFrame], max_depth: int) -> DataFrame:
     """(id, resolved, status) of ids on cycles or on chains that are too long.
 
-    Jumps of one, two, four, ... edges give the node at every step up to the limit; the first node that comes a second
-    time closes a cycle.
+    Each id gets a row for every step up to the limit; jumps of one, two, four, ... edges that add up to the step
+    give its node. The first node that comes a second time closes a cycle.
     """
-    steps = ids.select("id", F.col("id").alias("node"), F.lit(0).cast("long").alias("step"))
+    steps = ids.select("id", F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(max_depth + 1))).alias("step"))
     for k, jump in enumerate(jumps):
-        whole = jump.where(F.col("d") == 1 << k).select("f", "t")
-        on = steps.join(whole, steps.node == whole.f).select("id", F.col("t").alias("node"), (F.col("step") + (1 << k)).alias("step"))
-        steps = written(steps.unionByName(on.where(F.col("step") <= max_depth + 1)), "steps")
+        whole = jump.where(F.col("d") == 1 << k).select(F.col("f").alias(f"f{k}"), F.col("t").alias(f"t{k}"))
+        on = (F.col("node") == F.col(f"f{k}")) & (F.col("step").bitwiseAND(1 << k) != 0)
+        steps = steps.join(whole, on, "left").select("id", "step", F.when(F.col("step").bitwiseAND(1 << k) != 0, F.col(f"t{k}")).otherwise(F.col("node")).alias("node"))
+    steps = written(steps.where("node is not null"), "steps")
     nth = F.row_number().over(Window.partitionBy("id", "node").orderBy("step"))
     again = steps.withColumn("nth", nth).where("nth = 2").groupBy("id").agg(F.min_by("node", "step").alias("again"))
     last = steps.where(F.col("step") == max_depth).select("id", "node")
@@ -137,8 +150,9 @@ def link_by_precedence(symbols: DataFrame, ext_ids: DataFrame, item_links: DataF
     via = symbols.select("symbol").join(ext_ids.select("qid", F.col("value").alias("symbol")), "symbol").join(item_links.select("qid", "taxon"), "qid")
     via = via.join(current.select(F.col("taxon_id").alias("taxon")), "taxon", "left_semi").groupBy("symbol").agg(F.array_sort(F.collect_set("taxon")).alias("candidates"))
     one = via.select("symbol", F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("taxon"), F.lit("external").alias("method"), F.when(F.size("candidates") == 1, "Linked").otherwise("Conflict").alias("status"), "candidates")
-    rest = symbols.join(via.select("symbol"), "symbol", "left_anti").withColumn("__n", normalize_name(canonical_name(F.col("name"), F.col("rank"))))
-    names = current.select("taxon_id", normalize_name(F.col("name")).alias("__n"), "rank")
+    rest = symbols.join(via.select("symbol"), "symbol", "left_anti").withColumn("__c", canonical_name(F.col("name"), F.col("rank")))
+    rest = with_normalized(rest, "__c", "__n")
+    names = with_normalized(current.select("taxon_id", "name", "rank"), "name", "__n").drop("name")
     by = rest.join(names, ["__n", "rank"], "left").groupBy("symbol").agg(F.array_sort(F.collect_set("taxon_id")).alias("candidates"))
     n = F.size("candidates")
     two = by.select("symbol", F.when(n == 1, F.get("candidates", F.lit(0))).alias("taxon"), F.lit("name").alias("method"), F.when(n == 1, "Linked").when(n > 1, "Ambiguous").otherwise("NotFound").alias("status"), "candidates")
@@ -152,7 +166,7 @@ def lookup_ext_id(ids: DataFrame, mapping: DataFrame, edges: DataFrame, taxa: Da
     cycles or is too long is one.
     """
     q = ids.select("query").distinct().withColumn("id_", normalize_ext_id(F.col("query")))
-    bad = F.col("query").isNull() | (F.btrim("query") == "") | (F.length("query") > 200)
+    bad = is_blank(F.col("query")) | (F.length("query") > 200)
     hits = q.where(~bad).join(mapping.select(F.col("normalized_id").alias("id_"), "taxon_id").distinct(), "id_")
     current = taxa.where("is_current").select("taxon_id")
     chain = resolve_chain(hits.select(F.col("taxon_id").alias("id")), edges, current)
@@ -178,26 +192,35 @@ def taxon_detail(ids: DataFrame, edges: DataFrame, taxa: DataFrame, relations: l
     return out
 
 
-def trace_path(symbol_links: DataFrame, item_links: DataFrame, articles: DataFrame, limit: int = 3) -> DataFrame:
+def trace_path(symbols: DataFrame, symbol_links: DataFrame, taxa: DataFrame, item_links: DataFrame, articles: DataFrame, limit: int = 3) -> DataFrame:
     """(symbol, taxon, qid, title, own): at most ``limit`` articles a symbol, those of its own taxon first.
 
+    The taxon is the accepted one of the symbol's link, else the first current accepted taxon with the symbol's name.
+    ``symbols`` (symbol, name); ``symbol_links`` (symbol, accepted); ``taxa`` (taxon_id, name, status, is_current);
+    ``item_links`` (qid, taxon, accepted) and ``articles`` (qid, title) count where is_current, if they say so.
+
     An OR over two id columns is two equi-joins.
     """
     from quernstone.operators.dedup import top_per_group
 
-    base = symbol_links.select("symbol", F.coalesce("accepted", "taxon").alias("taxon")).where("taxon is not null")
-    own = base.join(item_links.select(F.col("taxon"), "qid"), "taxon").withColumn("own", F.lit(True))
-    via = base.join(item_links.where("accepted is not null and accepted <> taxon").select(F.col("accepted").alias("taxon"), "qid"), "taxon").withColumn("own", F.lit(False))
-    rows = own.unionByName(via).join(articles.select("qid", "title"), "qid")
+    links, pages = (t.where("is_current") if "is_current" in t.columns else t for t in (item_links, articles))
+    named = taxa.where("is_current and status = 'Accepted'").groupBy("name").agg(F.min("taxon_id").alias("__by_name"))
+    linked = symbol_links.where("accepted is not null").groupBy("symbol").agg(F.min("accepted").alias("accepted"))
+    base = symbols.select("symbol", "name").join(linked, "symbol", "left").join(named, "name", "left")
+    base = base.select("symbol", F.coalesce("accepted", "__by_name").alias("taxon")).where("taxon is not null").distinct()
+    own = base.join(links.select(F.col("taxon"), "qid"), "taxon").withColumn("own", F.lit(True))
+    via = base.join(links.where("accepted is not null and not accepted <=> taxon").select(F.col("accepted").alias("taxon"), "qid"), "taxon").withColumn("own", F.lit(False))
+    rows = own.unionByName(via).join(pages.select("qid", "title"), "qid")
     top = top_per_group(rows, ["symbol"], [F.desc("own"), F.asc("qid"), F.asc("title")], limit)
     return top.select("symbol", "taxon", "qid", "title", "own")
 
 
 def best_name(targets: DataFrame, names: DataFrame, item_links: DataFrame) -> DataFrame:
-    """(target, name): one English name a taxon: plain en first, names that match the query, shortest, byte order.
+    """(target, common_name): one English name a taxon: plain en first, names that match the query, shortest, byte order.
 
-    ``targets`` (target and optionally query); ``names`` (qid, language, name, normalized); the link's accepted taxon
-    counts, else its own.
+    ``targets`` (target and optionally query, nq and cq: the normalised query and its compact form); ``names`` (qid,
+    language, name, normalized, compact); the link's accepted taxon counts, else its own. A name matches if its
+    normalised form holds the normalised query, or its compact form the compact one.
     """
     from quernstone.functions.text import is_english
 
@@ -205,7 +228,10 @@ def best_name(targets: DataFrame, names: DataFrame, item_links: DataFrame) -> Da
     link = item_links.select("qid", F.coalesce("accepted", "taxon").alias("target")).distinct()
     english = names.where(is_english(F.col("language"))).join(link, "qid")
     rows = targets.join(english, "target")
-    matched = F.contains(F.col("normalized"), F.lower("query")) if "query" in keys else F.lit(False)
+    matched = F.lit(False)
+    if "query" in keys:
+        holds = F.contains("normalized", "nq") | ((F.col("cq") != "") & F.contains("compact", "cq"))
+        matched = (F.col("nq") != "") & F.coalesce(holds, F.lit(False))
     order = F.struct((F.col("language") != "en").alias("a"), (~matched).alias("b"), F.length("name").alias("c"), F.col("name").alias("d"))
     return rows.groupBy(*keys).agg(F.min_by("name", order).alias("common_name"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import compact_name, is_english, match_tier, normalize_name, rank_depth
 from quernstone.operators.dedup import first_per_key, top_per_group
 from quernstone.operators.resolve import best_name
+from quernstone.session import written
 
 BROADCAST_QUERIES = 1000  # with more, names and queries meet on their trigrams
 PAGE = 20
@@ -59,7 +60,7 @@ def search_names(taxa: DataFrame, names: DataFrame, item_links: DataFrame, queri
     """
     if not 1 <= page_size <= 100:
         raise ValueError("page_size must be 1 to 100")
-    q = queries_of(queries)
+    q = written(queries_of(queries), "queries")
     few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     current = taxa.where("is_current")
     accepted = current.select(F.col("taxon_id").alias("__a"))
@@ -72,17 +73,19 @@ def search_names(taxa: DataFrame, names: DataFrame, item_links: DataFrame, queri
     n = names.where(is_english(F.col("language"))).join(link, "qid").select("target", F.col("name").alias("matched_text"), "normalized", "compact")
     n = n.withColumn("__both", F.concat_ws("\n", "normalized", "compact"))
     nq = q.where(F.col("nq") != "").select("query", "nq", F.nullif(F.col("cq"), F.lit("")).alias("cq"))
-    by_name = containing(n, "normalized", nq, "nq", few)
-    by_compact = containing(n, "compact", nq.where("cq is not null"), "cq", few)
+    if few:  # one pass for both forms
+        found = n.join(F.broadcast(nq), F.contains("normalized", "nq") | F.coalesce(F.contains("compact", "cq"), F.lit(False)))
+    else:
+        found = containing(n, "normalized", nq, "nq", few).unionByName(containing(n, "compact", nq.where("cq is not null"), "cq", few))
     text, c = F.col("normalized"), F.col("cq")
     tier = match_tier(text, F.col("nq"))
     tier = F.when(tier == 10, 10).when(F.col("compact") == c, 15).otherwise(F.coalesce(tier, F.lit(50)))
-    common = by_name.unionByName(by_compact).select("target", F.lit("commonName").alias("matched_on"), F.lit(2).alias("source_order"), "matched_text", "query", tier.alias("tier"))
+    common = found.select("target", F.lit("commonName").alias("matched_on"), F.lit(2).alias("source_order"), "matched_text", "query", tier.alias("tier"))
     matches = scientific.select("query", "target", "matched_on", "source_order", "matched_text", "tier").unionByName(common.select("query", "target", "matched_on", "source_order", "matched_text", "tier")).where("target is not null")
     best = first_per_key(matches, ["query", "target"], [F.col("tier"), F.col("source_order"), F.length("matched_text"), F.col("matched_text"), F.col("matched_on")])
     rows = best.join(current.select(F.col("taxon_id").alias("target"), "name", "rank", "status"), "target")
     order = [F.asc("tier"), F.asc(F.col("matched_on") == "synonym"), F.asc(~F.col("status").eqNullSafe(F.lit("Accepted"))), F.asc(rank_depth(F.col("rank"))), F.asc_nulls_last("name"), F.asc("target")]
     page = top_per_group(rows, ["query"], order, page_size)
-    labels = best_name(page.select("query", "target"), names, item_links)
+    labels = best_name(page.select("query", "target").join(q, "query"), names, item_links)
     out = page.join(labels, ["query", "target"], "left")
     return out.select("query", "position", F.col("target").alias("taxon_id"), "name", "rank", "status", "common_name", "matched_on", "matched_text", "tier")

@@ -118,11 +118,17 @@ def set_mismatch(left: DataFrame, right: DataFrame, group: list[str], value: str
 def needs_refresh(state: DataFrame, info: DataFrame, key: str, full: bool = False) -> DataFrame:
     """Keys to fetch again: never fetched, redirected, of another revision, or all if ``full``; never missing ones.
 
-    ``state`` has fetched_rev; ``info`` has rev, missing and redirected.
+    ``state`` has fetched_rev, null for what was never fetched; ``info`` has rev, missing and redirected, for articles
+    disambiguation as well, which is never fetched. A key without information is due if it was never fetched.
     """
-    rows = info.join(state.select(key, "fetched_rev"), key, "left").where(~F.coalesce("missing", F.lit(False)))
-    due = F.lit(full) | F.col("fetched_rev").isNull() | F.coalesce("redirected", F.lit(False)) | ~F.col("rev").eqNullSafe(F.col("fetched_rev"))
-    return rows.where(due).select(key, "rev", "fetched_rev")
+    told = info.withColumn("__told", F.lit(True))
+    rows = told.join(state.select(key, "fetched_rev"), key, "full")
+    for flag in ("missing", "disambiguation"):
+        if flag in info.columns:
+            rows = rows.where(~F.coalesce(flag, F.lit(False)))
+    moved = F.coalesce("redirected", F.lit(False)) if "redirected" in info.columns else F.lit(False)
+    changed = F.col("__told").isNotNull() & (moved | ~F.col("rev").eqNullSafe(F.col("fetched_rev")))
+    return rows.where(F.lit(full) | F.col("fetched_rev").isNull() | changed).select(key, "rev", "fetched_rev")
 
 
 def retire_links(links: DataFrame, outcomes: DataFrame, key: str, cols: list[str], import_id: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import shortened
+from quernstone.functions.text import is_blank, shortened
 
 
 def issue(severity: str, kind: str, field: str, when: Column, value: Column | None = None) -> Column:
@@ -15,22 +15,23 @@ def issue(severity: str, kind: str, field: str, when: Column, value: Column | No
     )
 
 
-def split_valid(df: DataFrame, required: list[str], identifiers: list[str], file: str, key: str | None = None, extra: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, required: list[str], identifiers: list[str], file: str, key: str | None = None, extra: list[Column] | None = None, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows and the issues of all rows.
 
     A blank required value or a NUL rejects the row; U+FFFD rejects it in an identifier and only warns elsewhere.
-    A rejected row keeps all its issues. Issues are made in the pass that reads the rows.
+    A rejected row keeps all its issues. ``row`` names a column with the record's number, which issues then have as
+    well. Issues are made in the pass that reads the rows.
     """
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     found = list(extra or [])
-    found += [issue("error", "required", c, F.coalesce(F.btrim(c), F.lit("")) == "") for c in required]
+    found += [issue("error", "required", c, is_blank(F.col(c))) for c in required]
     for c in texts:
         found.append(issue("error", "nul", c, F.contains(F.col(c), F.lit("\x00"))))
         found.append(issue("error" if c in identifiers else "warning", "replacement_character", c, F.contains(F.col(c), F.lit("�"))))
     marked = df.withColumn("__issues", F.filter(F.array(*found), lambda i: i.isNotNull()))
     good = marked.where(~F.exists("__issues", lambda i: i.severity == "error")).drop("__issues")
     key_col = F.col(key).cast("string") if key else F.lit(None).cast("string")
-    issues = marked.where(F.size("__issues") > 0).select(F.lit(file).alias("file"), key_col.alias("key"), F.inline("__issues"))
+    issues = marked.where(F.size("__issues") > 0).select(F.lit(file).alias("file"), key_col.alias("key"), *([F.col(row).alias("row")] if row else []), F.inline("__issues"))
     return good, issues
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import compact_name, normalize_name
+from quernstone.functions.text import compact_name, with_normalized
 from quernstone.session import table
 
 TAXA = """p_partkey AS taxon_id, p_name AS name, p_type AS genus, p_brand AS family,
@@ -20,14 +20,11 @@ NAMES = """p_partkey AS qid, CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'en
 p_brand || ' ' || replace(p_name, ' ', '-') AS name"""
 ITEM_LINKS = """p_partkey AS qid, p_partkey AS taxon,
 CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey - 1 END AS accepted"""
-# chains along steps of 10 that end at multiples of 100, one cycle of two, one of itself, and one long chain
-EDGES = """p_partkey AS old_id, CASE WHEN p_partkey = 4 THEN 5 WHEN p_partkey = 5 THEN 4 WHEN p_partkey = 6 THEN 6
-WHEN p_partkey BETWEEN 1000 AND 1070 THEN p_partkey + 1 WHEN p_partkey % 100 <> 0 THEN p_partkey - p_partkey % 10 + CASE WHEN p_partkey % 10 = 0 THEN -10 ELSE 0 END END AS new_id"""
-EDGES_WHERE = "p_partkey IN (4, 5, 6) OR p_partkey BETWEEN 1000 AND 1070 OR p_partkey % 100 <> 0 AND p_partkey < 1000"
-# the same shapes in every 2000 keys, so that edges, cycles and long chains grow with the table; the long chain's hundred has no others
-EDGES_ALL = """p_partkey AS old_id, CASE WHEN p_partkey % 2000 = 4 THEN p_partkey + 1 WHEN p_partkey % 2000 = 5 THEN p_partkey - 1 WHEN p_partkey % 2000 = 6 THEN p_partkey
+# in every 2000 keys chains along steps of 10 that end at multiples of 100, a cycle of two, one of itself, and a long
+# chain, so that edges and broken chains grow with the table; the long chain's hundred has no others
+EDGES = """p_partkey AS old_id, CASE WHEN p_partkey % 2000 = 4 THEN p_partkey + 1 WHEN p_partkey % 2000 = 5 THEN p_partkey - 1 WHEN p_partkey % 2000 = 6 THEN p_partkey
 WHEN p_partkey % 2000 BETWEEN 1000 AND 1070 THEN p_partkey + 1 ELSE p_partkey - p_partkey % 10 + CASE WHEN p_partkey % 10 = 0 THEN -10 ELSE 0 END END AS new_id"""
-EDGES_ALL_WHERE = "p_partkey % 2000 BETWEEN 1000 AND 1070 OR p_partkey % 100 <> 0 AND NOT p_partkey % 2000 BETWEEN 1071 AND 1099"
+EDGES_WHERE = "p_partkey % 2000 BETWEEN 1000 AND 1070 OR p_partkey % 100 <> 0 AND NOT p_partkey % 2000 BETWEEN 1071 AND 1099"
 FACTS = """event_id AS row_no, user_id AS symbol, event_type AS type_uri, event_type AS code, CAST(value AS VARCHAR(40)) AS value_raw, value AS numeric"""
 OLD_ORDERS = "o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 5 <> 0 AS is_current, CAST(1 AS BIGINT) AS import_id"
 OLD_ORDERS_WHERE = "o_orderkey % 4 <> 1"
@@ -55,7 +52,7 @@ def taxa(spark, d):
 
 
 def names(spark, d):
-    n = bound(spark, d, "part", NAMES).withColumn("normalized", normalize_name(F.col("name")))
+    n = with_normalized(bound(spark, d, "part", NAMES), "name", "normalized")
     return n.withColumn("compact", compact_name(F.col("normalized")))
 
 
@@ -67,10 +64,6 @@ def edges(spark, d):
     return bound(spark, d, "part", EDGES, EDGES_WHERE)
 
 
-def edges_all(spark, d):
-    return bound(spark, d, "part", EDGES_ALL, EDGES_ALL_WHERE)
-
-
 def old_orders(spark, d):
     return bound(spark, d, "orders", OLD_ORDERS, OLD_ORDERS_WHERE)
 
@@ -84,7 +77,6 @@ CTES = {
     "names": f"SELECT *, lower(name) AS normalized, replace(replace(lower(name), ' ', ''), '-', '') AS compact FROM (SELECT {NAMES} FROM part)",
     "item_links": f"SELECT {ITEM_LINKS} FROM part",
     "edges": f"SELECT {EDGES} FROM part WHERE {EDGES_WHERE}",
-    "edges_all": f"SELECT {EDGES_ALL} FROM part WHERE {EDGES_ALL_WHERE}",
     "old": f"SELECT {OLD_ORDERS} FROM orders WHERE {OLD_ORDERS_WHERE}",
     "new": f"SELECT {NEW_ORDERS} FROM orders WHERE {NEW_ORDERS_WHERE}",
 }

@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-TERMS = ["red widget", "ring", "hot", "bolt", "brand#1", "small-", "r", "ECONOMY", "%_", "gear", "brand17red"]
+TERMS = ["red widget", "brand-17 blue", "ring", "hot", "bolt", "brand#1", "small-", "r", "ECONOMY", "%_", "gear", "brand17red"]
 
 
 @query("search_names", B.sql(f"""
@@ -41,8 +41,8 @@ com AS (SELECT qq.query, coalesce(l.accepted, l.taxon) AS target, 'commonName' A
 best AS (SELECT DISTINCT ON (query, target) * FROM (SELECT * FROM sci UNION ALL SELECT * FROM com) ORDER BY query, target, tier, source_order, length(matched_text), matched_text),
 ranked AS (SELECT b.query, b.target AS taxon_id, t.name, t.rank, t.status, b.matched_on, b.matched_text, b.tier, row_number() OVER (PARTITION BY b.query ORDER BY b.tier, b.matched_on = 'synonym', t.status <> 'Accepted',
   CASE t.rank WHEN 'genus' THEN 14 WHEN 'species' THEN 20 WHEN 'nothospecies' THEN 20 ELSE 24 END, t.name, t.taxon_id) AS position FROM best b JOIN cur t ON t.taxon_id = b.target),
-lab AS (SELECT DISTINCT ON (r.query, r.taxon_id) r.query, r.taxon_id, n.name AS common_name FROM ranked r JOIN item_links l ON coalesce(l.accepted, l.taxon) = r.taxon_id JOIN names n ON n.qid = l.qid
-  WHERE n.language = 'en' OR n.language LIKE 'en-%' ORDER BY r.query, r.taxon_id, n.language <> 'en', NOT contains(n.normalized, lower(r.query)), length(n.name), n.name)
+lab AS (SELECT DISTINCT ON (r.query, r.taxon_id) r.query, r.taxon_id, n.name AS common_name FROM ranked r JOIN qq ON qq.query = r.query JOIN item_links l ON coalesce(l.accepted, l.taxon) = r.taxon_id JOIN names n ON n.qid = l.qid
+  WHERE n.language = 'en' OR n.language LIKE 'en-%' ORDER BY r.query, r.taxon_id, n.language <> 'en', NOT (contains(n.normalized, qq.nq) OR qq.cq <> '' AND contains(n.compact, qq.cq)), length(n.name), n.name)
 SELECT r.query, r.position, r.taxon_id, r.name, r.rank, r.status, lab.common_name, r.matched_on, r.matched_text, r.tier FROM ranked r LEFT JOIN lab ON lab.query = r.query AND lab.taxon_id = r.taxon_id WHERE position <= 20""", "taxa", "names", "item_links"))
 def _(s, d):
     terms = s.createDataFrame([(t,) for t in TERMS], "query string")
@@ -55,9 +55,9 @@ def _(s, d):
     return table(s, d, "customer").select("c_custkey", n.alias("normalized")).withColumn("compact", T.compact_name(F.col("normalized")))
 
 
-@query("normalize_texts")
+@query("normalize_texts", r"""SELECT doc_id, lower(replace(replace(trim(regexp_replace(strip_accents(text), '[\s\x{85}\p{Z}]+', ' ', 'g')), '’', chr(39)), '‘', chr(39))) AS normalized FROM documents""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("normalized"))
+    return T.with_normalized(table(s, d, "documents").select("doc_id", "text"), "text", "normalized").select("doc_id", "normalized")
 
 
 @query("canonical_names", """SELECT p_partkey, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || split_part(p_name, ' ', 2)
@@ -193,31 +193,16 @@ def _chain(s, d, edges):
     return out.select("id", F.when(~far, F.col("resolved")).alias("resolved"), "status", "was_redirected")
 
 
-def whole_sql(name: str) -> str:
-    """The comparison SQL of a registered query without its id subset, on the edges of all keys."""
-    return ORACLES[name].replace(" WHERE taxon_id < 1000", "").replace(" WHERE c.id < 1000", "").replace(B.CTES["edges"], B.CTES["edges_all"])
-
-
-@query("resolve_chain_all", whole_sql("resolve_chain"))
-def _(s, d):
-    return _chain(s, d, B.edges_all(s, d))
-
-
 @query("validate_chain_graph", B.sql(CHAIN.replace("FROM taxa\nUNION", "FROM taxa WHERE taxon_id IN (SELECT old_id FROM edges)\nUNION") + " SELECT count(*) FILTER (WHERE status = 'Cycle') AS cycles, count(*) FILTER (WHERE status = 'DepthLimit') AS too_long FROM chain", "taxa", "edges", recursive=True))
 def _(s, d):
     return resolve.validate_chain_graph(B.edges(s, d))
 
 
-@query("validate_chain_graph_all", whole_sql("validate_chain_graph"))
-def _(s, d):
-    return resolve.validate_chain_graph(B.edges_all(s, d))
-
-
 @query("resolve_item_links", B.sql(CHAIN + """ SELECT t.taxon_id AS qid, CASE WHEN ok THEN c.resolved END AS resolved, CASE WHEN ok AND c.status = 'Resolved' THEN c.resolved END AS taxon,
 CASE WHEN ok AND c.status = 'Resolved' THEN CASE r.status WHEN 'Accepted' THEN r.taxon_id WHEN 'Synonym' THEN a.taxon_id END END AS accepted, CASE WHEN ok THEN c.status ELSE 'NotFound' END AS status
-FROM (SELECT taxon_id, taxon_id % 13 <> 0 AS ok FROM taxa WHERE taxon_id < 1000) t JOIN chain c ON c.id = t.taxon_id LEFT JOIN taxa r ON r.taxon_id = c.resolved AND r.is_current LEFT JOIN taxa a ON a.taxon_id = r.accepted_id AND a.is_current""", "taxa", "edges", recursive=True))
+FROM (SELECT taxon_id, taxon_id % 13 <> 0 AS ok FROM taxa) t JOIN chain c ON c.id = t.taxon_id LEFT JOIN taxa r ON r.taxon_id = c.resolved AND r.is_current LEFT JOIN taxa a ON a.taxon_id = r.accepted_id AND a.is_current""", "taxa", "edges", recursive=True))
 def _(s, d):
-    return _item_links(s, d, B.taxa(s, d).where("taxon_id < 1000"), B.edges(s, d))
+    return _item_links(s, d, B.taxa(s, d), B.edges(s, d))
 
 
 def _item_links(s, d, chosen, edges):
@@ -226,11 +211,6 @@ def _item_links(s, d, chosen, edges):
     return out.select("qid", F.when(F.col("status") != "DepthLimit", F.col("resolved")).alias("resolved"), "taxon", "accepted", "status")
 
 
-@query("resolve_item_links_all", whole_sql("resolve_item_links"))
-def _(s, d):
-    return _item_links(s, d, B.taxa(s, d), B.edges_all(s, d))
-
-
 @query("resolution_report", B.sql("""SELECT CASE WHEN a.taxon_id IS NULL THEN 'NotFound' ELSE 'Resolved' END AS status, count(*) AS n, count(a.taxon_id) AS resolved, count(CASE WHEN a.status = 'Accepted' THEN 1 END) AS accepted, CAST(0 AS BIGINT) AS redirected
 FROM taxa t LEFT JOIN taxa a ON a.taxon_id = t.taxon_id AND a.is_current GROUP BY 1""", "taxa"))
 def _(s, d):
@@ -279,15 +259,10 @@ def _lookup(s, d, edges):
     return resolve.lookup_ext_id(q, m, edges, B.taxa(s, d))
 
 
-@query("lookup_ext_id_all", whole_sql("lookup_ext_id"))
-def _(s, d):
-    return _lookup(s, d, B.edges_all(s, d))
-
-
 @query("taxon_detail", B.sql(CHAIN + """ SELECT c.id, c.resolved, t.name, a.taxon_id AS accepted, a.name AS accepted_name, p.name AS parent_name FROM chain c LEFT JOIN taxa t ON t.taxon_id = c.resolved AND t.is_current
-LEFT JOIN taxa a ON a.taxon_id = t.accepted_id AND a.is_current LEFT JOIN taxa p ON p.taxon_id = t.parent_id AND p.is_current WHERE c.id < 1000""", "taxa", "edges", recursive=True))
+LEFT JOIN taxa a ON a.taxon_id = t.accepted_id AND a.is_current LEFT JOIN taxa p ON p.taxon_id = t.parent_id AND p.is_current""", "taxa", "edges", recursive=True))
 def _(s, d):
-    return _detail(s, d, B.taxa(s, d).where("taxon_id < 1000"), B.edges(s, d))
+    return _detail(s, d, B.taxa(s, d), B.edges(s, d))
 
 
 def _detail(s, d, chosen, edges):
@@ -296,24 +271,21 @@ def _detail(s, d, chosen, edges):
     return out.select("id", F.when(F.col("status") != "DepthLimit", F.col("resolved")).alias("resolved"), "name", F.col("accepted_id_record.id").alias("accepted"), F.col("accepted_id_record.name").alias("accepted_name"), F.col("parent_id_record.name").alias("parent_name"))
 
 
-@query("taxon_detail_all", whole_sql("taxon_detail"))
-def _(s, d):
-    return _detail(s, d, B.taxa(s, d), B.edges_all(s, d))
-
-
 @query("coverage", B.sql("""SELECT count(*) AS accepted_species, count(h) AS linked, round_even(count(h) * 100.0 / count(*), 2) AS percent FROM (SELECT taxon_id, (SELECT 1 FROM item_links l WHERE l.accepted = t.taxon_id AND l.qid % 4 = 0 LIMIT 1) AS h FROM taxa t WHERE is_current AND status = 'Accepted' AND rank = 'species')""", "taxa", "item_links"))
 def _(s, d):
     return resolve.coverage(B.taxa(s, d), B.item_links(s, d).where("qid % 4 = 0"))
 
 
-@query("trace_path", B.sql("""WITH b AS (SELECT c_custkey AS symbol, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey END, c_custkey - c_custkey % 3) AS taxon FROM customer),
-m AS (SELECT b.symbol, b.taxon, l.qid, true AS own FROM b JOIN item_links l ON l.taxon = b.taxon UNION ALL SELECT b.symbol, b.taxon, l.qid, false FROM b JOIN item_links l ON l.accepted = b.taxon AND l.accepted <> l.taxon),
+@query("trace_path", B.sql("""WITH sym AS (SELECT c_custkey AS symbol, p_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS accepted FROM customer JOIN part ON p_partkey = c_custkey + 1),
+b AS (SELECT symbol, coalesce(accepted, (SELECT min(t.taxon_id) FROM taxa t WHERE t.is_current AND t.status = 'Accepted' AND t.name = sym.name)) AS taxon FROM sym),
+m AS (SELECT b.symbol, b.taxon, l.qid, l.taxon = b.taxon AS own FROM b JOIN item_links l ON l.qid % 5 <> 0 AND (l.taxon = b.taxon OR l.accepted = b.taxon)),
 r AS (SELECT m.*, p_name AS title, row_number() OVER (PARTITION BY symbol ORDER BY own DESC, qid, p_name) AS k FROM m JOIN part ON p_partkey = m.qid AND p_size > 10)
-SELECT symbol, taxon, qid, title, own FROM r WHERE k <= 3""", "item_links"))
+SELECT symbol, taxon, qid, title, own FROM r WHERE k <= 3""", "taxa", "item_links"))
 def _(s, d):
-    links = table(s, d, "customer").selectExpr("c_custkey AS symbol", "c_custkey - c_custkey % 3 AS taxon", "CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS accepted")
-    arts = table(s, d, "part").where("p_size > 10").selectExpr("p_partkey AS qid", "p_name AS title")
-    return resolve.trace_path(links, B.item_links(s, d), arts)
+    symbols = table(s, d, "customer").join(table(s, d, "part"), F.col("p_partkey") == F.col("c_custkey") + 1).selectExpr("c_custkey AS symbol", "p_name AS name")
+    links = table(s, d, "customer").selectExpr("c_custkey AS symbol", "CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS accepted")
+    arts = table(s, d, "part").selectExpr("p_partkey AS qid", "p_name AS title", "p_size > 10 AS is_current")
+    return resolve.trace_path(symbols, links, B.taxa(s, d), B.item_links(s, d).withColumn("is_current", F.col("qid") % 5 != 0), arts)
 
 
 @query("best_names", B.sql("""SELECT DISTINCT ON (target) target, name AS common_name FROM (SELECT coalesce(l.accepted, l.taxon) AS target, n.* FROM names n JOIN item_links l ON l.qid = n.qid WHERE language = 'en' OR language LIKE 'en-%') ORDER BY target, language <> 'en', length(name), name""", "names", "item_links"))
@@ -439,35 +411,73 @@ def _(s, d):
     return profile.label_coverage(_labelled(s, d))
 
 
-THEIRS = """theirs AS (SELECT DISTINCT user_id AS symbol, 'Action' AS field, CASE WHEN user_id % 2 = 0 THEN 'own CLICK' ELSE 'other' END AS value FROM events UNION ALL SELECT DISTINCT user_id, 'Top', '99' FROM events UNION ALL SELECT DISTINCT user_id, 'Oops', 'x' FROM events)"""
+# Modes of comparison over each user's events: a label with two values, the largest number, a label that is missing, a
+# flag that only some labels belong to, and a set.
+FIELDS = [("Action", "k_click", "Label", None), ("Top", "k_buy", "Max", None), ("Oops", "k_error", "Label", None), ("Low", "k_buy", "Min", None), ("View", "k_seen", "Flag", None), ("Kinds", "k_seen", "Set", None)]
+
+
+def _facts_seen(s, d):
+    """The labelled facts, and once more the clicks and views under one key, as flags and members of a set."""
+    own = _labelled(s, d).select("row_no", "symbol", "code", "key", "label", "confidence", "label_type", F.when(F.col("key") == "k_buy", F.col("numeric").cast("decimal(38,15)")).alias("numeric"), F.lit(None).cast("string").alias("statistic"))
+    label = F.when(F.col("code") == "view", F.concat(F.lit("View: "), F.when(F.col("symbol") % 5 == 0, "No").otherwise("Yes"))).otherwise("Plain click")
+    seen = own.where("code in ('click', 'view')").withColumns({"key": F.lit("k_seen"), "label": label, "confidence": F.when(F.col("code") == "view", "inferred").otherwise("verified"), "label_type": F.lit(None).cast("string")})
+    return own.unionByName(seen)
 
 
 def _compared(s, d):
     e = table(s, d, "events").select(F.col("user_id").alias("symbol")).distinct()
-    theirs = e.selectExpr("symbol", "'aCTION' AS field", "CASE WHEN symbol % 2 = 0 THEN 'own CLICK' ELSE 'other' END AS value").unionByName(e.selectExpr("symbol", "'Top' AS field", "'99' AS value")).unionByName(e.selectExpr("symbol", "'Oops' AS field", "'x' AS value"))
-    mapping = s.createDataFrame([("Action", "k_click", "Label", None), ("Top", "k_buy", "Max", None), ("Oops", "k_error", "Label", None)], "field string, key string, mode string, statistic string")
-    ours = _labelled(s, d).withColumn("statistic", F.lit(None).cast("string")).withColumn("present", F.lit(True)).withColumn("numeric", F.when(F.col("key") == "k_buy", F.col("numeric").cast("decimal(38,15)")))
+    values = [("aCTION", "CASE WHEN symbol % 2 = 0 THEN 'own CLICK' ELSE 'other' END"), ("aCTION", "CASE WHEN symbol % 4 = 0 THEN 'third' ELSE 'own click' END"), ("Top", "'99'"), ("Low", "'1'"), ("Oops", "'x'"), ("view", "'YES'"), ("Kinds", "'plain click'"), ("Kinds", "CASE WHEN symbol % 2 = 0 THEN 'View: yes' ELSE 'plain click' END")]
+    theirs = None
+    for field, value in values:
+        rows = e.selectExpr("symbol", f"'{field}' AS field", f"{value} AS value")
+        theirs = rows if theirs is None else theirs.unionByName(rows)
+    mapping = s.createDataFrame(FIELDS, "field string, key string, mode string, statistic string")
+    ours = _facts_seen(s, d)
     return facts.compare_facts(ours, theirs, mapping), ours
 
 
-COMPARED = f"""WITH {LABEL_SQL}, buy AS (SELECT user_id AS symbol, max(CAST(value AS DECIMAL(20, 4))) AS hi FROM events WHERE event_type = 'purchase' GROUP BY 1), u AS (SELECT DISTINCT user_id AS symbol FROM events),
-has AS (SELECT symbol, count(*) FILTER (WHERE key = 'k_click') AS clicks, count(*) FILTER (WHERE key = 'k_error') AS errors FROM lf GROUP BY 1),
-cmp AS (SELECT u.symbol, 'k_click' AS key, 'Action' AS field, 'Label' AS mode, CASE WHEN clicks = 0 THEN 'Missing' WHEN u.symbol % 2 = 0 THEN 'Agree' ELSE 'Disagree' END AS outcome FROM u JOIN has ON has.symbol = u.symbol
-UNION ALL SELECT u.symbol, 'k_buy', 'Top', 'Max', CASE WHEN hi IS NULL THEN 'Missing' WHEN abs(hi - 99) <= 0.000001 THEN 'Agree' ELSE 'Disagree' END FROM u LEFT JOIN buy ON buy.symbol = u.symbol
-UNION ALL SELECT u.symbol, 'k_error', 'Oops', 'Label', CASE WHEN errors = 0 THEN 'Missing' ELSE 'Unresolved' END FROM u JOIN has ON has.symbol = u.symbol)"""
+COMPARED = f"""WITH {LABEL_SQL}, u AS (SELECT DISTINCT user_id AS symbol FROM events),
+has AS (SELECT user_id AS symbol, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'view') AS views,
+ max(CAST(value AS DECIMAL(20, 4))) FILTER (WHERE event_type = 'purchase') AS hi, min(CAST(value AS DECIMAL(20, 4))) FILTER (WHERE event_type = 'purchase') AS lo FROM events GROUP BY 1),
+said AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 'own CLICK' ELSE 'other' END AS value FROM u UNION SELECT symbol, CASE WHEN symbol % 4 = 0 THEN 'third' ELSE 'own click' END FROM u),
+kinds AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN ['plain click', 'view: yes'] ELSE ['plain click'] END AS they,
+ CASE WHEN clicks > 0 AND views > 0 THEN ['plain click', CASE WHEN symbol % 5 = 0 THEN 'view: no' ELSE 'view: yes' END] WHEN clicks > 0 THEN ['plain click'] WHEN views > 0 THEN [CASE WHEN symbol % 5 = 0 THEN 'view: no' ELSE 'view: yes' END] ELSE [] END AS we FROM has),
+cmp AS (SELECT s.symbol, 'k_click' AS key, 'Action' AS field, 'Label' AS mode, value, CASE WHEN clicks = 0 THEN 'Missing' WHEN lower(value) = 'own click' THEN 'Agree' ELSE 'Disagree' END AS outcome FROM said s JOIN has ON has.symbol = s.symbol
+UNION ALL SELECT symbol, 'k_buy', 'Top', 'Max', '99', CASE WHEN hi IS NULL THEN 'Missing' WHEN abs(hi - 99) <= 0.000001 THEN 'Agree' ELSE 'Disagree' END FROM has
+UNION ALL SELECT symbol, 'k_buy', 'Low', 'Min', '1', CASE WHEN lo IS NULL THEN 'Missing' WHEN abs(lo - 1) <= 0.000001 THEN 'Agree' ELSE 'Disagree' END FROM has
+UNION ALL SELECT symbol, 'k_error', 'Oops', 'Label', 'x', CASE WHEN errors = 0 THEN 'Missing' ELSE 'Unresolved' END FROM has
+UNION ALL SELECT symbol, 'k_seen', 'View', 'Flag', 'YES', CASE WHEN views = 0 THEN 'Missing' WHEN views = 1 AND symbol % 5 <> 0 THEN 'Agree' ELSE 'Disagree' END FROM has
+UNION ALL SELECT has.symbol, 'k_seen', 'Kinds', 'Set', NULL, CASE WHEN clicks + views = 0 THEN 'Missing' WHEN we = they THEN 'Agree' ELSE 'Disagree' END FROM has JOIN kinds ON kinds.symbol = has.symbol)"""
 
 
-@query("compare_facts", f"{COMPARED} SELECT * FROM cmp")
+@query("compare_facts", f"{COMPARED} SELECT symbol, key, field, mode, value, outcome FROM cmp")
 def _(s, d):
-    return _compared(s, d)[0]
+    return _compared(s, d)[0].drop("they")
+
 
+TALLIED = f"""{COMPARED}, seen AS (SELECT user_id AS symbol, event_type AS code, CASE event_type WHEN 'view' THEN 'inferred' ELSE 'verified' END AS confidence, CASE WHEN event_type = 'click' THEN 'plain click' WHEN user_id % 5 = 0 THEN 'view: no' ELSE 'view: yes' END AS label FROM events WHERE event_type IN ('click', 'view')),
+hits AS (SELECT lf.code, lf.confidence, cmp.symbol, outcome = 'Agree' AS ok FROM cmp JOIN lf ON lf.symbol = cmp.symbol AND lf.key = cmp.key WHERE mode = 'Label' AND outcome IN ('Agree', 'Disagree')
+UNION ALL SELECT code, confidence, cmp.symbol, outcome = 'Agree' FROM cmp JOIN seen ON seen.symbol = cmp.symbol WHERE mode = 'Flag' AND outcome IN ('Agree', 'Disagree') AND code = 'view'
+UNION ALL SELECT code, confidence, cmp.symbol, list_contains(they, label) FROM cmp JOIN seen ON seen.symbol = cmp.symbol JOIN kinds ON kinds.symbol = cmp.symbol WHERE mode = 'Set' AND outcome IN ('Agree', 'Disagree')),
+tally AS (SELECT code, confidence, count(*) FILTER (WHERE ok) AS agree, count(*) FILTER (WHERE NOT ok) AS disagree, count(DISTINCT CASE WHEN ok THEN symbol END) AS agreeing_taxa FROM hits GROUP BY 1, 2)"""
 
-@query("tally_codes", f"""{COMPARED} SELECT lf.code, lf.confidence, count(*) FILTER (WHERE outcome = 'Agree') AS agree, count(*) FILTER (WHERE outcome = 'Disagree') AS disagree, count(DISTINCT CASE WHEN outcome = 'Agree' THEN cmp.symbol END) AS agreeing_taxa
-FROM cmp JOIN lf ON lf.symbol = cmp.symbol AND lf.key = cmp.key WHERE outcome IN ('Agree', 'Disagree') GROUP BY 1, 2""")
+
+@query("tally_codes", f"{TALLIED} SELECT code, confidence, CAST(sum(agree) AS BIGINT) AS agree, CAST(sum(disagree) AS BIGINT) AS disagree, CAST(max(agreeing_taxa) AS BIGINT) AS agreeing_taxa FROM tally GROUP BY 1, 2")
 def _(s, d):
     return facts.tally_codes(*_compared(s, d)).select("code", "confidence", "agree", "disagree", "agreeing_taxa")
 
 
+@query("verification_verdict", f"{TALLIED} SELECT count(*) FILTER (WHERE confidence = 'verified' AND disagree > 0) = 0 AS passed, count(*) FILTER (WHERE confidence = 'verified' AND disagree > 0) AS contradicted FROM tally")
+def _(s, d):
+    return facts.passed(facts.tally_codes(*_compared(s, d)))
+
+
+@query("trait_tally", f"""{COMPARED} SELECT key, field, count(*) FILTER (WHERE outcome = 'Agree') AS agree, count(*) FILTER (WHERE outcome = 'Disagree') AS disagree, count(*) FILTER (WHERE outcome = 'Missing') AS missing,
+count(*) FILTER (WHERE outcome = 'Unmapped') AS unmapped, count(*) FILTER (WHERE outcome = 'Unresolved') AS unresolved FROM cmp GROUP BY 1, 2""")
+def _(s, d):
+    return facts.trait_tally(_compared(s, d)[0])
+
+
 # a user's distinct click is the observed shade; every tenth user has an error as well, so two facts and no observation
 @query("shade_score", """WITH one AS (SELECT symbol FROM (SELECT DISTINCT user_id AS symbol, event_type FROM events WHERE event_type = 'click' OR event_type = 'error' AND user_id % 10 = 0) GROUP BY 1 HAVING count(*) = 1 AND max(event_type) = 'click')
 SELECT 'shade' AS key, 'Shade' AS field, count(*) AS compared, count(*) FILTER (WHERE symbol % 3 = 0) AS direct_agreements, count(*) FILTER (WHERE symbol % 3 = 1) AS inverted_agreements FROM one HAVING count(*) > 0""")
@@ -509,7 +519,7 @@ def _(s, d):
     return dedup.limit_keys(table(s, d, "orders"), "o_custkey", 50)
 
 
-@query("deterministic_sample")
+@query("deterministic_sample", "SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 100) UNION SELECT c_custkey FROM customer WHERE c_custkey < 5")
 def _(s, d):
     return dedup.deterministic_sample(table(s, d, "customer"), "c_custkey", 100, 7, table(s, d, "customer").where("c_custkey < 5"))
 
@@ -582,6 +592,20 @@ def _(s, d):
     return snapshot.set_mismatch(rows.where("v % 5 <> 0"), rows.where("v % 7 <> 0"), ["k"], "v")
 
 
+@query("title_link_counts", """WITH n AS (SELECT DISTINCT p_partkey AS qid, p_name AS title FROM part WHERE p_partkey % 50 < 20), o AS (SELECT DISTINCT p_partkey AS qid, p_name AS title FROM part WHERE p_size < 20)
+SELECT (SELECT count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM o)) AS inserted, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)) AS removed""")
+def _(s, d):
+    rows = table(s, d, "part").selectExpr("p_partkey AS qid", "p_name AS title", "p_size")
+    return articles.title_link_counts(rows.where("qid % 50 < 20"), rows.where("p_size < 20"))
+
+
+@query("articles_to_fetch", "SELECT o_orderkey AS k, o_orderkey % 9 AS rev, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 END AS fetched_rev FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND (o_orderkey % 4 = 0 OR o_orderkey % 9 <> o_orderkey % 8)")
+def _(s, d):
+    o = table(s, d, "orders")
+    state = o.selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 END AS fetched_rev")
+    return snapshot.needs_refresh(state, o.selectExpr("o_orderkey AS k", "o_orderkey % 9 AS rev", "o_orderkey % 13 = 0 AS missing", "o_orderkey % 11 = 0 AS disambiguation"), "k")
+
+
 @query("needs_refresh", "SELECT o_orderkey AS k, o_orderkey % 9 AS rev, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 END AS fetched_rev FROM orders WHERE o_orderkey % 13 <> 0 AND (o_orderkey % 4 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 9 <> o_orderkey % 8)")
 def _(s, d):
     o = table(s, d, "orders")
@@ -613,9 +637,9 @@ def _(s, d):
     return articles.apply_article_updates(arts, info, leads, req).select("title", "status", "rev")
 
 
-@query("rows_fingerprint")
+@query("rows_fingerprint", """SELECT count(*) AS rows, CAST(sum(CAST('0x' || md5(o_orderkey || chr(31) || o_custkey || chr(31) || coalesce(o_orderstatus, chr(30)) || chr(31) || coalesce(o_orderpriority, chr(30)))[1:8] AS BIGINT)) AS BIGINT) AS checksum FROM orders""")
 def _(s, d):
-    return rows_fingerprint(table(s, d, "orders"))
+    return rows_fingerprint(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 @query("latest_revisions", "SELECT DISTINCT ON (conv_id) conv_id, turn, role FROM conversations ORDER BY conv_id, turn DESC")

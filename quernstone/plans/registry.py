@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from quernstone.plans import round_trips
 from quernstone.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "search_names"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "round_trips"]

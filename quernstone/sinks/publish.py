@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,21 @@ RUNS = "import_id long, source string, kind string, status string, at timestamp,
 def publish(tables: dict[str, DataFrame], path: str, import_id: int) -> None:
     """Write all tables under a version of their own, then one pointer row last.
 
-    Readers follow the pointer, so a failed write or gate leaves nothing visible.
+    Readers follow the pointer, so a failed write or gate leaves nothing visible. A version is never written twice:
+    what is published again may read the version before, also when a lost executor's share is computed anew.
     """
+    version = f"{import_id}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/v={import_id}/{name}")
+        df.write.parquet(f"{path}/v={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(import_id).cast("long").alias("import_id"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    row = spark.range(1).select(F.lit(import_id).cast("long").alias("import_id"), F.current_timestamp().alias("at"), F.lit(version).alias("version"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table of the last publication."""
-    last = spark.read.schema("import_id long, at timestamp").parquet(f"{path}/pointer").agg(F.max_by("import_id", F.struct("at", "import_id")).alias("v")).first().v
+    pointers = spark.read.schema("import_id long, at timestamp, version string").parquet(f"{path}/pointer")
+    last = pointers.agg(F.max_by("version", F.struct("at", "import_id", "version")).alias("v")).first().v
     return spark.read.parquet(f"{path}/v={last}/{name}")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import empty_to_null, is_snake_key, normalize_ext_id, parse_iso_date
+from quernstone.functions.text import DISTRIBUTION_KINDS, empty_to_null, is_blank, is_snake_key, normalize_ext_id, parse_iso_date
 from quernstone.operators.validate import GateClosed, check_rules, issue, split_valid
 
 # The columns of the taxonomy snapshot, in order.
@@ -52,7 +52,7 @@ def scan_taxonomy_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     if _first_line(spark, path).split("\t") != TAXONOMY_COLUMNS:
         raise BadHeader(path)
     schema = _texts([*TAXONOMY_COLUMNS, "_corrupt"])
-    rows = spark.read.schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = spark.read.option("columnPruning", False).schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = rows.select("_corrupt", *[empty_to_null(F.col(c)).alias(c) for c in TAXONOMY_COLUMNS])
     dates = [issue("warning", "date", c, F.col(c).isNotNull() & parse_iso_date(F.col(c)).isNull(), F.col(c)) for c in ("created", "modified")]
     broken = issue("error", "record", "_corrupt", F.col("_corrupt").isNotNull())
@@ -66,19 +66,23 @@ def scan_supplemental_csv(spark: SparkSession, path: str, kind: str) -> tuple[Da
     Replacements may come with the five names of deprecated ones over six fields: the second is the replacement.
     """
     names = SUPPLEMENTAL[kind]
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        raise GateClosed(f"{path}: invalid UTF-8")
     header = _first_line(spark, path).replace('"', "").split(",")
     quirk = kind == "deduplicated" and header == SUPPLEMENTAL["deprecated"]
     if header != names and not quirk:
         raise BadHeader(path)
     schema = _texts([*names, "_corrupt"])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True)
+    rows = spark.read.option("columnPruning", False).schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True)
     ids = [c for c in names if c in ("wfo_id", "replacement_wfo_id")]
     wrong = F.col("_corrupt").isNotNull()
     for c in ids:
-        wrong = wrong | ~F.coalesce(F.col(c).rlike(r"^wfo-\S+\z") & ~F.contains(F.col(c), F.lit("�")), F.lit(False))
+        wrong = wrong | ~F.coalesce(F.col(c).rlike(r"(?U)\Awfo-\S+\z") & ~F.contains(F.col(c), F.lit("�")), F.lit(False))
+    for c in names:
+        wrong = wrong | F.coalesce(F.contains(F.col(c), F.lit("\x00")), F.lit(False))
     if kind == "ipni":
-        wrong = wrong | (F.coalesce(F.btrim("ipni_id"), F.lit("")) == "")
         rows = rows.withColumn("normalized_id", normalize_ext_id(F.col("ipni_id")))
+        wrong = wrong | is_blank(F.col("normalized_id")) | F.coalesce(F.contains(F.col("ipni_id"), F.lit("�")), F.lit(False))
     bad = rows.agg(F.count_if(wrong).alias("n")).first().n
     if bad:
         raise GateClosed(f"{path}: {bad} bad rows")
@@ -87,46 +91,74 @@ def scan_supplemental_csv(spark: SparkSession, path: str, kind: str) -> tuple[Da
     return rows.drop("_corrupt"), issues
 
 
-def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Tables of a Darwin Core Archive by name: rows and issues.
-
-    ``expected`` maps our name to (row type, terms in order). The descriptor must declare exactly one table of each
-    row type, UTF-8, tab, one header line, unquoted, and those terms. Data lines are split as they are: quotes and
-    backslashes are data, an empty line is skipped, a line of another width is rejected.
-    """
-    tables = {}
+def _declared(spark: SparkSession, folder: str) -> dict[str, list[tuple[dict, list[dict]]]]:
+    """Row type to the tables that an archive's descriptor declares, each with its fields in order."""
+    tables: dict[str, list] = {}
     for tag in ("core", "extension", "table"):
         found = spark.read.format("xml").option("rowTag", tag).load(f"{folder}/meta.xml")
         if found.columns:
             for row in found.collect():  # a descriptor has a handful of tables
                 d = row.asDict(recursive=True)
                 fields = d.get("field") or []
-                tables.setdefault(d.get("_rowType"), []).append((d, sorted([fields] if isinstance(fields, dict) else fields, key=lambda f: int(f["_index"]))))
-    out = {}
+                fields = sorted([fields] if isinstance(fields, dict) else fields, key=lambda f: int(f["_index"]))
+                tables.setdefault(d.get("_rowType"), []).append((d, fields))
+    return tables
+
+
+def _location(table: dict) -> str | None:
+    file = (table.get("files") or {}).get("location")
+    return file[0] if isinstance(file, list) else file
+
+
+# What each table's declaration must say.
+DECLARATION = {"_encoding": "UTF-8", "_fieldsTerminatedBy": "\\t", "_linesTerminatedBy": "\\n", "_ignoreHeaderLines": "1"}
+
+
+def ignored_tables(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]]) -> list[tuple[str | None, str]]:
+    """(file, row type) of the declared tables that are not read."""
+    known = {row_type for row_type, _ in expected.values()}
+    return [(_location(d), t) for t, of in _declared(spark, folder).items() if t is not None and t not in known for d, _ in of]
+
+
+def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Tables of a Darwin Core Archive by name: rows and issues.
+
+    ``expected`` maps our name to (row type, terms in order). The descriptor must declare exactly one table of each
+    row type, UTF-8, tab and line feed, one header line, unquoted, and those terms under the indexes from 0 on. Lines
+    are split as they are: quotes and backslashes are data, the first line of a file is its header, an empty line is
+    skipped, a line of another width is rejected. An empty field is an empty text.
+    """
+    tables, out = _declared(spark, folder), {}
     for name, (row_type, terms) in expected.items():
         of = tables.get(row_type, [])
         if len(of) != 1:
             raise BadHeader(f"{row_type}: {len(of)} tables")
         d, fields = of[0]
-        if [f["_term"] for f in fields] != terms or str(d.get("_encoding", "UTF-8")).upper() != "UTF-8" or str(d.get("_ignoreHeaderLines", "1")) != "1":
+        said = all(str(d.get(k)).upper() == v.upper() for k, v in DECLARATION.items()) and not d.get("_fieldsEnclosedBy")
+        if not said or [int(f["_index"]) for f in fields] != list(range(len(terms))) or [f["_term"] for f in fields] != terms:
             raise BadHeader(row_type)
-        file = d["files"]["location"]
-        file = file[0] if isinstance(file, list) else file
+        file = _location(d)
+        if not file or "/" in file or "\\" in file:
+            raise BadHeader(f"{row_type}: {file}")
         short = [t.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for t in terms]
-        lines = spark.read.text(f"{folder}/{file}", lineSep="\n").where("value <> ''")
-        head = lines.first()
-        lines = lines.where(F.col("value") != F.lit(head.value if head else "")).select(F.split("value", "\t", -1).alias("p"))
-        rows = lines.where(F.size("p") == len(terms)).select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(short)])
-        issues = lines.where(F.size("p") != len(terms)).select(F.lit(file).alias("file"), F.get("p", F.lit(0)).alias("key"), F.lit("error").alias("severity"), F.lit("width").alias("kind"), F.lit(None).cast("string").alias("field"), F.size("p").cast("string").alias("message"))
+        lines = spark.read.option("columnPruning", False).schema(_texts([*short, "_corrupt"])).csv(
+            f"{folder}/{file}", sep="\t", header=True, quote="", escape="", lineSep="\n", columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE",
+            enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        # always true: Spark reads the column of broken lines only beside another one
+        beside = F.col(short[0]).isNull() | (F.length(short[0]) >= 0)
+        rows = lines.where(F.col("_corrupt").isNull() & beside).select(*[F.coalesce(c, F.lit("")).alias(c) for c in short])
+        parts = F.split("_corrupt", "\t", -1)
+        issues = lines.where(F.col("_corrupt").isNotNull() & beside).select(F.lit(file).alias("file"), F.coalesce(F.col(short[0]), F.get(parts, F.lit(0))).alias("key"), F.lit("error").alias("severity"), F.lit("width").alias("kind"), F.lit(None).cast("string").alias("field"), F.size(parts).cast("string").alias("message"))
         out[name] = rows, issues
     return out
 
 
 def seed_rules(kind: str) -> dict:
     """Named conditions that every row of a seed must meet."""
-    filled = {c: F.coalesce(F.btrim(c), F.lit("")) != "" for c in SEEDS[kind]}
+    filled = {c: ~is_blank(F.col(c)) for c in SEEDS[kind]}
     if kind == "trait_type":
-        return {"type_uri": filled["type_uri"], "key": is_snake_key(F.col("key")), "label": filled["label"], "value_kind": F.col("value_kind").isin("coded", "numeric", "literal", "multi")}
+        return {"type_uri": filled["type_uri"], "key": is_snake_key(F.col("key")), "label": filled["label"], "value_kind": F.col("value_kind").isin("coded", "numeric", "literal", "multi"), "distribution types are not traits": ~F.coalesce(F.col("type_uri").isin(*DISTRIBUTION_KINDS), F.lit(False))}
     if kind == "code_label":
         known = F.col("confidence").isin("verified", "inferred", "unresolved")
         return {"code": filled["code"], "confidence": known, "label": filled["label"] == (F.col("confidence") != "unresolved"), "ordinal": F.col("ordinal").isNull() | F.col("ordinal").rlike(r"^-?[0-9]+\z")}
@@ -134,20 +166,30 @@ def seed_rules(kind: str) -> dict:
 
 
 def scan_seed_csv(spark: SparkSession, path: str, kind: str, types: DataFrame | None = None) -> DataFrame:
-    """A checked seed. All failures are gathered; the error shows the first twenty of each rule."""
+    """A checked seed. All failures are gathered, each with file and record number; the error shows the first twenty.
+
+    Every record must have the header's width, keys must be unique (those of trait types by themselves as well), and
+    overrides must name a known type.
+    """
     names = SEEDS[kind]
     if _first_line(spark, path).replace('"', "").split(",") != names:
         raise BadHeader(path)
-    rows = spark.read.schema(_texts(names)).csv(path, header=True, quote='"', escape='"', multiLine=True)
-    key = {"trait_type": ["type_uri"], "code_label": ["code", "type_uri"], "place_label": ["scheme", "place_id"]}[kind]
-    broken = check_rules(rows, seed_rules(kind), F.concat_ws("/", *key)).collect()
-    again = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").count()
-    messages = [f"{r.rule}: {r.examples}" for r in broken] + ([f"{again} duplicate keys"] if again else [])
+    rows = spark.read.option("columnPruning", False).schema(_texts([*names, "_corrupt"])).csv(path, header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True)
+    # a seed is one small file, so the number of a row is its record's; the header is the first
+    rows = rows.withColumn("_at", F.concat(F.lit(path.rsplit("/", 1)[-1] + ":"), (F.monotonically_increasing_id() + 2).cast("string")))
+    unique = {"trait_type": [["type_uri"], ["key"]], "code_label": [["code", "type_uri"]], "place_label": [["scheme", "place_id"]]}[kind]
+    rules = {"width": F.col("_corrupt").isNull(), **seed_rules(kind)}
+    broken = check_rules(rows, rules, F.concat_ws(" ", "_at", *unique[0])).orderBy("rule").collect()
+    messages = [f"{r.rule}: {r.examples}" for r in broken]
+    for key in unique:
+        again = rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("_at").alias("at")).where("n > 1").orderBy("at").limit(20).collect()
+        messages += [f"{r.at}: duplicate {', '.join(key)}" for r in again]
     if kind == "code_label" and types is not None:
-        lost = rows.where("type_uri is not null").join(types.select("type_uri"), "type_uri", "left_anti").count()
-        messages += [f"{lost} overrides of unknown types"] if lost else []
+        lost = rows.where("type_uri is not null").join(types.select("type_uri"), "type_uri", "left_anti").orderBy("_at").limit(20).collect()
+        messages += [f"{r['_at']}: {r.type_uri} is not a trait type" for r in lost]
     if messages:
         raise GateClosed("; ".join(messages[:20]) + (f" and {len(messages) - 20} more" if len(messages) > 20 else ""))
+    rows = rows.drop("_corrupt", "_at")
     return rows.withColumn("ordinal", F.col("ordinal").cast("int")) if kind == "code_label" else rows
 
 
@@ -169,8 +211,14 @@ def build_place_dimension(admin1: DataFrame, countries: DataFrame, used: DataFra
 
 
 def rows_fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, checksum): does not depend on the order of rows."""
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """(rows, checksum): does not depend on the order of rows.
+
+    Each row is a line of its values as text, parted by U+001F, null as U+001E; the checksum is the sum of the first
+    eight hexadecimal digits of the lines' MD5.
+    """
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in df.columns])
+    digits = F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digits), F.lit(0)).alias("checksum"))
 
 
 def files_fingerprint(spark: SparkSession, files: dict[str, str]) -> str:

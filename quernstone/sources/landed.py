@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import is_qid, statement_rank
+from quernstone.session import written
 
 SPARQL = "results struct<bindings:array<struct<item:struct<value:string>,wfo:struct<value:string>,rank:struct<value:string>>>>"
 ENTITIES = """entities map<string,struct<id:string,missing:string,lastrevid:bigint,redirects:struct<`from`:string,`to`:string>,
@@ -17,7 +18,8 @@ pageid:bigint,lastrevid:bigint,extract:string,pageprops:struct<wikibase_item:str
 EXTERNAL_IDS = ["P846", "P961", "P1772", "P5037"]  # fixed values
 MAX_HOPS = 10
 # The organs that a predicted one must be among.
-ORGANS = ["leaf", "flower", "fruit", "bark", "habit", "scan", "branch", "sheet", "bud", "seed", "root", "stem", "tuber", "anatomic", "other"]
+ORGANS = ["auto", "leaf", "flower", "fruit", "bark", "habit", "scan", "branch", "sheet", "other", "drawing", "seed", "bud", "anatomy", "aerial"]
+ENTITY = "http://www.wikidata.org/entity/"  # fixed value
 
 
 def scan_sparql_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +28,7 @@ def scan_sparql_results(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     A truncated document is an error.
     """
     rows = spark.read.schema(SPARQL).json(path, multiLine=True, mode="FAILFAST").select(F.explode("results.bindings").alias("b"))
-    qid = F.regexp_extract("b.item.value", r"/entity/(Q[1-9][0-9]*)\z", 1)
+    qid = F.regexp_extract("b.item.value", rf"\A\Q{ENTITY}\E(Q[1-9][0-9]*)\z", 1)
     rows = rows.select(F.nullif(qid, F.lit("")).alias("qid"), F.col("b.wfo.value").alias("ext_id"), statement_rank(F.col("b.rank.value")).alias("statement_rank"), F.col("b.item.value").alias("item"))
     ok = F.col("qid").isNotNull() & F.col("ext_id").isNotNull() & F.col("statement_rank").isin("preferred", "normal")
     kind = F.when(F.col("statement_rank") == "deprecated", "deprecated").when(F.col("qid").isNull(), "item").when(F.col("ext_id").isNull(), "value").otherwise("rank")
@@ -35,14 +37,16 @@ def scan_sparql_results(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def scan_entities_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """item, item_name, item_external_id, item_taxon_id, redirect and missing of landed entities.
+    """item, item_name, item_external_id, item_taxon_id, redirect, missing and issues of landed entities.
 
     Claims count with rank preferred or normal and a value; preferred ones first, then in the order of the statements.
     """
     e = spark.read.schema(ENTITIES).json(path, multiLine=True, mode="FAILFAST").select(F.explode("entities").alias("key", "e"))
     e = e.select("key", F.coalesce("e.redirects.from", "key").alias("requested"), F.coalesce("e.id", "key").alias("qid"), F.col("e.missing").isNotNull().alias("missing"), "e.lastrevid", "e.labels", "e.sitelinks", "e.claims")
     missing = e.where("missing").select(F.col("requested").alias("qid"))
-    live = e.where("not missing").where(is_qid(F.col("qid")))
+    known = F.coalesce(is_qid(F.col("qid")), F.lit(False))
+    live = e.where("not missing").where(known)
+    issues = e.where("not missing").where(~known).select(F.lit("warning").alias("severity"), F.lit("qid").alias("kind"), F.coalesce("qid", F.lit("")).alias("message"))
 
     def values(prop: str):
         every = F.coalesce(F.col("claims")[prop], F.array())
@@ -64,27 +68,32 @@ def scan_entities_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         external = external.unionByName(more)
     taxon_ids = live.select("qid", F.explode(values("P7715")).alias("taxon_id_raw")).distinct()
     redirect = live.where("requested <> qid").select("requested", F.col("qid").alias("actual"))
-    return {"item": item, "item_name": names, "item_external_id": external.distinct(), "item_taxon_id": taxon_ids, "redirect": redirect, "missing": missing}
+    return {"item": item, "item_name": names, "item_external_id": external.distinct(), "item_taxon_id": taxon_ids, "redirect": redirect, "missing": missing, "issues": issues}
 
 
 def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
     """(requested_title, title, missing, page_id, rev, item, short_description, disambiguation, extract).
 
-    Titles go through normalisation, conversion and at most ten redirects; the place of a page in a response means
+    Titles go through normalisation, conversion and at most ten redirects, each within its response; the place of a page in a response means
     nothing. Continued responses merge: the first non-null value of each field, in order of file name.
     """
     raw = spark.read.schema(PAGES).json(path, multiLine=True, mode="FAILFAST").select(F.input_file_name().alias("file"), "query")
+    raw = written(raw, "pages")  # each hop reads it
 
     def edges(name):
-        rows = raw.select(F.explode_outer(f"query.{name}").alias("x")).where("x is not null")
+        rows = raw.select("file", F.explode_outer(f"query.{name}").alias("x")).where("x is not null")
         source = F.when(F.coalesce("x.fromencoded", F.lit(False)), F.url_decode("x.from")).otherwise(F.col("x.from"))
-        return rows.select(source.alias("f"), F.col("x.to").alias("t")).distinct()
+        return rows.select("file", source.alias("f"), F.col("x.to").alias("t")).distinct()
 
-    at = requested.select(F.col("title").alias("requested_title"), F.col("title").alias("at"))
-    for name in ["normalized", "converted", *["redirects"] * MAX_HOPS]:
-        hop = edges(name)
-        at = at.join(hop, (at["at"] == hop.f) & (hop.f != hop.t), "left").select("requested_title", F.coalesce("t", "at").alias("at"))
     p = raw.select("file", F.explode("query.pages").alias("p")).select("file", "p.*")
+    named = p.select("file", F.col("title").alias("f"))
+    for name in ("normalized", "converted", "redirects"):
+        named = named.unionByName(edges(name).select("file", "f"))
+    at = requested.select(F.col("title").alias("requested_title")).join(named.distinct(), F.col("requested_title") == F.col("f"), "left").select("requested_title", "file", F.col("requested_title").alias("at"))
+    for name in ["normalized", "converted", *["redirects"] * MAX_HOPS]:
+        hop = edges(name).where("f <> t").withColumnRenamed("file", "__file")
+        at = at.join(hop, (at["at"] == hop.f) & (at.file == hop["__file"]), "left").select("requested_title", "file", F.coalesce("t", "at").alias("at"))
+    at = at.groupBy("requested_title").agg(F.min_by("at", F.struct(F.col("file").isNull().alias("n"), F.col("file"))).alias("at"))
 
     def first(c, name):
         return F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("file"))).alias(name)
@@ -118,12 +127,16 @@ family:struct<scientificNameWithoutAuthor:string>,commonNames:array<string>>,ima
 predictedOrgans array<struct<filename:string,organ:string,score:double>>"""
 
 
-def flatten_identifications(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """matches, reference_images and predicted_organs of landed identification responses."""
+def flatten_identifications(spark: SparkSession, path: str, uploads: DataFrame | None = None) -> dict[str, DataFrame]:
+    """matches, reference_images and predicted_organs of landed identification responses.
+
+    ``uploads`` (filename, image) are the photos that were sent, with their places; organs of other files are dropped.
+    """
     raw = spark.read.schema(IDENTIFICATIONS).json(path, multiLine=True).select(F.input_file_name().alias("file"), "results", "predictedOrgans")
     r = raw.select("file", F.posexplode("results").alias("place", "r")).select("file", "place", "r.*")
-    name = F.coalesce(F.nullif(F.btrim("species.scientificNameWithoutAuthor"), F.lit("")), F.nullif(F.btrim("species.scientificName"), F.lit("")))
-    r = r.withColumn("name", name).where("score is not null and name is not null")
+    # a match needs the full name; the one without author is shown where it is given
+    r = r.where("score is not null and species.scientificName <> ''")
+    r = r.withColumn("name", F.coalesce(F.nullif(F.col("species.scientificNameWithoutAuthor"), F.lit("")), F.col("species.scientificName")))
     common = F.filter(F.coalesce("species.commonNames", F.array().cast("array<string>")), lambda c: F.btrim(c) != "")
     matches = r.select("file", "place", "score", "name", F.col("species.genus.scientificNameWithoutAuthor").alias("genus"), F.col("species.family.scientificNameWithoutAuthor").alias("family"), common.alias("common_names"), F.when(F.col("gbif.id") > 0, F.col("gbif.id")).alias("gbif_id"), F.nullif(F.btrim("powo.id"), F.lit("")).alias("powo_id"))
     image = r.select("file", "place", F.posexplode("images").alias("image", "i")).select("file", "place", "image", F.col("i.organ").alias("organ"), "i.url.*")
@@ -132,5 +145,7 @@ def flatten_identifications(spark: SparkSession, path: str) -> dict[str, DataFra
         return F.when(F.col(c).rlike("^https://"), F.col(c))
 
     image = image.select("file", "place", "image", "organ", F.coalesce(*map(secure, "smo")).alias("small"), F.coalesce(*map(secure, "mos")).alias("medium"), F.coalesce(*map(secure, "osm")).alias("original")).where("small is not null")
-    organs = raw.select("file", F.explode("predictedOrgans").alias("o")).select("file", "o.*").where(F.col("organ").isin(*ORGANS))
+    organs = raw.select("file", F.explode("predictedOrgans").alias("o")).select("file", "o.*").where(F.col("organ").isin(*ORGANS) & F.col("score").isNotNull())
+    if uploads is not None:
+        organs = organs.join(uploads.select("filename", "image"), "filename")
     return {"matches": matches, "reference_images": image, "predicted_organs": organs}

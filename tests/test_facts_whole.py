@@ -36,3 +36,19 @@ def test_only_tolerance_traits_promote(spark):
     tally = facts.tally_codes(out, ours.withColumns({"label_type": F.lit(None).cast("string"), "confidence": F.lit("inferred")}))
     assert rows(tally.select("code", "keys")) == [("x", ["fire_tolerance"]), ("y", ["bloat", "fire_tolerance"])]
     assert rows(facts.promoted(tally).select("code")) == [("x",)]
+
+
+def test_flags_sets_and_numbers_are_tallied_by_fact(spark):
+    ours = spark.createDataFrame(
+        [("s", "tol", "F1", "Fire: Yes"), ("s", "tol", "C0", "Cold: No"), ("s", "use", "A", "Food"), ("s", "use", "B", "Fuel"), ("s", "high", "N", None)], "symbol string, key string, code string, label string"
+    ).selectExpr("*", "CASE WHEN code = 'N' THEN NULL ELSE 'verified' END AS confidence", "CAST(NULL AS STRING) AS label_type", "CAST(CASE WHEN code = 'N' THEN 2 END AS DECIMAL(38,15)) AS numeric", "CAST(NULL AS STRING) AS statistic")
+    theirs = spark.createDataFrame([("s", "fire", "yes"), ("s", "Uses", "Food"), ("s", "Uses", "Fodder"), ("s", "Height", "2"), ("s", "Height", "3")], "symbol string, field string, value string")
+    mapping = spark.createDataFrame([("Fire", "tol", "Flag", None), ("Uses", "use", "Set", None), ("Height", "high", "Only", None)], "field string, key string, mode string, statistic string")
+    outcomes = facts.compare_facts(ours, theirs, mapping)
+    assert sorted((r.field, r.value, r.outcome) for r in outcomes.collect() if r.field != "Uses") == [("Fire", "yes", "Agree"), ("Height", "2", "Agree"), ("Height", "3", "Disagree")]
+    tally = {r.code: (r.agree, r.disagree, r.verdict) for r in facts.tally_codes(outcomes, ours).collect()}
+    assert tally == {"F1": (1, 0, None), "A": (1, 0, None), "B": (0, 1, "contradicted")}
+    assert facts.passed(facts.tally_codes(outcomes, ours)).first().passed is False
+    bare = ours.withColumn("label", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("string"))
+    got = facts.unmapped_observations(facts.compare_facts(bare, theirs, mapping), bare)
+    assert [(r.key, r.code, r.value, r.n) for r in got.collect()] == [("use", "A", "fodder | food", 1)]

@@ -39,7 +39,7 @@ def test_taxonomy_and_crosswalk(spark, tmp_path):
     assert published(spark, target, "taxon").where("import_id = 3").count() == 0
 
     def b(q, t, rank="Normal"):
-        return {"item": {"value": f"http://w/entity/{q}"}, "wfo": {"value": t}, "rank": {"value": f"http://wikiba.se/ontology#{rank}Rank"}}
+        return {"item": {"value": f"http://www.wikidata.org/entity/{q}"}, "wfo": {"value": t}, "rank": {"value": f"http://wikiba.se/ontology#{rank}Rank"}}
 
     def doc(*rows):
         return json.dumps({"results": {"bindings": list(rows)}})
@@ -60,7 +60,7 @@ def test_traits(spark, tmp_path):
     def table(tag, name):
         row_type, terms = I.ARCHIVE[name]
         fields = "".join(f'<field index="{i}" term="{t}"/>' for i, t in enumerate(terms))
-        return f'<{tag} encoding="UTF-8" ignoreHeaderLines="1" rowType="{row_type}"><files><location>{name}.tab</location></files>{fields}</{tag}>'
+        return f'<{tag} encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" ignoreHeaderLines="1" rowType="{row_type}"><files><location>{name}.tab</location></files>{fields}</{tag}>'
 
     put(tmp_path / "a/meta.xml", f"<archive>{table('core', 'taxa')}{table('extension', 'occurrences')}{table('extension', 'facts')}</archive>")
 

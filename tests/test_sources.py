@@ -86,7 +86,7 @@ def test_sparql(spark, tmp_path):
     def b(item, value, rank):
         return {"item": {"value": item}, "wfo": {"value": value}, "rank": {"value": f"http://wikiba.se/ontology#{rank}Rank"}}
 
-    doc = {"results": {"bindings": [b("http://w/entity/Q5", "a", "Preferred"), b("http://w/entity/Q6", "b", "Deprecated"), b("http://w/entity/L1", "c", "Normal"), b("http://w/entity/Q7", "d", "Odd")]}}
+    doc = {"results": {"bindings": [b("http://www.wikidata.org/entity/Q5", "a", "Preferred"), b("http://www.wikidata.org/entity/Q6", "b", "Deprecated"), b("http://www.wikidata.org/entity/L1", "c", "Normal"), b("http://www.wikidata.org/entity/Q7", "d", "Odd")]}}
     rows, issues = L.scan_sparql_results(spark, put(tmp_path / "s.json", json.dumps(doc)))
     assert [tuple(r) for r in rows.collect()] == [("Q5", "a", "preferred")]
     assert sorted(r.kind for r in issues.collect()) == ["deprecated", "item", "rank"]
@@ -167,3 +167,45 @@ def test_publish_runs_and_stream(spark, tmp_path):
     put(tmp_path / "land/2.json", '{"qid": "Q1", "rev": 4, "v": "old"}\n{"qid": "Q2", "rev": 2, "v": "b"}\n')
     assert take() == [("Q1", 5, "new"), ("Q2", 2, "b")]
     assert take() == [("Q1", 5, "new"), ("Q2", 2, "b")]
+
+
+ARCHIVE_TABLE = '<core encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" ignoreHeaderLines="1" rowType="http://x/Taxon"><files><location>taxon.tab</location></files><field index="0" term="http://x/a"/><field index="1" term="http://x/b"/></core>'
+
+
+def test_archive_descriptor_rules(spark, tmp_path):
+    expected = {"taxa": ("http://x/Taxon", ["http://x/a", "http://x/b"])}
+    put(tmp_path / "a/taxon.tab", "a\tb\na\tb\nshort\n\n\"q\tx\\\n")
+    other = '<extension rowType="http://x/Other"><files><location>o.tab</location></files></extension>'
+    put(tmp_path / "a/meta.xml", f"<archive>{ARCHIVE_TABLE}{other}</archive>")
+    rows, issues = D.scan_dwca_tsv(spark, str(tmp_path / "a"), expected)["taxa"]
+    assert {tuple(r) for r in rows.collect()} == {("a", "b"), ('"q', "x\\")}  # a data line may equal the header
+    assert [(r.key, r.kind, r.message) for r in issues.collect()] == [("short", "width", "1")]
+    assert D.ignored_tables(spark, str(tmp_path / "a"), expected) == [("o.tab", "http://x/Other")]
+    for n, (was, now) in enumerate([(' linesTerminatedBy="\\n"', ""), ('fieldsTerminatedBy="\\t"', 'fieldsTerminatedBy=","'), ('encoding="UTF-8"', 'encoding="UTF-8" fieldsEnclosedBy="&quot;"'), ('index="1"', 'index="2"'), ("taxon.tab", "../taxon.tab")]):
+        put(tmp_path / f"b{n}/taxon.tab", "a\tb\n")
+        put(tmp_path / f"b{n}/meta.xml", f"<archive>{ARCHIVE_TABLE.replace(was, now)}</archive>")
+        with pytest.raises(D.BadHeader):
+            D.scan_dwca_tsv(spark, str(tmp_path / f"b{n}"), expected)
+
+
+def test_supplemental_refuses_bad_text(spark, tmp_path):
+    for n, row in enumerate(["1-1,wfo-1\x00", "1-1,wfo-1 ", "urn:lsid:ipni.org:names: ,wfo-1", "1�,wfo-1", "1-1,wfo-"]):
+        with pytest.raises(GateClosed):
+            D.scan_supplemental_csv(spark, put(tmp_path / f"{n}.csv", f"ipni_id,wfo_id\n{row}\n"), "ipni")
+    path = tmp_path / "raw.csv"
+    path.write_bytes(b"ipni_id,wfo_id\n1\xff,wfo-1\n")
+    with pytest.raises(GateClosed):
+        D.scan_supplemental_csv(spark, str(path), "ipni")
+
+
+def test_seed_errors_name_their_record(spark, tmp_path):
+    head = "type_uri,key,label,value_kind,notes\n"
+    for row, said in [("u:2,k1,L,coded,\n", "duplicate key"), ("http://eol.org/schema/terms/Present,k2,L,coded,\n", "distribution types are not traits"), ("u:2,k2,L,coded\n", "width")]:
+        with pytest.raises(GateClosed, match=said) as e:
+            D.scan_seed_csv(spark, put(tmp_path / f"{said}.csv", head + "u:1,k1,L,coded,\n" + row), "trait_type")
+        assert ".csv:3" in str(e.value)
+
+
+def test_entities_without_a_qid_are_issues(spark, tmp_path):
+    got = L.scan_entities_json(spark, put(tmp_path / "e.json", json.dumps({"entities": {"L1": {"id": "L1"}, "Q1": {"id": "Q1"}}})))
+    assert [r.message for r in got["issues"].collect()] == ["L1"] and [r.qid for r in got["item"].collect()] == ["Q1"]

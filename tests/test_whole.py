@@ -45,7 +45,7 @@ def taxa(spark, part):
 
 def test_item_links_of_all_taxa(spark, part, taxa):
     current = {k for k, r in taxa.items() if r.is_current}
-    chain = chains(B.edges_all(spark, part), taxa, current)
+    chain = chains(B.edges(spark, part), taxa, current)
     want = set()
     for i in taxa:
         resolved, status = chain[i]
@@ -56,19 +56,19 @@ def test_item_links_of_all_taxa(spark, part, taxa):
         t = taxa.get(taxon)
         accepted = None if t is None else taxon if t.status == "Accepted" else t.accepted_id if t.status == "Synonym" and t.accepted_id in current else None
         want.add((i, resolved, taxon, accepted, status))
-    assert {tuple(r) for r in Q.QUERIES["resolve_item_links_all"](spark, part).collect()} == want
+    assert {tuple(r) for r in Q.QUERIES["resolve_item_links"](spark, part).collect()} == want
     assert len(want) == N
 
 
 def test_detail_of_all_taxa(spark, part, taxa):
     current = {k for k, r in taxa.items() if r.is_current}
     want = set()
-    for i, (resolved, _) in chains(B.edges_all(spark, part), taxa, current).items():
+    for i, (resolved, _) in chains(B.edges(spark, part), taxa, current).items():
         t = taxa[resolved] if resolved in current else None
         a = t.accepted_id if t is not None and t.accepted_id in current else None
         p = t.parent_id if t is not None and t.parent_id in current else None
         want.add((i, resolved, t and t.name, a, a and taxa[a].name, p and taxa[p].name))
-    assert {tuple(r) for r in Q.QUERIES["taxon_detail_all"](spark, part).collect()} == want
+    assert {tuple(r) for r in Q.QUERIES["taxon_detail"](spark, part).collect()} == want
     assert len(want) == N
 
 
@@ -81,10 +81,10 @@ def test_detail_of_a_chain_that_is_too_long(spark, part):
 
 def test_edges_and_broken_chains_grow_with_the_table(spark, part, taxa):
     current = {k for k, r in taxa.items() if r.is_current}
-    chain = chains(B.edges_all(spark, part), taxa, current)
-    got = Q.QUERIES["resolve_chain_all"](spark, part).collect()
+    chain = chains(B.edges(spark, part), taxa, current)
+    got = Q.QUERIES["resolve_chain"](spark, part).collect()
     assert {(r.id, r.resolved, r.status, r.was_redirected) for r in got} == {(i, node, status, node != i) for i, (node, status) in chain.items()}
     cycles = sorted(i for i, (_, status) in chain.items() if status == "Cycle")
     long = sorted(i for i, (_, status) in chain.items() if status == "DepthLimit")
     assert cycles == [b + i for b in (0, 2000, 4000) for i in (4, 5, 6)] and long == [b + i for b in (0, 2000) for i in range(1000, 1007)]
-    assert Q.QUERIES["validate_chain_graph_all"](spark, part).collect() == [(len(cycles), len(long))]
+    assert Q.QUERIES["validate_chain_graph"](spark, part).collect() == [(len(cycles), len(long))]
