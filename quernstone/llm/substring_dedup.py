@@ -7,8 +7,7 @@ blocks with the same anchor.
 
 Parsing a document covers it greedily with factors (reference document, offset there, length):
 
-* the index gives, for each stride (a run of blocks that the content delimits), else for each block, the earliest
-  document that holds all its words, and where;
+* the index gives, for each distinct block of the document, the earliest document that holds all its words, and where;
 * from left to right a factor starts at the first such match and is extended match by match while the same reference
   goes on at the same distance;
 * at factor boundaries, that is in blocks that differ from every earlier one although their anchor is shared, each
@@ -17,7 +16,7 @@ Parsing a document covers it greedily with factors (reference document, offset t
 So a window is a duplicate exactly if its words also start in a document with a smaller id. Blocks and windows are
 compared by BLAKE2b digests of their words, which stand for the words themselves; hashes only find anchors.
 
-The work is linear: a block is one row, a window becomes a row only in the first document with a block whose anchor
+The work is linear: a distinct block of a text is one row, however often the text repeats it, a window becomes a row only in the first document with a block whose anchor
 has several different blocks, and no pairs of documents are made. Hot passages meet in partial aggregates, and the
 joins that bring verdicts back have one side with one row a key, which adaptive execution can split.
 """
@@ -38,7 +37,6 @@ from quernstone.session import written
 
 WINDOW = 50
 GRAM = 8
-STRIDE = 3  # blocks of a stride, on average
 SEGMENT = 1 << 22  # words of one text that are cut into blocks at once
 _PLACE = np.uint64((1 << 24) - 1)  # places in a segment and the words after it
 
@@ -69,12 +67,12 @@ class Digests:
         self.raw = spaced[keep].tobytes()
         self.starts, self.ends = before[words.starts], before[words.ends]
 
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two halves of the digest of words lo:hi of each run."""
         raw = self.raw
         each = [digest(raw[a:b]) for a, b in zip(self.starts[lo].tolist(), self.ends[hi - 1].tolist(), strict=True)]
         both = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
-        return pa.array(both[:, 0]), pa.array(both[:, 1])
+        return both[:, 0], both[:, 1]
 
 
 def cut(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,41 +92,20 @@ def cut(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             yield gram[place[begin]].view(np.int64), begin + at, np.add.reduceat(valid.astype(np.int64), begin), own[begin]
 
 
-def strides(anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The place of the first block of each block's stride; a stride begins where the content says so."""
-    new = anchor % STRIDE == 0
-    new[:1] = True
-    new[1:] |= owner[1:] != owner[:-1]
-    return np.flatnonzero(new)[np.cumsum(new) - 1]
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, text): ``key`` tells rows apart that repeat an id with different texts."""
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
 
 
-BLOCK = "d1 long, d2 long, doc_id long, key long, start int, n int"
-
-
-def reference_strides(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(d1, d2, doc_id, key, start, n): the strides of all texts, runs of blocks that are compared as a whole first."""
-
-    def run(batches):
-        for batch in batches:
-            for lo, _, buf, offs in blocks(batch.column(2)):
-                words = Words(buf, offs)
-                if len(words) < window:
-                    continue
-                digests = Digests(words)
-                for anchor, begin, n, owner in cut(words, window):
-                    first = np.unique(strides(anchor, owner))
-                    windows = np.add.reduceat(n, first)
-                    d1, d2 = digests(begin[first], begin[first] + windows - 1 + window)
-                    at = pa.array(owner[first] + lo)
-                    start = pa.array((begin[first] - words.first[owner[first]]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([d1, d2, batch.column(0).take(at), batch.column(1).take(at), start, pa.array(windows.astype(np.int32))], names=["d1", "d2", "doc_id", "key", "start", "n"])
+def once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts rows by ``keys``, the first being the last to decide, and where each group begins in it.
 
-    return keyed(docs).mapInArrow(run, BLOCK)
+    The first key only orders the rows of a group.
+    """
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys[1:]], axis=0)
+    return order, np.flatnonzero(new)
 
 
 def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -137,17 +114,19 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, _, buf, offs in blocks(batch.column(1)):
-                for anchor, _, _, owner in cut(Words(buf, offs), window):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(owner + lo))], names=["anchor", "doc_id"])
+                for anchor, begin, _, owner in cut(Words(buf, offs), window):
+                    order, first = once(begin, anchor, owner)
+                    at = order[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), batch.column(0).take(pa.array(owner[at] + lo))], names=["anchor", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
 
 def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, d1, d2, doc_id, key, start, n, stride): the blocks of all texts of at least ``window`` words.
+    """(anchor, d1, d2, doc_id, key, starts, n): the distinct blocks of each text of at least ``window`` words.
 
-    ``start`` is the word at which the block's first window starts, ``n`` its number of windows, (d1, d2) the digest
-    of all its words, ``stride`` the start of its stride.
+    ``starts`` are the words at which the block's first window starts, several where a text repeats itself, ``n`` its
+    number of windows, (d1, d2) the digest of all its words.
     """
 
     def run(batches):
@@ -159,19 +138,22 @@ def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 digests = Digests(words)
                 for anchor, begin, n, owner in cut(words, window):
                     d1, d2 = digests(begin, begin + n - 1 + window)
-                    at = pa.array(owner + lo)
-                    start = (begin - words.first[owner]).astype(np.int32)
+                    order, first = once(begin, d2, d1, owner)
+                    at = order[first]
+                    rows = pa.array(owner[at] + lo)
+                    starts = pa.array((begin - words.first[owner])[order].astype(np.int32))
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), starts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), d1, d2, batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(n.astype(np.int32)), pa.array(start[strides(anchor, owner)])],
-                        names=["anchor", "d1", "d2", "doc_id", "key", "start", "n", "stride"],
+                        [pa.array(anchor[at]), pa.array(d1[at]), pa.array(d2[at]), batch.column(0).take(rows), batch.column(1).take(rows), starts, pa.array(n[at].astype(np.int32))],
+                        names=["anchor", "d1", "d2", "doc_id", "key", "starts", "n"],
                     )
 
-    return keyed(docs).mapInArrow(run, f"anchor long, {BLOCK}, stride int")
+    return keyed(docs).mapInArrow(run, "anchor long, d1 long, d2 long, doc_id long, key long, starts array<int>, n int")
 
 
 def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(d1, d2, doc_id, key, start): the windows of the ``wanted`` blocks (doc_id, key, start, n), with their digests."""
-    lists = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    """(d1, d2, doc_id, key, starts): the windows of the ``wanted`` blocks (doc_id, key, starts, n), with their digests."""
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("starts", "n")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -180,47 +162,48 @@ def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFra
                 part = batch.column("wanted").slice(lo, hi - lo)
                 owner = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
                 flat = part.flatten()
-                start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-                begin = np.repeat(words.first[:-1][owner] + start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                owner = np.repeat(owner, n)
-                at = pa.array(owner + lo)
+                n, starts = flat.field("n").to_numpy().astype(np.int64), flat.field("starts")
+                at, places = starts.offsets.to_numpy(), starts.values.to_numpy()
+                # window j of a block starts j words after each place of the block
+                block = np.repeat(np.arange(len(n)), n)
+                j = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+                begin = words.first[:-1][owner[block]] + places[at[:-1][block]] + j
+                times = np.diff(at)[block]
+                ends = np.cumsum(times)
+                source = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(at[:-1][block], times)
+                every = pa.array((places[source] + np.repeat(j, times)).astype(np.int32))
                 d1, d2 = Digests(words)(begin, begin + window)
+                rows = pa.array(owner[block] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [d1, d2, batch.column("doc_id").take(at), batch.column("key").take(at), pa.array((begin - words.first[owner]).astype(np.int32))],
-                    names=["d1", "d2", "doc_id", "key", "start"],
+                    [pa.array(d1), pa.array(d2), batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), every)],
+                    names=["d1", "d2", "doc_id", "key", "starts"],
                 )
 
-    return keyed(docs).join(lists, ["doc_id", "key"]).mapInArrow(run, "d1 long, d2 long, doc_id long, key long, start int")
+    return keyed(docs).join(lists, ["doc_id", "key"]).mapInArrow(run, "d1 long, d2 long, doc_id long, key long, starts array<int>")
 
 
 def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, start, end, ref, ref_start): word spans that the document with the smaller id ``ref`` also holds.
+    """(doc_id, key, starts, n, ref, ref_start): runs of ``n`` windows that the document with the smaller id ``ref`` also holds.
 
-    They are the blocks and windows of which factors are made. ``docs`` has doc_id and text; rows with a null of
-    either, and texts shorter than the window, have none. Rows that repeat an id with the same text are one document;
-    with different texts each is a document of its own, and none of them is earlier than another.
+    They are the blocks and windows of which factors are made; each occurs at all of ``starts``. ``docs`` has doc_id and
+    text; rows with a null of either, and texts shorter than the window, have none. Rows that repeat an id with the
+    same text are one document; with different texts each is a document of its own, and none of them is earlier than
+    another.
     """
     docs = docs.where("doc_id is not null and text is not null")
-    found = [F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi"), F.min_by("start", "doc_id").alias("ref_start")]
-    span = ["doc_id", "key", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"), "ref", "ref_start"]
-
-    long = reference_strides(docs, window)
-    long = long.join(written(long.groupBy("d1", "d2").agg(*found).where("ref < hi").drop("hi"), "strides"), ["d1", "d2"])
-    long = written(long.where("doc_id > ref").select(*span), "long")
-
+    found = [F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi"), F.min_by(F.col("starts")[0], "doc_id").alias("ref_start")]
+    out = ["doc_id", "key", "starts", "n", "ref", "ref_start"]
     shared = anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     index = written(reference_blocks(docs, window).join(written(shared, "shared"), "anchor"), "index")
-    # the earliest document of a stride keeps its blocks, so those of its copies are not needed
-    index = written(index.join(long.select("doc_id", "key", F.col("start").alias("stride")), ["doc_id", "key", "stride"], "left_anti"), "rest")
     key = ["anchor", "d1", "d2"]
     first = written(index.groupBy(*key).agg(*found).drop("hi"), "first")
     several = written(first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
-    own = index.join(written(first.join(several, "anchor"), "differing"), key).where("doc_id = ref").select("doc_id", "key", "start", "n")
+    own = index.join(written(first.join(several, "anchor"), "differing"), key).where("doc_id = ref").select("doc_id", "key", "starts", "n")
     windows = written(boundary_windows(docs, own, window), "windows")
     earliest = written(windows.groupBy("d1", "d2").agg(*found).where("ref < hi").drop("hi"), "earliest")
-    whole = index.join(first, key).where("doc_id > ref").select(*span)
-    single = windows.withColumn("n", F.lit(1)).join(earliest, ["d1", "d2"]).where("doc_id > ref").select(*span)
-    return long.union(whole).union(single)
+    whole = index.join(first, key).where("doc_id > ref").select(*out)
+    single = windows.withColumn("n", F.lit(1)).join(earliest, ["d1", "d2"]).where("doc_id > ref").select(*out)
+    return whole.union(single)
 
 
 def factors(starts: np.ndarray, ends: np.ndarray, refs: np.ndarray, ref_starts: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -252,11 +235,11 @@ def united(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
 
 def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, end, ref, ref_start): the factors of every document, of ``window`` words at least."""
-    lists = matches(docs, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end", "ref", "ref_start")).alias("matches"))
+    lists = matches(docs, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("starts", "n", "ref", "ref_start")).alias("matches"))
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *f) for i, own in zip(batch.column("doc_id").to_pylist(), _parses(batch.column("matches")), strict=True) for f in own]
+            rows = [(i, *f) for i, own in zip(batch.column("doc_id").to_pylist(), _parses(batch.column("matches"), window), strict=True) for f in own]
             names = ["doc_id", "start", "end", "ref", "ref_start"]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -264,12 +247,23 @@ def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return lists.mapInArrow(run, "doc_id long, start long, end long, ref long, ref_start long")
 
 
-def _parses(lists: pa.Array) -> Iterator[list[tuple[int, int, int, int]]]:
+def _parses(lists: pa.Array, window: int) -> Iterator[list[tuple[int, int, int, int]]]:
     """The factors of each row of a column of matches."""
     at, flat = lists.offsets.to_numpy(), lists.values
-    columns = [flat.field(n).to_numpy() for n in ("start", "end", "ref", "ref_start")]
+    n, refs, ref_starts = (flat.field(c).to_numpy() for c in ("n", "ref", "ref_start"))
+    places, times = flat.field("starts").values.to_numpy(), np.diff(flat.field("starts").offsets.to_numpy())
+    upto = np.r_[0, np.cumsum(times)] + (flat.field("starts").offsets[0].as_py() if len(times) else 0)
     for r, has in enumerate(lists.is_valid().to_numpy(zero_copy_only=False)):
-        yield factors(*[c[at[r] : at[r + 1]] for c in columns]) if has else []
+        lo, hi = at[r], at[r + 1]
+        if not has or lo == hi:
+            yield []
+            continue
+        starts = places[upto[lo] : upto[hi]]
+
+        def each(c, lo=lo, hi=hi):
+            return np.repeat(c[lo:hi], times[lo:hi])
+
+        yield factors(starts, starts + each(n) - 1 + window, each(refs), each(ref_starts))
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -284,7 +278,7 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool =
     kept = [c for c in docs.columns if c.lower() not in new and (with_text or c.lower() != "text")]
     found = matches(docs.select("doc_id", "text"), window)
     at_id, at_key, at_found = (free_name(n, docs.columns) for n in ("__id", "__key", "__found"))
-    found = found.groupBy(F.col("doc_id").alias(at_id), F.col("key").alias(at_key)).agg(F.collect_set(F.struct("start", "end", "ref", "ref_start")).alias(at_found))
+    found = found.groupBy(F.col("doc_id").alias(at_id), F.col("key").alias(at_key)).agg(F.collect_set(F.struct("starts", "n", "ref", "ref_start")).alias(at_found))
     source = docs.select(*[docs[f"`{c}`"] for c in kept], *([] if with_text else ["text"]))
     source = source.join(found, (source.doc_id == found[at_id]) & (F.xxhash64(source.text) == found[at_key]), "left").drop(at_id, at_key)
     fields = [f for f in docs.schema.fields if f.name in kept]
@@ -294,7 +288,7 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool =
         for batch in batches:
             texts = batch.column("text")
             columns = ([], [], [], [])
-            for text, own in zip(texts.cast(pa.binary()), _parses(batch.column(at_found)), strict=True):
+            for text, own in zip(texts.cast(pa.binary()), _parses(batch.column(at_found), window), strict=True):
                 raw = text.as_py()
                 words = (raw or b"").split()  # on the six separators
                 n = len(words)
