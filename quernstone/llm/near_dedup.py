@@ -308,3 +308,25 @@ def op4(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, on 4-word shingles; see the contract."""
     out = near_duplicates(docs, size=4, percent=80)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE listed AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+held AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM listed WHERE len(w) > 0)
+),
+sized AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM held a JOIN held b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reached AS (SELECT a AS doc_id, a AS other FROM edge UNION SELECT reached.doc_id, edge.b FROM reached JOIN edge ON edge.a = reached.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM listed LEFT JOIN sized USING (doc_id) LEFT JOIN component USING (doc_id)
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_decontamination": lambda s, d: decontamination.op10(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
-ORACLES: dict[str, str] = {"op9_warc": warc.OP9_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op4_near_dedup": near_dedup.OP4_SQL, "op9_warc": warc.OP9_SQL}

@@ -315,3 +315,22 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool =
 def op2(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; see the contract of this operator."""
     return without_duplicates(docs.select("doc_id", "text"), with_text=False)
+
+
+OP2_SQL = r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM listed),
+starting AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS win
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM listed)
+),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS lo FROM starting) WHERE lo < doc_id),
+covered AS (
+    SELECT word.doc_id, word.i, word,
+           coalesce(max(repeated.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS gone
+    FROM word LEFT JOIN repeated USING (doc_id, i)
+),
+per AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM listed LEFT JOIN per USING (doc_id)
+"""

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from quernstone.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, registry, substring_dedup, toxicity, warc
 from quernstone.llm.textarrays import BLOCK_BYTES, Words, blocks, byte_hashes, runs
 from quernstone.session import table
 
@@ -48,6 +48,20 @@ def test_hashes_tell_swaps_and_thue_morse_apart():
         assert len(set(by.values())) == len(by)
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_long_words_in_every_operator(spark):
     a, b = (" ".join([w, *(f"c{i}" for i in range(60))]) for w in SWAPPED)
     d = docs(spark, [(1, a), (2, b)])
