@@ -53,7 +53,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(registry.ORACLES[name])
     columns = [c[0] for c in want.description]

@@ -318,4 +318,4 @@ def test_pipeline_stages(spark):
 
 
 def test_registry_names():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
