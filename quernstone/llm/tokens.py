@@ -3,7 +3,8 @@
 The tokenizer lower-cases, drops white space and never joins what white space parts; between a letter or digit and
 a run of ASCII punctuation it always parts as well. So a text's ids are its pieces' ids in order, and each task
 encodes a distinct piece once and keeps it. Pieces are told apart by all their bytes. A worker's table is dropped when
-it has grown to ``MOST`` pieces; that costs time only.
+it has grown to ``MOST`` pieces; that costs time only. A word that holds one of the tokenizer's own added tokens is
+one piece, is encoded as it is written and is not kept.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[c for c in range(0x80) if chr(c).isalnum()]] = True
-_TAIL = (np.arange(256) & 0xC0) == 0x80
+# letters of two bytes from U+00C0 to U+017F by code point: those whose lower case is one letter
+_LATIN = np.zeros(1 << 11, bool)
+_LATIN[[c for c in range(0xC0, 0x180) if chr(c).isalpha() and len(chr(c).lower()) == 1 and chr(c).lower().isalpha()]] = True
 
 
 class WordTable:
@@ -33,7 +36,7 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.clear()
 
@@ -54,10 +57,10 @@ class WordTable:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each closed by ``end_id``, and the offset of each row in them."""
-        words, first = pieces(buf, offs)
+        words, first, special = pieces(buf, offs, self.added)
         same = comparable(words)
         n = words.ends - words.starts
-        short = n <= SHORT
+        short = (n <= SHORT) & ~special
         view = eights(same)
         low = view[words.starts] & LOW_BYTES[np.minimum(n, 8)]
         high = view[np.minimum(words.starts + 8, len(buf))] & LOW_BYTES[np.clip(n - 8, 0, 8)]
@@ -82,10 +85,10 @@ class WordTable:
             count, begin, sure = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
         flat, rest = self.flat, np.flatnonzero(~sure)
         if len(rest):  # long pieces, and a short one whose hash another one has
-            raw, own, first_of, which = same.tobytes(), {}, [], np.empty(len(rest), np.int64)
+            raw, own, first_of, which = (same.tobytes(), buf.tobytes()), {}, [], np.empty(len(rest), np.int64)
             for j, i in enumerate(rest.tolist()):
-                piece = raw[words.starts[i] : words.ends[i]]
-                k = own.setdefault(piece, len(own))
+                piece = raw[int(special[i])][words.starts[i] : words.ends[i]]
+                k = own.setdefault((bool(special[i]), piece), len(own))
                 if k == len(first_of):
                     first_of.append(i)
                 which[j] = k
@@ -115,20 +118,24 @@ def _texts(buf: np.ndarray, words: Words, which) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[which].tolist(), words.ends[which].tolist(), strict=True)]
 
 
-def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
-    """The words of a block with punctuation at their end as pieces of its own, and the offset of each row in them.
+def pieces(buf: np.ndarray, offs: np.ndarray, added: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a block with punctuation at their end as pieces of its own, the offset of each row in them, and
+    which pieces hold one of the texts ``added``.
 
-    The part before must end in an ASCII letter or digit or in a letter of U+00C0 to U+017F, which the tokenizer
-    never keeps together with punctuation; else the word stays whole.
+    The part before must end in an ASCII letter or digit or in a letter of U+00C0 to U+017F whose lower case is one
+    letter, which the tokenizer never keeps together with punctuation; else the word stays whole, and so does one that
+    holds an added text. (The lower case of U+0130 ends in a mark, which goes with the punctuation.)
     """
     words = Words(buf, offs)
     if not len(words):
-        return words, words.first
+        return words, words.first, np.zeros(0, bool)
+    special = holding(words, added)
     last = np.where(_PUNCT[buf], -1, np.arange(len(buf)))
     cut = np.maximum(np.maximum.accumulate(last)[words.ends - 1] + 1, words.starts)
     before, lead = buf[np.maximum(cut - 1, 0)], buf[np.maximum(cut - 2, 0)]
-    latin = _TAIL[before] & (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
-    two = (cut > words.starts) & (cut < words.ends) & (_ALNUM[before] | latin)
+    point = ((lead & 0x1F).astype(np.int64) << 6) | (before & 0x3F)
+    latin = (before & 0xC0 == 0x80) & (lead & 0xE0 == 0xC0) & _LATIN[point]
+    two = (cut > words.starts) & (cut < words.ends) & (_ALNUM[before] | latin) & ~special
     count = 1 + two
     first = np.zeros(len(count) + 1, np.int64)
     np.cumsum(count, out=first[1:])
@@ -138,7 +145,20 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
     ends[first[:-1][two]] = cut[two]
     rows = first[words.first]
     words.starts, words.ends, words.first = starts, ends, rows
-    return words, rows
+    return words, rows, np.repeat(special, count)
+
+
+def holding(words: Words, texts: list[bytes]) -> np.ndarray:
+    """Which words hold one of ``texts``, none of which has a separator."""
+    out, raw = np.zeros(len(words), bool), words.buf.tobytes()
+    for text in texts:
+        at = raw.find(text)
+        while at >= 0:
+            k = int(np.searchsorted(words.starts, at, "right")) - 1
+            if k >= 0 and at + len(text) <= words.ends[k]:  # else it lies across two rows
+                out[k] = True
+            at = raw.find(text, at + 1)
+    return out
 
 
 def comparable(words: Words) -> np.ndarray:

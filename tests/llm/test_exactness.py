@@ -71,7 +71,6 @@ def test_long_words_in_every_operator(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     out = {r.doc_id: r.ids_crc32 for r in packing.packed(d, capacity=1 << 14).collect()}
     for i, text in ((1, a), (2, b)):
         assert out[i] == zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes())
@@ -89,6 +88,21 @@ def test_pieces_that_share_a_hash_are_encoded_apart(monkeypatch):
             assert ids[ends[k] : ends[k + 1]].tolist() == [*one.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_ids_of_random_texts_equal_the_tokenizer():
+    """60,000 short texts over letters, marks, punctuation, spaces of all kinds, emoji and the tokenizer's own tokens."""
+    from quernstone.llm import tokens
+
+    rng = random.Random(41)
+    kinds = ["abcXYZ019", "éÀßÿİıŉſŁǅ", "αΩςЖя", "中文한", "\u0300\u0307\u0327\u0338", ".,;:!?'\"()<>=|#%&*-_", " \t\n\u00a0\u2003\u3000\u0085", "😀👍🏽\u200d", ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'LL"]]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 14))) for _ in range(60_000)]
+    one = tokens.WordTable(packing.tokenizer_path())
+    want = one.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for lo, _, buf, offs in blocks(pa.array(texts)):
+        ids, ends = one.encode(buf, offs, 2)
+        for k in range(len(ends) - 1):
+            assert ids[ends[k] : ends[k + 1]].tolist() == [*want[lo + k].ids, 2], texts[lo + k]
+
+
 def test_texts_over_the_block_limit(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(10**6)}" for _ in range(BLOCK_BYTES // 6)]

@@ -171,9 +171,8 @@ def test_packing_and_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [*ODD, "It's DON'T “quoted”. é., İstanbul! a×. b÷, ſ. J̌ x y", "<|endoftext|> 12.5%", *[" ".join(words_like(rng, n)) for n in (5, 900, 5000, 9000)]]
+    texts = [*ODD, "It's DON'T “quoted”. é., İstanbul! EVDEKİ. a×. b÷, ſ. J̌ x y", "<|endoftext|> 12.5%", "a<|endoftext|>b. <|ENDOFTEXT|> x<|endoftext|>,", *[" ".join(words_like(rng, n)) for n in (5, 900, 5000, 9000)]]
     docs = docs_of(spark, texts)
     out = packing.packed(docs, group=7).toPandas()
     for i, text in enumerate(texts):
