@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.textarrays import Words, blocks, free_name, mix
+from quernstone.llm.textarrays import Words, blocks, folded, free_name, mix
 from quernstone.session import written
 
 BITS = 15
@@ -36,8 +36,39 @@ ANSWER = 0.8
 SEED = 11
 
 
+# first byte, second byte, lowest and highest third byte of white space beyond ASCII, as str.split() takes it
+_SPACES = [(0xC2, 0x85, None, None), (0xC2, 0xA0, None, None), (0xE1, 0x9A, 0x80, 0x80), (0xE2, 0x80, 0x80, 0x8A), (0xE2, 0x80, 0xA8, 0xA9), (0xE2, 0x80, 0xAF, 0xAF), (0xE2, 0x81, 0x9F, 0x9F), (0xE3, 0x80, 0x80, 0x80)]
+
+
+def plain_spaces(buf: np.ndarray) -> np.ndarray:
+    """The bytes with every white space of Unicode as spaces, as many as its bytes."""
+    out = np.where((buf >= 0x1C) & (buf <= 0x1F), 0x20, buf).astype(np.uint8)
+    for first, second, low, high in _SPACES:
+        at = np.flatnonzero(buf[:-1] == first)
+        at = at[buf[at + 1] == second]
+        if low is not None:
+            at = at[at + 2 < len(buf)]
+            at = at[(buf[at + 2] >= low) & (buf[at + 2] <= high)]
+            out[at + 2] = 0x20
+        out[at], out[at + 1] = 0x20, 0x20
+    return out
+
+
+def plain(column: pa.Array):
+    """As :func:`blocks`, with the texts in lower case and with plain spaces: the words of a block are those of
+    :func:`words_of`, one by one, for features, places and subsequences alike."""
+    for lo, hi, buf, offs in blocks(column):
+        if (buf >= 0x80).any():
+            raw = buf.tobytes()
+            rows = [raw[a:b].decode("utf-8", "replace").lower().encode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            buf, offs = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+        else:
+            buf = folded(buf)
+        yield lo, hi, plain_spaces(buf), offs
+
+
 def features(words: Words) -> np.ndarray:
-    return (mix(words.hashes(fold_case=True) + np.uint64(3)) >> np.uint64(64 - BITS)).astype(np.int32)
+    return (mix(words.hashes() + np.uint64(3)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def halves(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         df, n = np.zeros(FEATURES, np.int64), 0
         last = np.full(FEATURES, -1, np.int64)
         for batch in batches:
-            for lo, hi, buf, offs in blocks(batch.column(0)):
+            for lo, hi, buf, offs in plain(batch.column(0)):
                 words = Words(buf, offs)
                 ids, doc = features(words), words.rows()
                 n += hi - lo
@@ -104,7 +135,7 @@ def gram_times(passages: DataFrame, idf: np.ndarray, inside: np.ndarray, x: np.n
         t, w, to = shared.value
         total = np.zeros((m + 1, rank), np.float64)
         for batch in batches:
-            for _, _, buf, offs in blocks(batch.column(0)):
+            for _, _, buf, offs in plain(batch.column(0)):
                 words = Words(buf, offs)
                 rows, doc = halves(words, features(words))
                 rows = to[rows]
@@ -172,11 +203,12 @@ def latent_space(items: DataFrame, idf: np.ndarray, inside: np.ndarray, rank: in
 
 def features_of(texts: list[str]) -> np.ndarray:
     """The distinct features of all words of the texts."""
-    found = [features(Words(buf, offs)) for _, _, buf, offs in blocks(pa.array(texts, pa.string()))]
+    found = [features(Words(buf, offs)) for _, _, buf, offs in plain(pa.array(texts, pa.string()))]
     return np.unique(np.concatenate([np.zeros(0, np.int32), *found]))
 
 
 def words_of(text: str) -> list[str]:
+    """The words of a text: what white space of any kind parts, in lower case."""
     return text.lower().split()
 
 
@@ -222,7 +254,7 @@ class Items:
         self.place[inside] = np.arange(1, len(inside) + 1)
         self.table = np.concatenate([np.zeros((1, table.shape[1]), np.float32), table])
         vectors, owner = [], []
-        for lo, _, buf, offs in blocks(pa.array(texts, pa.string())):
+        for lo, _, buf, offs in plain(pa.array(texts, pa.string())):
             words = Words(buf, offs)
             rows, doc = halves(words, features(words))
             v = passage_vectors(self.place[rows], doc, self.table)
@@ -250,11 +282,11 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer): each document and benchmark item that it holds, copied or paraphrased.
 
-    Null and empty texts hold nothing, null or empty items are held by nothing; repeated rows of either table count
-    once. The benchmark is taken in blocks of about ITEMS items, SPACES blocks a pass, so what tasks get is bounded.
+    Words are parted by any white space of Unicode. Null and empty texts hold nothing, null or empty items are held by
+    nothing; repeated rows of either table count once. The benchmark is taken in blocks of about ITEMS items, SPACES blocks a pass, so what tasks get is bounded.
     """
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    items = written(items.where(F.length(F.trim("text")) > 0), "items")
+    items = written(items.where(F.col("text").rlike(r"(?U)\S")), "items")
     share = max(1, -(-items.count() // ITEMS))
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
@@ -279,7 +311,7 @@ def _search(shared):
         for batch in batches:
             spaces, squares = shared.value
             out = []
-            for lo, hi, buf, offs in blocks(batch.column(1)):
+            for lo, hi, buf, offs in plain(batch.column(1)):
                 words = Words(buf, offs)
                 rows, doc = halves(words, features(words))
                 if len(rows):
@@ -323,7 +355,7 @@ def _held(items: Items, rows: np.ndarray, own: np.ndarray, doc: np.ndarray, firs
         if best.get((r, k), (0.0, 0.0))[0] == 1.0:
             continue
         if r != text_row:
-            text, text_row, seen = words_of(buf[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace")), r, None
+            text, text_row, seen = buf[offs[r] : offs[r + 1]].tobytes().decode().split(), r, None
         reach, begin = len(items.words[k]), first_half[r]
         lo, hi = max(0, (p - begin) * HALF - reach), (q - begin) * HALF + 2 * HALF + reach
         if seen is None or lo < seen[0] or hi > seen[1]:  # the words of a window serve its neighbours as well

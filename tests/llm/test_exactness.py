@@ -253,6 +253,23 @@ def test_paraphrases_are_found(spark):
     assert len(want) > 100 and len(want & got) >= 0.9 * len(want)
 
 
+def test_items_are_found_among_spaces_of_any_kind(spark):
+    rng = random.Random(33)
+    item = [f"i{rng.randrange(10**6)}" for _ in range(30)]
+    noise = [f"n{rng.randrange(10**6)}" for _ in range(2000)]
+    rows = [" ".join(noise)]
+    for space in (" ", "\u00a0", "\u0085", "\u2003", "\u3000", "\x1c"):
+        rows += [space.join(noise) + " " + " ".join(item), " ".join(noise) + " " + space.join(item) + " end", space.join([*noise, *item]).upper()]
+    rows += ["İ É ÀÇ " * 700 + " ".join(item).upper()]
+    b = spark.createDataFrame([(1, "\u00a0".join(item)), (2, "\u3000"), (3, " ".join(["étude", "Überall", *noise[:20]]).upper())], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.op10(docs(spark, list(enumerate(rows))), b).collect())
+    assert [i for i, k in got if k == 1] == list(range(1, len(rows)))
+    for text in rows:
+        for _, _, buf, offs in decontamination.plain(pa.array([text])):
+            assert len(Words(buf, offs)) == len(decontamination.words_of(text))
+    assert [len(Words(*x[2:])) for x in decontamination.plain(pa.array(["a\u2028b\u205fc\u1680d\u202fe", "\x1f"]))] == [5]
+
+
 def test_long_items_are_checked_in_shared_windows(spark):
     rng = random.Random(31)
     item = [f"i{rng.randrange(10**6)}" for _ in range(3000)]
