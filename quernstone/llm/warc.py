@@ -1,9 +1,10 @@
 """A WARC writer whose archives carry their own Zstandard dictionary, and the reader of its archives.
 
 An archive starts with a skippable frame that holds the dictionary, as the WARC-Zstandard convention asks; each
-record is one frame compressed with it. Spark writes the archives to the shared folder itself, one a partition.
-Its text writer ends every row with a line feed, so each record is followed by a skippable frame whose single content
-byte is that line feed; readers skip it.
+record is one frame compressed with it. A task begins a new archive, with the dictionary in front, when the one at hand
+has reached ``ARCHIVE_BYTES``, so archives and what a task holds are bounded whatever the size of a partition. Spark
+writes the archives to the shared folder itself: an archive is a row, and a file takes one row. Its text writer ends
+every row with a line feed, which is the single content byte of a last skippable frame; readers skip it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ REVISIT_FROM = 1000  # bytes
 SAMPLE_PARTS = 1500  # parts of records that train the dictionary
 SAMPLE_CHARS = 4096
 BATCH_BYTES = 16 << 20  # payloads that one batch of records read back holds
+ARCHIVE_BYTES = 32 << 20  # compressed; the record that reaches it is the archive's last
 DICTIONARY = 64 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -73,17 +75,20 @@ def planned(pages: DataFrame) -> DataFrame:
     # SHA-1 alone is known to collide: payloads are equal if their lengths and SHA-256 are as well
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
     key = ["same", "payload_digest", "payload_bytes"]
+    small = rows.where(F.col("payload_bytes") < REVISIT_FROM).withColumn("refers_to", F.lit(None).cast("long"))
     large = rows.where(F.col("payload_bytes") >= REVISIT_FROM)
-    last = written(large.groupBy(*key).agg(F.max("page_id").alias("last")), "last")
-    rows = rows.join(last, key, "left").drop("same")
-    revisit = (F.col("payload_bytes") >= REVISIT_FROM) & (F.col("page_id") < F.col("last"))
-    return rows.withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
+    several = large.groupBy(*key).agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").drop("first")
+    large = large.join(written(several, "last"), key, "left")
+    large = large.withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last")
+    return large.unionByName(small).drop("same")
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE_PARTS parts of records, chosen by a hash; empty if they are too few.
+    """A dictionary from at most SAMPLE_PARTS parts of records, chosen by a hash.
 
-    Whole payloads are cut into parts of SAMPLE_CHARS characters, and every part of every payload may be chosen.
+    Whole payloads are cut into parts of SAMPLE_CHARS characters, and every part of every payload may be chosen. Where
+    the trainer has too little to go by, the last DICTIONARY bytes of the parts themselves are the dictionary; without
+    any part it is a bare record header. So every archive is compressed with a dictionary.
     """
     parts = F.sequence(F.lit(0), F.floor((F.length("html") - 1) / SAMPLE_CHARS))
     rows = pages.where("page_id is not null and length(html) > 0").select("page_id", F.explode(parts).alias("part"))
@@ -93,35 +98,43 @@ def trained(pages: DataFrame) -> bytes:
     rows = some.groupBy("of", "part").agg(F.min("piece").alias("piece")).orderBy("of", "part").collect()
     pieces = [(head("response", r.of, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1) if r.part == 0 else b"") + r.piece.encode() for r in rows]
     try:
-        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes() if len(pieces) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few or too short parts
+        plain = head("response", 0, "http://example.com/", 1, "0" * 40, None, 1) + http_head(1)
+        return b"".join([*pieces, plain])[-DICTIONARY:]
 
 
-def archives(rows: DataFrame, dictionary: bytes, path: str) -> None:
-    """Write ``rows`` of :func:`planned` as WARC archives under ``path``; each partition makes one file."""
+def archives(rows: DataFrame, dictionary: bytes, path: str, limit: int = ARCHIVE_BYTES) -> None:
+    """Write ``rows`` of :func:`planned` as WARC archives of about ``limit`` bytes under ``path``."""
     shared = rows.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches):
         raw = shared.value
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
-        opened = False
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
+        first = struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw
+        out, size = [first], 0
+
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([*out, _TAIL])], pa.binary())], names=["archive"])
+
         for batch in batches:
-            out = []
-            if not opened and batch.num_rows:
-                out.append(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw + _TAIL)
-                opened = True
-            for page_id, url, payload, size, digest, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")], strict=True):
-                block = http_head(size) + (payload if refers is None else b"")
+            for page_id, url, payload, n, digest, refers in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")], strict=True):
+                page_id, url, payload, n, digest, refers = (v.as_py() for v in (page_id, url, payload, n, digest, refers))
+                block = http_head(n) + (payload if refers is None else b"")
                 kind = "response" if refers is None else "revisit"
-                record = head(kind, page_id, url, size, digest, refers, len(block)) + block + b"\r\n\r\n"
-                out.append(packer.compress(record) + _TAIL)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+                record = head(kind, page_id, url, n, digest, refers, len(block)) + block + b"\r\n\r\n"
+                out.append(packer.compress(record))
+                size += len(out[-1])
+                if size >= limit:
+                    yield archive()
+                    out, size = [first], 0
+        if size:
+            yield archive()
 
     rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    frames = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "frame binary")
+    made = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "archive binary")
     # the bytes pass through a string column as they are: the text writer is Spark's only sink for raw bytes
-    frames.select(F.col("frame").cast("string").alias("value")).write.text(path)
+    made.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -143,7 +156,7 @@ def read_archives(spark, path: str) -> DataFrame:
                 if records:
                     yield _batch(records)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -157,8 +170,7 @@ def _records(raw):
     magic, size = struct.unpack_from("<II", view)
     if magic != DICTIONARY_FRAME:
         raise ValueError("an archive without a dictionary frame")
-    made = zstandard.ZstdCompressionDict(bytes(view[8 : 8 + size])) if size else None
-    unpacker = zstandard.ZstdDecompressor(dict_data=made) if made else zstandard.ZstdDecompressor()
+    unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(view[8 : 8 + size])))
     at = 8 + size
     while at < len(view):
         if struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0 == SKIPPABLE_FRAME:
@@ -184,7 +196,11 @@ def _records(raw):
 
 
 def op9(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A null html is an empty payload, and rows that repeat are records of their own. A payload of whatever length is one
+    record; the archive that holds it is as large. Extra columns are not read; an empty table makes no archive.
+    """
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{np.random.default_rng().integers(1 << 62):x}"
     archives(planned(pages), trained(pages), path)

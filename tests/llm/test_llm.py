@@ -257,6 +257,34 @@ def test_warc_archives_hold_their_dictionary(spark, tmp_path):
     assert all(back[k] == want[k] for k in back) and len(back) > 100
 
 
+def test_warc_archives_are_rolled(spark, tmp_path):
+    """With a tiny limit one partition makes many archives, each with the dictionary, and all records come back."""
+    import struct
+
+    pages = table(spark, SF, "pages")
+    raw, plan = warc.trained(pages), warc.planned(pages)
+    warc.archives(plan.coalesce(1), raw, str(tmp_path / "w"), 20_000)
+    files = [f for f in (tmp_path / "w").glob("part-*") if f.stat().st_size]
+    largest = max(len(r.html or "") for r in pages.select("html").collect())
+    assert len(files) > 5
+    for f in files:
+        content = f.read_bytes()
+        assert struct.unpack_from("<II", content) == (warc.DICTIONARY_FRAME, len(raw)) and content[8 : 8 + len(raw)] == raw
+        assert len(content) < len(raw) + 20_000 + largest + 1000
+    got = warc.read_archives(spark, str(tmp_path / "w")).drop("payload")
+    assert sorted(map(str, got.collect())) == sorted(map(str, warc.op9(pages).collect())) and got.count() == pages.count()
+
+
+def test_warc_dictionary_of_few_records(spark, tmp_path):
+    """A table too small to train on still has a dictionary in its archives."""
+    pages = spark.createDataFrame([(1, "u", "few words"), (2, "u", None)], "page_id long, url string, html string")
+    raw = warc.trained(pages)
+    assert raw.endswith(b"Content-Length: 1\r\n\r\n") and b"few words" in raw
+    assert warc.trained(pages.limit(0))
+    warc.archives(warc.planned(pages), raw, str(tmp_path / "w"))
+    assert {(r.page_id, bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == {(1, b"few words"), (2, b"")}
+
+
 def test_decontamination(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = {(r.doc_id, r.item_id) for r in decontamination.op10(docs, bench).collect()}
