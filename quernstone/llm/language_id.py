@@ -2,8 +2,9 @@
 
 A text is its L2-normalised TF-IDF vector of hashed character n-grams. Each language has several centroids, found
 by spherical k-means on a bounded sample; document frequencies come from all documents that may be learned from.
-A text gets the language of the centroid with the largest cosine, and is marked rejected if even that one is further
-away than nearly all training texts of the language are from their own centroids.
+A text gets the language of the centroid with the largest cosine. It is marked rejected if even that one is out of the
+language's reach: the distance that best parts the language's own texts from texts of other languages that come nearest
+to it, found on sampled texts which no centroid has seen.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import types as T
 
 from quernstone.llm.labelled import fold, texts_of
 from quernstone.llm.textarrays import appended, blocks, characters, gram_ids
+from quernstone.session import written
 
 BITS = 12
 GRAMS = (1, 2, 3)
 SAMPLE_ROWS = 800  # of each language
 CENTROIDS = 3  # of each language
 ROUNDS = 12
-REJECT_QUANTILE = 0.999
-REJECT_SLACK = 1.5
+FARTHEST = 0.95  # no reach is larger: a text that shares hardly an n-gram with a language is not in it
 ROWS = 256
 UNDETERMINED = "und"
 
@@ -97,8 +98,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     """Learn from text and non-null lang of the documents outside ``held_out``.
 
-    Centroids come from at most ``limit`` documents a language, taken by a hash of the id. With no such document
-    there are no languages, and every text is undetermined.
+    Centroids come from at most ``limit`` documents a language, taken by a hash of the id; every fifth of them only
+    serves to find the reach (of a language without such a one, all of them serve for both). Of the texts and languages
+    of a repeated id the first in order stand. Texts are taken whole, whatever their length. With no document to learn
+    from there are no languages, and every text is undetermined.
     """
     allowed = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
@@ -121,21 +124,25 @@ def fit(docs: DataFrame, held_out=None, limit: int = SAMPLE_ROWS) -> Model:
 
     def centred(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(len(table), -1)
-        c, reach = centroids_of(vectors(x, idf))
-        return pa.table({"label": table["label"].slice(0, 1), "centroids": pa.array([c.tobytes()], pa.binary()), "reach": pa.array([reach])})
+        x = vectors(np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(len(table), -1), idf)
+        seen = ~table["apart"].to_numpy()
+        c = centroids_of(x[seen] if seen.any() else x)
+        return pa.table({"label": table["label"].slice(0, 1), "centroids": pa.array([c.tobytes()], pa.binary())})
 
     made = appended(texts_of(docs, chosen), rows_of, [("x", T.BinaryType())], "text").drop("text")
+    made = written(made.withColumn("apart", F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(5)) == 0), "vectors")
     # a language's sample is at most ``limit`` rows; only its centroids come to the driver
-    rows = made.groupBy("label").applyInArrow(centred, "label string, centroids binary, reach double").collect()
+    rows = made.groupBy("label").applyInArrow(centred, "label string, centroids binary").collect()
     rows.sort(key=lambda r: r.label)
     found = [np.frombuffer(r.centroids, np.float32).reshape(-1, 1 << BITS) for r in rows]
     owner = [k for k, c in enumerate(found) for _ in range(len(c))]
-    return Model([r.label for r in rows], idf, np.concatenate([np.zeros((0, 1 << BITS), np.float32), *found]), np.array(owner, int), np.array([r.reach for r in rows]))
+    model = Model([r.label for r in rows], idf, np.concatenate([np.zeros((0, 1 << BITS), np.float32), *found]), np.array(owner, int), np.zeros(len(rows)))
+    model.reach = reaches(made, model)
+    return model
 
 
-def centroids_of(own: np.ndarray) -> tuple[np.ndarray, float]:
-    """Spherical k-means of one language's vectors, and the distance beyond which a text is rejected."""
+def centroids_of(own: np.ndarray) -> np.ndarray:
+    """Spherical k-means of one language's vectors."""
     c = own[np.linspace(0, len(own) - 1, min(CENTROIDS, len(own))).astype(int)].copy()
     for _ in range(ROUNDS):
         near = np.argmax(own @ c.T, axis=1)
@@ -143,15 +150,57 @@ def centroids_of(own: np.ndarray) -> tuple[np.ndarray, float]:
             if (near == j).any():
                 c[j] = own[near == j].mean(0)
                 c[j] /= max(np.linalg.norm(c[j]), 1e-12)
-    best = (own @ c.T).max(1)
-    return c.astype(np.float32), REJECT_SLACK * float(np.quantile(1 - best, REJECT_QUANTILE))
+    return c.astype(np.float32)
+
+
+def reaches(made: DataFrame, model: Model) -> np.ndarray:
+    """The distance up to which each language takes a text.
+
+    Each held-back text gives two distances: to its own language, and to the other language that comes nearest, for
+    which it is a stranger. Only these two numbers a text come to the driver.
+    """
+    shared = made.sparkSession.sparkContext.broadcast(model)
+    code = {lang: k for k, lang in enumerate(model.langs)}
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1)
+            own = np.array([code[v] for v in batch.column("label").to_pylist()], int)
+            for lo in range(0, len(own), ROWS):
+                me = own[lo : lo + ROWS]
+                cos = vectors(x[lo : lo + ROWS], m.idf) @ m.centroids.T
+                mine = m.owner[None, :] == me[:, None]
+                inside = np.where(mine, cos, -1.0).max(1)
+                other = np.where(mine, -1.0, cos)
+                near = m.owner[other.argmax(1)]
+                columns = [np.r_[me, near], np.r_[1 - inside, 1 - other.max(1)].astype(np.float64), np.r_[np.ones(len(me), bool), np.zeros(len(me), bool)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", "distance", "own"])
+
+    # where none of a language is held back, those that its centroids have seen
+    some = made.groupBy("label").agg(F.max("apart").alias("__some"))
+    rows = made.join(F.broadcast(some), "label").where("apart = __some").select("label", "x").mapInArrow(run, "lang long, distance double, own boolean").toArrow()
+    lang, distance, own = (rows[c].to_numpy() for c in ("lang", "distance", "own"))
+    return np.array([best_cut(distance[(lang == k) & own], distance[(lang == k) & ~own & (distance <= 1)]) for k in range(len(model.langs))])
+
+
+def best_cut(own: np.ndarray, strangers: np.ndarray) -> float:
+    """The distance with the fewest own texts beyond it and strangers within it, as shares, in the middle of its gap."""
+    edges = np.unique(np.concatenate([own, strangers, [0.0, 1.0]]))
+    middle = (edges[1:] + edges[:-1]) / 2
+    beyond = 1 - np.searchsorted(np.sort(own), middle) / max(len(own), 1)
+    within = np.searchsorted(np.sort(strangers), middle) / max(len(strangers), 1)
+    wrong = np.round(beyond + within, 9)
+    best = np.flatnonzero(wrong == wrong.min())
+    return float(min(middle[best[np.argmax(np.diff(edges)[best])]], FARTHEST))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the cosine, 0 to 1) and ``rejected``.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected. A rejected text with letters still
-    names its nearest language, so a caller may choose what to do with it.
+    names its nearest language, so a caller may choose what to do with it. Rows are judged one by one, repeated ones
+    alike, and by their whole texts; columns that bear the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -66,7 +66,9 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Leaves of a source are in the order of doc_id (null first), those that repeat an id in the order of the digest.
     Rows are dealt by ranges of that order, so a hot source takes many tasks; a table keeps which row came to which.
+    ``rows`` are written first: finding the ranges reads them once more, and texts must not be hashed twice.
     """
+    rows = written(rows, "hashed")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.asc("leaf"))
     dealt = written(dealt.withColumn("part", F.spark_partition_id()), "leaves")

@@ -188,6 +188,59 @@ def test_held_out_recall_and_precision(spark, module, op, label, folds, rest, sf
     assert hit / (got[label] == 1).sum() > recall and hit / (got.predicted == 1).sum() > 0.85
 
 
+def test_language_id_rejects_what_is_in_no_learned_language(spark):
+    d = table(spark, SF, "documents")
+    model = language_id.fit(d, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    assert all(0.3 < r < 1 for r in model.reach)
+    rng = random.Random(3)
+    strange = [
+        "今天天气很好，我们一起去公园散步吧。" * 5, "Сегодня хорошая погода, пойдём гулять в парк вместе. " * 5, "SGVsbG8gV29ybGQhIFRoaXMgaXMgYmFzZTY0IGVuY29kZWQ" * 10,
+        "deadbeef0123456789abcdef cafebabe feedface " * 10, '{"a_key": [1,2,3], "b": {"c": null, "d": true}} ' * 10, "Tänään on hyvä sää, lähdetään yhdessä kävelylle puistoon ja syömään jäätelöä. " * 4,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)),
+    ]
+    got = language_id.predict(docs(spark, list(enumerate(strange))), model).orderBy("doc_id").collect()
+    assert [r.rejected for r in got] == [True] * len(strange)
+    own = language_id.predict(d, model).toPandas()
+    held = own[[zlib.crc32(str(i).encode()) % 3 == 1 for i in own.doc_id]]
+    assert (held.lang == held.lang_pred).mean() > 0.99 and held.rejected.mean() < 0.03
+
+
+def test_language_id_against_plain_dictionaries(spark):
+    """Predictions of a fitted model, from n-grams counted one by one."""
+    import math
+
+    from quernstone.llm.textarrays import gram_ids
+
+    d = table(spark, SF, "documents")
+    model = language_id.fit(d)
+    rows = d.where("n_chars < 1500").orderBy("doc_id").limit(60).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in language_id.predict(docs(spark, rows), model).collect()}
+    bucket = {}
+    for i, text in rows:
+        points = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text]
+        tf: dict[int, int] = {}
+        for n in language_id.GRAMS:
+            for j in range(len(points) - n + 1):
+                g = tuple(points[j : j + n])
+                if g not in bucket:
+                    bucket[g] = int(gram_ids(np.array(g, np.uint32), np.array([0, n]), (n,), language_id.BITS, lower=True)[0][0])
+                tf[bucket[g]] = tf.get(bucket[g], 0) + 1
+        v = {b: math.sqrt(c) * float(model.idf[b]) for b, c in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert got[i].lang_pred == model.langs[model.owner[best]] and abs(got[i].score - cos[best]) < 1e-4
+        assert got[i].rejected == (1 - got[i].score > model.reach[model.owner[best]])
+
+
+def test_best_cut_parts_own_from_strangers():
+    assert 0.3 < language_id.best_cut(np.array([0.1, 0.2, 0.3]), np.array([0.8, 0.9])) < 0.8
+    assert language_id.best_cut(np.array([0.1, 0.2]), np.array([])) < 1 and language_id.best_cut(np.array([]), np.array([])) < 1
+    own, strangers = np.linspace(0.1, 0.6, 100), np.linspace(0.5, 0.9, 100)
+    cut = language_id.best_cut(own, strangers)
+    assert 0.49 < cut < 0.61
+
+
 def test_quality_rules_verdict_on_rows_not_learned_from(spark):
     d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = quality_rules.fit(d, labels, held_out=F.col("doc_id") % 3 == 0)
