@@ -178,10 +178,12 @@ def manifest(docs: DataFrame, arity: int = ARITY, levels: int = LEVELS) -> DataF
     own, subroots = layers(rows.select("rank", "pos", F.col("leaf").alias("digest")), sizes, arity, levels)
     # the subroots are the leaves of a tree of their own, whose one rank is 0
     upper = subroots.select(F.lit(0).cast("long").alias("rank"), F.col("rank").alias("pos"), "digest")
-    count = spark.range(1).select(F.lit(0).cast("long").alias("rank"), F.lit(sizes.count()).cast("long").alias("n"))
+    n_sources = sizes.count()
+    count = spark.range(1).select(F.lit(0).cast("long").alias("rank"), F.lit(n_sources).cast("long").alias("n"))
     above, root = layers(upper, count, arity, levels)
     nothing = F.array().cast("array<string>")
     root_need = spark.range(1).select(F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("block"), nothing.alias("lefts"), nothing.alias("rights"))
+    root_need = root_need.where(F.lit(n_sources > 0))  # an empty table has no root
     # one layer more: the nodes that every subroot needs
     lowest = outer_nodes([(upper.limit(0), count), *above], root_need, arity, levels)
     top = lowest.select(F.col("block").alias("rank"), F.lit(0).cast("long").alias("block"), "lefts", "rights")

@@ -80,7 +80,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = M
     per = per.withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
     up = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumns({"upto": F.sum("slots").over(up), "all": F.sum("slots").over(every)})
-    bounds = [F.floor((F.lit(2.0**POINTS) * c) / F.col("all")).cast("long") for c in (F.col("upto") - F.col("slots"), F.col("upto"))]
+    bounds = [F.floor(F.try_divide(F.lit(2.0**POINTS) * c, F.col("all"))).cast("long") for c in (F.col("upto") - F.col("slots"), F.col("upto"))]
     per = per.withColumns({"low": F.coalesce(bounds[0], F.lit(0)), "high": F.coalesce(bounds[1], F.lit(0))})
     keep = ["source", "rank", "source_size", "rows", "target", "take", "blocks", "whole", "rest", "slots", "low", "high"]
     return written(per.select(*keep), "targets")
@@ -129,8 +129,9 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     served = slots.groupBy("rank").agg(F.count("*").alias("c"))
     short = sources.select("rank", "slots").join(served, "rank", "left").withColumn("c", F.coalesce("c", F.lit(0))).where("c < slots")
     # a few slots a source at most, in the order of the sources
-    late = short.select("rank", F.explode(F.sequence("c", F.col("slots") - 1)).alias("k"), "c")
-    late = late.select((F.lit(n) + F.col("k") - F.col("c")).alias("slot"), "rank", "k")
+    prior = F.coalesce(F.sum(F.col("slots") - F.col("c")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = short.withColumn("prior", prior).select("rank", F.explode(F.sequence("c", F.col("slots") - 1)).alias("k"), "c", "prior")
+    late = late.select((F.lit(n) + F.col("prior") + F.col("k") - F.col("c")).alias("slot"), "rank", "k")
     one = ranked.unionByName(late).join(sources.select("rank", "blocks", "source_size", "whole", "rest"), "rank")
     part = F.col("k") % F.col("blocks")
     one = one.withColumns({"pass": F.floor(F.col("k") / F.col("blocks")), "block": part})
@@ -143,7 +144,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOS
 
     documents: rank, source, doc_id, size, source_size, target and start of every row of ``docs`` (doc_id, text,
     source); parts: rank, start (of the document), slot, pass, at (the word of the document) and words, what each slot
-    takes. Slots in rising order are the mix; tied slots, which are at its end only, in the order of rank.
+    takes. Slots in rising order are the mix.
 
     Null ids and sources are values like others; a null or empty text has no words and no parts, an empty table gives
     no rows. Extra columns are not read. Equal tables give equal results, however they are partitioned.
