@@ -358,3 +358,21 @@ def test_pipeline_against_brute_force(spark):
             assert all(after[i] == before[i] for i in after) and len(after) <= len(before)
     pieces = C.STAGES[-1][1](spark, d, sf).toPandas()
     assert set(pieces.doc_id) == set(after) and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.max()).all()
+
+
+def test_pipeline_stages_keep_the_callers_columns(spark):
+    """Columns that bear the names of the stages' own ones, null ids and texts, repeated rows and an empty table."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    own = ["score", "N_words", "n_removed", "kept_sha256", "__text", "__aside", "component_id", "sequence_id"]
+    d = table(spark, sf, "documents")
+    some = d.limit(60).withColumns({c: F.concat(F.lit(c + ":"), F.col("doc_id").cast("string")) for c in own})
+    odd = some.limit(1).withColumn("doc_id", F.lit(None).cast("long")).unionByName(some.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(10**9))).unionByName(some.limit(2))
+    some = some.unionByName(odd)
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, some, sf)
+        assert out.columns == some.columns and stage(spark, some.limit(0), sf).count() == 0
+        for r in out.where("doc_id < 1000000000").collect():
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in own)
+    assert C.STAGES[-1][1](spark, some, sf).count() >= some.count()
