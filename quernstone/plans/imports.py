@@ -34,7 +34,7 @@ TAXON_COLUMNS = ["name", "authorship", "rank", "status", "family", "genus", "par
 def import_taxonomy(spark: SparkSession, path: str, current: DataFrame | None, target: str, import_id: int) -> dict[str, DataFrame]:
     """Read, validate, gate, upsert, resolve and publish a taxonomy snapshot; returns what was published."""
     rows, issues = delimited.scan_taxonomy_tsv(spark, path)
-    rows = written(rows, "taxonomy")  # quoted files are read by one task each: once is enough
+    rows = written(rows, "taxonomy")
     _, repeated = profile.duplicate_keys(rows, ["taxonID"])
     errors = issues.agg(F.count_if(F.col("severity") == "error").alias("rejected"))
     metrics = errors.crossJoin(repeated).crossJoin(rows.agg(F.count("*").alias("rows")))
@@ -75,13 +75,13 @@ def import_traits(spark: SparkSession, folder: str, seeds: dict[str, DataFrame],
     ``seeds`` has trait_type, code_label and place_label. Rows that name an unknown symbol are skipped with one warning
     a symbol; facts without an occurrence refuse the import.
     """
-    tables = delimited.scan_dwca_tsv(spark, folder, ARCHIVE)
+    tables = delimited.scan_dwca_tsv(spark, folder, ARCHIVE, "row_no")
     required = {"taxa": ["taxonID", "scientificName"], "occurrences": ["occurrenceID", "taxonID"], "facts": ["occurrenceID", "measurementType"]}
     good, issues = {}, None
     for name, (rows, broken) in tables.items():
-        ok, found = validate.split_valid(rows.withColumn("row_no", F.monotonically_increasing_id()), required[name], required[name], name, rows.columns[0])
+        ok, found = validate.split_valid(rows, required[name], required[name], name, rows.columns[0], row="row_no")
         good[name] = written(ok, name)
-        both = broken.select("file", "key", "severity", "kind", "field", "message").unionByName(found.select("file", "key", "severity", "kind", "field", "message"))
+        both = broken.unionByName(found.withColumnRenamed("row_no", "row"))
         issues = both if issues is None else issues.unionByName(both)
     occ = good["occurrences"].select(F.col("occurrenceID").alias("occurrence_id"), F.col("taxonID").alias("symbol"), "row_no")
     raw = good["facts"].select(F.col("occurrenceID").alias("occurrence_id"), F.col("measurementType").alias("type_uri"), F.coalesce("measurementValue", F.lit("")).alias("value_raw"), empty_to_null(F.col("measurementUnit")).alias("unit"), empty_to_null(F.col("measurementRemarks")).alias("remark_sha"))

@@ -33,20 +33,39 @@ def documents(rows: DataFrame, number, value, path: str) -> str:
     return path
 
 
+def _taxonomy(s, d):
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, ' "x"').when(k % 3 == 1, "\ty").otherwise("\nz")
+    given = {"taxonID": F.concat(F.lit("wfo-"), F.lpad(k.cast("string"), 10, "0")), "scientificName": F.when(k % 10 != 0, F.concat("p_name", tail)), "genus": F.col("p_type"), "created": F.concat(F.lit("2020-01-0"), (k % 9).cast("string"))}
+    return table(s, d, "part").select("p_partkey", *[given.get(c, F.lit(None).cast("string")).alias(c) for c in delimited.TAXONOMY_COLUMNS])
+
+
 # Names hold quotes, tabs and line feeds; one date in nine is no date
 @query("taxonomy_round_trip", r"""SELECT 'wfo-' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS "taxonID", p_name || CASE p_partkey % 3 WHEN 0 THEN ' "x"' WHEN 1 THEN chr(9) || 'y' ELSE chr(10) || 'z' END AS name,
 CASE WHEN p_partkey % 9 <> 0 THEN '2020-01-0' || (p_partkey % 9) END AS created, p_type AS genus FROM part WHERE p_partkey % 10 <> 0""")
 def _(s, d):
-    k = F.col("p_partkey")
-    tail = F.when(k % 3 == 0, ' "x"').when(k % 3 == 1, "\ty").otherwise("\nz")
-    given = {"taxonID": F.concat(F.lit("wfo-"), F.lpad(k.cast("string"), 10, "0")), "scientificName": F.when(k % 10 != 0, F.concat("p_name", tail)), "genus": F.col("p_type"), "created": F.concat(F.lit("2020-01-0"), (k % 9).cast("string"))}
-    rows = table(s, d, "part").select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in delimited.TAXONOMY_COLUMNS])
+    rows = _taxonomy(s, d).drop("p_partkey")
     path = place(s)
     rows.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
     good, _ = delimited.scan_taxonomy_tsv(s, path)
     return good.select("taxonID", F.col("scientificName").alias("name"), F.col("created").cast("string").alias("created"), "genus")
 
 
+# A snapshot is one file, and an issue tells the line at which its record begins; names of every third record
+# hold a line feed
+@query("taxonomy_issues", """WITH r AS (SELECT p_partkey AS k, 1 + row_number() OVER (ORDER BY p_partkey) + coalesce(sum(CASE WHEN p_partkey % 3 = 2 AND p_partkey % 10 <> 0 THEN 1 ELSE 0 END)
+  OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM part)
+SELECT 'wfo-' || lpad(CAST(k AS VARCHAR), 10, '0') AS key, CAST(line AS BIGINT) AS "row", 'error' AS severity, 'required' AS kind, 'scientificName' AS field FROM r WHERE k % 10 = 0
+UNION ALL SELECT 'wfo-' || lpad(CAST(k AS VARCHAR), 10, '0'), CAST(line AS BIGINT), 'warning', 'date', 'created' FROM r WHERE k % 9 = 0""")
+def _(s, d):
+    path = place(s)
+    rows = _taxonomy(s, d).coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey")
+    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    _, issues = delimited.scan_taxonomy_tsv(s, path)
+    sinks.write_issues(issues, f"{path}-issues")
+    return s.read.schema("key string, row long, severity string, kind string, field string").json(f"{path}-issues").select("key", "row", "severity", "kind", "field")
+
+
 @query("supplemental_round_trip", "SELECT p_partkey || '-1' AS normalized_id, 'wfo-' || p_partkey AS wfo_id FROM part")
 def _(s, d):
     path = place(s)
@@ -60,25 +79,42 @@ def _descriptor(row_type: str, terms: list[str], file: str) -> str:
     return f'<table rowType="{row_type}" encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" fieldsEnclosedBy="" ignoreHeaderLines="1"><files><location>{file}</location></files>{fields}</table>'
 
 
-# S3: quotes and backslashes are data; every seventh line is one field too short
-@query("archive_round_trip", r"""SELECT CAST(o_orderkey AS VARCHAR) AS "occurrenceID", CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS "taxonID", CASE WHEN o_orderkey % 7 <> 0 THEN '"' || o_orderpriority || '\' END AS "lifeStage", o_orderkey % 7 <> 0 AS good FROM orders""")
-def _(s, d):
-    row_type, terms = ARCHIVE["occurrences"]
-    path = place(s)
-    names = [t.rsplit("/", 1)[-1] for t in terms]
+def _archive_rows(s, d):
+    """A file of one column without quoting, whose header is the whole header line."""
+    names = [t.rsplit("/", 1)[-1] for t in ARCHIVE["occurrences"][1]]
     line = F.concat_ws("\t", F.col("o_orderkey"), F.col("o_custkey"), F.lit(""), F.concat(F.lit('"'), "o_orderpriority", F.lit("\\")))
     line = F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws("\t", "o_orderkey", F.lit("short"), F.lit(""))).otherwise(line)
-    # a file of one column without quoting, whose header is the whole header line
-    rows = table(s, d, "orders").select(line.alias("\t".join(names)))
+    return table(s, d, "orders").select("o_orderkey", line.alias("\t".join(names)))
+
+
+def _archive(s, rows: DataFrame, path: str) -> None:
+    row_type, terms = ARCHIVE["occurrences"]
     rows.write.csv(f"{path}/occurrence.tab", sep="\x01", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     archive = '<archive xmlns="http://rs.tdwg.org/dwc/text/">' + _descriptor(row_type, terms, "occurrence.tab") + _descriptor("http://example.org/Other", terms[:1], "other.tab") + "</archive>"
     s.createDataFrame([(archive,)], "value string").coalesce(1).write.text(f"{path}/meta.xml")
+
+
+# S3: quotes and backslashes are data; every seventh line is one field too short
+@query("archive_round_trip", r"""SELECT CAST(o_orderkey AS VARCHAR) AS "occurrenceID", CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS "taxonID", CASE WHEN o_orderkey % 7 <> 0 THEN '"' || o_orderpriority || '\' END AS "lifeStage", o_orderkey % 7 <> 0 AS good FROM orders""")
+def _(s, d):
+    path, (row_type, terms) = place(s), ARCHIVE["occurrences"]
+    _archive(s, _archive_rows(s, d).drop("o_orderkey"), path)
     good, issues = delimited.scan_dwca_tsv(s, path, {"occurrences": (row_type, terms)})["occurrences"]
     nothing = F.lit(None).cast("string")
     bad = issues.where("kind = 'width' and message = '3'").select(F.col("key").alias("occurrenceID"), nothing.alias("taxonID"), nothing.alias("lifeStage"), F.lit(False).alias("good"))
     return good.select("occurrenceID", "taxonID", "lifeStage", F.lit(True).alias("good")).unionByName(bad)
 
 
+# S3, K2: rows and issues with the numbers of their lines in the one file of a table
+@query("archive_rows", """WITH r AS (SELECT o_orderkey AS k, 1 + row_number() OVER (ORDER BY o_orderkey) AS line FROM orders)
+SELECT CAST(k AS VARCHAR) AS key, CAST(line AS BIGINT) AS "row", CASE WHEN k % 7 = 0 THEN 'width' ELSE 'good' END AS kind FROM r""")
+def _(s, d):
+    path, (row_type, terms) = place(s), ARCHIVE["occurrences"]
+    _archive(s, _archive_rows(s, d).coalesce(1).sortWithinPartitions("o_orderkey").drop("o_orderkey"), path)
+    good, issues = delimited.scan_dwca_tsv(s, path, {"occurrences": (row_type, terms)}, "row")["occurrences"]
+    return good.select(F.col("occurrenceID").alias("key"), "row", F.lit("good").alias("kind")).unionByName(issues.select("key", "row", "kind"))
+
+
 # S4, S9
 @query("seed_round_trip", "SELECT 'geonames' AS scheme, CAST(s_suppkey AS VARCHAR) AS place_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'state' ELSE 'country' END AS kind, 'C' || s_nationkey AS country_code FROM supplier")
 def _(s, d):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quernstone.functions.text import DISTRIBUTION_KINDS, empty_to_null, is_blank, is_snake_key, normalize_ext_id, parse_iso_date
 from quernstone.operators.validate import GateClosed, check_rules, issue, split_valid
+from quernstone.sources import records
 
 # The columns of the taxonomy snapshot, in order.
 TAXONOMY_COLUMNS = [
@@ -35,45 +35,37 @@ class BadHeader(ValueError):
     """A file's header is not the expected one."""
 
 
-def _texts(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def _first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).first()
-    return "" if row is None else row[0].lstrip("﻿").rstrip("\r")
-
-
 def scan_taxonomy_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Quoted tab-separated taxonomy rows with dates parsed, and the issues.
+    """Quoted tab-separated taxonomy rows with dates parsed, and the issues with the row at which each record begins.
 
-    Quoted fields may hold tabs and line breaks, so a file is one task: land the rows as Parquet once.
+    Quoted fields may hold tabs and line breaks; files are read in splits all the same. A record with malformed quoting
+    or another number of fields is rejected.
     """
-    if _first_line(spark, path).split("\t") != TAXONOMY_COLUMNS:
+    found = records.records(spark, path, "\t")
+    if {tuple(h.split("\t")) for h in records.heads(found)} != {tuple(TAXONOMY_COLUMNS)}:
         raise BadHeader(path)
-    schema = _texts([*TAXONOMY_COLUMNS, "_corrupt"])
-    rows = spark.read.option("columnPruning", False).schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    rows = rows.select("_corrupt", *[empty_to_null(F.col(c)).alias(c) for c in TAXONOMY_COLUMNS])
+    rows = records.fields(found, TAXONOMY_COLUMNS, "\t").drop("file")
     dates = [issue("warning", "date", c, F.col(c).isNotNull() & parse_iso_date(F.col(c)).isNull(), F.col(c)) for c in ("created", "modified")]
     broken = issue("error", "record", "_corrupt", F.col("_corrupt").isNotNull())
-    good, issues = split_valid(rows, ["taxonID", "scientificName"], TAXONOMY_IDENTIFIERS, "classification", "taxonID", [broken, *dates])
-    return good.drop("_corrupt").withColumns({c: parse_iso_date(F.col(c)) for c in ("created", "modified")}), issues
+    good, issues = split_valid(rows, ["taxonID", "scientificName"], TAXONOMY_IDENTIFIERS, "classification", "taxonID", [broken, *dates], row="row")
+    return good.drop("_corrupt", "row").withColumns({c: parse_iso_date(F.col(c)) for c in ("created", "modified")}), issues
 
 
 def scan_supplemental_csv(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Rows of an id mapping, deprecated names or replacements, and the warnings; any bad row refuses the file.
 
-    Replacements may come with the five names of deprecated ones over six fields: the second is the replacement.
+    Replacements may come with the five names of deprecated ones over six fields: the second is the replacement. The
+    refusal names the first bad rows.
     """
     names = SUPPLEMENTAL[kind]
     if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
         raise GateClosed(f"{path}: invalid UTF-8")
-    header = _first_line(spark, path).replace('"', "").split(",")
-    quirk = kind == "deduplicated" and header == SUPPLEMENTAL["deprecated"]
-    if header != names and not quirk:
+    found = records.records(spark, path, ",")
+    headers = {tuple(h.replace('"', "").split(",")) for h in records.heads(found)}
+    quirk = kind == "deduplicated" and headers == {tuple(SUPPLEMENTAL["deprecated"])}
+    if headers != {tuple(names)} and not quirk:
         raise BadHeader(path)
-    schema = _texts([*names, "_corrupt"])
-    rows = spark.read.option("columnPruning", False).schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True)
+    rows = records.fields(found, names, ",")
     ids = [c for c in names if c in ("wfo_id", "replacement_wfo_id")]
     wrong = F.col("_corrupt").isNotNull()
     for c in ids:
@@ -83,12 +75,12 @@ def scan_supplemental_csv(spark: SparkSession, path: str, kind: str) -> tuple[Da
     if kind == "ipni":
         rows = rows.withColumn("normalized_id", normalize_ext_id(F.col("ipni_id")))
         wrong = wrong | is_blank(F.col("normalized_id")) | F.coalesce(F.contains(F.col("ipni_id"), F.lit("�")), F.lit(False))
-    bad = rows.agg(F.count_if(wrong).alias("n")).first().n
-    if bad:
-        raise GateClosed(f"{path}: {bad} bad rows")
+    bad = rows.where(wrong).agg(F.count("*").alias("n"), F.min("row").alias("first")).first()
+    if bad.n:
+        raise GateClosed(f"{path}: {bad.n} bad rows, the first at {bad.first}")
     note = [(path, "warning", "header", "the second field is the replacement id")] if quirk else []
     issues = spark.createDataFrame(note, "file string, severity string, kind string, message string")
-    return rows.drop("_corrupt"), issues
+    return rows.drop("_corrupt", "file", "row"), issues
 
 
 def _declared(spark: SparkSession, folder: str) -> dict[str, list[tuple[dict, list[dict]]]]:
@@ -120,8 +112,9 @@ def ignored_tables(spark: SparkSession, folder: str, expected: dict[str, tuple[s
     return [(_location(d), t) for t, of in _declared(spark, folder).items() if t is not None and t not in known for d, _ in of]
 
 
-def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Tables of a Darwin Core Archive by name: rows and issues.
+def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]], row: str | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Tables of a Darwin Core Archive by name: rows, with their line numbers under the name ``row`` if that is given,
+    and issues with theirs.
 
     ``expected`` maps our name to (row type, terms in order). The descriptor must declare exactly one table of each
     row type, UTF-8, tab and line feed, one header line, unquoted, and those terms under the indexes from 0 on. Lines
@@ -141,15 +134,12 @@ def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[st
         if not file or "/" in file or "\\" in file:
             raise BadHeader(f"{row_type}: {file}")
         short = [t.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for t in terms]
-        lines = spark.read.option("columnPruning", False).schema(_texts([*short, "_corrupt"])).csv(
-            f"{folder}/{file}", sep="\t", header=True, quote="", escape="", lineSep="\n", columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE",
-            enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        )
-        # always true: Spark reads the column of broken lines only beside another one
-        beside = F.col(short[0]).isNull() | (F.length(short[0]) >= 0)
-        rows = lines.where(F.col("_corrupt").isNull() & beside).select(*[F.coalesce(c, F.lit("")).alias(c) for c in short])
-        parts = F.split("_corrupt", "\t", -1)
-        issues = lines.where(F.col("_corrupt").isNotNull() & beside).select(F.lit(file).alias("file"), F.coalesce(F.col(short[0]), F.get(parts, F.lit(0))).alias("key"), F.lit("error").alias("severity"), F.lit("width").alias("kind"), F.lit(None).cast("string").alias("field"), F.size(parts).cast("string").alias("message"))
+        lines = records.numbered_lines(spark, f"{folder}/{file}").where("row > 1 and value <> ''")
+        parts = F.split("value", "\t", -1)
+        lines = lines.withColumn("f", parts).withColumn("fits", F.size("f") == len(short))
+        number = [F.col("row").alias(row)] if row else []
+        rows = lines.where("fits").select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(short)], *number)
+        issues = lines.where("not fits").select(F.lit(file).alias("file"), F.get("f", F.lit(0)).alias("key"), "row", F.lit("error").alias("severity"), F.lit("width").alias("kind"), F.lit(None).cast("string").alias("field"), F.size("f").cast("string").alias("message"))
         out[name] = rows, issues
     return out
 
@@ -166,17 +156,17 @@ def seed_rules(kind: str) -> dict:
 
 
 def scan_seed_csv(spark: SparkSession, path: str, kind: str, types: DataFrame | None = None) -> DataFrame:
-    """A checked seed. All failures are gathered, each with file and record number; the error shows the first twenty.
+    """A checked seed. All failures are gathered, each with file and row; the error shows the first twenty.
 
     Every record must have the header's width, keys must be unique (those of trait types by themselves as well), and
     overrides must name a known type.
     """
     names = SEEDS[kind]
-    if _first_line(spark, path).replace('"', "").split(",") != names:
+    found = records.records(spark, path, ",")
+    if {tuple(h.replace('"', "").split(",")) for h in records.heads(found)} != {tuple(names)}:
         raise BadHeader(path)
-    rows = spark.read.option("columnPruning", False).schema(_texts([*names, "_corrupt"])).csv(path, header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", enforceSchema=True)
-    # a seed is one small file, so the number of a row is its record's; the header is the first
-    rows = rows.withColumn("_at", F.concat(F.lit(path.rsplit("/", 1)[-1] + ":"), (F.monotonically_increasing_id() + 2).cast("string")))
+    rows = records.fields(found, names, ",")
+    rows = rows.withColumn("_at", F.concat(F.lit(path.rsplit("/", 1)[-1] + ":"), F.col("row").cast("string"))).drop("file", "row")
     unique = {"trait_type": [["type_uri"], ["key"]], "code_label": [["code", "type_uri"]], "place_label": [["scheme", "place_id"]]}[kind]
     rules = {"width": F.col("_corrupt").isNull(), **seed_rules(kind)}
     broken = check_rules(rows, rules, F.concat_ws(" ", "_at", *unique[0])).orderBy("rule").collect()
