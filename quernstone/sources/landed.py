@@ -41,8 +41,17 @@ def scan_entities_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     Claims count with rank preferred or normal and a value; preferred ones first, then in the order of the statements.
     """
-    e = spark.read.schema(ENTITIES).json(path, multiLine=True, mode="FAILFAST").select(F.explode("entities").alias("key", "e"))
-    e = e.select("key", F.coalesce("e.redirects.from", "key").alias("requested"), F.coalesce("e.id", "key").alias("qid"), F.col("e.missing").isNotNull().alias("missing"), "e.lastrevid", "e.labels", "e.sitelinks", "e.claims")
+    return entity_tables(entity_rows(spark.read.schema(ENTITIES).json(path, multiLine=True, mode="FAILFAST")))
+
+
+def entity_rows(documents: DataFrame) -> DataFrame:
+    """(key, requested, qid, missing, lastrevid, labels, sitelinks, claims) of each entity of parsed documents."""
+    e = documents.select(F.explode("entities").alias("key", "e"))
+    return e.select("key", F.coalesce("e.redirects.from", "key").alias("requested"), F.coalesce("e.id", "key").alias("qid"), F.col("e.missing").isNotNull().alias("missing"), "e.lastrevid", "e.labels", "e.sitelinks", "e.claims")
+
+
+def entity_tables(e: DataFrame) -> dict[str, DataFrame]:
+    """The tables of :func:`scan_entities_json` from entity rows."""
     missing = e.where("missing").select(F.col("requested").alias("qid"))
     known = F.coalesce(is_qid(F.col("qid")), F.lit(False))
     live = e.where("not missing").where(known)
