@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import canonical_name, is_blank, is_taxon_id, normalize_ext_id, with_normalized
+from quernstone.operators.lookup import referenced
 from quernstone.operators.validate import GateClosed
 from quernstone.session import written
 
 MAX_DEPTH = 64
 
 
+def live(table: DataFrame) -> DataFrame:
+    """The rows that are current, if the table says so."""
+    return table.where("is_current") if "is_current" in table.columns else table
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Rows of ``child`` whose key no parent has."""
     return child.join(parent.select(F.col(parent_key or key).alias(key)), key, "left_anti")
@@ -25,13 +31,11 @@ def missing_parent_summary(occ: DataFrame, facts: DataFrame, taxa: DataFrame, sy
 
 
 def resolve_references(df: DataFrame, ref_cols: list[str], key: str) -> DataFrame:
-    """For each id column a column resolved_<col>: the id if a current row has it, else null. Raw ids stay."""
-    current = df.where("is_current") if "is_current" in df.columns else df
-    out = df
-    for c in ref_cols:
-        ids = current.select(F.col(key).alias(f"resolved_{c}")).distinct()
-        out = out.join(ids, out[c] == ids[f"resolved_{c}"], "left")
-    return out
+    """For each id column a column resolved_<col>: the id if a current row has it, else null. Raw ids stay.
+
+    Null references and ids that many rows name are dealt over the tasks.
+    """
+    return referenced(df, {c: f"resolved_{c}" for c in ref_cols}, live(df).select(key))
 
 
 def reference_counts(resolved: DataFrame, ref_cols: list[str]) -> DataFrame:
@@ -42,10 +46,8 @@ def reference_counts(resolved: DataFrame, ref_cols: list[str]) -> DataFrame:
 
 def refresh_links(table: DataFrame, taxa: DataFrame, id_cols: list[str], key: str = "taxon_id") -> DataFrame:
     """Each id column's resolved_<col> against the taxa, and ``changed`` if any differs from before."""
-    out, changed = table, F.lit(False)
+    out, changed = referenced(table, {c: f"__{c}" for c in id_cols}, taxa.select(key)), F.lit(False)
     for c in id_cols:
-        ids = taxa.select(F.col(key).alias(f"__{c}")).distinct()
-        out = out.join(ids, out[c] == ids[f"__{c}"], "left")
         changed = changed | ~F.col(f"resolved_{c}").eqNullSafe(F.col(f"__{c}"))
     out = out.withColumn("changed", changed)
     return out.withColumns({f"resolved_{c}": F.col(f"__{c}") for c in id_cols}).drop(*[f"__{c}" for c in id_cols])
@@ -119,9 +121,8 @@ def validate_chain_graph(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFr
 
 def accepted_of(taxa: DataFrame) -> DataFrame:
     """(taxon_id, accepted): itself if Accepted, the current accepted taxon if Synonym, else null; current taxa only."""
-    current = taxa.where("is_current")
-    other = current.select(F.col("taxon_id").alias("__a"))
-    rows = current.join(other, current.accepted_id == other["__a"], "left")
+    current = taxa.where("is_current").select("taxon_id", "status", "accepted_id")
+    rows = referenced(current, {"accepted_id": "__a"}, current.select("taxon_id"))
     accepted = F.when(F.col("status") == "Accepted", F.col("taxon_id")).when(F.col("status") == "Synonym", F.col("__a"))
     return rows.select("taxon_id", accepted.alias("accepted"))
 
@@ -139,26 +140,44 @@ def resolve_item_links(links: DataFrame, edges: DataFrame, taxa: DataFrame, well
     return rows.select(*[links[c] for c in links.columns if c != "__ok"], "resolved", F.col("__t").alias("taxon"), "accepted", status.alias("status"), F.coalesce("was_redirected", F.lit(False)).alias("was_redirected"))
 
 
-def link_by_precedence(symbols: DataFrame, ext_ids: DataFrame, item_links: DataFrame, taxa: DataFrame) -> DataFrame:
-    """(symbol, taxon, method, status, candidates) of each symbol.
+def link_by_precedence(symbols: DataFrame, ext_ids: DataFrame, item_links: DataFrame, taxa: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(symbol, taxon, method, status, candidates, qids) of each symbol; ``qids`` are the items behind an external link.
 
     First the external id: one taxon links, several conflict and end there. Else name and rank among current taxa.
     ``symbols`` (symbol, name, rank); ``ext_ids`` (qid, value); ``item_links`` (qid, taxon); ``taxa`` (taxon_id, name,
-    rank, is_current).
+    rank, is_current); ``items`` (qid, is_current). Only current items, links and taxa count: rows of these tables with
+    is_current false are left out, and with ``items`` given, ids of items that it lacks.
     """
     current = taxa.where("is_current")
-    via = symbols.select("symbol").join(ext_ids.select("qid", F.col("value").alias("symbol")), "symbol").join(item_links.select("qid", "taxon"), "qid")
-    via = via.join(current.select(F.col("taxon_id").alias("taxon")), "taxon", "left_semi").groupBy("symbol").agg(F.array_sort(F.collect_set("taxon")).alias("candidates"))
-    one = via.select("symbol", F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("taxon"), F.lit("external").alias("method"), F.when(F.size("candidates") == 1, "Linked").otherwise("Conflict").alias("status"), "candidates")
+    ids = live(ext_ids).select("qid", F.col("value").alias("symbol"))
+    if items is not None:
+        ids = ids.join(live(items).select("qid").distinct(), "qid", "left_semi")
+    via = symbols.select("symbol").join(ids, "symbol").join(live(item_links).select("qid", "taxon"), "qid")
+    via = via.join(current.select(F.col("taxon_id").alias("taxon")), "taxon", "left_semi")
+    via = via.groupBy("symbol").agg(F.array_sort(F.collect_set("taxon")).alias("candidates"), F.array_sort(F.collect_set(F.col("qid").cast("string"))).alias("qids"))
+    one = via.select("symbol", F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("taxon"), F.lit("external").alias("method"), F.when(F.size("candidates") == 1, "Linked").otherwise("Conflict").alias("status"), "candidates", "qids")
     rest = symbols.join(via.select("symbol"), "symbol", "left_anti").withColumn("__c", canonical_name(F.col("name"), F.col("rank")))
     rest = with_normalized(rest, "__c", "__n")
     names = with_normalized(current.select("taxon_id", "name", "rank"), "name", "__n").drop("name")
     by = rest.join(names, ["__n", "rank"], "left").groupBy("symbol").agg(F.array_sort(F.collect_set("taxon_id")).alias("candidates"))
     n = F.size("candidates")
-    two = by.select("symbol", F.when(n == 1, F.get("candidates", F.lit(0))).alias("taxon"), F.lit("name").alias("method"), F.when(n == 1, "Linked").when(n > 1, "Ambiguous").otherwise("NotFound").alias("status"), "candidates")
+    two = by.select("symbol", F.when(n == 1, F.get("candidates", F.lit(0))).alias("taxon"), F.lit("name").alias("method"), F.when(n == 1, "Linked").when(n > 1, "Ambiguous").otherwise("NotFound").alias("status"), "candidates", F.array().cast("array<string>").alias("qids"))
     return one.unionByName(two)
 
 
+def link_evidence(links: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(symbol, status, qids, candidates) of the symbols whose link has something to show for it.
+
+    A linked one by external id has its items; a conflict has the items and the candidates, an ambiguous name its
+    candidates, each described by taxon_id, name and status in the order of the ids.
+    """
+    several = F.col("status").isin("Conflict", "Ambiguous")
+    shown = links.where((F.size("qids") > 0) | several)
+    rows = shown.where(several).select("symbol", F.explode("candidates").alias("taxon_id")).join(live(taxa).select("taxon_id", "name", "status"), "taxon_id", "left")
+    told = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("taxon_id", "name", "status"))).alias("candidates"))
+    return shown.select("symbol", "status", "qids").join(told, "symbol", "left").select("symbol", "status", "qids", "candidates")
+
+
 def lookup_ext_id(ids: DataFrame, mapping: DataFrame, edges: DataFrame, taxa: DataFrame) -> DataFrame:
     """(query, status, taxon) of each queried external id: Found, NotFound, Conflict or Invalid.
 
@@ -203,7 +222,7 @@ def trace_path(symbols: DataFrame, symbol_links: DataFrame, taxa: DataFrame, ite
     """
     from quernstone.operators.dedup import top_per_group
 
-    links, pages = (t.where("is_current") if "is_current" in t.columns else t for t in (item_links, articles))
+    links, pages = live(item_links), live(articles)
     named = taxa.where("is_current and status = 'Accepted'").groupBy("name").agg(F.min("taxon_id").alias("__by_name"))
     linked = symbol_links.where("accepted is not null").groupBy("symbol").agg(F.min("accepted").alias("accepted"))
     base = symbols.select("symbol", "name").join(linked, "symbol", "left").join(named, "name", "left")
@@ -219,13 +238,13 @@ def best_name(targets: DataFrame, names: DataFrame, item_links: DataFrame) -> Da
     """(target, common_name): one English name a taxon: plain en first, names that match the query, shortest, byte order.
 
     ``targets`` (target and optionally query, nq and cq: the normalised query and its compact form); ``names`` (qid,
-    language, name, normalized, compact); the link's accepted taxon counts, else its own. A name matches if its
-    normalised form holds the normalised query, or its compact form the compact one.
+    language, name, normalized, compact); the link's accepted taxon counts, else its own; retired links do not. A name
+    matches if its normalised form holds the normalised query, or its compact form the compact one.
     """
     from quernstone.functions.text import is_english
 
     keys = [c for c in ("query", "target") if c in targets.columns]
-    link = item_links.select("qid", F.coalesce("accepted", "taxon").alias("target")).distinct()
+    link = live(item_links).select("qid", F.coalesce("accepted", "taxon").alias("target")).distinct()
     english = names.where(is_english(F.col("language"))).join(link, "qid")
     rows = targets.join(english, "target")
     matched = F.lit(False)

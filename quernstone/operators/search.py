@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import compact_name, is_english, match_tier, normalize_name, rank_depth
 from quernstone.operators.dedup import first_per_key, top_per_group
-from quernstone.operators.resolve import best_name
+from quernstone.operators.resolve import best_name, live
 from quernstone.session import written
 
 BROADCAST_QUERIES = 1000  # with more, names and queries meet on their trigrams
@@ -51,41 +51,68 @@ def containing(texts: DataFrame, text: str, queries: DataFrame, query: str, few:
     return out
 
 
+def scientific_texts(taxa: DataFrame) -> DataFrame:
+    """(target, matched_on, source_order, matched_text, both) of current taxa; a synonym leads to its accepted taxon."""
+    current = taxa.where("is_current")
+    accepted = current.select(F.col("taxon_id").alias("__a"))
+    t = current.join(accepted, (current.status == "Synonym") & (current.accepted_id == accepted["__a"]), "left")
+    via = F.col("__a").isNotNull()
+    return t.select(F.coalesce("__a", "taxon_id").alias("target"), F.when(via, "synonym").otherwise("scientificName").alias("matched_on"), via.cast("int").alias("source_order"), F.col("name").alias("matched_text"), F.concat_ws("\n", "name", "genus").alias("both"))
+
+
+def common_texts(names: DataFrame, item_links: DataFrame) -> DataFrame:
+    """(target, matched_text, normalized, compact) of English names of items with a current link."""
+    link = live(item_links).select("qid", F.coalesce("accepted", "taxon").alias("target"))
+    return names.where(is_english(F.col("language"))).join(link, "qid").select("target", F.col("name").alias("matched_text"), "normalized", "compact")
+
+
+def scientific_tier() -> Column:
+    return F.coalesce(match_tier(F.col("matched_text"), F.col("query")), F.lit(40))
+
+
+def common_tier() -> Column:
+    tier = match_tier(F.col("normalized"), F.col("nq"))
+    return F.when(tier == 10, 10).when(F.col("compact") == F.col("cq"), 15).otherwise(F.coalesce(tier, F.lit(50)))
+
+
+MATCH = ["query", "target", "matched_on", "source_order", "matched_text", "tier"]
+
+
+def pages(matches: DataFrame, q: DataFrame, taxa: DataFrame, names: DataFrame, item_links: DataFrame, page_size: int) -> DataFrame:
+    """The first ``page_size`` targets of each query of ``q`` from MATCH rows, with a common name each."""
+    current = taxa.where("is_current")
+    best = first_per_key(matches.where("target is not null"), ["query", "target"], [F.col("tier"), F.col("source_order"), F.length("matched_text"), F.col("matched_text"), F.col("matched_on")])
+    rows = best.join(current.select(F.col("taxon_id").alias("target"), "name", "rank", "status"), "target")
+    order = [F.asc("tier"), F.asc(F.col("matched_on") == "synonym"), F.asc(~F.col("status").eqNullSafe(F.lit("Accepted"))), F.asc(rank_depth(F.col("rank"))), F.asc_nulls_last("name"), F.asc("target")]
+    page = top_per_group(rows, ["query"], order, page_size)
+    labels = best_name(page.select("query", "target").join(q, "query"), names, item_links)
+    out = page.join(labels, ["query", "target"], "left")
+    return out.select("query", "position", F.col("target").alias("taxon_id"), "name", "rank", "status", "common_name", "matched_on", "matched_text", "tier")
+
+
+def checked(page_size: int) -> None:
+    if not 1 <= page_size <= 100:
+        raise ValueError("page_size must be 1 to 100")
+
+
 def search_names(taxa: DataFrame, names: DataFrame, item_links: DataFrame, queries: DataFrame, page_size: int = PAGE) -> DataFrame:
     """(query, position, taxon_id, name, rank, status, common_name, matched_on, matched_text, tier).
 
     ``taxa`` (taxon_id, name, genus, rank, status, accepted_id, is_current), ``names`` (qid, language, name, normalized,
-    compact), ``item_links`` (qid, taxon, accepted). Scientific and common names match in tiers; each target keeps its
-    best match, and each query its first ``page_size`` targets.
+    compact), ``item_links`` (qid, taxon, accepted and optionally is_current: retired links do not count). Scientific and
+    common names match in tiers; each target keeps its best match, and each query its first ``page_size`` targets.
+
+    This looks at every name; ``search_index`` does not.
     """
-    if not 1 <= page_size <= 100:
-        raise ValueError("page_size must be 1 to 100")
+    checked(page_size)
     q = written(queries_of(queries), "queries")
     few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    current = taxa.where("is_current")
-    accepted = current.select(F.col("taxon_id").alias("__a"))
-    t = current.join(accepted, (current.status == "Synonym") & (current.accepted_id == accepted["__a"]), "left")
-    via = F.col("__a").isNotNull()
-    t = t.select(F.coalesce("__a", "taxon_id").alias("target"), F.when(via, "synonym").otherwise("scientificName").alias("matched_on"), via.cast("int").alias("source_order"), F.col("name").alias("matched_text"), F.concat_ws("\n", "name", "genus").alias("__both"))
-    plain = q.select("query")
-    scientific = containing(t, "__both", plain, "query", few).withColumn("tier", F.coalesce(match_tier(F.col("matched_text"), F.col("query")), F.lit(40))).drop("__both")
-    link = item_links.select("qid", F.coalesce("accepted", "taxon").alias("target"))
-    n = names.where(is_english(F.col("language"))).join(link, "qid").select("target", F.col("name").alias("matched_text"), "normalized", "compact")
-    n = n.withColumn("__both", F.concat_ws("\n", "normalized", "compact"))
+    scientific = containing(scientific_texts(taxa), "both", q.select("query"), "query", few).withColumn("tier", scientific_tier())
+    n = common_texts(names, item_links)
     nq = q.where(F.col("nq") != "").select("query", "nq", F.nullif(F.col("cq"), F.lit("")).alias("cq"))
     if few:  # one pass for both forms
         found = n.join(F.broadcast(nq), F.contains("normalized", "nq") | F.coalesce(F.contains("compact", "cq"), F.lit(False)))
     else:
         found = containing(n, "normalized", nq, "nq", few).unionByName(containing(n, "compact", nq.where("cq is not null"), "cq", few))
-    text, c = F.col("normalized"), F.col("cq")
-    tier = match_tier(text, F.col("nq"))
-    tier = F.when(tier == 10, 10).when(F.col("compact") == c, 15).otherwise(F.coalesce(tier, F.lit(50)))
-    common = found.select("target", F.lit("commonName").alias("matched_on"), F.lit(2).alias("source_order"), "matched_text", "query", tier.alias("tier"))
-    matches = scientific.select("query", "target", "matched_on", "source_order", "matched_text", "tier").unionByName(common.select("query", "target", "matched_on", "source_order", "matched_text", "tier")).where("target is not null")
-    best = first_per_key(matches, ["query", "target"], [F.col("tier"), F.col("source_order"), F.length("matched_text"), F.col("matched_text"), F.col("matched_on")])
-    rows = best.join(current.select(F.col("taxon_id").alias("target"), "name", "rank", "status"), "target")
-    order = [F.asc("tier"), F.asc(F.col("matched_on") == "synonym"), F.asc(~F.col("status").eqNullSafe(F.lit("Accepted"))), F.asc(rank_depth(F.col("rank"))), F.asc_nulls_last("name"), F.asc("target")]
-    page = top_per_group(rows, ["query"], order, page_size)
-    labels = best_name(page.select("query", "target").join(q, "query"), names, item_links)
-    out = page.join(labels, ["query", "target"], "left")
-    return out.select("query", "position", F.col("target").alias("taxon_id"), "name", "rank", "status", "common_name", "matched_on", "matched_text", "tier")
+    common = found.select("query", "target", F.lit("commonName").alias("matched_on"), F.lit(2).alias("source_order"), "matched_text", common_tier().alias("tier"))
+    return pages(scientific.select(*MATCH).unionByName(common), q, taxa, names, item_links, page_size)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import articles, dedup, facts, profile, resolve, search, snapshot, validate
+from quernstone.operators import articles, dedup, facts, lookup, profile, resolve, search, search_index, snapshot, validate
 from quernstone.plans import bindings as B
-from quernstone.session import table
+from quernstone.session import scratch_dir, table
 from quernstone.sources.delimited import rows_fingerprint
 
 QUERIES: dict = {}
@@ -27,7 +29,7 @@ def query(name: str, oracle: str | None = None):
 TERMS = ["red widget", "brand-17 blue", "ring", "hot", "bolt", "brand#1", "small-", "r", "ECONOMY", "%_", "gear", "brand17red"]
 
 
-@query("search_names", B.sql(f"""
+SEARCHED = f"""
 WITH q AS (SELECT unnest([{', '.join(f"'{t}'" for t in TERMS if len(t) > 1)}]) AS query),
 qq AS (SELECT query, lower(query) AS nq, replace(replace(lower(query), ' ', ''), '-', '') AS cq FROM q),
 cur AS (SELECT * FROM taxa WHERE is_current),
@@ -43,12 +45,31 @@ ranked AS (SELECT b.query, b.target AS taxon_id, t.name, t.rank, t.status, b.mat
   CASE t.rank WHEN 'genus' THEN 14 WHEN 'species' THEN 20 WHEN 'nothospecies' THEN 20 ELSE 24 END, t.name, t.taxon_id) AS position FROM best b JOIN cur t ON t.taxon_id = b.target),
 lab AS (SELECT DISTINCT ON (r.query, r.taxon_id) r.query, r.taxon_id, n.name AS common_name FROM ranked r JOIN qq ON qq.query = r.query JOIN item_links l ON coalesce(l.accepted, l.taxon) = r.taxon_id JOIN names n ON n.qid = l.qid
   WHERE n.language = 'en' OR n.language LIKE 'en-%' ORDER BY r.query, r.taxon_id, n.language <> 'en', NOT (contains(n.normalized, qq.nq) OR qq.cq <> '' AND contains(n.compact, qq.cq)), length(n.name), n.name)
-SELECT r.query, r.position, r.taxon_id, r.name, r.rank, r.status, lab.common_name, r.matched_on, r.matched_text, r.tier FROM ranked r LEFT JOIN lab ON lab.query = r.query AND lab.taxon_id = r.taxon_id WHERE position <= 20""", "taxa", "names", "item_links"))
+SELECT r.query, r.position, r.taxon_id, r.name, r.rank, r.status, lab.common_name, r.matched_on, r.matched_text, r.tier FROM ranked r LEFT JOIN lab ON lab.query = r.query AND lab.taxon_id = r.taxon_id WHERE position <= 20"""
+
+
+@query("search_names", B.sql(SEARCHED, "taxa", "names", "item_links"))
 def _(s, d):
     terms = s.createDataFrame([(t,) for t in TERMS], "query string")
     return search.search_names(B.taxa(s, d), B.names(s, d), B.item_links(s, d), terms)
 
 
+# Q1: links of every fifth item are retired; their names lead nowhere and label nothing
+@query("search_retired_links", B.sql(SEARCHED.replace("item_links l ON", "(SELECT * FROM item_links WHERE qid % 5 <> 0) l ON"), "taxa", "names", "item_links"))
+def _(s, d):
+    terms = s.createDataFrame([(t,) for t in TERMS], "query string")
+    return search.search_names(B.taxa(s, d), B.names(s, d), B.item_links(s, d).withColumn("is_current", F.col("qid") % 5 != 0), terms)
+
+
+# Q1, Q2: the same answers from the stored index
+@query("search_index", B.sql(SEARCHED, "taxa", "names", "item_links"))
+def _(s, d):
+    path, terms = f"{scratch_dir(s)}/{uuid.uuid4().hex}", s.createDataFrame([(t,) for t in TERMS], "query string")
+    tables = B.taxa(s, d), B.names(s, d), B.item_links(s, d)
+    search_index.build_index(*tables, path)
+    return search_index.search_index(s, path, *tables, terms)
+
+
 @query("normalize_names", "SELECT c_custkey, lower(trim(regexp_replace(c_name || '  ' || c_mktsegment, '\\s+', ' ', 'g'))) AS normalized, replace(replace(lower(trim(regexp_replace(c_name || '  ' || c_mktsegment, '\\s+', ' ', 'g'))), ' ', ''), '-', '') AS compact FROM customer")
 def _(s, d):
     n = T.normalize_name(F.concat("c_name", F.lit("  "), "c_mktsegment"))
@@ -160,6 +181,14 @@ def _(s, d):
     return resolve.resolve_references(B.taxa(s, d), ["accepted_id", "parent_id"], "taxon_id").select("taxon_id", "accepted_id", "resolved_accepted_id", "parent_id", "resolved_parent_id")
 
 
+# Two thirds of the references are null, and one part is named by a sixth of all lines
+@query("resolve_skewed", """SELECT l_orderkey, l_linenumber, r AS ref, p_partkey AS resolved_ref FROM (SELECT l_orderkey, l_linenumber, CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN 1 WHEN (l_orderkey + l_linenumber) % 6 = 1 THEN l_partkey END AS r FROM lineitem) LEFT JOIN part ON p_partkey = r AND p_partkey % 9 <> 0""")
+def _(s, d):
+    at = F.col("l_orderkey") + F.col("l_linenumber")
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(at % 6 == 0, 1).when(at % 6 == 1, F.col("l_partkey")).alias("ref"))
+    return lookup.referenced(lines, {"ref": "resolved_ref"}, table(s, d, "part").where("p_partkey % 9 <> 0").select("p_partkey"))
+
+
 @query("reference_counts", B.sql("""SELECT 'accepted_id' AS reference, count(a.taxon_id) AS resolved, count(t.accepted_id) - count(a.taxon_id) AS unresolved FROM taxa t LEFT JOIN taxa a ON a.is_current AND a.taxon_id = t.accepted_id
 UNION ALL SELECT 'parent_id', count(a.taxon_id), count(t.parent_id) - count(a.taxon_id) FROM taxa t LEFT JOIN taxa a ON a.is_current AND a.taxon_id = t.parent_id""", "taxa"))
 def _(s, d):
@@ -242,6 +271,33 @@ def _(s, d):
     return parts[0].unionByName(parts[1]).select("symbol", "taxon", "method", "status", F.size("candidates").cast("long").alias("n"))
 
 
+# Links of every seventh item and every fifth item itself are retired; a symbol's items are shown
+@query("link_current", """WITH cur AS (SELECT p_partkey AS taxon_id FROM part WHERE p_partkey % 11 <> 0),
+via AS (SELECT s.s_suppkey AS symbol, list(DISTINCT p.p_partkey - p.p_partkey % 2 ORDER BY p.p_partkey - p.p_partkey % 2) AS cs, string_agg(DISTINCT CAST(p.p_partkey AS VARCHAR), ',' ORDER BY CAST(p.p_partkey AS VARCHAR)) AS qids
+ FROM supplier s JOIN part p ON p.p_partkey % 100 = s.s_suppkey AND p.p_partkey % 5 <> 0 AND p.p_partkey % 7 <> 0 JOIN cur c ON c.taxon_id = p.p_partkey - p.p_partkey % 2 GROUP BY 1)
+SELECT s.s_suppkey AS symbol, CASE WHEN len(cs) = 1 THEN cs[1] END AS taxon, CASE WHEN cs IS NULL THEN 'name' ELSE 'external' END AS method, CASE WHEN cs IS NULL THEN 'NotFound' WHEN len(cs) = 1 THEN 'Linked' ELSE 'Conflict' END AS status, coalesce(qids, '') AS qids
+FROM supplier s LEFT JOIN via ON via.symbol = s.s_suppkey""")
+def _(s, d):
+    p = table(s, d, "part")
+    symbols = table(s, d, "supplier").selectExpr("s_suppkey AS symbol", "CAST(NULL AS STRING) AS name", "'species' AS rank")
+    taxa = p.selectExpr("p_partkey AS taxon_id", "p_name AS name", "'species' AS rank", "p_partkey % 11 <> 0 AS is_current")
+    ext = p.selectExpr("p_partkey AS qid", "p_partkey % 100 AS value")
+    items = p.selectExpr("p_partkey AS qid", "p_partkey % 5 <> 0 AS is_current")
+    links = p.selectExpr("p_partkey AS qid", "p_partkey - p_partkey % 2 AS taxon", "p_partkey % 7 <> 0 AS is_current")
+    out = resolve.link_by_precedence(symbols, ext, links, taxa, items)
+    return out.select("symbol", "taxon", "method", "status", F.array_join("qids", ",").alias("qids"))
+
+
+# What stands behind a conflict, an ambiguous name or a link by external id
+@query("link_evidence", """WITH l AS (SELECT p_brand AS symbol, list(DISTINCT p_partkey ORDER BY p_partkey) AS cs FROM part WHERE p_size = 7 GROUP BY 1)
+SELECT symbol, CASE WHEN len(cs) = 1 THEN 'Linked' ELSE 'Conflict' END AS status, CASE WHEN len(cs) > 1 THEN (SELECT string_agg(taxon_id || ':' || name || ':' || status, '|' ORDER BY taxon_id) FROM taxa WHERE list_contains(cs, taxon_id)) END AS told FROM l""".replace("WITH l AS", "WITH taxa AS (SELECT " + B.TAXA + " FROM part), l AS"))
+def _(s, d):
+    p = table(s, d, "part").where("p_size = 7").groupBy(F.col("p_brand").alias("symbol")).agg(F.array_sort(F.collect_set("p_partkey")).alias("candidates"))
+    links = p.select("symbol", F.when(F.size("candidates") == 1, "Linked").otherwise("Conflict").alias("status"), "candidates", F.array(F.lit("Q1")).alias("qids"))
+    out = resolve.link_evidence(links, B.taxa(s, d).withColumn("is_current", F.lit(True)))
+    return out.select("symbol", "status", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c.taxon_id.cast("string"), c["name"], c.status)), "|").alias("told"))
+
+
 @query("lookup_ext_id", B.sql(CHAIN + """, q AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN '  ' WHEN c_custkey % 2 = 0 THEN ' URN:LSID:ipni.org:names:' || c_custkey || '-1 ' ELSE c_custkey || '-1' END AS query FROM customer),
 m AS (SELECT p_partkey || '-1' AS nid, p_partkey AS t FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey || '-1', p_partkey + 7 FROM part WHERE p_partkey % 5 = 0),
 e AS (SELECT q.query, count(*) FILTER (WHERE c.status IN ('Cycle', 'DepthLimit')) AS broken, count(DISTINCT c.resolved) FILTER (WHERE c.status = 'Resolved') AS n, min(c.resolved) FILTER (WHERE c.status = 'Resolved') AS taxon

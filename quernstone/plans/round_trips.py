@@ -14,9 +14,10 @@ from quernstone.operators import facts, validate
 from quernstone.plans.imports import ARCHIVE
 from quernstone.plans.queries import query
 from quernstone.session import scratch_dir, table
+from quernstone.sinks import buckets
 from quernstone.sinks import publish as sinks
 from quernstone.sources import delimited, landed
-from quernstone.streaming.landing import ingest_landing_stream
+from quernstone.streaming.landing import ingest_entities_stream, ingest_landing_stream
 
 PER_DOCUMENT = 500  # rows in a landed document
 
@@ -190,6 +191,29 @@ def _(s, d):
     return out.select("requested_title", "title", "missing", "rev", "extract", T.is_requestable_title(F.col("requested_title")).alias("requestable"))
 
 
+# A title is given in percent encoding, converted, and redirected three times within its response; its extract comes
+# in a continued response of its own, and one redirect in seven leads to itself
+@query("pages_walk", """SELECT 'a ' || p_partkey AS requested_title, CASE WHEN p_partkey % 7 = 0 THEN 'd1 ' ELSE 'd3 ' END || p_partkey AS title, false AS missing, p_partkey % 50 AS rev, p_name AS extract FROM part""")
+def _(s, d):
+    k = F.col("p_partkey")
+    t = k.cast("string")
+    names = {"asked": F.concat(F.lit("a "), t), "coded": F.concat(F.lit("a%20"), t), "plain": F.concat(F.lit("B "), t), "conv": F.concat(F.lit("C "), t), **{f"d{i}": F.concat(F.lit(f"d{i} "), t) for i in (1, 2, 3)}}
+    rows = table(s, d, "part").select("p_partkey", "p_name", *[c.alias(n) for n, c in names.items()]).withColumn("next", F.when(k % 7 == 0, F.col("d1")).otherwise(F.col("d2")))
+
+    def edge(a, b, coded=False):
+        return F.struct(F.col(a).alias("from"), F.col(b).alias("to"), F.lit(coded).alias("fromencoded"))
+
+    end = F.when(k % 7 == 0, F.col("d1")).otherwise(F.col("d3"))
+    page = F.struct(end.alias("title"), F.lit(False).alias("missing"), (k % 50).alias("lastrevid"))
+    hops = F.flatten(F.collect_list(F.array(edge("conv", "d1"), edge("d1", "next"), edge("d2", "d3"))))
+    body = F.struct(F.collect_list(edge("coded", "plain", True)).alias("normalized"), F.collect_list(edge("plain", "conv")).alias("converted"), hops.alias("redirects"), F.collect_list(page).alias("pages"))
+    more = F.struct(F.collect_list(F.struct(end.alias("title"), F.col("p_name").alias("extract"))).alias("pages"))
+    path = place(s)
+    documents(rows, k, F.struct(body.alias("query")), f"{path}/run=1")
+    documents(rows, k, F.struct(more.alias("query")), f"{path}/run=2")
+    return landed.scan_pages_json(s, path, rows.select(F.col("asked").alias("title"))).select("requested_title", "title", "missing", "rev", "extract")
+
+
 # S8
 @query("characteristics_round_trip", "SELECT 'Size' AS field, CAST(p_size AS VARCHAR) AS value, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 2")
 def _(s, d):
@@ -236,6 +260,19 @@ def _(s, d):
     return sinks.published(s, path, "rows")
 
 
+# A second import changes some rows, drops some and adds some; the buckets of all others keep their files
+@query("bucketed_publication", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 = 3 THEN 'X' ELSE o_orderstatus END AS status, o_orderkey % 100 <> 5 AS is_current, CAST(CASE WHEN o_orderkey % 100 IN (3, 5, 7) THEN 2 ELSE 1 END AS BIGINT) AS import_id, true AS kept FROM orders""")
+def _(s, d):
+    path, k = place(s), F.col("id")
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    one = buckets.publish_changes(s, path, "orders", rows.where("id % 100 <> 7"), "id", ["status"], 1, n=64)
+    two = buckets.publish_changes(s, path, "orders", rows.where("id % 100 <> 5").withColumn("status", F.when(k % 100 == 3, "X").otherwise(F.col("status"))), "id", ["status"], 2)
+    changed = buckets.touched(rows.where("id % 100 in (3, 5, 7)"), "id", two.buckets)
+    was, now = one.folders["orders"], two.folders["orders"]
+    kept = {b for b in now if was.get(b) == now[b]} == set(now) - set(changed)
+    return buckets.table(s, two, "orders").withColumn("kept", F.lit(kept))
+
+
 # K2
 @query("issues_round_trip", """SELECT 'pages' AS file, CAST(page_id AS VARCHAR) AS key, page_id AS "row", 'required' AS kind, 'html' AS field FROM pages WHERE page_id % 10 = 0""")
 def _(s, d):
@@ -308,3 +345,31 @@ def _(s, d):
     orders.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 3 = 0 THEN 5L ELSE 2L END AS rev", "'new' AS body").write.json(f"{path}/in/two")
     ingest_landing_stream(s, schema, f"{path}/in/*", f"{path}/out", f"{path}/seen", "id", "rev")
     return sinks.published(s, f"{path}/out", "rows")
+
+
+# ST1, S6, C5: entity documents in two landings; the second has newer and older revisions, other names, and redirects
+@query("entity_stream", """SELECT 'Q' || p_partkey AS qid, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_type END AS label, p_partkey % 10 <> 4 AS is_current, CASE WHEN p_partkey % 3 = 0 THEN 'other' ELSE p_name END AS name FROM part WHERE p_partkey > 0""")
+def _(s, d):
+    path, k = place(s), F.col("p_partkey")
+    part = table(s, d, "part")  # Q0 is no id: an issue of S6
+
+    def landed_as(rows, name, rev, label, common):
+        told = F.to_json(F.struct(F.lit("en").alias("language"), common.alias("text")))
+        claim = F.struct(F.lit("normal").alias("rank"), F.struct(F.lit("value").alias("snaktype"), F.struct(told.alias("value")).alias("datavalue")).alias("mainsnak"))
+        qid = F.concat(F.lit("Q"), k.cast("string"))
+        entity = F.struct(qid.alias("id"), rev.alias("lastrevid"), F.create_map(F.lit("en"), F.struct(label.alias("value"))).alias("labels"), F.create_map(F.lit("P1843"), F.array(claim)).alias("claims"))
+        documents(rows, k, F.struct(F.map_from_entries(F.collect_list(F.struct(qid, entity))).alias("entities")), f"{path}/in/{name}")
+
+    def moved(rows):
+        old, new = F.concat(F.lit("Q"), k.cast("string")), F.concat(F.lit("Q"), (k - 1).cast("string"))
+        entity = F.struct(new.alias("id"), F.lit(0).alias("lastrevid"), F.struct(old.alias("from"), new.alias("to")).alias("redirects"))
+        documents(rows, k, F.struct(F.map_from_entries(F.collect_list(F.struct(old, entity))).alias("entities")), f"{path}/in/three")
+
+    landed_as(part, "one", F.lit(3), F.col("p_type"), F.col("p_name"))
+    landed_as(part.where("p_partkey % 2 = 0 or p_partkey % 3 = 0"), "two", F.when(k % 3 == 0, 5).otherwise(2), F.lit("new"), F.lit("other"))
+    moved(part.where("p_partkey % 10 = 4"))
+    for name in ("one", "two", "three"):
+        ingest_entities_stream(s, f"{path}/in/{name}/*", f"{path}/out", f"{path}/seen/{name}", n=32)
+    last = buckets.latest(s, f"{path}/out")
+    names = buckets.table(s, last, "item_name").select("qid", "name")
+    return buckets.table(s, last, "item").join(names, "qid", "left").select("qid", "label", "is_current", "name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import is_qid, statement_rank
@@ -80,6 +80,47 @@ def entity_tables(e: DataFrame) -> dict[str, DataFrame]:
     return {"item": item, "item_name": names, "item_external_id": external.distinct(), "item_taxon_id": taxon_ids, "redirect": redirect, "missing": missing, "issues": issues}
 
 
+def leads(edges: Column) -> Column:
+    """A map from each title to where it leads; of several edges the one with the smallest target, as they have no order."""
+
+    def source(e):
+        return F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])
+
+    every = F.transform(edges, lambda e: F.struct(source(e).alias("f"), e["to"].alias("t")))
+    return F.array_sort(F.filter(F.coalesce(every, F.array().cast("array<struct<f:string,t:string>>")), lambda e: e["f"].isNotNull() & e["t"].isNotNull() & (e["f"] != e["t"])))
+
+
+def first_of_each(ordered: Column) -> Column:
+    """A map of sorted (f, t) pairs without those whose f comes before."""
+    return F.map_from_entries(F.filter(ordered, lambda e, i: (i == 0) | (F.get(ordered, i - 1)["f"] != e["f"])))
+
+
+STEPS = ("normalized", "converted", "redirects")
+
+
+def walks(responses: DataFrame) -> DataFrame:
+    """``responses`` (with query) with ``walked``, array<struct<start, end>>: where each title that a response names
+    leads within it.
+
+    A title goes through normalisation and conversion, then along at most MAX_HOPS redirects; it stays at a title that
+    nothing leads on from, or that leads to itself. All of it happens inside the response's row, by look-ups in its own
+    maps, which are written before they are walked.
+    """
+    sorted_ = responses.withColumns({f"__{name}": leads(F.col(f"query.{name}")) for name in STEPS})
+    titles = F.coalesce(F.transform("query.pages", lambda p: p["title"]), F.array().cast("array<string>"))
+    froms = [F.coalesce(F.transform(f"query.{name}", lambda e: F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])), F.array().cast("array<string>")) for name in STEPS]
+    named = F.array_distinct(F.filter(F.flatten(F.array(titles, *froms)), lambda t: t.isNotNull()))
+    held = written(sorted_.withColumn("__starts", named), "edges")
+    held = written(held.withColumns({f"__{name}": first_of_each(F.col(f"__{name}")) for name in STEPS}), "responses")
+
+    def step(at: Column, name: str) -> Column:
+        return F.coalesce(F.try_element_at(F.col(f"__{name}"), at), at)
+
+    hops = F.sequence(F.lit(1), F.lit(MAX_HOPS))
+    walk = F.transform("__starts", lambda s: F.struct(s.alias("start"), F.aggregate(hops, step(step(s, "normalized"), "converted"), lambda at, _: step(at, "redirects")).alias("end")))
+    return held.withColumn("walked", walk).drop("__starts", *[f"__{name}" for name in STEPS])
+
+
 def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
     """(requested_title, title, missing, page_id, rev, item, short_description, disambiguation, extract).
 
@@ -87,22 +128,12 @@ def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> Dat
     nothing. Continued responses merge: the first non-null value of each field, in order of file name.
     """
     raw = spark.read.schema(PAGES).json(path, multiLine=True, mode="FAILFAST").select(F.input_file_name().alias("file"), "query")
-    raw = written(raw, "pages")  # each hop reads it
-
-    def edges(name):
-        rows = raw.select("file", F.explode_outer(f"query.{name}").alias("x")).where("x is not null")
-        source = F.when(F.coalesce("x.fromencoded", F.lit(False)), F.url_decode("x.from")).otherwise(F.col("x.from"))
-        return rows.select("file", source.alias("f"), F.col("x.to").alias("t")).distinct()
-
+    raw = walks(raw)
+    walked = raw.select("file", F.inline("walked"))
+    at = requested.select(F.col("title").alias("requested_title")).join(walked, F.col("requested_title") == F.col("start"), "left")
+    at = at.groupBy("requested_title").agg(F.min_by("end", F.struct(F.col("file").isNull().alias("n"), F.col("file"))).alias("at"))
+    at = at.withColumn("at", F.coalesce("at", "requested_title"))
     p = raw.select("file", F.explode("query.pages").alias("p")).select("file", "p.*")
-    named = p.select("file", F.col("title").alias("f"))
-    for name in ("normalized", "converted", "redirects"):
-        named = named.unionByName(edges(name).select("file", "f"))
-    at = requested.select(F.col("title").alias("requested_title")).join(named.distinct(), F.col("requested_title") == F.col("f"), "left").select("requested_title", "file", F.col("requested_title").alias("at"))
-    for name in ["normalized", "converted", *["redirects"] * MAX_HOPS]:
-        hop = edges(name).where("f <> t").withColumnRenamed("file", "__file")
-        at = at.join(hop, (at["at"] == hop.f) & (at.file == hop["__file"]), "left").select("requested_title", "file", F.coalesce("t", "at").alias("at"))
-    at = at.groupBy("requested_title").agg(F.min_by("at", F.struct(F.col("file").isNull().alias("n"), F.col("file"))).alias("at"))
 
     def first(c, name):
         return F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("file"))).alias(name)
