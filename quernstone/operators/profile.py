@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import INFRASPECIFIC, is_taxon_id, rank_bucket, stub_flags
+from quernstone.functions.text import is_taxon_id, rank_bucket, stub_flags
 from quernstone.operators.resolve import reference_counts, resolve_references
 from quernstone.operators.validate import count_with_examples
 
@@ -183,6 +183,12 @@ def link_totals(links: DataFrame, taxa: DataFrame) -> DataFrame:
     return rows.groupBy("status", "method").agg(F.count("*").alias("n"), F.count_if(F.col("__status") == "Synonym").alias("to_synonym"), F.count("accepted").alias("with_accepted"))
 
 
+def symbols_with_ext_id(links: DataFrame, ext_ids: DataFrame) -> DataFrame:
+    """(status, symbols, with_ext_id): symbols by the status of their link, and how many of them an external id names."""
+    named = ext_ids.select(F.col("value").alias("symbol"), F.lit(1).alias("__named")).distinct()
+    return links.join(named, "symbol", "left").groupBy("status").agg(F.count("*").alias("symbols"), F.count("__named").alias("with_ext_id"))
+
+
 def snapshot_relations(taxa: DataFrame, refs: list[str], key: str = "taxon_id") -> DataFrame:
     """(reference, resolved, unresolved) of each relation of current taxa."""
     return reference_counts(resolve_references(taxa, refs, key).where("is_current"), refs)
@@ -191,6 +197,3 @@ def snapshot_relations(taxa: DataFrame, refs: list[str], key: str = "taxon_id")
 def snapshot_groups(taxa: DataFrame, cols: list[str]) -> DataFrame:
     """(field, value, n) of current taxa."""
     return group_counts(taxa.where("is_current"), cols)
-
-
-__all__ = ["INFRASPECIFIC"]

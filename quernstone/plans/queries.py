@@ -704,3 +704,65 @@ def _(s, d):
 
     rows = table(s, d, "conversations").select("conv_id", "turn", "role")
     return merge_revisions(merge_revisions(None, rows.where("turn % 2 = 0"), "conv_id", "turn"), rows, "conv_id", "turn")
+
+
+# Facts are events, the distribution is made of orders
+@query("fact_summary", B.sql("""SELECT 'rank' AS metric, rank AS value, count(*) AS n FROM taxa WHERE is_current GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM taxa WHERE is_current GROUP BY 2
+UNION ALL SELECT 'taxa', CASE WHEN is_current THEN 'current' ELSE 'retired' END, count(*) FROM taxa GROUP BY 2
+UNION ALL SELECT 'trait', CASE event_type WHEN 'click' THEN 'k_click' WHEN 'view' THEN 'k_view' ELSE event_type END, count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'kind', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'scheme', o_orderpriority, count(*) FROM orders GROUP BY 2""", "taxa"))
+def _(s, d):
+    types = s.createDataFrame([("click", "k_click"), ("view", "k_view")], "type_uri string, key string")
+    distribution = table(s, d, "orders").selectExpr("o_orderstatus AS kind", "o_orderpriority AS scheme")
+    return profile.fact_summary(B.taxa(s, d), table(s, d, "events").selectExpr("event_type AS type_uri"), types, distribution)
+
+
+# A6
+@query("malformed_ids", """WITH b AS (SELECT 'bad-' || p_size AS e FROM part WHERE p_partkey % 10 = 0)
+SELECT (SELECT count(*) FROM b) AS malformed, (SELECT string_agg(e, '|' ORDER BY e) FROM (SELECT DISTINCT e FROM b ORDER BY e LIMIT 20)) AS examples""")
+def _(s, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 10 == 0, F.concat(F.lit("bad-"), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("wfo-"), F.lpad(k.cast("string"), 10, "0")))
+    return profile.malformed_ids(table(s, d, "part").select(raw.alias("taxon_id_raw")))
+
+
+# A9
+@query("unknown_types", "SELECT event_type AS type_uri, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
+def _(s, d):
+    types = s.createDataFrame([("click",), ("view",)], "type_uri string")
+    return profile.unknown_types(table(s, d, "events").selectExpr("event_type AS type_uri"), types)
+
+
+# A8
+@query("unlabelled_places", "SELECT 'geonames' AS scheme, CAST(s_nationkey AS VARCHAR) AS place_id, count(*) AS n FROM supplier WHERE s_suppkey % 4 <> 0 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) GROUP BY 2")
+def _(s, d):
+    distribution = table(s, d, "supplier").selectExpr("CASE WHEN s_suppkey % 4 = 0 THEN 'literal' ELSE 'geonames' END AS scheme", "CAST(s_nationkey AS STRING) AS place_id")
+    places = table(s, d, "nation").where("n_nationkey % 3 = 0").selectExpr("'geonames' AS scheme", "CAST(n_nationkey AS STRING) AS place_id")
+    return profile.unlabelled_places(distribution, places)
+
+
+# A13
+@query("link_totals", B.sql("""SELECT o_orderstatus AS status, o_orderpriority AS method, count(*) AS n, count(CASE WHEN t.status = 'Synonym' THEN 1 END) AS to_synonym, count(CASE WHEN o_orderkey % 2 = 0 THEN 1 END) AS with_accepted
+FROM orders LEFT JOIN taxa t ON t.taxon_id = o_custkey GROUP BY 1, 2""", "taxa"))
+def _(s, d):
+    links = table(s, d, "orders").selectExpr("o_orderstatus AS status", "o_orderpriority AS method", "o_custkey AS taxon", "CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS accepted")
+    return profile.link_totals(links, B.taxa(s, d))
+
+
+# Symbols that an external id leads to, by the status of their link
+@query("symbols_with_ext_id", "SELECT o_orderstatus AS status, count(*) AS symbols, count(CASE WHEN o_custkey % 3 = 0 THEN 1 END) AS with_ext_id FROM orders GROUP BY 1")
+def _(s, d):
+    links = table(s, d, "orders").selectExpr("o_orderstatus AS status", "o_custkey AS symbol")
+    ids = table(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS value", "c_custkey AS qid")
+    return profile.symbols_with_ext_id(links, ids.unionByName(ids))
+
+
+# A7, A3
+@query("counts_of_current", B.sql("SELECT language, count(*) AS n FROM names JOIN taxa ON taxon_id = qid WHERE is_current GROUP BY 1", "names", "taxa"))
+def _(s, d):
+    return profile.counts_of_current(B.taxa(s, d).selectExpr("taxon_id AS qid", "is_current"), B.names(s, d), "language")
+
+
+@query("snapshot_groups", B.sql("SELECT 'rank' AS field, rank AS value, count(*) AS n FROM taxa WHERE is_current GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM taxa WHERE is_current GROUP BY 2", "taxa"))
+def _(s, d):
+    return profile.snapshot_groups(B.taxa(s, d), ["rank", "status"]).select(F.col("field"), F.col("value"), "n")
