@@ -23,6 +23,8 @@ GRAMS = (4, 5, 6)
 SAMPLE_ROWS = 4000  # a third of them toxic at most
 KEPT = 4096  # n-grams that get a weight: those whose counts differ most between the classes (chi-squared)
 STEPS = 300
+DECIDE = 0.7  # the score from which a document is to be held for toxic
+NEAR_BEST = 0.98
 
 
 @dataclass
@@ -70,9 +72,10 @@ def class_counts(rows: DataFrame) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, limit: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``limit`` labelled documents outside ``held_out``; every fifth of them only calibrates.
 
-    Toxic documents are rare, so they are sampled apart, a third of the limit; scores are probabilities at that mix,
-    not at the table's. Labels above 0 count as 1; of the labels of a repeated id the smallest stands. With no
-    labelled row at all each document scores 0.5.
+    Toxic documents are rare, so they are sampled apart, a third of the limit. Scores are probabilities at that mix,
+    their log-odds then raised so that the cut that serves the calibrating rows best lies at DECIDE (:func:`best_cut`).
+    Below 50 labelled rows all of them both train and calibrate. Labels above 0 count as 1; of the labels of a repeated
+    id the smallest stands. With no labelled row at all each document scores 0.5.
     """
     labels = labels.select("doc_id", F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     toxic = F.col("label") > 0
@@ -113,17 +116,39 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=N
     x *= ratio[kept].astype(np.float32)
     w, _ = logistic(x[~apart], y[~apart], 1e-4, STEPS)
     rest = apart if apart.any() else ~apart
-    slope, shift = platt((x[rest] @ w).astype(np.float64), y[rest])
+    margin = (x[rest] @ w).astype(np.float64)
+    slope, shift = platt(margin, y[rest])
+    table = labels.where(~F.coalesce(held_out, F.lit(False))) if held_out is not None else labels
+    every = {bool(r.t): r.n for r in table.groupBy(toxic.alias("t")).agg(F.count("*").alias("n")).collect()}
+    others = every.get(False, 0) * float(y[rest].sum()) / max(every.get(True, 0) * float((1 - y[rest]).sum()), 1e-9)
+    shift += max(0.0, float(np.log(DECIDE / (1 - DECIDE))) - best_cut(slope * margin + shift, y[rest], others))
     weights[kept] = w * ratio[kept]
     del x
     released()
     return Model(weights, slope, shift)
 
 
+def best_cut(odds: np.ndarray, y: np.ndarray, others: float) -> float:
+    """The middle of the log-odds from which taking rows for toxic has nearly the best F-measure; infinite if a class is
+    missing.
+
+    ``others`` is what a row of class 0 counts, so that the classes have the whole table's mix.
+    """
+    if not y.any() or y.all():
+        return np.inf
+    order = np.argsort(-odds, kind="stable")
+    value, hit = odds[order], y[order] > 0
+    tp, fp = np.cumsum(hit), np.cumsum(~hit) * others
+    f = 2 * tp / (tp + fp + hit.sum())
+    f[:-1][value[:-1] == value[1:]] = 0  # equal rows are taken together
+    good = np.flatnonzero(f >= NEAR_BEST * f.max())
+    return float(value[good[0]] + value[good[-1]]) / 2
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 at the sample's mix, from each whole text.
+    """``docs`` with ``score``, 0 to 1, higher where label 1 is likelier, from each whole text; see :func:`fit`.
 
-    A null or empty text has no n-grams and gets the score of the intercept alone.
+    A null or empty text has no n-grams and gets the score of the intercept alone. Repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -179,7 +179,7 @@ def test_near_dedup_finds_the_links_of_a_table(spark):
     assert got == {k: find(k) for k in sets} and len(set(got.values())) < len(got)
 
 
-@pytest.mark.parametrize(("module", "op", "label", "folds", "rest", "sf", "recall"), [(quality_classifier, "op1", "quality", 5, 0, SF, 0.85), (toxicity, "op3", "toxic", 3, 1, "/root/testdata/sf0.1", 0.65)])
+@pytest.mark.parametrize(("module", "op", "label", "folds", "rest", "sf", "recall"), [(quality_classifier, "op1", "quality", 5, 0, SF, 0.85), (toxicity, "op3", "toxic", 3, 1, "/root/testdata/sf0.1", 0.82)])
 def test_held_out_recall_and_precision(spark, module, op, label, folds, rest, sf, recall):
     out = getattr(module, op)(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").toPandas()
     assert all(zlib.crc32(str(i).encode()) % folds == rest for i in out.doc_id)
@@ -241,6 +241,21 @@ def test_best_cut_parts_own_from_strangers():
     assert 0.49 < cut < 0.61
 
 
+def test_toxicity_cut():
+    rng = np.random.default_rng(1)
+    odds, y = np.r_[rng.normal(2, 1, 200), rng.normal(-2, 1, 400)], np.r_[np.ones(200), np.zeros(400)]
+    cut = toxicity.best_cut(odds, y, 5.0)
+
+    def f(c):
+        tp, fp = (odds[y > 0] >= c).sum(), 5.0 * (odds[y == 0] >= c).sum()
+        return 2 * tp / (tp + fp + 200)
+
+    best = max(f(c) for c in odds)
+    near = [c for c in odds if f(c) >= 0.98 * best]
+    assert f(cut) >= 0.97 * best and abs(cut - (min(near) + max(near)) / 2) < 1e-9
+    assert toxicity.best_cut(np.zeros(4), np.ones(4), 1.0) == np.inf and toxicity.best_cut(np.zeros(4), np.array([1, 0, 1, 0]), 1.0) == 0.0
+
+
 def test_quality_rules_verdict_on_rows_not_learned_from(spark):
     d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = quality_rules.fit(d, labels, held_out=F.col("doc_id") % 3 == 0)
