@@ -766,3 +766,22 @@ def _(s, d):
 @query("snapshot_groups", B.sql("SELECT 'rank' AS field, rank AS value, count(*) AS n FROM taxa WHERE is_current GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM taxa WHERE is_current GROUP BY 2", "taxa"))
 def _(s, d):
     return profile.snapshot_groups(B.taxa(s, d), ["rank", "status"]).select(F.col("field"), F.col("value"), "n")
+
+
+# A number of one statistic, which must be the only one, and a number that all facts must share. The facts of a
+# customer are the prices of the orders, with their priority as statistic, and a number that one order in forty has wrong.
+@query("compare_numbers", """WITH o AS (SELECT o_custkey AS symbol, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS urgent, count(*) FILTER (WHERE o_orderkey % 40 = 0) AS odd FROM orders GROUP BY 1)
+SELECT c_custkey AS symbol, 'Mean' AS field, 'Statistic' AS mode, CASE WHEN coalesce(urgent, 0) = 0 THEN 'Missing' WHEN urgent = 1 AND c_custkey % 2 = 0 THEN 'Agree' ELSE 'Disagree' END AS outcome FROM customer LEFT JOIN o ON symbol = c_custkey
+UNION ALL SELECT c_custkey, 'Sole', 'Only', CASE WHEN odd IS NULL THEN 'Missing' WHEN odd = 0 THEN 'Agree' ELSE 'Disagree' END FROM customer LEFT JOIN o ON symbol = c_custkey""")
+def _(s, d):
+    orders, nothing = table(s, d, "orders"), F.lit(None).cast("string")
+    common = [nothing.alias("label"), F.lit("verified").alias("confidence")]
+    prices = orders.select(F.col("o_custkey").alias("symbol"), F.lit("k_price").alias("key"), *common, F.col("o_totalprice").cast("decimal(38,15)").alias("numeric"), F.col("o_orderpriority").alias("statistic"))
+    sole = F.col("o_custkey") % 7 + F.when(F.col("o_orderkey") % 40 == 0, 1).otherwise(0)
+    ours = prices.unionByName(orders.select(F.col("o_custkey").alias("symbol"), F.lit("k_sole").alias("key"), *common, sole.cast("decimal(38,15)").alias("numeric"), nothing.alias("statistic")))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("symbol")).agg(F.max(F.col("o_totalprice").cast("decimal(20,2)")).alias("most"))
+    people = table(s, d, "customer").select(F.col("c_custkey").alias("symbol")).join(urgent, "symbol", "left")
+    mean = F.when(F.col("symbol") % 2 == 0, F.coalesce(F.col("most").cast("string"), F.lit("1"))).otherwise("1")
+    theirs = people.select("symbol", F.lit("mEAN").alias("field"), mean.alias("value")).unionByName(people.select("symbol", F.lit("sole").alias("field"), F.concat((F.col("symbol") % 7).cast("string"), F.lit(".0")).alias("value")))
+    mapping = s.createDataFrame([("Mean", "k_price", "Statistic", "1-URGENT"), ("Sole", "k_sole", "Only", None)], "field string, key string, mode string, statistic string")
+    return facts.compare_facts(ours, theirs, mapping).select("symbol", "field", "mode", "outcome")
