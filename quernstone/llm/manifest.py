@@ -213,3 +213,52 @@ def manifest(docs: DataFrame, arity: int = ARITY, levels: int = LEVELS) -> DataF
 def op12(docs: DataFrame) -> DataFrame:
     """The manifest of ``documents``; see the contract of this operator."""
     return manifest(docs)
+
+
+def _tree_sql(name: str, base: str, levels: int) -> str:
+    """CTEs <name>0, <name>1, ... of the nodes (r, p, h, n) of each level from ``base`` (r, p, h), for comparison SQL;
+    ``n`` is the number of the rank's nodes there. Nodes of a level of one are ends and have no level above."""
+    out = [f"{name}0 AS (SELECT r, p, h, count(*) OVER (PARTITION BY r) AS n FROM {base})"]
+    for k in range(levels):
+        below = f"SELECT r, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {name}{k} WHERE n > 1 GROUP BY r, p // 16"
+        out.append(f"{name}{k + 1} AS (SELECT r, p, h, count(*) OVER (PARTITION BY r) AS n FROM ({below}))")
+    for k in range(levels):
+        run = "PARTITION BY r, p // 16 ORDER BY p ROWS BETWEEN"
+        out.append(f"{name}s{k} AS (SELECT r, p, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {name}{k} WHERE n > 1)")
+    return ",\n".join(out)
+
+
+def _manifest_sql(levels: int = 5, above: int = 3) -> str:
+    """Comparison SQL for at most 16 ** levels leaves a source and 16 ** above sources."""
+
+    def fields(text: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values)
+
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {step}), 4294967295)"
+    low = f"CASE WHEN {crc} % 5 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END"
+    ends = " UNION ALL ".join(f"SELECT r, h FROM l{k} WHERE n = 1" for k in range(levels + 1))
+    tops = " UNION ALL ".join(f"SELECT h FROM u{k} WHERE n = 1" for k in range(above + 1))
+    way = [(f"ls{k}", "i.r", f"i.p // {16**k}") for k in range(levels)] + [(f"us{k}", "0", f"i.r // {16**k}") for k in range(above)]
+    joins = " ".join(f"LEFT JOIN {t} ON {t}.r = {r} AND {t}.p = {p}" for t, r, p in way)
+    pairs = []
+    select = ["i.doc_id", "i.h AS leaf", "e.h AS subroot", "t.h AS root"]
+    for k, (t, _, _) in enumerate(way):
+        pairs.append(f"coalesce({t}.a || {t}.b, '')")
+        select += [f"{t}.a AS a{k}", f"{t}.b AS b{k}"]
+    inner = f"SELECT {', '.join(select)}, {' || '.join(pairs)} AS around, changed AS f0 FROM i JOIN e ON e.r = i.r CROSS JOIN t {joins}"
+    for k in range(len(way)):
+        inner = f"SELECT *, CASE WHEN a{k} IS NULL THEN f{k} ELSE sha256(a{k} || f{k} || b{k}) END AS f{k + 1} FROM ({inner})"
+    out = f"SELECT doc_id, leaf, subroot, root, sha256(around) AS proof_sha256, f{len(way)} AS folded_root, f{len(way)} = root AS verified FROM ({inner})"
+    return f"""WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS r, sha256({fields('text')}) AS h, sha256({fields(f'({low})')}) AS changed FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM d),
+{_tree_sql('l', 'i', levels)},
+e AS ({ends}),
+s AS (SELECT 0 AS r, r AS p, h FROM e),
+{_tree_sql('u', 's', above)},
+t AS ({tops})
+{out}"""
+
+
+OP12_SQL = _manifest_sql()

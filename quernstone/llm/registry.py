@@ -23,5 +23,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.OP2_SQL, "op4_near_dedup": near_dedup.OP4_SQL, "op9_warc": warc.OP9_SQL,
-    "op11_mixing": mixing.OP11_SQL, "op13_filter_audit": filter_audit.OP13_SQL,
+    "op11_mixing": mixing.OP11_SQL, "op12_manifest": manifest.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL,
 }
