@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import DISTRIBUTION_KINDS, empty_to_null, is_blank, is_snake_key, normalize_ext_id, parse_iso_date
+from quernstone.functions.text import DISTRIBUTION_KINDS, is_blank, is_snake_key, normalize_ext_id, parse_iso_date
 from quernstone.operators.validate import GateClosed, check_rules, issue, split_valid
 from quernstone.sources import records
 
