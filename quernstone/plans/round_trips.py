@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import facts, validate
+from quernstone.plans import refreshes
 from quernstone.plans.imports import ARCHIVE
 from quernstone.plans.queries import query
 from quernstone.session import scratch_dir, table
@@ -373,3 +374,69 @@ def _(s, d):
     last = buckets.latest(s, f"{path}/out")
     names = buckets.table(s, last, "item_name").select("qid", "name")
     return buckets.table(s, last, "item").join(names, "qid", "left").select("qid", "label", "is_current", "name")
+
+
+# Details in two imports; in the second, entities of the same revision are passed over although their
+# text differs, one in seven is missing, one in ten redirects to the entity before it
+@query("details_import", """SELECT 'Q' || k AS qid, CASE WHEN k % 10 = 3 THEN 'target' WHEN fresh THEN 'new' ELSE p_type END AS label, k % 10 <> 4 AS is_current,
+CASE WHEN fresh OR k % 10 IN (3, 4) THEN 2 ELSE 1 END AS import_id, CASE WHEN k % 10 = 3 THEN 'target' WHEN fresh THEN 'new' ELSE p_name END AS name
+FROM (SELECT p_partkey AS k, p_type, p_name, p_partkey % 3 = 0 AND p_partkey % 10 <> 4 AND (p_partkey % 7 <> 1 OR p_partkey % 10 = 3) AS fresh FROM part WHERE p_partkey > 0)""")
+def _(s, d):
+    path, k = place(s), F.col("p_partkey")
+    part = table(s, d, "part").where("p_partkey > 0")
+    asked, before = F.concat(F.lit("Q"), k.cast("string")), F.concat(F.lit("Q"), (k - 1).cast("string"))
+    moves, target = k % 10 == 4, k % 10 == 3
+
+    def landed_as(name, qid, rev, label, common, missing, redirects):
+        told = F.to_json(F.struct(F.lit("en").alias("language"), common.alias("text")))
+        claim = F.struct(F.lit("normal").alias("rank"), F.struct(F.lit("value").alias("snaktype"), F.struct(told.alias("value")).alias("datavalue")).alias("mainsnak"))
+        entity = F.struct(
+            qid.alias("id"), missing.alias("missing"), rev.alias("lastrevid"), redirects.alias("redirects"),
+            F.create_map(F.lit("en"), F.struct(label.alias("value"))).alias("labels"), F.create_map(F.lit("P1843"), F.array(claim)).alias("claims"),
+        )
+        documents(part, k, F.struct(F.map_from_entries(F.collect_list(F.struct(asked, entity))).alias("entities")), f"{path}/{name}")
+
+    def second(same):
+        return F.when(target | moves, "target").when(k % 3 == 0, "new").otherwise(same)
+
+    edge = F.struct(asked.alias("from"), before.alias("to"))
+    nothing = F.lit(None).cast("string")
+    landed_as("one", asked, F.lit(1), F.col("p_type"), F.col("p_name"), nothing, F.when(F.lit(False), edge))
+    absent = F.when((k % 7 == 1) & ~target & ~moves, "")
+    landed_as("two", F.when(moves, before).otherwise(asked), F.when(target | moves, 9).when(k % 3 == 0, 2).otherwise(1), second("ignored"), second("ignored"), absent, F.when(moves, edge))
+    wanted, links = part.select(asked.alias("qid")), s.createDataFrame([], "qid string, taxon_id_raw string")
+    refreshes.import_details(s, f"{path}/one", f"{path}/out", wanted, links, 1, n=32)
+    refreshes.import_details(s, f"{path}/two", f"{path}/out", wanted, links, 2, batches=2)
+    last = buckets.latest(s, f"{path}/out")
+    names = buckets.table(s, last, "item_name").select("qid", "name")
+    return buckets.table(s, last, "item").join(names, "qid", "left").select("qid", "label", "is_current", F.col("import_id").cast("int").alias("import_id"), "name")
+
+
+# Articles in two imports; titles come and go, pages vanish with their text kept, every second one has a
+# new revision, and leads of the others are not taken over
+@query("article_import", """WITH r AS (SELECT p_partkey AS k, p_name, p_partkey % 7 = 0 AS m1, p_partkey % 7 = 0 OR p_partkey % 17 = 0 AS m2, p_partkey % 11 = 0 AS d, p_partkey % 10 = 9 AS added,
+  p_partkey % 10 = 3 AS gone, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS rev2 FROM part),
+a AS (SELECT *, CASE WHEN added THEN NULL WHEN m1 THEN 'Missing' WHEN d THEN 'Disambiguation' WHEN k % 5 = 0 THEN 'ItemMismatch' WHEN k % 13 = 0 THEN 'EmptyLead' ELSE 'Ok' END AS s1,
+  CASE WHEN added OR m1 OR d THEN NULL WHEN k % 13 = 0 THEN ' ' ELSE p_name END AS l1, CASE WHEN added OR m1 THEN NULL ELSE 1 END AS v1 FROM r),
+b AS (SELECT *, CASE WHEN gone THEN s1 WHEN m2 THEN 'Missing' WHEN d THEN 'Disambiguation' WHEN k % 5 = 0 THEN 'ItemMismatch' WHEN rev2 = 1 AND NOT added AND k % 13 = 0 THEN 'EmptyLead' ELSE 'Ok' END AS s2,
+  CASE WHEN gone OR m2 THEN l1 WHEN d THEN NULL WHEN added OR rev2 = 2 THEN 'new' ELSE l1 END AS l2, CASE WHEN gone OR m2 THEN v1 ELSE rev2 END AS v2 FROM a)
+SELECT 'T ' || k AS title, s2 AS status, l2 AS lead, CAST(v2 AS BIGINT) AS rev, NOT gone AS is_current,
+CASE WHEN gone OR added OR s1 IS DISTINCT FROM s2 OR l1 IS DISTINCT FROM l2 OR v1 IS DISTINCT FROM v2 THEN 2 ELSE 1 END AS import_id FROM b""")
+def _(s, d):
+    path, k = place(s), F.col("p_partkey")
+    part = table(s, d, "part")
+    title, qid = F.concat(F.lit("T "), k.cast("string")), F.concat(F.lit("Q"), k.cast("string"))
+
+    def landed_as(name, rev, missing, lead):
+        props = F.struct(F.when(k % 5 == 0, "Q0").otherwise(qid).alias("wikibase_item"), F.when(k % 11 == 0, "").alias("disambiguation"))
+        page = F.struct(title.alias("title"), missing.alias("missing"), k.alias("pageid"), rev.alias("lastrevid"), props.alias("pageprops"))
+        text = F.struct(title.alias("title"), missing.alias("missing"), rev.alias("lastrevid"), lead.alias("extract"))
+        for kind, p in (("info", page), ("leads", text)):
+            documents(part, k, F.struct(F.struct(F.collect_list(p).alias("pages")).alias("query")), f"{path}/{name}/{kind}")
+
+    landed_as("one", F.lit(1), k % 7 == 0, F.when(k % 13 == 0, " ").otherwise(F.col("p_name")))
+    landed_as("two", F.when(k % 2 == 0, 2).otherwise(1), (k % 7 == 0) | (k % 17 == 0), F.lit("new"))
+    items = part.select("p_partkey", qid.alias("qid"), title.alias("title"))
+    one = refreshes.import_articles(s, f"{path}/one/info", f"{path}/one/leads", items.withColumn("is_current", k % 10 != 9), None, None, f"{path}/out", 1)
+    two = refreshes.import_articles(s, f"{path}/two/info", f"{path}/two/leads", items.withColumn("is_current", k % 10 != 3), one["article"], one["article_link"], f"{path}/out", 2)
+    return two["article"].select("title", "status", "lead", "rev", "is_current", F.col("import_id").cast("int").alias("import_id"))
