@@ -18,6 +18,7 @@ from quernstone.session import scratch_dir, table
 from quernstone.sinks import buckets
 from quernstone.sinks import publish as sinks
 from quernstone.sources import delimited, landed
+from quernstone.sources.fingerprint import tree_hashes
 from quernstone.streaming.landing import ingest_entities_stream, ingest_landing_stream
 
 PER_DOCUMENT = 500  # rows in a landed document
@@ -440,3 +441,18 @@ def _(s, d):
     one = refreshes.import_articles(s, f"{path}/one/info", f"{path}/one/leads", items.withColumn("is_current", k % 10 != 9), None, None, f"{path}/out", 1)
     two = refreshes.import_articles(s, f"{path}/two/info", f"{path}/two/leads", items.withColumn("is_current", k % 10 != 3), one["article"], one["article_link"], f"{path}/out", 2)
     return two["article"].select("title", "status", "lead", "rev", "is_current", F.col("import_id").cast("int").alias("import_id"))
+
+
+# Two files of any size as trees over their lines
+@query("file_trees", """WITH l AS (SELECT 'orders' AS role, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey || ',' || o_orderstatus AS v FROM orders
+UNION ALL SELECT 'parts', row_number() OVER (ORDER BY p_partkey) - 1, p_partkey || ',' || p_name FROM part),
+a AS (SELECT role, i // 1024 AS i, sha256(string_agg(sha256(v), '' ORDER BY i)) AS h, count(*) AS n, sum(strlen(v) + 1) AS b FROM l GROUP BY 1, 2),
+b AS (SELECT role, i // 1024 AS i, CASE WHEN max(sum(1)) OVER (PARTITION BY role) > 1 THEN sha256(string_agg(h, '' ORDER BY a.i)) ELSE min(h) END AS h, sum(n) AS n, sum(b) AS b FROM a GROUP BY role, a.i // 1024),
+c AS (SELECT role, CASE WHEN count(*) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, sum(n) AS n, sum(b) AS b FROM b GROUP BY 1)
+SELECT role, CAST(n AS BIGINT) AS lines, sha256(sha256(CAST(b AS BIGINT) || ':' || h)) AS hash FROM c""")
+def _(s, d):
+    path = place(s)
+    for role, name, key, column in (("orders", "orders", "o_orderkey", "o_orderstatus"), ("parts", "part", "p_partkey", "p_name")):
+        rows = table(s, d, name).coalesce(1).sortWithinPartitions(key)
+        rows.select(F.concat_ws(",", key, column).alias("value")).write.text(f"{path}/{role}")
+    return tree_hashes(s, {role: f"{path}/{role}" for role in ("orders", "parts")})
