@@ -9,6 +9,7 @@ from quernstone.functions.text import canonical_name, classify_place, empty_to_n
 from quernstone.operators import facts as facts_
 from quernstone.operators import profile, resolve, snapshot, validate
 from quernstone.operators.dedup import dictionary_encode, first_per_key
+from quernstone.operators.lookup import referenced
 from quernstone.session import written
 from quernstone.sinks.publish import publish
 from quernstone.sources import delimited, landed
@@ -108,3 +109,46 @@ def import_traits(spark: SparkSession, folder: str, seeds: dict[str, DataFrame],
     }
     publish(out, target, import_id)
     return out
+
+
+# the key of each kind of supplemental table, and its ids that refer to taxa
+SUPPLEMENT = {"ipni": (["ipni_id", "wfo_id"], ["wfo_id"]), "deprecated": (["wfo_id"], ["wfo_id"]), "deduplicated": (["wfo_id"], ["wfo_id", "replacement_wfo_id"])}
+
+
+def supplement_stats(table: DataFrame, kind: str) -> DataFrame:
+    """One row of counts over a resolved supplemental table."""
+    found = F.col("resolved_wfo_id").isNotNull()
+    if kind == "ipni":
+        each = {"mappings": F.count("*"), "ipni_ids": F.countDistinct("ipni_id"), "wfo_ids": F.countDistinct("wfo_id"), "ids_resolved": F.countDistinct(F.when(found, F.col("wfo_id"))), "ids_not_found": F.countDistinct(F.when(~found, F.col("wfo_id")))}
+    elif kind == "deprecated":
+        each = {"names": F.count("*"), "ids": F.countDistinct("wfo_id"), "ids_in_backbone": F.count_if(found), "ids_absent": F.count_if(~found)}
+    else:
+        new = F.col("resolved_replacement_wfo_id").isNotNull()
+        each = {"mappings": F.count("*"), "replacements_resolved": F.count_if(new), "replacements_unresolved": F.count_if(~new), "ids_in_backbone": F.count_if(found), "self_references": F.count_if(F.col("wfo_id") == F.col("replacement_wfo_id"))}
+    return table.agg(*[c.alias(n) for n, c in each.items()])
+
+
+def import_supplemental(spark: SparkSession, path: str, kind: str, current: DataFrame | None, taxa: DataFrame, target: str, import_id: int) -> dict[str, DataFrame]:
+    """Read a supplemental file of a ``kind``, merge it into the table of the import before, resolve and publish it.
+
+    Rows of a known key are replaced and stamped, others added; rows that the file no longer has stay as they were.
+    Every id column has resolved_<id>, the id if a current taxon bears it, brought up to date for all rows. An empty
+    file, a repeated key, and replacements that reach a cycle, also through rows of earlier imports, or are longer than
+    resolution follows, refuse the import. Extra columns of ``current`` are dropped.
+    """
+    key, ids = SUPPLEMENT[kind]
+    rows, issues = delimited.scan_supplemental_csv(spark, path, kind)
+    stage = written(rows.withColumn("import_id", F.lit(import_id).cast("long")), "supplement")
+    metrics = profile.duplicate_keys(stage, key)[1].crossJoin(stage.agg(F.count("*").alias("rows")))
+    validate.gate(metrics, {"rows": "rows > 0", "duplicates": "duplicate_keys = 0"})
+    table = stage
+    if current is not None:
+        table = current.select(*stage.columns).join(stage.select(*key), key, "left_anti").select(*stage.columns).unionByName(stage)
+    live = taxa.where("is_current") if "is_current" in taxa.columns else taxa
+    table = written(referenced(table, {c: f"resolved_{c}" for c in ids}, live.select("taxon_id")), "supplemental")
+    if kind == "deduplicated":
+        edges = table.select(F.col("wfo_id").alias("old_id"), F.col("replacement_wfo_id").alias("new_id"))
+        validate.gate(resolve.validate_chain_graph(edges), {"cycles": "cycles = 0", "depth": "too_long = 0"})
+    out = {kind: table, "issues": issues, "stats": supplement_stats(table, kind)}
+    publish(out, target, import_id)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import facts, validate
-from quernstone.plans import refreshes
+from quernstone.plans import imports, refreshes
 from quernstone.plans.imports import ARCHIVE
 from quernstone.plans.queries import query
 from quernstone.session import scratch_dir, table
@@ -456,3 +456,28 @@ def _(s, d):
         rows = table(s, d, name).coalesce(1).sortWithinPartitions(key)
         rows.select(F.concat_ws(",", key, column).alias("value")).write.text(f"{path}/{role}")
     return tree_hashes(s, {role: f"{path}/{role}" for role in ("orders", "parts")})
+
+
+# Replacements in two imports; the second replaces every third, adds a tenth and leaves the rest, while
+# one taxon in four is retired between them
+@query("supplemental_import", """SELECT 'wfo-' || k AS wfo_id, CASE WHEN k % 3 = 0 THEN 'wfo-' || (k + 20000000) ELSE 'wfo-' || (k + 10000000) END AS replacement_wfo_id,
+CASE WHEN k % 3 = 0 AND k % 4 <> 0 THEN 'wfo-' || (k + 20000000) END AS resolved, CASE WHEN k % 3 = 0 OR k % 10 = 1 THEN 2 ELSE 1 END AS import_id FROM (SELECT p_partkey AS k FROM part)""")
+def _(s, d):
+    path, k = place(s), F.col("p_partkey")
+    part = table(s, d, "part")
+
+    def named(shift):
+        return F.concat(F.lit("wfo-"), (k + shift).cast("string"))
+
+    def file(rows, name, shift):
+        empty = [F.lit("x").alias(c) for c in delimited.SUPPLEMENTAL["deduplicated"][2:]]
+        rows.select(named(0).alias("wfo_id"), shift.alias("replacement_wfo_id"), *empty).write.csv(f"{path}/{name}", header=True)
+        return f"{path}/{name}"
+
+    taxa = part.where("p_partkey % 3 = 0").select(named(20000000).alias("taxon_id"), (k % 4 != 0).alias("is_current"))
+    one = file(part.where("p_partkey % 10 <> 1"), "one", named(10000000))
+    two = file(part.where("p_partkey % 3 = 0 or p_partkey % 10 = 1"), "two", F.when(k % 3 == 0, named(20000000)).otherwise(named(10000000)))
+    first = imports.import_supplemental(s, one, "deduplicated", None, taxa.withColumn("is_current", F.lit(True)), f"{path}/out", 1)
+    imports.import_supplemental(s, two, "deduplicated", first["deduplicated"], taxa, f"{path}/out", 2)
+    out = sinks.published(s, f"{path}/out", "deduplicated")
+    return out.select("wfo_id", "replacement_wfo_id", F.col("resolved_replacement_wfo_id").alias("resolved"), F.col("import_id").cast("int").alias("import_id"))

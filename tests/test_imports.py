@@ -90,3 +90,29 @@ def test_traits(spark, tmp_path):
     assert {(r.symbol, r.taxon, r.status) for r in read("symbol_link").collect()} == {("ACRU", "t1", "Linked"), ("ACER", None, "NotFound")}
     assert [(r.symbol, r.occurrences, r.facts) for r in read("missing_symbols").collect()] == [("LOST", 1, 1)]
     assert read("fact").where(F.col("key") == "height").first().value_numeric is not None
+
+
+def test_supplemental(spark, tmp_path):
+    taxa = spark.createDataFrame([("wfo-1", True), ("wfo-2", False), ("wfo-3", True)], "taxon_id string, is_current boolean")
+    target = str(tmp_path / "ipni")
+    one = I.import_supplemental(spark, put(tmp_path / "1.csv", "ipni_id,wfo_id\nurn:lsid:ipni.org:names:5-1,wfo-1\n6-1,wfo-2\n7-1,wfo-1\n"), "ipni", None, taxa, target, 1)
+    assert one["stats"].first().asDict() == {"mappings": 3, "ipni_ids": 3, "wfo_ids": 2, "ids_resolved": 1, "ids_not_found": 1}
+    # taxon 2 is current now: rows that the new file lacks are resolved again, and keep their import
+    taxa = taxa.withColumn("is_current", F.lit(True))
+    I.import_supplemental(spark, put(tmp_path / "2.csv", "ipni_id,wfo_id\n7-1,wfo-1\n8-1,wfo-9\n"), "ipni", one["ipni"].withColumn("extra", F.lit(1)), taxa, target, 2)
+    got = {(r.normalized_id, r.resolved_wfo_id, r.import_id) for r in published(spark, target, "ipni").collect()}
+    assert got == {("5-1", "wfo-1", 1), ("6-1", "wfo-2", 1), ("7-1", "wfo-1", 2), ("8-1", None, 2)}
+    with pytest.raises(GateClosed, match="duplicates"):
+        I.import_supplemental(spark, put(tmp_path / "3.csv", "ipni_id,wfo_id\n7-1,wfo-1\n7-1,wfo-1\n"), "ipni", None, taxa, target, 3)
+    with pytest.raises(GateClosed, match="rows"):
+        I.import_supplemental(spark, put(tmp_path / "4.csv", "ipni_id,wfo_id\n"), "ipni", None, taxa, target, 4)
+
+    head, names = "wfo_id,replacement_wfo_id,name_canonical,authors_string,rank,nomenclatural_status\n", str(tmp_path / "dedup")
+    kept = I.import_supplemental(spark, put(tmp_path / "5.csv", head + "wfo-7,wfo-3,a,b,c,d\n"), "deduplicated", None, taxa, names, 1)
+    assert kept["stats"].first().asDict() == {"mappings": 1, "replacements_resolved": 1, "replacements_unresolved": 0, "ids_in_backbone": 0, "self_references": 0}
+    # the cycle goes through a row of the import before
+    with pytest.raises(GateClosed, match="cycles"):
+        I.import_supplemental(spark, put(tmp_path / "6.csv", head + "wfo-3,wfo-7,a,b,c,d\n"), "deduplicated", kept["deduplicated"], taxa, names, 2)
+    assert published(spark, names, "deduplicated").count() == 1
+    gone = I.import_supplemental(spark, put(tmp_path / "7.csv", "wfo_id,name_canonical,authors_string,rank,nomenclatural_status\nwfo-3,n,a,r,s\nwfo-8,n,a,r,s\n"), "deprecated", None, taxa, str(tmp_path / "gone"), 1)
+    assert gone["stats"].first().asDict() == {"names": 2, "ids": 2, "ids_in_backbone": 1, "ids_absent": 1}
