@@ -523,6 +523,27 @@ def _(s, d):
     return facts.tally_codes(*_compared(s, d)).select("code", "confidence", "agree", "disagree", "agreeing_taxa")
 
 
+# a code is a part, a fact one of its lines, a trait the line number; every thirteenth order disagrees, trait k7 is not a
+# tolerance
+@query("promoted_codes", """SELECT l_partkey AS code, count(DISTINCT l_orderkey) AS agreeing_taxa FROM lineitem GROUP BY 1
+HAVING count(*) FILTER (WHERE l_orderkey % 13 = 0) = 0 AND count(*) FILTER (WHERE l_linenumber = 7) = 0 AND count(DISTINCT l_orderkey) >= 3""")
+def _(s, d):
+    ours = table(s, d, "lineitem").selectExpr("l_orderkey AS symbol", "concat('k', l_linenumber) AS key", "l_partkey AS code", "CAST(NULL AS STRING) AS label_type", "'inferred' AS confidence", "CAST(l_partkey AS STRING) AS label")
+    outcomes = ours.select("symbol", "key").distinct().selectExpr("symbol", "key", "IF(symbol % 13 = 0, 'Disagree', 'Agree') AS outcome")
+    return facts.promoted(facts.tally_codes(outcomes, ours), 3, tuple(f"k{i}" for i in range(1, 7))).select("code", "agreeing_taxa")
+
+
+# codes of every fifth supplier have no label row
+@query("unmapped_observations", """WITH f AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, min(l_returnflag) AS v FROM lineitem GROUP BY 1, 2)
+SELECT 'k' || l_linenumber AS key, 'c' || s AS code, v AS value, count(*) AS n FROM f WHERE s % 5 = 0 GROUP BY 1, 2, 3""")
+def _(s, d):
+    first = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("v"))
+    ours = first.selectExpr("l_orderkey AS symbol", "concat('k', l_linenumber) AS key", "concat('c', s) AS code", "IF(s % 5 <> 0, 'label', NULL) AS label", "IF(s % 5 <> 0, 'verified', NULL) AS confidence", "CAST(NULL AS DECIMAL(38, 15)) AS numeric", "CAST(NULL AS STRING) AS statistic")
+    theirs = first.selectExpr("l_orderkey AS symbol", "concat('F', l_linenumber) AS field", "v AS value")
+    mapping = s.createDataFrame([(f"F{i}", f"k{i}", "Label", None) for i in range(1, 8)], "field string, key string, mode string, statistic string")
+    return facts.unmapped_observations(facts.compare_facts(ours, theirs, mapping), ours)
+
+
 @query("verification_verdict", f"{TALLIED} SELECT count(*) FILTER (WHERE confidence = 'verified' AND disagree > 0) = 0 AS passed, count(*) FILTER (WHERE confidence = 'verified' AND disagree > 0) AS contradicted FROM tally")
 def _(s, d):
     return facts.passed(facts.tally_codes(*_compared(s, d)))
