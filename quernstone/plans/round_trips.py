@@ -28,11 +28,28 @@ def place(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def documents(rows: DataFrame, number, value, path: str) -> str:
-    """Write ``value``, an aggregate over PER_DOCUMENT rows by ``number``, as one JSON document a file."""
-    lot = F.floor(number / PER_DOCUMENT).cast("long")
-    made = rows.groupBy(lot.alias("lot")).agg(F.to_json(value).alias("value"))
-    made.repartition("lot").write.partitionBy("lot").text(path)
+def lots(rows: DataFrame, number) -> DataFrame:
+    """``rows`` dealt by their documents, PER_DOCUMENT rows by ``number`` each: they move as they are, before documents
+    are made of them, so no task holds more than its share. Few bytes may be many files, so the tasks are not coalesced."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("lot", F.floor(number / PER_DOCUMENT).cast("long")).repartition(n, "lot")
+
+
+def documents(rows: DataFrame, value, path: str) -> str:
+    """Write ``value``, an aggregate over the rows of a lot, as one JSON document a file. ``rows`` come from :func:`lots`.
+
+    The files lie in one folder, which is listed at once however many they are."""
+    rows.groupBy("lot").agg(F.to_json(value).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def in_parts(rows: DataFrame, key: str, header: str, path: str) -> str:
+    """Write the one text column of ``rows`` beside ``key`` in its order, after a header line, as one file in parts: the
+    files below ``path`` one after the other in order of their paths. No task has more than a range of the keys."""
+    spark = rows.sparkSession
+    spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/part=0")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, key).sortWithinPartitions(key).drop(key).write.text(f"{path}/part=1")
     return path
 
 
@@ -148,7 +165,7 @@ def _(s, d):
         return F.struct(c.alias("value"))
 
     one = F.struct(value(F.concat(host, k.cast("string"))).alias("item"), value(F.concat(F.lit("wfo-"), k.cast("string"))).alias("wfo"), value(rank).alias("rank"))
-    path = documents(table(s, d, "part"), k, F.struct(F.struct(F.collect_list(one).alias("bindings")).alias("results")), place(s))
+    path = documents(lots(table(s, d, "part"), k), F.struct(F.struct(F.collect_list(one).alias("bindings")).alias("results")), place(s))
     good, issues = landed.scan_sparql_results(s, path)
     nothing = F.lit(None).cast("string")
     return good.select("qid", "ext_id", "statement_rank", F.lit("good").alias("kind")).unionByName(issues.select(nothing.alias("qid"), nothing.alias("ext_id"), nothing.alias("statement_rank"), "kind"))
@@ -170,7 +187,7 @@ def _(s, d):
         qid.alias("id"), F.when(k % 7 == 0, "").alias("missing"), (k % 100).alias("lastrevid"), F.create_map(F.lit("en"), F.struct(F.col("p_type").alias("value"))).alias("labels"),
         F.when(k % 2 == 0, F.create_map(F.lit("enwiki"), F.struct(F.col("p_brand").alias("title")))).alias("sitelinks"), F.create_map(F.lit("P225"), names, F.lit(landed.EXTERNAL_IDS[0]), ids).alias("claims"),
     )
-    path = documents(table(s, d, "part"), k, F.struct(F.map_from_entries(F.collect_list(F.struct(qid, entity))).alias("entities")), place(s))
+    path = documents(lots(table(s, d, "part"), k), F.struct(F.map_from_entries(F.collect_list(F.struct(qid, entity))).alias("entities")), place(s))
     got = landed.scan_entities_json(s, path)
     out = got["item"].join(got["item_external_id"].select("qid", F.col("value").alias("external_id")), "qid", "left")
     return out.select("qid", "taxon_name", "label", "title", "last_rev_id", "external_id")
@@ -180,7 +197,7 @@ def _(s, d):
 @query("pages_round_trip", """SELECT 'a b' || p_partkey AS requested_title, 'C ' || p_partkey AS title, p_partkey % 4 = 0 AS missing, p_partkey % 50 AS rev, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS extract, true AS requestable FROM part""")
 def _(s, d):
     t = F.col("p_partkey").cast("string")
-    rows = table(s, d, "part").select("p_partkey", "p_name", F.concat(F.lit("a b"), t).alias("asked"), F.concat(F.lit("A b"), t).alias("plain"), F.concat(F.lit("C "), t).alias("end"))
+    rows = lots(table(s, d, "part"), F.col("p_partkey")).select("lot", "p_partkey", "p_name", F.concat(F.lit("a b"), t).alias("asked"), F.concat(F.lit("A b"), t).alias("plain"), F.concat(F.lit("C "), t).alias("end"))
 
     def edge(a, b):
         return F.collect_list(F.struct(F.col(a).alias("from"), F.col(b).alias("to")))
@@ -188,7 +205,7 @@ def _(s, d):
     gone = F.col("p_partkey") % 4 == 0
     page = F.struct(F.col("end").alias("title"), gone.alias("missing"), (F.col("p_partkey") % 50).alias("lastrevid"), F.when(~gone, F.col("p_name")).alias("extract"))
     query_ = F.struct(edge("asked", "plain").alias("normalized"), edge("plain", "end").alias("redirects"), F.collect_list(page).alias("pages"))
-    path = documents(rows, F.col("p_partkey"), F.struct(query_.alias("query")), place(s))
+    path = documents(rows, F.struct(query_.alias("query")), place(s))
     out = landed.scan_pages_json(s, path, rows.select(F.col("asked").alias("title")))
     return out.select("requested_title", "title", "missing", "rev", "extract", T.is_requestable_title(F.col("requested_title")).alias("requestable"))
 
@@ -200,7 +217,7 @@ def _(s, d):
     k = F.col("p_partkey")
     t = k.cast("string")
     names = {"asked": F.concat(F.lit("a "), t), "coded": F.concat(F.lit("a%20"), t), "plain": F.concat(F.lit("B "), t), "conv": F.concat(F.lit("C "), t), **{f"d{i}": F.concat(F.lit(f"d{i} "), t) for i in (1, 2, 3)}}
-    rows = table(s, d, "part").select("p_partkey", "p_name", *[c.alias(n) for n, c in names.items()]).withColumn("next", F.when(k % 7 == 0, F.col("d1")).otherwise(F.col("d2")))
+    rows = lots(table(s, d, "part"), k).select("lot", "p_partkey", "p_name", *[c.alias(n) for n, c in names.items()]).withColumn("next", F.when(k % 7 == 0, F.col("d1")).otherwise(F.col("d2")))
 
     def edge(a, b, coded=False):
         return F.struct(F.col(a).alias("from"), F.col(b).alias("to"), F.lit(coded).alias("fromencoded"))
@@ -211,8 +228,8 @@ def _(s, d):
     body = F.struct(F.collect_list(edge("coded", "plain", True)).alias("normalized"), F.collect_list(edge("plain", "conv")).alias("converted"), hops.alias("redirects"), F.collect_list(page).alias("pages"))
     more = F.struct(F.collect_list(F.struct(end.alias("title"), F.col("p_name").alias("extract"))).alias("pages"))
     path = place(s)
-    documents(rows, k, F.struct(body.alias("query")), f"{path}/run=1")
-    documents(rows, k, F.struct(more.alias("query")), f"{path}/run=2")
+    documents(rows, F.struct(body.alias("query")), f"{path}/run=1")
+    documents(rows, F.struct(more.alias("query")), f"{path}/run=2")
     return landed.scan_pages_json(s, path, rows.select(F.col("asked").alias("title"))).select("requested_title", "title", "missing", "rev", "extract")
 
 
@@ -220,7 +237,7 @@ def _(s, d):
 @query("characteristics_round_trip", "SELECT 'Size' AS field, CAST(p_size AS VARCHAR) AS value, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 2")
 def _(s, d):
     one = F.struct(F.lit(" Size ").alias("PlantCharacteristicName"), F.col("p_size").cast("string").alias("PlantCharacteristicValue"), F.when(F.col("p_partkey") % 3 == 0, "Cultivar").alias("CultivarName"))
-    path = documents(table(s, d, "part"), F.col("p_partkey"), F.collect_list(one), place(s))
+    path = documents(lots(table(s, d, "part"), F.col("p_partkey")), F.collect_list(one), place(s))
     return landed.scan_characteristics_json(s, path).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
@@ -228,7 +245,7 @@ def _(s, d):
 def _(s, d):
     k = F.col("p_partkey")
     one = F.struct(F.when(k % 5 == 0, 0).otherwise(k).alias("Id"), F.concat(F.lit(" S"), k.cast("string")).alias("Symbol"), F.when(k % 2 == 0, True).alias("HasCharacteristics"))
-    path = documents(table(s, d, "part"), k, F.collect_list(one), place(s))
+    path = documents(lots(table(s, d, "part"), k), F.collect_list(one), place(s))
     return landed.scan_profile_json(s, path).select("id", "symbol", "has_characteristics")
 
 
@@ -238,7 +255,7 @@ def _(s, d):
     k = F.col("p_partkey")
     name = F.concat(k.cast("string"), F.lit(".jpg"))
     organ = F.struct(name.alias("filename"), F.when(k % 3 == 0, "aerial").when(k % 3 == 1, "leaf").otherwise("tuber").alias("organ"), F.lit(0.5).alias("score"))
-    path = documents(table(s, d, "part"), k, F.struct(F.collect_list(organ).alias("predictedOrgans")), place(s))
+    path = documents(lots(table(s, d, "part"), k), F.struct(F.collect_list(organ).alias("predictedOrgans")), place(s))
     uploads = table(s, d, "part").where("p_partkey % 4 <> 0").select(name.alias("filename"), k.alias("image"))
     return landed.flatten_identifications(s, path, uploads)["predicted_organs"].select("filename", "organ", "image")
 
@@ -249,7 +266,7 @@ def _(s, d):
     k = F.col("p_partkey")
     species = F.struct(F.when(k % 4 != 0, F.concat("p_name", F.lit(" L."))).alias("scientificName"), F.col("p_name").alias("scientificNameWithoutAuthor"), F.struct(F.col("p_brand").alias("scientificNameWithoutAuthor")).alias("genus"))
     match = F.struct(F.lit(0.9).alias("score"), species.alias("species"), F.struct(k.alias("id")).alias("gbif"))
-    path = documents(table(s, d, "part"), k, F.struct(F.collect_list(match).alias("results")), place(s))
+    path = documents(lots(table(s, d, "part"), k), F.struct(F.collect_list(match).alias("results")), place(s))
     return landed.flatten_identifications(s, path)["matches"].select("name", "genus", "gbif_id")
 
 
@@ -360,12 +377,12 @@ def _(s, d):
         claim = F.struct(F.lit("normal").alias("rank"), F.struct(F.lit("value").alias("snaktype"), F.struct(told.alias("value")).alias("datavalue")).alias("mainsnak"))
         qid = F.concat(F.lit("Q"), k.cast("string"))
         entity = F.struct(qid.alias("id"), rev.alias("lastrevid"), F.create_map(F.lit("en"), F.struct(label.alias("value"))).alias("labels"), F.create_map(F.lit("P1843"), F.array(claim)).alias("claims"))
-        documents(rows, k, F.struct(F.map_from_entries(F.collect_list(F.struct(qid, entity))).alias("entities")), f"{path}/in/{name}")
+        documents(lots(rows, k), F.struct(F.map_from_entries(F.collect_list(F.struct(qid, entity))).alias("entities")), f"{path}/in/{name}")
 
     def moved(rows):
         old, new = F.concat(F.lit("Q"), k.cast("string")), F.concat(F.lit("Q"), (k - 1).cast("string"))
         entity = F.struct(new.alias("id"), F.lit(0).alias("lastrevid"), F.struct(old.alias("from"), new.alias("to")).alias("redirects"))
-        documents(rows, k, F.struct(F.map_from_entries(F.collect_list(F.struct(old, entity))).alias("entities")), f"{path}/in/three")
+        documents(lots(rows, k), F.struct(F.map_from_entries(F.collect_list(F.struct(old, entity))).alias("entities")), f"{path}/in/three")
 
     landed_as(part, "one", F.lit(3), F.col("p_type"), F.col("p_name"))
     landed_as(part.where("p_partkey % 2 = 0 or p_partkey % 3 = 0"), "two", F.when(k % 3 == 0, 5).otherwise(2), F.lit("new"), F.lit("other"))
@@ -395,7 +412,7 @@ def _(s, d):
             qid.alias("id"), missing.alias("missing"), rev.alias("lastrevid"), redirects.alias("redirects"),
             F.create_map(F.lit("en"), F.struct(label.alias("value"))).alias("labels"), F.create_map(F.lit("P1843"), F.array(claim)).alias("claims"),
         )
-        documents(part, k, F.struct(F.map_from_entries(F.collect_list(F.struct(asked, entity))).alias("entities")), f"{path}/{name}")
+        documents(lots(part, k), F.struct(F.map_from_entries(F.collect_list(F.struct(asked, entity))).alias("entities")), f"{path}/{name}")
 
     def second(same):
         return F.when(target | moves, "target").when(k % 3 == 0, "new").otherwise(same)
@@ -433,7 +450,7 @@ def _(s, d):
         page = F.struct(title.alias("title"), missing.alias("missing"), k.alias("pageid"), rev.alias("lastrevid"), props.alias("pageprops"))
         text = F.struct(title.alias("title"), missing.alias("missing"), rev.alias("lastrevid"), lead.alias("extract"))
         for kind, p in (("info", page), ("leads", text)):
-            documents(part, k, F.struct(F.struct(F.collect_list(p).alias("pages")).alias("query")), f"{path}/{name}/{kind}")
+            documents(lots(part, k), F.struct(F.struct(F.collect_list(p).alias("pages")).alias("query")), f"{path}/{name}/{kind}")
 
     landed_as("one", F.lit(1), k % 7 == 0, F.when(k % 13 == 0, " ").otherwise(F.col("p_name")))
     landed_as("two", F.when(k % 2 == 0, 2).otherwise(1), (k % 7 == 0) | (k % 17 == 0), F.lit("new"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions.text import is_qid, statement_rank
 from quernstone.session import written
@@ -80,22 +82,36 @@ def entity_tables(e: DataFrame) -> dict[str, DataFrame]:
     return {"item": item, "item_name": names, "item_external_id": external.distinct(), "item_taxon_id": taxon_ids, "redirect": redirect, "missing": missing, "issues": issues}
 
 
-def leads(edges: Column) -> Column:
-    """A map from each title to where it leads; of several edges the one with the smallest target, as they have no order."""
-
-    def source(e):
-        return F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])
-
-    every = F.transform(edges, lambda e: F.struct(source(e).alias("f"), e["to"].alias("t")))
-    return F.array_sort(F.filter(F.coalesce(every, F.array().cast("array<struct<f:string,t:string>>")), lambda e: e["f"].isNotNull() & e["t"].isNotNull() & (e["f"] != e["t"])))
-
-
-def first_of_each(ordered: Column) -> Column:
-    """A map of sorted (f, t) pairs without those whose f comes before."""
-    return F.map_from_entries(F.filter(ordered, lambda e, i: (i == 0) | (F.get(ordered, i - 1)["f"] != e["f"])))
+STEPS = ("normalized", "converted", "redirects")
 
 
-STEPS = ("normalized", "converted", "redirects")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.StringType()), T.StructField("end", T.StringType())])))
+def ends_of(starts: pa.Array, normal: pa.Array, normal_to: pa.Array, convert: pa.Array, convert_to: pa.Array, redirect: pa.Array, redirect_to: pa.Array) -> pa.Array:
+    """Where each of a row's ``starts`` leads along the row's own edges, given as lists of sources and targets."""
+    begun, ended, upto = [], [], [0]
+    columns = zip(*[c.to_pylist() for c in (starts, normal, normal_to, convert, convert_to, redirect, redirect_to)], strict=True)
+    for own, *edges in columns:
+        steps = []
+        for sources, targets in zip(edges[::2], edges[1::2], strict=True):
+            leads = {}
+            for f, t in zip(sources, targets, strict=True):
+                if f is not None and t is not None and f != t:  # edges have no order: of several the smallest target counts
+                    leads[f] = min(leads.get(f, t), t)
+            steps.append(leads)
+        for start in dict.fromkeys(own):
+            if start is None:
+                continue
+            at = steps[0].get(start, start)
+            at = steps[1].get(at, at)
+            for _ in range(MAX_HOPS):
+                if at not in steps[2]:
+                    break
+                at = steps[2][at]
+            begun.append(start)
+            ended.append(at)
+        upto.append(len(begun))
+    pairs = pa.StructArray.from_arrays([pa.array(begun, pa.string()), pa.array(ended, pa.string())], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pairs)
 
 
 def walks(responses: DataFrame) -> DataFrame:
@@ -103,22 +119,14 @@ def walks(responses: DataFrame) -> DataFrame:
     leads within it.
 
     A title goes through normalisation and conversion, then along at most MAX_HOPS redirects; it stays at a title that
-    nothing leads on from, or that leads to itself. All of it happens inside the response's row, by look-ups in its own
-    maps, which are written before they are walked.
+    nothing leads on from, or that leads to itself. All of it happens inside the response's row, by look-ups in hashed
+    maps of its own, so a response's work grows with its edges.
     """
-    sorted_ = responses.withColumns({f"__{name}": leads(F.col(f"query.{name}")) for name in STEPS})
-    titles = F.coalesce(F.transform("query.pages", lambda p: p["title"]), F.array().cast("array<string>"))
-    froms = [F.coalesce(F.transform(f"query.{name}", lambda e: F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])), F.array().cast("array<string>")) for name in STEPS]
-    named = F.array_distinct(F.filter(F.flatten(F.array(titles, *froms)), lambda t: t.isNotNull()))
-    held = written(sorted_.withColumn("__starts", named), "edges")
-    held = written(held.withColumns({f"__{name}": first_of_each(F.col(f"__{name}")) for name in STEPS}), "responses")
-
-    def step(at: Column, name: str) -> Column:
-        return F.coalesce(F.try_element_at(F.col(f"__{name}"), at), at)
-
-    hops = F.sequence(F.lit(1), F.lit(MAX_HOPS))
-    walk = F.transform("__starts", lambda s: F.struct(s.alias("start"), F.aggregate(hops, step(step(s, "normalized"), "converted"), lambda at, _: step(at, "redirects")).alias("end")))
-    return held.withColumn("walked", walk).drop("__starts", *[f"__{name}" for name in STEPS])
+    nothing = F.array().cast("array<string>")
+    titles = F.coalesce(F.transform("query.pages", lambda p: p["title"]), nothing)
+    froms = [F.coalesce(F.transform(f"query.{name}", lambda e: F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])), nothing) for name in STEPS]
+    to = [F.coalesce(F.transform(f"query.{name}", lambda e: e["to"]), nothing) for name in STEPS]
+    return responses.withColumn("walked", ends_of(F.flatten(F.array(titles, *froms)), *[c for pair in zip(froms, to, strict=True) for c in pair]))
 
 
 def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
@@ -128,12 +136,13 @@ def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> Dat
     nothing. Continued responses merge: the first non-null value of each field, in order of file name.
     """
     raw = spark.read.schema(PAGES).json(path, multiLine=True, mode="FAILFAST").select(F.input_file_name().alias("file"), "query")
-    raw = walks(raw)
+    raw = written(walks(raw).select("file", "walked", F.col("query.pages").alias("pages")), "responses")
     walked = raw.select("file", F.inline("walked"))
-    at = requested.select(F.col("title").alias("requested_title")).join(walked, F.col("requested_title") == F.col("start"), "left")
+    # merge: sizes of compressed files tell little, and a table of titles must not be sent to the driver and all tasks
+    at = requested.select(F.col("title").alias("requested_title")).join(walked.hint("merge"), F.col("requested_title") == F.col("start"), "left")
     at = at.groupBy("requested_title").agg(F.min_by("end", F.struct(F.col("file").isNull().alias("n"), F.col("file"))).alias("at"))
     at = at.withColumn("at", F.coalesce("at", "requested_title"))
-    p = raw.select("file", F.explode("query.pages").alias("p")).select("file", "p.*")
+    p = raw.select("file", F.explode("pages").alias("p")).select("file", "p.*")
 
     def first(c, name):
         return F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("file"))).alias(name)
@@ -143,7 +152,7 @@ def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> Dat
         first(F.col("pageprops.wikibase_item"), "item"), first(F.col("pageprops.wikibase-shortdesc"), "short_description"),
         F.max(F.col("pageprops.disambiguation").isNotNull()).alias("disambiguation"), first(F.col("extract"), "extract"),
     )
-    out = at.join(pages, at["at"] == pages.title, "left")
+    out = at.join(pages.hint("merge"), at["at"] == pages.title, "left")
     return out.select("requested_title", F.coalesce("title", "at").alias("title"), F.coalesce("absent", F.lit(True)).alias("missing"), "page_id", "rev", "item", "short_description", F.coalesce("disambiguation", F.lit(False)).alias("disambiguation"), "extract")
 
 
