@@ -71,7 +71,7 @@ def _(s, d):
     return good.select("taxonID", F.col("scientificName").alias("name"), F.col("created").cast("string").alias("created"), "genus")
 
 
-# A snapshot is one file, and an issue tells the line at which its record begins; names of every third record
+# A snapshot is one file, here in parts, and an issue tells the line at which its record begins; names of every third record
 # hold a line feed
 @query("taxonomy_issues", """WITH r AS (SELECT p_partkey AS k, 1 + row_number() OVER (ORDER BY p_partkey) + coalesce(sum(CASE WHEN p_partkey % 3 = 2 AND p_partkey % 10 <> 0 THEN 1 ELSE 0 END)
   OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM part)
@@ -79,9 +79,9 @@ SELECT 'wfo-' || lpad(CAST(k AS VARCHAR), 10, '0') AS key, CAST(line AS BIGINT)
 UNION ALL SELECT 'wfo-' || lpad(CAST(k AS VARCHAR), 10, '0'), CAST(line AS BIGINT), 'warning', 'date', 'created' FROM r WHERE k % 9 = 0""")
 def _(s, d):
     path = place(s)
-    rows = _taxonomy(s, d).coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey")
-    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
-    _, issues = delimited.scan_taxonomy_tsv(s, path)
+    line = F.to_csv(F.struct(*delimited.TAXONOMY_COLUMNS), {"sep": "\t", "quote": '"', "escape": '"', "emptyValue": ""})
+    in_parts(_taxonomy(s, d).select("p_partkey", line.alias("value")), "p_partkey", "\t".join(delimited.TAXONOMY_COLUMNS), path)
+    _, issues = delimited.scan_taxonomy_tsv(s, path, parts=True)
     sinks.write_issues(issues, f"{path}-issues")
     return s.read.schema("key string, row long, severity string, kind string, field string").json(f"{path}-issues").select("key", "row", "severity", "kind", "field")
 
@@ -107,9 +107,8 @@ def _archive_rows(s, d):
     return table(s, d, "orders").select("o_orderkey", line.alias("\t".join(names)))
 
 
-def _archive(s, rows: DataFrame, path: str) -> None:
+def _archive(s, path: str) -> None:
     row_type, terms = ARCHIVE["occurrences"]
-    rows.write.csv(f"{path}/occurrence.tab", sep="\x01", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     archive = '<archive xmlns="http://rs.tdwg.org/dwc/text/">' + _descriptor(row_type, terms, "occurrence.tab") + _descriptor("http://example.org/Other", terms[:1], "other.tab") + "</archive>"
     s.createDataFrame([(archive,)], "value string").coalesce(1).write.text(f"{path}/meta.xml")
 
@@ -118,20 +117,23 @@ def _archive(s, rows: DataFrame, path: str) -> None:
 @query("archive_round_trip", r"""SELECT CAST(o_orderkey AS VARCHAR) AS "occurrenceID", CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS "taxonID", CASE WHEN o_orderkey % 7 <> 0 THEN '"' || o_orderpriority || '\' END AS "lifeStage", o_orderkey % 7 <> 0 AS good FROM orders""")
 def _(s, d):
     path, (row_type, terms) = place(s), ARCHIVE["occurrences"]
-    _archive(s, _archive_rows(s, d).drop("o_orderkey"), path)
+    _archive_rows(s, d).drop("o_orderkey").write.csv(f"{path}/occurrence.tab", sep="\x01", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    _archive(s, path)
     good, issues = delimited.scan_dwca_tsv(s, path, {"occurrences": (row_type, terms)})["occurrences"]
     nothing = F.lit(None).cast("string")
     bad = issues.where("kind = 'width' and message = '3'").select(F.col("key").alias("occurrenceID"), nothing.alias("taxonID"), nothing.alias("lifeStage"), F.lit(False).alias("good"))
     return good.select("occurrenceID", "taxonID", "lifeStage", F.lit(True).alias("good")).unionByName(bad)
 
 
-# S3, K2: rows and issues with the numbers of their lines in the one file of a table
+# S3, K2: rows and issues with the numbers of their lines in the one file of a table, which is here in parts
 @query("archive_rows", """WITH r AS (SELECT o_orderkey AS k, 1 + row_number() OVER (ORDER BY o_orderkey) AS line FROM orders)
 SELECT CAST(k AS VARCHAR) AS key, CAST(line AS BIGINT) AS "row", CASE WHEN k % 7 = 0 THEN 'width' ELSE 'good' END AS kind FROM r""")
 def _(s, d):
     path, (row_type, terms) = place(s), ARCHIVE["occurrences"]
-    _archive(s, _archive_rows(s, d).coalesce(1).sortWithinPartitions("o_orderkey").drop("o_orderkey"), path)
-    good, issues = delimited.scan_dwca_tsv(s, path, {"occurrences": (row_type, terms)}, "row")["occurrences"]
+    rows = _archive_rows(s, d)
+    in_parts(rows, "o_orderkey", rows.columns[-1], f"{path}/occurrence.tab")
+    _archive(s, path)
+    good, issues = delimited.scan_dwca_tsv(s, path, {"occurrences": (row_type, terms)}, "row", parts=True)["occurrences"]
     return good.select(F.col("occurrenceID").alias("key"), "row", F.lit("good").alias("kind")).unionByName(issues.select("key", "row", "kind"))
 
 
@@ -460,7 +462,7 @@ def _(s, d):
     return two["article"].select("title", "status", "lead", "rev", "is_current", F.col("import_id").cast("int").alias("import_id"))
 
 
-# Two files of any size as trees over their lines
+# Two files of any size, each in parts, as trees over their lines
 @query("file_trees", """WITH l AS (SELECT 'orders' AS role, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey || ',' || o_orderstatus AS v FROM orders
 UNION ALL SELECT 'parts', row_number() OVER (ORDER BY p_partkey) - 1, p_partkey || ',' || p_name FROM part),
 a AS (SELECT role, i // 1024 AS i, sha256(string_agg(sha256(v), '' ORDER BY i)) AS h, count(*) AS n, sum(strlen(v) + 1) AS b FROM l GROUP BY 1, 2),
@@ -472,7 +474,7 @@ def _(s, d):
     for role, name, key, column in (("orders", "orders", "o_orderkey", "o_orderstatus"), ("parts", "part", "p_partkey", "p_name")):
         rows = table(s, d, name).coalesce(1).sortWithinPartitions(key)
         rows.select(F.concat_ws(",", key, column).alias("value")).write.text(f"{path}/{role}")
-    return tree_hashes(s, {role: f"{path}/{role}" for role in ("orders", "parts")})
+    return tree_hashes(s, {role: f"{path}/{role}" for role in ("orders", "parts")}, parts=True)
 
 
 # Replacements in two imports; the second replaces every third, adds a tenth and leaves the rest, while

@@ -35,13 +35,13 @@ class BadHeader(ValueError):
     """A file's header is not the expected one."""
 
 
-def scan_taxonomy_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_taxonomy_tsv(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Quoted tab-separated taxonomy rows with dates parsed, and the issues with the row at which each record begins.
 
     Quoted fields may hold tabs and line breaks; files are read in splits all the same. A record with malformed quoting
-    or another number of fields is rejected.
+    or another number of fields is rejected. With ``parts`` the files below ``path`` are one, in order of their paths.
     """
-    found = records.records(spark, path, "\t")
+    found = records.records(spark, path, "\t", parts=parts)
     if {tuple(h.split("\t")) for h in records.heads(found)} != {tuple(TAXONOMY_COLUMNS)}:
         raise BadHeader(path)
     rows = records.fields(found, TAXONOMY_COLUMNS, "\t").drop("file")
@@ -112,14 +112,15 @@ def ignored_tables(spark: SparkSession, folder: str, expected: dict[str, tuple[s
     return [(_location(d), t) for t, of in _declared(spark, folder).items() if t is not None and t not in known for d, _ in of]
 
 
-def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]], row: str | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[str, list[str]]], row: str | None = None, parts: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Tables of a Darwin Core Archive by name: rows, with their line numbers under the name ``row`` if that is given,
     and issues with theirs.
 
     ``expected`` maps our name to (row type, terms in order). The descriptor must declare exactly one table of each
     row type, UTF-8, tab and line feed, one header line, unquoted, and those terms under the indexes from 0 on. Lines
     are split as they are: quotes and backslashes are data, the first line of a file is its header, an empty line is
-    skipped, a line of another width is rejected. An empty field is an empty text.
+    skipped, a line of another width is rejected. An empty field is an empty text. With
+    ``parts`` the files below a table's location are one, in order of their paths.
     """
     tables, out = _declared(spark, folder), {}
     for name, (row_type, terms) in expected.items():
@@ -134,9 +135,8 @@ def scan_dwca_tsv(spark: SparkSession, folder: str, expected: dict[str, tuple[st
         if not file or "/" in file or "\\" in file:
             raise BadHeader(f"{row_type}: {file}")
         short = [t.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for t in terms]
-        lines = records.numbered_lines(spark, f"{folder}/{file}").where("row > 1 and value <> ''")
-        parts = F.split("value", "\t", -1)
-        lines = lines.withColumn("f", parts).withColumn("fits", F.size("f") == len(short))
+        lines = records.numbered_lines(spark, f"{folder}/{file}", parts).where("row > 1 and value <> ''")
+        lines = lines.withColumn("f", F.split("value", "\t", -1)).withColumn("fits", F.size("f") == len(short))
         number = [F.col("row").alias(row)] if row else []
         rows = lines.where("fits").select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(short)], *number)
         issues = lines.where("not fits").select(F.lit(file).alias("file"), F.get("f", F.lit(0)).alias("key"), "row", F.lit("error").alias("severity"), F.lit("width").alias("kind"), F.lit(None).cast("string").alias("field"), F.size("f").cast("string").alias("message"))

@@ -7,6 +7,9 @@ a range says how the range takes either state to its last line; composing these
 range its true state, its first line's number, and the record that is open where it begins. Lines that are a record by
 themselves stay where they are; only the lines of the others meet, by record, wherever their ranges are cut.
 
+A file may come in parts, as a task a range writes it: then its ranges are those of all parts in order of their paths.
+Each part but the last ends with a line feed.
+
 The lines are written once, so that the ranges are the same for all steps, however Spark would cut the files again.
 """
 
@@ -100,43 +103,45 @@ def annotated(spark: SparkSession, path: str, sep: str, quote: str = '"') -> Dat
 STARTS = "file string, block long, inside boolean, first long, opened long, lost long"
 
 
-def begun(lines: DataFrame) -> DataFrame:
+def begun(lines: DataFrame, parts: bool = False) -> DataFrame:
     """STARTS of each range: its true state, the number of its first line, the first line of the record that is open
     there, and that of a record which the file never closes (else -1).
 
-    The ranges of one file are composed in one task, from a row each.
+    The ranges of one file, or with ``parts`` of all of them, are composed in one task, from a row each.
     """
     per = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.max_by(F.struct("at0", "at1", "more0", "more1"), "k").alias("last")).select("file", "block", "n", "last.*")
 
     def compose(table: pd.DataFrame) -> pd.DataFrame:
         inside, first, opened, out = False, 1, -1, []
-        for r in table.sort_values("block").itertuples():
+        for r in table.sort_values(["file", "block"]).itertuples():
             out.append((r.file, r.block, inside, first, opened))
             at, more = (r.at1, r.more1) if inside else (r.at0, r.more0)
             opened = opened if at < 0 else first + at
             inside, first = bool(more), first + r.n
         return pd.DataFrame(out, columns=["file", "block", "inside", "first", "opened"]).assign(lost=opened if inside else -1)
 
-    return written(per.groupBy("file").applyInPandas(compose, STARTS), "starts")
+    return written(per.groupBy(*([] if parts else ["file"])).applyInPandas(compose, STARTS), "starts")
 
 
-def records(spark: SparkSession, path: str, sep: str, quote: str = '"') -> DataFrame:
+def records(spark: SparkSession, path: str, sep: str, quote: str = '"', parts: bool = False) -> DataFrame:
     """(file, row, value, bad): every record of the files under ``path``, the header included, with the number of the
     line at which it begins (from 1), its text, and whether its quoting is malformed.
 
     Empty lines between records are none. A carriage return at a record's end is dropped. A record that its file never
-    closes is malformed and has no text: it may be all the rest of the file, which is not gathered.
+    closes is malformed and has no text: it may be all the rest of the file, which is not gathered. With ``parts`` the
+    files are one, in order of their paths, and ``file`` is ``path``.
     """
     lines = annotated(spark, path, sep, quote)
-    starts = begun(lines)
+    starts = begun(lines, parts)
     of = F.col("inside")
+    file = F.lit(path).alias("file") if parts else F.col("file")
     rows = lines.join(starts, ["file", "block"]).withColumns({c: F.when(of, F.col(f"{c}1")).otherwise(F.col(f"{c}0")) for c in ("at", "more", "bad")})
-    rows = rows.select("file", F.when(F.col("at") < 0, F.col("opened")).otherwise(F.col("first") + F.col("at")).alias("row"), (F.col("first") + F.col("k")).alias("line"), "value", "bad", ((F.col("at") == F.col("k")) & ~F.col("more")).alias("whole"), "lost")
+    rows = rows.select(file, F.when(F.col("at") < 0, F.col("opened")).otherwise(F.col("first") + F.col("at")).alias("row"), (F.col("first") + F.col("k")).alias("line"), "value", "bad", ((F.col("at") == F.col("k")) & ~F.col("more")).alias("whole"), "lost")
     plain = F.regexp_replace("value", "\r$", "")
     single = rows.where("whole").select("file", "row", F.when(F.endswith("value", F.lit("\r")), plain).otherwise(F.col("value")).alias("value"), "bad").where("value <> ''")
-    parts = rows.where("not whole and row <> lost").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"), F.max("bad").alias("bad"))
-    several = parts.select("file", "row", F.regexp_replace(F.array_join("l.value", "\n"), "\r$", "").alias("value"), "bad")
-    lost = starts.where("lost >= 0").select("file", F.col("lost").alias("row"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("bad")).distinct()
+    cut = rows.where("not whole and row <> lost").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"), F.max("bad").alias("bad"))
+    several = cut.select("file", "row", F.regexp_replace(F.array_join("l.value", "\n"), "\r$", "").alias("value"), "bad")
+    lost = starts.where("lost >= 0").select(file, F.col("lost").alias("row"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("bad")).distinct()
     return single.unionByName(several).unionByName(lost)
 
 
@@ -150,13 +155,15 @@ def fields(found: DataFrame, names: list[str], sep: str, quote: str = '"', corru
     malformed or has another number of fields, else null. An empty field is null."""
     schema = ", ".join(f"`{n}` string" for n in [*names, corrupt])
     options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    rows = found.where("row > 1").withColumn("__f", F.from_csv("value", schema, options))
+    # written, as filters on the fields would else parse a record again for each field that they name
+    rows = written(found.where("row > 1").withColumn("__f", F.from_csv("value", schema, options)), "fields")
     broken = F.when(F.col("bad"), F.coalesce("value", F.lit(""))).otherwise(F.col(f"__f.{corrupt}"))
     return rows.select("file", "row", *[F.nullif(F.col(f"__f.`{n}`"), F.lit("")).alias(n) for n in names], broken.alias(corrupt))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, value): every line of the files under ``path`` with its number from 1; read in splits.
+def numbered_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(file, row, value): every line of the files under ``path`` with its number from 1; read in splits. With ``parts``
+    the files are one, in order of their paths, and their lines are numbered through.
 
     Lines are written with their places in the order in which tasks read them; one row a range tells how many lines
     come before it in its file.
@@ -164,6 +171,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(path)
     lines = written(text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"), "lines")
     per = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*([] if parts else ["file"])).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(per.select("file", "block", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("least") + 1).alias("shift")), "starts")
     return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("row"), "value")
