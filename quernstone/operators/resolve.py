@@ -159,7 +159,14 @@ def link_by_precedence(symbols: DataFrame, ext_ids: DataFrame, item_links: DataF
     rest = symbols.join(via.select("symbol"), "symbol", "left_anti").withColumn("__c", canonical_name(F.col("name"), F.col("rank")))
     rest = with_normalized(rest, "__c", "__n")
     names = with_normalized(current.select("taxon_id", "name", "rank"), "name", "__n").drop("name")
-    by = rest.join(names, ["__n", "rank"], "left").groupBy("symbol").agg(F.array_sort(F.collect_set("taxon_id")).alias("candidates"))
+    names = names.groupBy("__n", "rank").agg(F.array_sort(F.collect_set("taxon_id")).alias("candidates"))
+    # many symbols may share a name that many taxa have: the name's taxa are gathered once, and only symbols with several
+    # names have theirs put together
+    asked = rest.groupBy("symbol").agg(F.collect_set(F.struct("__n", "rank")).alias("__k"))
+    none = F.array().cast(names.schema["candidates"].dataType)
+    single = asked.where(F.size("__k") == 1).select("symbol", F.inline("__k")).join(names, ["__n", "rank"], "left").select("symbol", F.coalesce("candidates", none).alias("candidates"))
+    more = asked.where(F.size("__k") > 1).select("symbol", F.inline("__k")).join(names, ["__n", "rank"], "left").select("symbol", F.explode_outer("candidates").alias("taxon_id"))
+    by = single.unionByName(more.groupBy("symbol").agg(F.array_sort(F.collect_set("taxon_id")).alias("candidates")))
     n = F.size("candidates")
     two = by.select("symbol", F.when(n == 1, F.get("candidates", F.lit(0))).alias("taxon"), F.lit("name").alias("method"), F.when(n == 1, "Linked").when(n > 1, "Ambiguous").otherwise("NotFound").alias("status"), "candidates", F.array().cast("array<string>").alias("qids"))
     return one.unionByName(two)
