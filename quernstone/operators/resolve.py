@@ -60,7 +60,8 @@ def resolve_chain(ids: DataFrame, edges: DataFrame, current: DataFrame, max_dept
     still has an edge. ``edges`` (old_id, new_id) has at most one edge a source; several refuse the call.
 
     Pointer doubling: each step doubles the length of the jumps, so a chain of 64 takes seven joins, and shorter ones
-    stop as soon as no jump can grow. A cycle never ends, so what has not ended after the last jump is on a cycle or
+    stop as soon as no jump can grow. Tables that grow with the ids are merged and never broadcast: their files are small
+    when compressed, their rows are not. A cycle never ends, so what has not ended after the last jump is on a cycle or
     too long; only those few are walked node by node, to find out which, and where they repeat.
     """
     ids = ids.select(F.col("id")).dropna().distinct()
@@ -72,24 +73,24 @@ def resolve_chain(ids: DataFrame, edges: DataFrame, current: DataFrame, max_dept
         h = jumps[-1]
         b = h.select(F.col("f").alias("m"), F.col("t").alias("t2"), F.col("d").alias("d2"))
         # a jump that ends early keeps its shorter length
-        longer = h.join(b, h.t == b.m, "left").select("f", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        longer = h.join(b.hint("merge"), h.t == b.m, "left").select("f", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
         jumps.append(written(longer, "jump"))
         length *= 2
         growing = not jumps[-1].where(F.col("d") == length).isEmpty()
     far = jumps[-1]
-    end = ids.join(far, ids.id == far.f, "left").select("id", F.coalesce("t", "id").alias("end"), F.coalesce("d", F.lit(0)).alias("d"))
+    end = ids.join(far.hint("merge"), ids.id == far.f, "left").select("id", F.coalesce("t", "id").alias("end"), F.coalesce("d", F.lit(0)).alias("d"))
     found = current.select(F.col(current.columns[0]).alias("__c")).distinct()
     if not growing and length <= max_depth:
         return _ended(end, found)
     more = first.select(F.col("f").alias("__o"))
-    end = written(end.join(more, end.end == more["__o"], "left").withColumn("long", F.col("__o").isNotNull() | (F.col("d") > max_depth)).drop("__o"), "ends")
+    end = written(end.join(more.hint("merge"), end.end == more["__o"], "left").withColumn("long", F.col("__o").isNotNull() | (F.col("d") > max_depth)).drop("__o"), "ends")
     walked = _walked(end.where("long").select("id"), jumps, max_depth)
     return _ended(end.where("not long"), found).unionByName(walked.withColumn("was_redirected", F.col("id") != F.col("resolved")))
 
 
 def _ended(end: DataFrame, found: DataFrame) -> DataFrame:
     """The result for ids whose chains end: (id, end) against the current ids."""
-    rows = end.join(found, F.col("end") == F.col("__c"), "left")
+    rows = end.join(found.hint("merge"), F.col("end") == F.col("__c"), "left")
     status = F.when(F.col("__c").isNotNull(), "Resolved").otherwise("NotFound")
     return rows.select("id", F.col("end").alias("resolved"), status.alias("status"), (F.col("id") != F.col("end")).alias("was_redirected"))
 
@@ -104,7 +105,7 @@ def _walked(ids: DataFrame, jumps: list[DataFrame], max_depth: int) -> DataFrame
     for k, jump in enumerate(jumps):
         whole = jump.where(F.col("d") == 1 << k).select(F.col("f").alias(f"f{k}"), F.col("t").alias(f"t{k}"))
         on = (F.col("node") == F.col(f"f{k}")) & (F.col("step").bitwiseAND(1 << k) != 0)
-        steps = steps.join(whole, on, "left").select("id", "step", F.when(F.col("step").bitwiseAND(1 << k) != 0, F.col(f"t{k}")).otherwise(F.col("node")).alias("node"))
+        steps = steps.join(whole.hint("merge"), on, "left").select("id", "step", F.when(F.col("step").bitwiseAND(1 << k) != 0, F.col(f"t{k}")).otherwise(F.col("node")).alias("node"))
     steps = written(steps.where("node is not null"), "steps")
     nth = F.row_number().over(Window.partitionBy("id", "node").orderBy("step"))
     again = steps.withColumn("nth", nth).where("nth = 2").groupBy("id").agg(F.min_by("node", "step").alias("again"))
@@ -211,10 +212,12 @@ def taxon_detail(ids: DataFrame, edges: DataFrame, taxa: DataFrame, relations: l
     current = taxa.where("is_current")
     chain = resolve_chain(ids, edges, current.select("taxon_id"))
     # the node at which a walk was given up is not the record asked for
-    out = chain.join(current, (chain.resolved == current.taxon_id) & (chain.status != "DepthLimit"), "left").drop("taxon_id")
+    out = chain.join(current.hint("merge"), (chain.resolved == current.taxon_id) & (chain.status != "DepthLimit"), "left").drop("taxon_id")
     for r in relations:
-        other = current.select(F.col("taxon_id").alias("__i"), F.struct(F.col("taxon_id").alias("id"), F.col("name").alias("name")).alias(f"{r}_record"))
-        out = out.join(other, out[r] == other["__i"], "left").drop("__i")
+        other = current.select(F.col("taxon_id").alias("__i"), F.struct(F.col("taxon_id").alias("id"), F.col("name").alias("name")).alias(f"{r}_record")).withColumn("__at", F.pmod(F.xxhash64("__i"), F.lit(1)))
+        # records without the relation match nothing and are dealt over the tasks
+        out = out.withColumn("__lot", F.when(F.col(r).isNull(), F.xxhash64("id")).otherwise(0))
+        out = out.join(other.hint("merge"), (out[r] == other["__i"]) & (out["__lot"] == other["__at"]), "left").drop("__i", "__at", "__lot")
     return out
 
 
