@@ -61,7 +61,8 @@ def compare_facts(ours: DataFrame, theirs: DataFrame, mapping: DataFrame, transl
     chosen = mapping.select(F.lower("field").alias("f"), "field", "key", "mode", F.col("statistic").alias("want_stat"))
     want = theirs.select("symbol", F.lower("field").alias("f"), "value").join(chosen, "f")
     each = F.when(F.col("mode") != "Set", F.col("value")).alias("value")
-    want = want.groupBy("symbol", "field", "key", "mode", "want_stat", each).agg(F.array_sort(F.collect_set(F.lower("value"))).alias("they"))
+    # values move once, to where their facts will be
+    want = want.repartition("symbol", "key").groupBy("symbol", "field", "key", "mode", "want_stat", each).agg(F.array_sort(F.collect_set(F.lower("value"))).alias("they"))
     want = want.withColumn("expected", F.lower("value"))
     if translate is not None:
         words = translate.select(F.lower("field").alias("__f"), F.lower("value").alias("__v"), F.lower("expected").alias("__e"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import articles, dedup, facts, lookup, profile, resolve, search, search_index, snapshot, validate
 from quernstone.plans import bindings as B
-from quernstone.session import scratch_dir, table
+from quernstone.session import scratch_dir, table, written
 from quernstone.sources.delimited import rows_fingerprint
 
 QUERIES: dict = {}
@@ -537,7 +537,7 @@ def _(s, d):
 @query("unmapped_observations", """WITH f AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, min(l_returnflag) AS v FROM lineitem GROUP BY 1, 2)
 SELECT 'k' || l_linenumber AS key, 'c' || s AS code, v AS value, count(*) AS n FROM f WHERE s % 5 = 0 GROUP BY 1, 2, 3""")
 def _(s, d):
-    first = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("v"))
+    first = written(table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("v")), "first")
     ours = first.selectExpr("l_orderkey AS symbol", "concat('k', l_linenumber) AS key", "concat('c', s) AS code", "IF(s % 5 <> 0, 'label', NULL) AS label", "IF(s % 5 <> 0, 'verified', NULL) AS confidence", "CAST(NULL AS DECIMAL(38, 15)) AS numeric", "CAST(NULL AS STRING) AS statistic")
     theirs = first.selectExpr("l_orderkey AS symbol", "concat('F', l_linenumber) AS field", "v AS value")
     mapping = s.createDataFrame([(f"F{i}", f"k{i}", "Label", None) for i in range(1, 8)], "field string, key string, mode string, statistic string")
