@@ -390,7 +390,7 @@ def _(s, d):
     landed_as(part.where("p_partkey % 2 = 0 or p_partkey % 3 = 0"), "two", F.when(k % 3 == 0, 5).otherwise(2), F.lit("new"), F.lit("other"))
     moved(part.where("p_partkey % 10 = 4"))
     for name in ("one", "two", "three"):
-        ingest_entities_stream(s, f"{path}/in/{name}/*", f"{path}/out", f"{path}/seen/{name}", n=32)
+        ingest_entities_stream(s, f"{path}/in/{name}", f"{path}/out", f"{path}/seen/{name}", n=32)
     last = buckets.latest(s, f"{path}/out")
     names = buckets.table(s, last, "item_name").select("qid", "name")
     return buckets.table(s, last, "item").join(names, "qid", "left").select("qid", "label", "is_current", "name")
@@ -472,7 +472,7 @@ SELECT role, CAST(n AS BIGINT) AS lines, sha256(sha256(CAST(b AS BIGINT) || ':'
 def _(s, d):
     path = place(s)
     for role, name, key, column in (("orders", "orders", "o_orderkey", "o_orderstatus"), ("parts", "part", "p_partkey", "p_name")):
-        rows = table(s, d, name).coalesce(1).sortWithinPartitions(key)
+        rows = table(s, d, name).select(key, column).repartitionByRange(int(s.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
         rows.select(F.concat_ws(",", key, column).alias("value")).write.text(f"{path}/{role}")
     return tree_hashes(s, {role: f"{path}/{role}" for role in ("orders", "parts")}, parts=True)
 
