@@ -91,10 +91,11 @@ def merge_entities(spark: SparkSession, target: str, entities: DataFrame, import
     return buckets.commit(spark, target, before, out, numbers, import_id, n, ledger)
 
 
-def ingest_entities_stream(spark: SparkSession, source: str, target: str, checkpoint: str, n: int = buckets.BUCKETS, files_per_batch: int = 1000) -> None:
+def ingest_entities_stream(spark: SparkSession, source: str, target: str, checkpoint: str, n: int = buckets.BUCKETS, files_per_batch: int | None = None, batch_bytes: int = 8 << 30) -> None:
     """Take in all entity documents that have landed since the last call, in batches of files.
 
-    Each file is one document, a truncated one an error. A batch is committed together with its number and the stream's
+    A batch has files of ``batch_bytes``, or ``files_per_batch`` of them if that is given. Ids lie in all buckets, so a
+    batch rewrites most of the store: batches by a number of small files would do so again and again. Each file is one document, a truncated one an error. A batch is committed together with its number and the stream's
     own id, which the checkpoint keeps, so it counts once even if it is delivered again after a failure.
     """
 
@@ -104,7 +105,8 @@ def ingest_entities_stream(spark: SparkSession, source: str, target: str, checkp
         documents = batch.select(F.from_json("value", landed.ENTITIES, {"mode": "FAILFAST"}).alias("d")).select("d.entities")
         merge_entities(own, target, landed.entity_rows(documents), number, n, stream)
 
-    documents = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(source)
+    most = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", str(batch_bytes))
+    documents = spark.readStream.option("wholetext", True).option(*most).text(source)
     query = documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
