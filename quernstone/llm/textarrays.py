@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19  # arrays of numbers take up to 200 times as much for a while
 BLOCK_ROWS = 2048
 
 # Word separators of the contracts: space and U+0009 to U+000D.
