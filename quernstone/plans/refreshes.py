@@ -10,7 +10,7 @@ from quernstone.operators import profile
 from quernstone.operators.articles import apply_article_updates, select_titles, title_link_counts
 from quernstone.operators.dedup import first_per_key
 from quernstone.operators.snapshot import diff, needs_refresh, set_mismatch
-from quernstone.session import written
+from quernstone.session import empty, written
 from quernstone.sinks import buckets
 from quernstone.sinks.publish import publish, published
 from quernstone.sources import landed
@@ -81,7 +81,7 @@ def import_details(spark: SparkSession, path: str, target: str, wanted: DataFram
     start = buckets.latest(spark, target)
     n = start.buckets if start else n
     rows = written(landed.entity_rows(spark.read.schema(landed.ENTITIES).json(path, multiLine=True, mode="FAILFAST")), "entities")
-    stored = _stored(spark, start, "item", spark.createDataFrame([], "qid string, last_rev_id long, is_current boolean"))
+    stored = _stored(spark, start, "item", empty(spark, "qid string, last_rev_id long, is_current boolean"))
     asked = written(wanted.select("qid").union(stored.where("is_current").select("qid")).dropna().distinct(), "asked")
     told = first_per_key(rows.where("requested is not null").select("requested", "qid", "missing", "lastrevid"), ["requested"], [-F.coalesce(F.col("lastrevid"), F.lit(-1)), F.col("qid")])
     info = told.select(F.col("requested").alias("qid"), F.col("lastrevid").alias("rev"), "missing", F.coalesce(F.col("qid") != F.col("requested"), F.lit(False)).alias("redirected"), F.col("qid").alias("actual"))
@@ -91,7 +91,7 @@ def import_details(spark: SparkSession, path: str, target: str, wanted: DataFram
     for i in range(batches):
         part = chosen.where(F.pmod(buckets.bucket_of(F.col("requested"), n), F.lit(batches)) == i)
         if not part.isEmpty():
-            merge_entities(spark, target, part, import_id, n)
+            merge_entities(spark, target, part, import_id, n, None, True)
 
     tables = landed.entity_tables(chosen)
     fetched = tables["item"].select("qid").distinct()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _LOCAL: dict[str, str] = {}
@@ -63,5 +64,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of ``schema``, known to be none when a plan is made: joins with them fall away, and no Python runs."""
+    return spark.range(1).where("false").select(F.from_json(F.lit(None).cast("string"), schema).alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -96,21 +96,30 @@ def commit(spark: SparkSession, path: str, before: Version | None, rows: dict[st
     n = before.buckets if before else n
     name = f"{import_id}-{n}-{uuid.uuid4().hex}"
     after = Version(path, name, n, {t: dict(f) for t, f in before.folders.items()} if before else {}, dict(before.schemas) if before else {}, {t: dict(f) for t, f in before.rows.items()} if before else {})
+    folder = f"data/v={name}"
     for t, (df, key) in rows.items():
         after.schemas[t] = df.schema
-        folders, counts = after.folders.setdefault(t, {}), after.rows.setdefault(t, {})
-        if not buckets:
-            continue
-        folder = f"data/v={name}/{t}"
-        dealt = df.withColumn(BUCKET, bucket_of(F.col(key), n)).where(F.col(BUCKET).isin(buckets))
-        dealt.repartition(len(buckets), BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
-        schema = T.StructType([*df.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        made = {r[BUCKET]: r.n for r in spark.read.schema(schema).parquet(f"{path}/{folder}").groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}
-        for b in buckets:
-            folders.pop(b, None)
-            counts.pop(b, None)
-            if b in made:
-                folders[b], counts[b] = f"{folder}/{BUCKET}={b}", made[b]
+        after.folders.setdefault(t, {})
+        after.rows.setdefault(t, {})
+        if buckets:
+            # a task a bucket: hashed once more, some tasks would have several and others none
+            at = {b: i for i, b in enumerate(buckets)}
+            place = F.array(*[F.lit(at.get(b, 0)) for b in range(n)])
+            dealt = df.withColumn(BUCKET, bucket_of(F.col(key), n)).where(F.col(BUCKET).isin(buckets))
+            dealt.repartitionById(len(buckets), place[F.col(BUCKET)]).write.partitionBy(BUCKET).parquet(f"{path}/{folder}/{t}")
+    if buckets and rows:
+        counts = None
+        for t, (df, _) in rows.items():
+            schema = T.StructType([*df.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+            own = spark.read.schema(schema).parquet(f"{path}/{folder}/{t}").groupBy(BUCKET).agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), BUCKET, "n")
+            counts = own if counts is None else counts.unionAll(own)
+        made = {(r.t, r[BUCKET]): r.n for r in counts.collect()}
+        for t in rows:
+            for b in buckets:
+                after.folders[t].pop(b, None)
+                after.rows[t].pop(b, None)
+                if (t, b) in made:
+                    after.folders[t][b], after.rows[t][b] = f"{folder}/{t}/{BUCKET}={b}", made[t, b]
     listed = [(t, b, f, after.rows[t][b], after.schemas[t].json()) for t, of in after.folders.items() for b, f in of.items()]
     listed += [(t, None, None, 0, s.json()) for t, s in after.schemas.items() if not after.folders.get(t)]
     spark.createDataFrame(listed, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest/v={name}")

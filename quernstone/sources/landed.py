@@ -47,39 +47,48 @@ def scan_entities_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def entity_rows(documents: DataFrame) -> DataFrame:
-    """(key, requested, qid, missing, lastrevid, labels, sitelinks, claims) of each entity of parsed documents."""
-    e = documents.select(F.explode("entities").alias("key", "e"))
-    return e.select("key", F.coalesce("e.redirects.from", "key").alias("requested"), F.coalesce("e.id", "key").alias("qid"), F.col("e.missing").isNotNull().alias("missing"), "e.lastrevid", "e.labels", "e.sitelinks", "e.claims")
-
+    """(key, requested, qid, missing, lastrevid, taxon_name, rank_qid, image, label, title, names, external_ids,
+    taxon_ids) of each entity of parsed documents.
 
-def entity_tables(e: DataFrame) -> dict[str, DataFrame]:
-    """The tables of :func:`scan_entities_json` from entity rows."""
-    missing = e.where("missing").select(F.col("requested").alias("qid"))
-    known = F.coalesce(is_qid(F.col("qid")), F.lit(False))
-    live = e.where("not missing").where(known)
-    issues = e.where("not missing").where(~known).select(F.lit("warning").alias("severity"), F.lit("qid").alias("kind"), F.coalesce("qid", F.lit("")).alias("message"))
+    Claims are looked at here, once; the last three are arrays of an entity's own distinct values.
+    """
+    e = documents.select(F.explode("entities").alias("key", "e"))
 
     def values(prop: str):
-        every = F.coalesce(F.col("claims")[prop], F.array())
+        every = F.col("e.claims")[prop]
         usable = F.filter(every, lambda c: c["rank"].isin("preferred", "normal") & (c.mainsnak.snaktype == "value"))
         ordered = F.array_sort(F.transform(usable, lambda c, i: F.struct((c["rank"] != "preferred").alias("after"), i.alias("place"), c.mainsnak.datavalue.value.alias("v"))))
-        return F.transform(ordered, lambda s: s.v)
+        return F.when(every.isNotNull(), F.transform(ordered, lambda s: s.v))
+
+    def listed(values):
+        return F.when(values.isNotNull(), F.array_distinct(values)).otherwise(F.array())
 
     def item_id(value):
         return F.coalesce(F.get_json_object(value, "$.id"), F.concat(F.lit("Q"), F.get_json_object(value, "$.numeric-id")))
 
-    item = live.select(
-        "qid", F.get(values("P225"), F.lit(0)).alias("taxon_name"), item_id(F.get(values("P105"), F.lit(0))).alias("rank_qid"), F.get(values("P18"), F.lit(0)).alias("image"),
-        F.col("labels")["en"]["value"].alias("label"), F.col("sitelinks")["enwiki"]["title"].alias("title"), F.col("lastrevid").alias("last_rev_id"),
+    def named(prop: str):
+        return F.when(F.col("e.claims")[prop].isNotNull(), F.transform(values(prop), lambda v: F.struct(F.lit(prop).alias("property"), v.alias("value"))))
+
+    told = F.transform(values("P1843"), lambda v: F.struct(F.get_json_object(v, "$.language").alias("language"), F.get_json_object(v, "$.text").alias("name")))
+    ids = F.flatten(F.array_compact(F.array(*map(named, EXTERNAL_IDS))))
+    return e.select(
+        "key", F.coalesce("e.redirects.from", "key").alias("requested"), F.coalesce("e.id", "key").alias("qid"), F.col("e.missing").isNotNull().alias("missing"), "e.lastrevid",
+        F.get(values("P225"), F.lit(0)).alias("taxon_name"), item_id(F.get(values("P105"), F.lit(0))).alias("rank_qid"), F.get(values("P18"), F.lit(0)).alias("image"),
+        F.col("e.labels")["en"]["value"].alias("label"), F.col("e.sitelinks")["enwiki"]["title"].alias("title"),
+        listed(F.filter(told, lambda n: n["language"].isNotNull() & n["name"].isNotNull())).alias("names"), F.array_distinct(ids).alias("external_ids"), listed(values("P7715")).alias("taxon_ids"),
     )
-    names = live.select("qid", F.explode(values("P1843")).alias("v")).select("qid", F.get_json_object("v", "$.language").alias("language"), F.get_json_object("v", "$.text").alias("name")).dropna().distinct()
-    ids = [live.select("qid", F.lit(p).alias("property"), F.explode(values(p)).alias("value")) for p in EXTERNAL_IDS]
-    external = ids[0]
-    for more in ids[1:]:
-        external = external.unionByName(more)
-    taxon_ids = live.select("qid", F.explode(values("P7715")).alias("taxon_id_raw")).distinct()
+
+
+def entity_tables(e: DataFrame, unique: bool = False) -> dict[str, DataFrame]:
+    """The tables of :func:`scan_entities_json` from entity rows; ``unique``: no two of them have one qid."""
+    missing = e.where("missing").select(F.col("requested").alias("qid"))
+    known = F.coalesce(is_qid(F.col("qid")), F.lit(False))
+    live = e.where("not missing").where(known)
+    issues = e.where("not missing").where(~known).select(F.lit("warning").alias("severity"), F.lit("qid").alias("kind"), F.coalesce("qid", F.lit("")).alias("message"))
+    item = live.select("qid", "taxon_name", "rank_qid", "image", "label", "title", F.col("lastrevid").alias("last_rev_id"))
+    lists = {"item_name": live.select("qid", F.inline("names")), "item_external_id": live.select("qid", F.inline("external_ids")), "item_taxon_id": live.select("qid", F.explode("taxon_ids").alias("taxon_id_raw"))}
     redirect = live.where("requested <> qid").select("requested", F.col("qid").alias("actual"))
-    return {"item": item, "item_name": names, "item_external_id": external.distinct(), "item_taxon_id": taxon_ids, "redirect": redirect, "missing": missing, "issues": issues}
+    return {"item": item, **{name: rows if unique else rows.distinct() for name, rows in lists.items()}, "redirect": redirect, "missing": missing, "issues": issues}
 
 
 STEPS = ("normalized", "converted", "redirects")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import with_normalized
 from quernstone.operators.dedup import first_per_key
-from quernstone.operators.snapshot import diff, replace_children
+from quernstone.operators.snapshot import diff
 from quernstone.session import written
 from quernstone.sinks import buckets
 from quernstone.sinks.publish import publish, published
@@ -40,39 +40,42 @@ def ingest_landing_stream(spark: SparkSession, schema: str, source: str, target:
         raise query.exception()
 
 
-ITEM = ["taxon_name", "rank_qid", "image", "label", "title", "last_rev_id"]
+OWN = ["taxon_name", "rank_qid", "image", "label", "title"]
+ITEM = [*OWN, "last_rev_id"]
 # the tables of a store of entities and the columns by which their rows are told apart
 CHILDREN = {"item_name": ["qid", "language", "name"], "item_external_id": ["qid", "property", "value"]}
 
 
-def merge_entities(spark: SparkSession, target: str, entities: DataFrame, import_id: int, n: int = buckets.BUCKETS, ledger: str | None = None) -> buckets.Version | None:
+def merge_entities(spark: SparkSession, target: str, entities: DataFrame, import_id: int, n: int = buckets.BUCKETS, ledger: str | None = None, held: bool = False) -> buckets.Version | None:
     """Merge one batch of entity rows into the bucketed store at ``target``; None if the batch is in already.
 
     Of entities with one id the greatest revision counts, and only if it is not older than what the store has. Items
     are changed only where their content differs; the names and external ids of every entity that counts become exactly
     its own; an id that redirects is retired, its target stored. Missing entities change nothing. Buckets are those of
-    the batch's ids, no others are read or written, and all tables change at once.
+    the batch's ids, no others are read or written, and all tables change at once. Rows that are read from a written
+    table (``held``) are not written again.
     """
     if ledger is not None and buckets.committed(spark, target, ledger, import_id):
         return None
     before = buckets.latest(spark, target)
     n = before.buckets if before else n
-    rows = written(entities.where("not missing and qid is not null"), "entities")
-    moved = rows.where("requested <> qid").select("requested", F.col("qid").alias("actual")).distinct()
-    own = rows.select("qid").union(moved.select("requested")).distinct()
-    numbers = buckets.touched(own, "qid", n)
+    rows = entities.where("not missing and qid is not null")
+    rows = rows if held else written(rows, "entities")
+    moved = rows.where("requested <> qid").select("requested")
+    numbers = buckets.touched(rows.select("qid").union(moved), "qid", n)
 
     def current(name: str, like: DataFrame) -> DataFrame:
         return buckets.table(spark, before, name, numbers) if before and name in before.schemas else like.limit(0)
 
-    order = [-F.coalesce(F.col("lastrevid"), F.lit(-1)), F.xxhash64(*[F.to_json(F.struct(c)) for c in ("labels", "sitelinks", "claims")])]
-    newest = first_per_key(rows, ["qid"], order)
+    # nulls leave no mark in the hash, so they are told apart
+    content = [*OWN, *[F.col(c).isNull() for c in OWN], "names", "external_ids", "taxon_ids", F.size("taxon_ids")]
+    newest = first_per_key(rows, ["qid"], [-F.coalesce(F.col("lastrevid"), F.lit(-1)), F.xxhash64(*content)])
     stamp = {"is_current": F.lit(True), "import_id": F.lit(import_id).cast("long")}
     items = current("item", landed.entity_tables(newest)["item"].withColumns(stamp))
     known = items.select(F.col("qid").alias("__q"), F.col("last_rev_id").alias("__rev"))
     # what is older than the store's revision does not count
     newest = newest.join(known, newest.qid == known["__q"], "left").where("__rev is null or lastrevid >= __rev").drop("__q", "__rev")
-    tables = landed.entity_tables(written(newest, "newest"))
+    tables = landed.entity_tables(written(newest, "newest"), unique=True)
     staged = tables["item"]
     tagged = diff(items, staged, ["qid"], ITEM)
     kept = F.col("new").isNull() | F.col("old").eqNullSafe(F.col("new"))
@@ -87,7 +90,8 @@ def merge_entities(spark: SparkSession, target: str, entities: DataFrame, import
     out = {"item": (merged, "qid")}
     names = with_normalized(tables["item_name"], "name", "normalized")
     for name, new in (("item_name", names), ("item_external_id", tables["item_external_id"])):
-        out[name] = replace_children(current(name, new), new, staged, ["qid"], CHILDREN[name])[0], "qid"
+        # the new rows are those of the staged entities and distinct, so only the old ones are looked at
+        out[name] = current(name, new).join(staged.select("qid"), "qid", "left_anti").unionByName(new), "qid"
     return buckets.commit(spark, target, before, out, numbers, import_id, n, ledger)
 
 

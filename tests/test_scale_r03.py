@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quernstone.llm import textarrays
 from quernstone.operators import facts, resolve
 from quernstone.plans.round_trips import in_parts, lots
+from quernstone.session import written
+from quernstone.sinks import buckets
 from quernstone.sources import delimited, fingerprint, landed, records
 
 
@@ -102,3 +104,32 @@ def test_compared_values_move_once(spark):
 
 def test_blocks_are_small():
     assert textarrays.BLOCK_BYTES * 200 <= 128 << 20
+
+
+def test_claims_are_looked_at_once(spark, tmp_path):
+    claim = {"rank": "normal", "mainsnak": {"snaktype": "value", "datavalue": {"value": "7"}}}
+    name = claim | {"mainsnak": {"snaktype": "value", "datavalue": {"value": {"language": "en", "text": "x"}}}}
+    (tmp_path / "e.json").write_text(json.dumps({"entities": {"Q1": {"claims": {"P846": [claim, claim], "P961": [claim], "P1843": [name, name]}}, "Q2": {}}}))
+    rows = written(landed.entity_rows(spark.read.schema(landed.ENTITIES).json(str(tmp_path / "e.json"), multiLine=True)), "rows")
+    out = landed.entity_tables(rows, unique=True)
+    assert sorted((r.qid, r.property, r.value) for r in out["item_external_id"].collect()) == [("Q1", "P846", "7"), ("Q1", "P961", "7")]
+    assert [(r.qid, r.language, r.name) for r in out["item_name"].collect()] == [("Q1", "en", "x")] and out["item_taxon_id"].isEmpty()
+    for name in ("item", "item_name", "item_external_id"):
+        plan = out[name]._jdf.queryExecution().executedPlan().toString()
+        assert "get_json_object" not in plan and "Exchange" not in plan and "Union" not in plan
+
+
+def test_each_bucket_is_written_by_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    rows, tasks = spark.range(4000).select("id", F.col("id").alias("v")), []
+    deal = type(rows).repartitionById
+
+    def dealt(self, *args):
+        out = deal(self, *args)
+        tasks.append(out.select(buckets.BUCKET, F.spark_partition_id().alias("p")).distinct().count())
+        tasks.append(out.select(F.spark_partition_id()).distinct().count())
+        return out
+
+    monkeypatch.setattr(type(rows), "repartitionById", dealt)
+    at = buckets.commit(spark, str(tmp_path / "t"), None, {"a": (rows, "id"), "b": (rows.limit(0), "id")}, [1, 3, 4, 9], 1, 16)
+    assert tasks[:2] == [4, 4] and sorted(at.folders["a"]) == [1, 3, 4, 9] and not at.folders["b"]
+    assert sum(at.rows["a"].values()) == buckets.table(spark, at, "a").count() == rows.where(buckets.bucket_of(F.col("id"), 16).isin(1, 3, 4, 9)).count()
