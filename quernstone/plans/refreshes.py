@@ -130,7 +130,8 @@ def import_articles(spark: SparkSession, info_path: str, lead_path: str, items:
     are in no response, and pages that are gone from the leads' responses are Missing and keep what is stored. Rows of
     which nothing changes keep their import_id, and their time of fetching too; retired articles keep their text.
     """
-    before = spark.createDataFrame([], ARTICLE) if current is None else current.select(*[f.name for f in spark.createDataFrame([], ARTICLE).schema])
+    nothing = empty(spark, ARTICLE)
+    before = nothing if current is None else current.select(*nothing.columns)
     known = before.select("title", "status", "is_current", "import_id")
     selected, pairs = select_titles(items, known, import_id)
     pairs = written(pairs, "pairs")
@@ -150,7 +151,8 @@ def import_articles(spark: SparkSession, info_path: str, lead_path: str, items:
     info = written(info.join(pages.select("title", "vanished"), "title", "left").withColumn("missing", gone), "told")
 
     fresh = pages.where("not vanished").select("title", "lead", F.col("lead_rev").alias("rev"), F.current_timestamp().alias("fetched_at"))
-    requesting = pairs.groupBy("title").agg(F.array_sort(F.collect_set("qid")).alias("qids"))
+    # of the items that name a title only the one that its page names matters, so no list of them is made
+    requesting = pairs.join(info.select("title", F.col("item").alias("qid")), ["title", "qid"], "left_semi").select("title", F.array("qid").alias("qids"))
     updates = apply_article_updates(live.select("title", "status", "lead", "rev", "fetched_at"), info.select("title", "missing", "disambiguation", "item", "rev"), fresh, requesting)
     updates = updates.select("title", *[F.col(c).alias(f"new_{c}") for c in ("status", "lead", "rev", "fetched_at")])
     meta = info.select("title", "missing", "page_title", "page_id", "item", "short_description", article_url(F.col("page_title")).alias("url"))
@@ -166,13 +168,12 @@ def import_articles(spark: SparkSession, info_path: str, lead_path: str, items:
         F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in (*CONTENT, "fetched_at") else F.when(changed, F.lit(import_id)).otherwise(F.col(c)).cast("long").alias(c) if c == "import_id" else F.col(c)
         for c in before.columns
     ])
-    article = written(article, "article")
 
     was = known.select("title", F.col("is_current").alias("was"))
     turned = articles.select("title", "is_current").join(was, "title", "left")
     issues = warnings(info.where("not asked"), "title", "title", "Title {} cannot be requested; it is treated as missing.")
     issues = issues.unionByName(warnings(info.where("missing"), "missing", "title", "Page {} does not exist; any stored lead was kept."))
-    no_links = spark.createDataFrame([], "qid string, title string")
+    no_links = empty(spark, "qid string, title string")
     inserted = title_link_counts(pairs, no_links if links is None else links)
     report = metrics([
         turned.agg(

@@ -132,10 +132,14 @@ def walks(responses: DataFrame) -> DataFrame:
     maps of its own, so a response's work grows with its edges.
     """
     nothing = F.array().cast("array<string>")
+    linked = F.greatest(*[F.coalesce(F.size(f"query.{name}"), F.lit(0)) for name in STEPS]) > 0
     titles = F.coalesce(F.transform("query.pages", lambda p: p["title"]), nothing)
     froms = [F.coalesce(F.transform(f"query.{name}", lambda e: F.when(F.coalesce(e["fromencoded"], F.lit(False)), F.url_decode(e["from"])).otherwise(e["from"])), nothing) for name in STEPS]
     to = [F.coalesce(F.transform(f"query.{name}", lambda e: e["to"]), nothing) for name in STEPS]
-    return responses.withColumn("walked", ends_of(F.flatten(F.array(titles, *froms)), *[c for pair in zip(froms, to, strict=True) for c in pair]))
+    own = F.array_distinct(F.filter(titles, lambda t: t.isNotNull()))
+    # without an edge each title stays where it is, and Python is handed nothing
+    ends = ends_of(F.when(linked, F.flatten(F.array(titles, *froms))).otherwise(nothing), *[F.when(linked, c).otherwise(nothing) for pair in zip(froms, to, strict=True) for c in pair])
+    return responses.withColumn("walked", F.when(linked, ends).otherwise(F.transform(own, lambda t: F.struct(t.alias("start"), t.alias("end")))))
 
 
 def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
@@ -152,15 +156,17 @@ def scan_pages_json(spark: SparkSession, path: str, requested: DataFrame) -> Dat
     at = at.groupBy("requested_title").agg(F.min_by("end", F.struct(F.col("file").isNull().alias("n"), F.col("file"))).alias("at"))
     at = at.withColumn("at", F.coalesce("at", "requested_title"))
     p = raw.select("file", F.explode("pages").alias("p")).select("file", "p.*")
+    values = {"page_id": F.col("pageid"), "rev": F.col("lastrevid"), "item": F.col("pageprops.wikibase_item"), "short_description": F.col("pageprops.wikibase-shortdesc"), "extract": F.col("extract")}
+    p = p.select(
+        "title", "file", (F.coalesce("missing", F.lit(False)) | F.coalesce("invalid", F.lit(False))).alias("absent"),
+        F.col("pageprops.disambiguation").isNotNull().alias("disambiguation"), *[c.alias(name) for name, c in values.items()],
+    )
 
-    def first(c, name):
-        return F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("file"))).alias(name)
+    def first(name):
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("file"))).alias(name)
 
-    pages = p.groupBy("title").agg(
-        F.max(F.coalesce("missing", F.lit(False)) | F.coalesce("invalid", F.lit(False))).alias("absent"), first(F.col("pageid"), "page_id"), first(F.col("lastrevid"), "rev"),
-        first(F.col("pageprops.wikibase_item"), "item"), first(F.col("pageprops.wikibase-shortdesc"), "short_description"),
-        F.max(F.col("pageprops.disambiguation").isNotNull()).alias("disambiguation"), first(F.col("extract"), "extract"),
-    )
+    # a title seldom comes twice: rows move as they are and are sorted once, where sums before the move would be sorted too
+    pages = p.where("title is not null").repartition("title").groupBy("title").agg(F.max("absent").alias("absent"), F.max("disambiguation").alias("disambiguation"), *map(first, values))
     out = at.join(pages.hint("merge"), at["at"] == pages.title, "left")
     return out.select("requested_title", F.coalesce("title", "at").alias("title"), F.coalesce("absent", F.lit(True)).alias("missing"), "page_id", "rev", "item", "short_description", F.coalesce("disambiguation", F.lit(False)).alias("disambiguation"), "extract")
 

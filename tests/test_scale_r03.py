@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import textarrays
 from quernstone.operators import facts, resolve
+from quernstone.plans import refreshes
 from quernstone.plans.round_trips import in_parts, lots
 from quernstone.session import written
 from quernstone.sinks import buckets
@@ -133,3 +134,35 @@ def test_each_bucket_is_written_by_a_task_of_its_own(spark, tmp_path, monkeypatc
     at = buckets.commit(spark, str(tmp_path / "t"), None, {"a": (rows, "id"), "b": (rows.limit(0), "id")}, [1, 3, 4, 9], 1, 16)
     assert tasks[:2] == [4, 4] and sorted(at.folders["a"]) == [1, 3, 4, 9] and not at.folders["b"]
     assert sum(at.rows["a"].values()) == buckets.table(spark, at, "a").count() == rows.where(buckets.bucket_of(F.col("id"), 16).isin(1, 3, 4, 9)).count()
+
+
+def test_articles_gather_no_lists_and_are_written_once(spark, tmp_path, monkeypatch):
+    items = spark.createDataFrame([("Q1", "A", True), ("Q2", "A", True), ("Q3", "A", True), ("Q4", "B", True)], "qid string, title string, is_current boolean")
+    pages = [{"title": "A", "lastrevid": 1, "extract": "x", "pageprops": {"wikibase_item": "Q2"}}, {"title": "B", "lastrevid": 1, "extract": "y", "pageprops": {"wikibase_item": "Q1"}}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps({"query": {"pages": pages}}))
+    update, write, asked, names = refreshes.apply_article_updates, refreshes.written, [], []
+
+    def updates(articles, info, leads, requesting):
+        asked.append(requesting)
+        return update(articles, info, leads, requesting)
+
+    def told(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(refreshes, "apply_article_updates", updates)
+    monkeypatch.setattr(refreshes, "written", told)
+    path = str(tmp_path / "in")
+    out = refreshes.import_articles(spark, path, path, items, None, None, str(tmp_path / "out"), 1)
+    assert {r.title: r.status for r in out["article"].collect()} == {"A": "Ok", "B": "ItemMismatch"}
+    assert [(r.title, r.qids) for r in asked[0].collect()] == [("A", ["Q2"])] and "collect_set" not in plan_of(asked[0])
+    assert "article" not in names and len(names) == 6
+
+
+def test_python_is_handed_only_responses_with_edges(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"query": {"pages": [{"title": "A"}, {"title": "A"}, {"title": None}]}}))
+    (tmp_path / "b.json").write_text(json.dumps({"query": {"redirects": [{"from": "B", "to": "C"}], "pages": [{"title": "C"}]}}))
+    out = landed.walks(spark.read.schema(landed.PAGES).json(str(tmp_path), multiLine=True))
+    assert sorted(sorted((w.start, w.end) for w in r.walked) for r in out.collect()) == [[("A", "A")], [("B", "C"), ("C", "C")]]
+    assert "greatest(" in plan_of(out)  # the helper's arguments are empty where a response has no edge
