@@ -255,7 +255,7 @@ def best_name(targets: DataFrame, names: DataFrame, item_links: DataFrame) -> Da
 
     keys = [c for c in ("query", "target") if c in targets.columns]
     link = live(item_links).select("qid", F.coalesce("accepted", "taxon").alias("target")).distinct()
-    english = names.where(is_english(F.col("language"))).join(link, "qid")
+    english = names.where(is_english(F.col("language"))).join(link.hint("merge"), "qid")
     rows = targets.join(english, "target")
     matched = F.lit(False)
     if "query" in keys:

@@ -55,7 +55,10 @@ def scientific_texts(taxa: DataFrame) -> DataFrame:
     """(target, matched_on, source_order, matched_text, both) of current taxa; a synonym leads to its accepted taxon."""
     current = taxa.where("is_current")
     accepted = current.select(F.col("taxon_id").alias("__a"))
-    t = current.join(accepted, (current.status == "Synonym") & (current.accepted_id == accepted["__a"]), "left")
+    # only synonyms move: the others would meet on null; ids are merged, a compressed file says little about its rows
+    leads = F.coalesce((F.col("status") == "Synonym") & F.col("accepted_id").isNotNull(), F.lit(False))
+    t = current.where(leads).join(accepted.hint("merge"), F.col("accepted_id") == F.col("__a"), "left")
+    t = t.unionByName(current.where(~leads), allowMissingColumns=True)
     via = F.col("__a").isNotNull()
     return t.select(F.coalesce("__a", "taxon_id").alias("target"), F.when(via, "synonym").otherwise("scientificName").alias("matched_on"), via.cast("int").alias("source_order"), F.col("name").alias("matched_text"), F.concat_ws("\n", "name", "genus").alias("both"))
 
@@ -63,7 +66,7 @@ def scientific_texts(taxa: DataFrame) -> DataFrame:
 def common_texts(names: DataFrame, item_links: DataFrame) -> DataFrame:
     """(target, matched_text, normalized, compact) of English names of items with a current link."""
     link = live(item_links).select("qid", F.coalesce("accepted", "taxon").alias("target"))
-    return names.where(is_english(F.col("language"))).join(link, "qid").select("target", F.col("name").alias("matched_text"), "normalized", "compact")
+    return names.where(is_english(F.col("language"))).join(link.hint("merge"), "qid").select("target", F.col("name").alias("matched_text"), "normalized", "compact")
 
 
 def scientific_tier() -> Column:
@@ -82,7 +85,7 @@ def pages(matches: DataFrame, q: DataFrame, taxa: DataFrame, names: DataFrame, i
     """The first ``page_size`` targets of each query of ``q`` from MATCH rows, with a common name each."""
     current = taxa.where("is_current")
     best = first_per_key(matches.where("target is not null"), ["query", "target"], [F.col("tier"), F.col("source_order"), F.length("matched_text"), F.col("matched_text"), F.col("matched_on")])
-    rows = best.join(current.select(F.col("taxon_id").alias("target"), "name", "rank", "status"), "target")
+    rows = best.join(current.select(F.col("taxon_id").alias("target"), "name", "rank", "status").hint("merge"), "target")
     order = [F.asc("tier"), F.asc(F.col("matched_on") == "synonym"), F.asc(~F.col("status").eqNullSafe(F.lit("Accepted"))), F.asc(rank_depth(F.col("rank"))), F.asc_nulls_last("name"), F.asc("target")]
     page = top_per_group(rows, ["query"], order, page_size)
     labels = best_name(page.select("query", "target").join(q, "query"), names, item_links)

@@ -110,3 +110,18 @@ def test_walks_stay_within_a_response_without_joins(spark, tmp_path):
     assert got["x"] == ("X", True, None, None) and got["unknown"] == ("unknown", True, None, None) and got["L"][0] == "L"
     plan = landed.walks(spark.read.schema(landed.PAGES).json(str(tmp_path), multiLine=True)).select(F.inline("walked"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_the_index_holds_a_text_once(spark, tmp_path):
+    """Rows that share their text share its postings, and are found all the same; their tables are never broadcast."""
+    n, names, links = 400, spark.createDataFrame([], "qid string, language string, name string, normalized string, compact string"), spark.createDataFrame([], "qid string, taxon string, accepted string, is_current boolean")
+    taxa = spark.range(n).select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("taxon_id"), F.when(F.col("id") % 2 == 0, "Acer rubrum").otherwise("Quercus alba").alias("name"), F.lit("Acer").alias("genus"), F.lit("species").alias("rank"), F.lit("Accepted").alias("status"), F.lit(None).cast("string").alias("accepted_id"), F.lit(True).alias("is_current"))
+    path = str(tmp_path / "i")
+    search_index.build_index(taxa, names, links, path, 8)
+    texts, postings = spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/postings")
+    assert texts.count() == n and postings.count() == postings.distinct().count() < 100
+    out = search_index.search_index(spark, path, taxa, names, links, spark.createDataFrame([("alba",), ("acer",)], "query string"), 100)
+    got = [(r.query, r.taxon_id) for r in out.collect()]
+    assert sum(q == "alba" for q, _ in got) == sum(q == "acer" for q, _ in got) == 100 and ("alba", "t001") in got and ("acer", "t000") in got
+    plan = search.scientific_texts(taxa)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan
